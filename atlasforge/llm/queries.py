@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash
+from . import bagminhash, phrase_index, token_store
+from .common import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +16,28 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file())
+    return token_store.token_digests(token_store.read_tokens(spark, path))
+
+
+def op8_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.match_digests(phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_token_store": op3_token_store,
+    "op8_phrase_index": op8_phrase_index,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_phrase_index": phrase_index.ORACLE,
+}
