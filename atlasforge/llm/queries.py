@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, phrase_index, token_store
+from . import bagminhash, phrase_index, token_store, webp
 from .common import scratch_path
 
 
@@ -28,6 +28,12 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(token_store.read_tokens(spark, path))
 
 
+def op7_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "media")
+    webp.store_texts(table(spark, sf_dir, "documents"), path)
+    return webp.media_digests(spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path))
+
+
 def op8_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.match_digests(phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -35,6 +41,7 @@ def op8_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_token_store": op3_token_store,
+    "op7_webp": op7_webp,
     "op8_phrase_index": op8_phrase_index,
 }
 
