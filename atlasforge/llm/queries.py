@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, phrase_index, token_store, webp
+from . import bagminhash, phrase_index, quality, token_store, toxicity, webp
+from .calibrate import held_out
 from .common import scratch_path
 
 
@@ -38,11 +39,25 @@ def op8_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.match_digests(phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted", "evidence")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_token_store": op3_token_store,
     "op7_webp": op7_webp,
     "op8_phrase_index": op8_phrase_index,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
