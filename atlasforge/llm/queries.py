@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, phrase_index, quality, token_store, toxicity, webp
+from . import bagminhash, license_rules, pfair, phrase_index, quality, token_store, toxicity, webp
 from .calibrate import held_out
 from .common import scratch_path
 
@@ -29,6 +29,15 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(token_store.read_tokens(spark, path))
 
 
+def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return pfair.interleave(rows).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
+
+
 def op7_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "media")
     webp.store_texts(table(spark, sf_dir, "documents"), path)
@@ -54,6 +63,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_token_store": op3_token_store,
+    "op4_license_rules": op4_license_rules,
+    "op6_pfair_mix": op6_pfair_mix,
     "op7_webp": op7_webp,
     "op8_phrase_index": op8_phrase_index,
     "op9_toxicity": op9_toxicity,
@@ -61,5 +72,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_license_rules": license_rules.oracle(),
     "op8_phrase_index": phrase_index.ORACLE,
 }
