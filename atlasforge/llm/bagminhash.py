@@ -6,8 +6,8 @@ text keeps the points at levels up to its own count. The earliest point of each
 so two texts agree in a register with probability equal to their weighted Jaccard similarity.
 
 Candidates come from banded signatures. Small buckets give all their pairs (linear in the rows, as the bound is
-fixed); larger ones link each member to the bucket's first document. Members of a larger bucket that fail that link
-are searched again, exactly, by their rarest shingles (prefix filter), so that no bucket size loses a pair.
+fixed); larger ones link each member to the bucket's most central document. Members of a larger bucket that are not in its class
+after that are searched again, exactly, by their rarest shingles (prefix filter), so that no bucket size loses a pair.
 Every candidate pair is verified on the multisets themselves; verified links make classes.
 
 Defined results: null or empty texts, and texts without words, match only texts that are equal byte for byte (null
@@ -196,24 +196,25 @@ def _prefix_elements(width: int):
     return run
 
 
-def prefix_pairs(probe_ids: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Pairs (probe, other) that share one of their rarest elements: every pair at the threshold does."""
+def prefix_pairs(probes: DataFrame, texts: DataFrame, classes: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a probe and a text of another class that may reach the threshold; every pair that does is among them.
+
+    Elements are ordered from the rarest on. A pair at the threshold shares an element of both prefixes, and its first shared
+    one leaves room for the overlap it needs: from places i and j on there are 1 + min(weight - place) at most.
+    """
     elements = materialize(texts.select("doc_id", "text").mapInArrow(_prefix_elements(width), "doc_id long, element long, weight long"), "elements")
     df = elements.groupBy("element").agg(F.count("*").alias("df"))
     ranked = elements.join(df, "element")
-    # the prefix: weight - ceil(threshold * weight) + 1 elements, rarest first; each text is one group of its own words
+    # each group is one text's own words; the prefix is weight - ceil(threshold * weight) + 1 elements
     ordered = ranked.groupBy("doc_id", "weight").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("e"))
-    prefix = materialize(
-        ordered.select("doc_id", F.explode(F.slice("e", 1, (F.col("weight") - F.ceil(F.lit(threshold) * F.col("weight")) + 1).cast("int"))).alias("e")).select("doc_id", "e.element"),
-        "prefix",
-    )
-    probe = prefix.join(probe_ids, "doc_id", "left_semi").select(F.col("doc_id").alias("p"), "element")
-    return (
-        probe.join(prefix.select(F.col("doc_id").alias("q"), "element"), "element")
-        .where("p <> q")
-        .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-        .distinct()
-    )
+    head = F.slice("e", 1, (F.col("weight") - F.ceil(F.lit(threshold) * F.col("weight")) + 1).cast("int"))
+    prefix = ordered.select("doc_id", "weight", F.posexplode(head).alias("place", "e")).select("doc_id", "weight", "place", "e.element")
+    prefix = materialize(prefix.join(classes, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")), "prefix")
+    p, q = prefix.join(probes, "doc_id", "left_semi").alias("p"), prefix.alias("q")
+    room = F.least(F.col("p.weight") - F.col("p.place"), F.col("q.weight") - F.col("q.place"))
+    need = F.lit(threshold / (1 + threshold)) * (F.col("p.weight") + F.col("q.weight"))
+    fits = (F.col("p.element") == F.col("q.element")) & (F.col("p.class_id") != F.col("q.class_id")) & (room >= need - 1e-6)
+    return p.join(q, fits).select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")).distinct()
 
 
 # ---------------------------------------------------------------- classes
@@ -260,30 +261,36 @@ def near_duplicates(
         .select(F.col("x.doc_id").alias("rep"), F.explode("x.bands").alias("key"))
     )
     rep_bands = materialize(rep_bands, "bands")
-    shared = rep_bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
+    shared = rep_bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(rep_bands.join(shared, "key"), "buckets")
 
     small = members.where(F.col("n") <= bucket_pairs).select("key", "rep")
     pairs = small.join(small.withColumnRenamed("rep", "other"), "key").where("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-    large = members.where(F.col("n") > bucket_pairs)
-    stars = large.where("hub < rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    # the hub of a larger bucket is its most central member: the one that meets most texts in all its buckets
+    central = members.groupBy("rep").agg(F.sum("n").alias("met"))
+    large = members.where(F.col("n") > bucket_pairs).join(central, "rep")
+    hubs = large.groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("back"))).alias("h")).select("key", (-F.col("h.back")).alias("hub"))
+    large = materialize(large.join(hubs, "key").select("key", "rep", "hub"), "large")
+    stars = large.where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
     pairs = materialize(pairs.union(stars).distinct(), "pairs")
 
     named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     copies = texts.dropDuplicates(["doc_id"]) if _repeats(texts) else texts
     chosen = materialize(semi_join_ids(copies.where("doc_id is not null"), named, "doc_id"), "texts")
-    scored = materialize(verify(pairs, chosen, width), "verified")
-    links = scored.where(F.col("similarity") >= threshold).select("a", "b")
-
-    linked = large.where("hub < rep").join(links, [large["hub"] == links["a"], large["rep"] == links["b"]], "left_anti")
-    rest = materialize(linked.select("key", F.col("rep").alias("doc_id")), "rest")
-    if rest.limit(1).count():
-        in_reach = large.join(rest.select("key").distinct(), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        more = prefix_pairs(rest.select("doc_id").distinct(), semi_join_ids(chosen, in_reach, "doc_id"), width, threshold)
+    links = materialize(verify(pairs, chosen, width).where(F.col("similarity") >= threshold).select("a", "b"), "links")
+    classes = components(links)
+
+    # members of larger buckets that are not in their hub's class may still have links that no star shows
+    of = large.join(classes.select(F.col("doc_id").alias("rep"), F.col("class_id").alias("own")), "rep", "left").join(classes.select(F.col("doc_id").alias("hub"), F.col("class_id").alias("hubs")), "hub", "left")
+    apart = materialize(of.where(F.coalesce("own", "rep") != F.coalesce("hubs", "hub")).select("key", F.col("rep").alias("doc_id")), "apart")
+    if apart.limit(1).count():
+        in_reach = large.join(apart.select("key").distinct(), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+        more = prefix_pairs(apart.select("doc_id").distinct(), semi_join_ids(chosen, in_reach, "doc_id"), classes, width, threshold)
         more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
-        links = links.union(verify(more, chosen, width).where(F.col("similarity") >= threshold).select("a", "b"))
+        found = materialize(verify(more, chosen, width).where(F.col("similarity") >= threshold).select("a", "b"), "found")
+        if found.limit(1).count():
+            classes = components(links.union(found))
 
-    classes = components(links)
     rep_class = reps.join(classes, reps["rep"] == classes["doc_id"], "left").select("digest", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"))
     out = sig.select("doc_id", "digest").join(rep_class, "digest", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("copy_of")).alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
