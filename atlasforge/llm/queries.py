@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bagminhash, license_rules, pfair, phrase_index, quality, token_store, toxicity, webp
+from . import bagminhash, license_rules, pfair, phrase_index, quality, quote_threads, token_store, toxicity, webp
 from .calibrate import held_out
 from .common import scratch_path
 
@@ -13,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_threads.threads(table(spark, sf_dir, "conversations")).withColumn("quoted_turns", F.array_join("quoted_turns", ","))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quote_threads": op1_quote_threads,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_token_store": op3_token_store,
     "op4_license_rules": op4_license_rules,
@@ -72,6 +78,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_quote_threads": quote_threads.ORACLE.replace("coalesce(h.quoted_turns, []) AS", "array_to_string(coalesce(h.quoted_turns, []), ',') AS"),
     "op4_license_rules": license_rules.oracle(),
     "op8_phrase_index": phrase_index.ORACLE,
 }
