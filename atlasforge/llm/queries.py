@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, license_rules, pfair, phrase_index, quality, quote_threads, token_store, toxicity, webp
+from . import bagminhash, license_rules, line_dedup, pfair, phrase_index, quality, quote_threads, token_store, toxicity, webp
 from .calibrate import held_out
 from .common import scratch_path
 
@@ -38,6 +38,10 @@ def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source")
     return pfair.interleave(rows).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
@@ -70,6 +74,7 @@ QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_token_store": op3_token_store,
     "op4_license_rules": op4_license_rules,
+    "op5_line_dedup": op5_line_dedup,
     "op6_pfair_mix": op6_pfair_mix,
     "op7_webp": op7_webp,
     "op8_phrase_index": op8_phrase_index,
@@ -80,5 +85,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_quote_threads": quote_threads.ORACLE.replace("coalesce(h.quoted_turns, []) AS", "array_to_string(coalesce(h.quoted_turns, []), ',') AS"),
     "op4_license_rules": license_rules.oracle(),
+    "op5_line_dedup": line_dedup.ORACLE,
     "op8_phrase_index": phrase_index.ORACLE,
 }
