@@ -128,3 +128,10 @@ def interleave(
     placed = numbered.join(F.broadcast(planned), here).withColumn("mix_slot", slot.cast("long"))
     placed = placed.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("_row") % block_rows)
     return placed.select(*docs.columns, "mix_block", "mix_slot", "mix_position")
+
+
+def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
+    """The rows of docs, with their columns alone, range-partitioned and sorted by their mixed position: files written from it hold the mixed order."""
+    mixed = interleave(docs, weights, **options)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartitionByRange(n, "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, materialize, text_slices
+from .common import BROADCAST_ROWS, U64, Words, materialize, text_slices
 
 WINDOW = 10
 MAX_PHRASES = 2_000_000
@@ -282,6 +282,13 @@ def match_digests(matches: DataFrame) -> DataFrame:
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no phrase of the items. Rows that share a doc_id go together; rows without one stay."""
+    hit = materialize(decontaminate(docs, items, width).where("n_hit > 0").select("doc_id").distinct(), "hit")
+    n = hit.limit(BROADCAST_ROWS + 1).count()
+    return docs.join(F.broadcast(hit) if n <= BROADCAST_ROWS else hit, "doc_id", "left_anti").select(*docs.columns)
+
+
 ORACLE = """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),

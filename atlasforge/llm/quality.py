@@ -155,3 +155,17 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataF
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least the threshold. Without a model all stay."""
+    if model is None:
+        return docs
+    cast, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = cast.value
+        for batch in batches:
+            yield batch.filter(pa.array(m.scores(batch.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

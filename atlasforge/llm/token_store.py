@@ -25,7 +25,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import _LOWER, U64, mix, powers, text_slices
@@ -224,12 +225,16 @@ def write_tokens(
     text_col: str = "text",
     row_group_bytes: int = ROW_GROUP_BYTES,
     page_bytes: int = PAGE_BYTES,
+    order: list[Column] | None = None,
 ) -> None:
-    """Encode whole texts and write them in ascending doc_id order."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    """Encode whole texts and write them in ascending doc_id order, or in the order of the given columns."""
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a doc_id that many rows share is split by its text
-    ordered = texts.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    if order:
+        names = [f"order_{i}" for i in range(len(order))]
+        ordered = docs.select(*columns, *[c.alias(k) for c, k in zip(order, names, strict=True)]).repartitionByRange(n, *names).sortWithinPartitions(*names).select("doc_id", "text")
+    else:  # a doc_id that many rows share is split by its text
+        ordered = docs.select(*columns).repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     (
         ordered.mapInArrow(_encode_batches(tokenizer_path, end_id), SCHEMA)
         .write.option("compression", "zstd")
@@ -242,6 +247,16 @@ def write_tokens(
     )
 
 
+def file_order(docs: DataFrame) -> list[Column] | None:
+    """Columns that order rows as their files hold them; None where docs does not come straight from files."""
+    place = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        docs.select(*place)
+    except AnalysisException:
+        return None
+    return place
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids. Selecting fewer columns reads fewer; doc_id filters skip row groups and pages."""
     rows = spark.read.schema(SCHEMA).parquet(path)
