@@ -298,3 +298,12 @@ def near_duplicates(
 
 def _repeats(texts: DataFrame) -> bool:
     return texts.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their class. Of rows that repeat a doc_id one stays; rows without one all do."""
+    classes = near_duplicates(docs, **options)
+    first = materialize(classes.where("doc_id = class_id").select("doc_id").distinct(), "first")
+    known = docs.where("doc_id is not null")
+    kept = semi_join_ids(known.dropDuplicates(["doc_id"]) if _repeats(known) else known, first, "doc_id")
+    return kept.unionByName(docs.where("doc_id is null"))
