@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -84,8 +85,6 @@ def all_tokens(text: Column, query: str) -> Column:
 
 def token_prefixes(text: Column, query: str) -> Column:
     """every alphanumeric run of two or more characters begins a token of the text."""
-    import re
-
     words = F.split(F.lower(text), "[^\\p{L}\\p{N}]+")
-    runs = [r.lower() for r in re.findall(r"[^\W_]+", query) if len(r) >= 2]
-    return reduce(and_, [F.exists(words, lambda w, r=r: F.startswith(w, F.lit(r))) for r in runs], F.lit(True))
+    begins = lambda run: F.exists(words, lambda w: F.startswith(w, F.lit(run)))
+    return reduce(and_, [begins(r.lower()) for r in re.findall(r"[^\W_]+", query) if len(r) >= 2], F.lit(True))
