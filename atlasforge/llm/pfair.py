@@ -10,6 +10,8 @@ The plan's size depends on the number of sources and on the resolution, not on t
 count per source, and at most MAX_SOURCES of them. Rows of one source are numbered by pieces of its order, so that a
 source with most of the rows is spread over many tasks.
 
+The columns mix_block, mix_slot and mix_position of the input, if it has them, are replaced.
+
 Defined results: a null source is a source of its own; sources absent from given weights, or of weight 0 or less, follow
 after all others with equal weights; rows that repeat a doc_id are ordered by a hash of their text, and equal rows
 take places one after the other; an empty table gives an empty result. Other columns, whatever their names, are kept.
@@ -94,11 +96,11 @@ def interleave(
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
     text = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.withColumns({"_key": key, "_order": order, "_tie": text})
-    counts = rows.groupBy("_key").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+    rows = docs.withColumns({"__mix_key": key, "__mix_order": order, "__mix_tie": text})
+    counts = rows.groupBy("__mix_key").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
-    n = {r["_key"]: r.n for r in counts}
+    n = {r["__mix_key"]: r.n for r in counts}
     if weights is None:
         whole = target_weights(n, resolution=resolution)
     else:
@@ -111,23 +113,24 @@ def interleave(
     width = 1
     while 16**width < sum(n.values()) / piece_rows and width < 8:
         width += 1
-    rows = rows.withColumn("_piece", F.substring("_order", 1, width))
-    pieces = rows.groupBy("_key", "_piece").agg(F.count("*").alias("m"))
-    before = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = pieces.select("_key", "_piece", (F.sum("m").over(before) - F.col("m")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_key", "_piece").orderBy("_order", id_col, "_tie"))
-    numbered = rows.withColumn("_row", within).join(offsets, ["_key", "_piece"]).withColumn("_row", F.col("_before") + F.col("_row") - 1)
-    numbered = numbered.withColumn("mix_block", F.floor(F.col("_row") / block_rows).cast("long"))
+    rows = rows.withColumn("__mix_piece", F.substring("__mix_order", 1, width))
+    pieces = rows.groupBy("__mix_key", "__mix_piece").agg(F.count("*").alias("m"))
+    before = Window.partitionBy("__mix_key").orderBy("__mix_piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = pieces.select("__mix_key", "__mix_piece", (F.sum("m").over(before) - F.col("m")).alias("__mix_before"))
+    within = F.row_number().over(Window.partitionBy("__mix_key", "__mix_piece").orderBy("__mix_order", id_col, "__mix_tie"))
+    numbered = rows.withColumn("__mix_row", within).join(offsets, ["__mix_key", "__mix_piece"]).withColumn("__mix_row", F.col("__mix_before") + F.col("__mix_row") - 1)
+    numbered = numbered.withColumn("mix_block", F.floor(F.col("__mix_row") / block_rows).cast("long"))
 
     schema = "array<struct<key string, first long, used long, start long, total long, places array<long>>>"
-    planned = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(phases)), schema)).alias("p")).select("p.*")
-    j = F.col("mix_block") - F.col("first")
-    w = F.size("places")
-    slot = F.col("start") + F.floor(j / w) * F.col("total") + F.element_at("places", (j % w + 1).cast("int"))
-    here = (F.col("_key") == F.col("key")) & (F.col("mix_block") >= F.col("first")) & (F.col("mix_block") < F.col("first") + F.col("used"))
+    planned = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(phases)), schema)).alias("__mix_plan"))
+    p = F.col("__mix_plan")
+    j = F.col("mix_block") - p["first"]
+    w = F.size(p["places"])
+    slot = p["start"] + F.floor(j / w) * p["total"] + F.element_at(p["places"], (j % w + 1).cast("int"))
+    here = (F.col("__mix_key") == p["key"]) & (F.col("mix_block") >= p["first"]) & (F.col("mix_block") < p["first"] + p["used"])
     placed = numbered.join(F.broadcast(planned), here).withColumn("mix_slot", slot.cast("long"))
-    placed = placed.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("_row") % block_rows)
-    return placed.select(*docs.columns, "mix_block", "mix_slot", "mix_position")
+    placed = placed.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("__mix_row") % block_rows)
+    return placed.select(*[c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_position")], "mix_block", "mix_slot", "mix_position")
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
