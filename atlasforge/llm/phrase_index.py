@@ -129,9 +129,12 @@ class Plan:
         self.width = width
 
 
-def build_index(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored postings: doc_id, n_words, terms, positions (sorted by term, then position). One row per document."""
-    cast = docs.sparkSession.sparkContext.broadcast((plan.terms, plan.is_anchor, plan.width))
+def build_index(docs: DataFrame, plan: Plan, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stored postings: doc_id, n_words, terms, positions (sorted by term, then position). One row per document.
+
+    slop: how many words further than a phrase's length from an anchor terms are kept, for proximity().
+    """
+    cast = docs.sparkSession.sparkContext.broadcast((plan.terms, plan.is_anchor, plan.width + slop))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, is_anchor, width = cast.value
@@ -234,10 +237,9 @@ def _search_rows(batch: pa.RecordBatch, p: Plan) -> pa.RecordBatch:
 def proximity(index: DataFrame, plan: Plan, slop: int) -> DataFrame:
     """Phrases of which every term lies within plan.width + slop words of an anchor, in any order: doc_id, phrase, position, items.
 
-    The index holds terms within plan.width of an anchor, so slop is at most that width.
+    The index must have been built with at least this slop.
     """
     cast = index.sparkSession.sparkContext.broadcast(plan)
-    slop = min(slop, plan.width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Plan = cast.value

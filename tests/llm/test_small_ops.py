@@ -309,7 +309,7 @@ def test_proximity(spark):
     d = docs(spark, ["one two three four", "four x one y two three", "one two"])
     ph = phrase_index.phrases(spark.createDataFrame([(7, "two three four one")], "item_id long, text string"))
     plan = phrase_index.Plan(ph, phrase_index.document_frequencies(d, ph.terms))
-    index = phrase_index.build_index(d, plan)
+    index = phrase_index.build_index(d, plan, slop=3)
     assert {r.doc_id for r in phrase_index.proximity(index, plan, 3).collect()} == {0, 1}
     assert {r.doc_id for r in phrase_index.proximity(index, plan, 0).collect()} == {0}
     assert phrase_index.search(index, plan).where("n_hit > 0").count() == 0
