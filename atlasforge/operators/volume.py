@@ -175,3 +175,98 @@ def missing_chunks(grid: DataFrame, stored: DataFrame, item_bytes: int) -> DataF
     """Chunks that are absent or of the wrong size (stored: name, length), to be written again."""
     have = stored.select("name", "length")
     return grid.join(have, "name", "left").where("length is null or length <> voxels * " + str(int(item_bytes))).select("name", "voxels", "length")
+
+
+# ---------------------------------------------------------------- 3-D chunk operators
+
+
+def _cells(c) -> np.ndarray:
+    return np.frombuffer(c.raw, dtype=np.uint8).reshape(c.z1 - c.z0, c.y1 - c.y0, c.x1 - c.x0)
+
+
+def slice_plane(chunks: DataFrame, axis: str, index: int) -> DataFrame:
+    """The voxels (u, v, value) of an orthogonal plane of uint8 chunks: z gives (y, x), y gives (z, x), x gives (z, y).
+
+    Only chunks that meet the plane are read; absent chunks give no rows, which readers take as zeros.
+    """
+    across = {"z": "yx", "y": "zx", "x": "zy"}[axis]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for c in b.itertuples(index=False):
+                plane = _cells(c).take(index - getattr(c, f"{axis}0"), axis="zyx".index(axis))
+                u, v = np.indices(plane.shape)
+                yield pd.DataFrame({"u": (u + getattr(c, f"{across[0]}0")).reshape(-1), "v": (v + getattr(c, f"{across[1]}0")).reshape(-1), "value": plane.reshape(-1).astype(np.int32)})
+
+    return chunks.where((F.col(f"{axis}0") <= index) & (F.col(f"{axis}1") > index)).mapInPandas(run, "u long, v long, value int")
+
+
+def stride(chunks: DataFrame, step: int = 4) -> DataFrame:
+    """V3: every step-th voxel of the global grid in three directions as (z, y, x, value); chunks without one are not decoded."""
+    if step < 1:
+        raise ValueError("the step must be positive")
+    meets = F.lit(True)
+    for a in "zyx":
+        meets = meets & (F.ceil(F.col(f"{a}0") / step) * step < F.col(f"{a}1"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for c in b.itertuples(index=False):
+                at = [-c.z0 % step, -c.y0 % step, -c.x0 % step]
+                sub = _cells(c)[at[0] :: step, at[1] :: step, at[2] :: step]
+                z, y, x = np.indices(sub.shape)
+                yield pd.DataFrame({"z": (z + (c.z0 + at[0]) // step).reshape(-1), "y": (y + (c.y0 + at[1]) // step).reshape(-1), "x": (x + (c.x0 + at[2]) // step).reshape(-1), "value": sub.reshape(-1).astype(np.int32)})
+
+    return chunks.where(meets).mapInPandas(run, "z long, y long, x long, value int")
+
+
+def label_report(chunks: DataFrame) -> DataFrame:
+    """Are all values 0 or 1 and all payloads of their chunk's size; foreground and inclusive box. Each chunk gives one partial row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for c in b.itertuples(index=False):
+                n = (c.z1 - c.z0) * (c.y1 - c.y0) * (c.x1 - c.x0)
+                if len(c.raw) != n:
+                    out.append((False, True, n, 0, *(None,) * 6))
+                    continue
+                a = _cells(c)
+                where = np.argwhere(a == 1)
+                box = (None,) * 6 if not len(where) else tuple(int(v) for v in (*(where.min(0) + [c.z0, c.y0, c.x0]), *(where.max(0) + [c.z0, c.y0, c.x0])))
+                out.append((True, bool((a <= 1).all()), n, len(where), *box))
+            yield pd.DataFrame(out, columns=names).astype(dict.fromkeys(names[4:], "Int64"))
+
+    names = ["sized", "binary", "voxels", "foreground", "z_min", "y_min", "x_min", "z_max", "y_max", "x_max"]
+    schema = "sized boolean, binary boolean, " + ", ".join(f"{n} long" for n in names[2:])
+    ends = [F.min(c).alias(c) for c in names[4:7]] + [F.max(c).alias(c) for c in names[7:]]
+    out = chunks.mapInPandas(run, schema).agg(F.bool_and("sized").alias("sized"), F.bool_and("binary").alias("binary"), F.sum("voxels").alias("voxels"), F.sum("foreground").alias("foreground"), *ends)
+    valid = F.col("sized") & F.col("binary") & (F.col("foreground") > 0) & (F.col("foreground") < F.col("voxels"))
+    return out.withColumn("usable", valid)
+
+
+def probe(chunks: DataFrame, z: int, y: int, x: int, scale_nm: tuple[float, float, float]) -> DataFrame:
+    """The value of one voxel and its place in micrometres."""
+    inside = F.lit(True)
+    for a, v in zip("zyx", (z, y, x), strict=True):
+        inside = inside & (F.col(f"{a}0") <= v) & (F.col(f"{a}1") > v)
+    at = ((z - F.col("z0")) * (F.col("y1") - F.col("y0")) + (y - F.col("y0"))) * (F.col("x1") - F.col("x0")) + (x - F.col("x0"))
+    value = F.conv(F.hex(F.substring("raw", at + 1, F.lit(1))), 16, 10).cast("int")
+    place = [F.lit(v * s / 1000).alias(f"{a}_um") for a, v, s in zip("zyx", (z, y, x), scale_nm, strict=True)]
+    return chunks.where(inside).select(value.alias("value"), *place)
+
+
+def read_planes(files: DataFrame, width: int, height: int, item: str, offset: int = 1024) -> DataFrame:
+    """Planes (relative_path, plane, raw) of contiguous volume files with a fixed-size header; truncated files raise."""
+    size = np.dtype(item).itemsize * width * height
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, c in zip(b["relative_path"], b["content"], strict=True):
+                n, rest = divmod(len(c) - offset, size)
+                if rest or n < 1:
+                    raise ValueError(f"{p} is truncated")
+                for z in range(n):
+                    yield pd.DataFrame({"relative_path": [p], "plane": [z], "raw": [bytes(c[offset + z * size : offset + (z + 1) * size])]})
+
+    return files.select("relative_path", "content").mapInPandas(run, "relative_path string, plane long, raw binary")
