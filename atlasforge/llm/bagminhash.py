@@ -307,3 +307,21 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     known = docs.where("doc_id is not null")
     kept = semi_join_ids(known.dropDuplicates(["doc_id"]) if _repeats(known) else known, first, "doc_id")
     return kept.unionByName(docs.where("doc_id is null"))
+
+
+ORACLE = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+c AS (
+  SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, array_to_string(w[k : k + least(5, len(w)) - 1], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(k) WHERE len(w) > 0) GROUP BY ALL),
+z AS (SELECT doc_id, sum(n) AS total, md5(string_agg(g || ':' || n, '|' ORDER BY g)) AS digest FROM c GROUP BY doc_id),
+key AS (SELECT d.doc_id, coalesce(digest, 'text:' || text) AS digest, total FROM d LEFT JOIN z USING (doc_id)),
+rep AS (SELECT digest, min(doc_id) AS doc_id FROM key GROUP BY digest),
+m AS (SELECT c.*, total FROM c JOIN rep USING (doc_id) JOIN z USING (doc_id)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS common, any_value(a.total) + any_value(b.total) AS total FROM m a JOIN m b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE common / (total - common) >= 0.8),
+links AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT doc_id, doc_id AS root FROM rep UNION SELECT b, root FROM reach JOIN links ON a = doc_id),
+class AS (SELECT doc_id, min(root) AS class_id FROM reach GROUP BY doc_id)
+SELECT key.doc_id, rep.doc_id AS copy_of, class_id FROM key JOIN rep USING (digest) JOIN class ON class.doc_id = rep.doc_id
+"""

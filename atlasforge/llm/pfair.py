@@ -138,3 +138,27 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, **o
     mixed = interleave(docs, weights, **options)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return mixed.repartitionByRange(n, "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+
+
+ORACLE = f"""
+WITH RECURSIVE n AS (SELECT coalesce('=' || source, 'null') AS k, count(*) AS n FROM documents GROUP BY 1),
+o AS (
+  SELECT list(k ORDER BY k) AS ks, list(CAST(ceil(n / {BLOCK_ROWS}.0) AS BIGINT) ORDER BY k) AS blocks,
+         list(CAST(greatest(1, floor({RESOLUTION} * sqrt(n) / (SELECT sum(sqrt(n)) FROM n) + 0.5)) AS BIGINT) ORDER BY k) AS ws FROM n),
+run AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, blocks AS todo, list_transform(blocks, lambda x: CAST(0 AS BIGINT)) AS j, list_transform(blocks, lambda x: CAST(0 AS BIGINT)) AS done,
+         CAST(0 AS BIGINT) AS t, CAST(list_sum(ws) AS BIGINT) AS total, CAST(0 AS BIGINT) AS pick, CAST(0 AS BIGINT) AS block FROM o
+  UNION ALL
+  SELECT slot + 1, todo2, CASE WHEN ended THEN list_transform(j, lambda x: CAST(0 AS BIGINT)) ELSE list_transform(range(1, len(j) + 1), lambda i: j[i] + CASE WHEN i = p THEN 1 ELSE 0 END) END,
+         list_transform(range(1, len(done) + 1), lambda i: done[i] + CASE WHEN i = p THEN 1 ELSE 0 END), CASE WHEN ended THEN 0 ELSE t + 1 END,
+         CASE WHEN ended THEN CAST(coalesce(list_sum(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN todo2[i] > 0 THEN ws[i] ELSE 0 END)), 0) AS BIGINT) ELSE total END, p, done[p]
+  FROM (
+    SELECT *, list_transform(range(1, len(todo) + 1), lambda i: todo[i] - CASE WHEN i = p THEN 1 ELSE 0 END) AS todo2, todo[p] = 1 AS ended
+    FROM (
+      SELECT run.*, ws, list_min(list_transform(list_filter(range(1, len(ws) + 1), lambda i: todo[i] > 0 AND j[i] * total // ws[i] <= t),
+        lambda i: ((j[i] + 1) * total + ws[i] - 1) // ws[i] * 10000 + i)) % 10000 AS p
+      FROM run, o WHERE list_sum(todo) > 0))),
+r AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS k, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS place FROM documents)
+SELECT r.doc_id, r.source, r.place // {BLOCK_ROWS} AS mix_block, run.slot AS mix_slot, run.slot * {BLOCK_ROWS} + r.place % {BLOCK_ROWS} AS mix_position
+FROM r, o, run WHERE run.slot >= 0 AND r.k = o.ks[run.pick] AND run.block = r.place // {BLOCK_ROWS}
+"""

@@ -84,7 +84,9 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_quote_threads": quote_threads.ORACLE.replace("coalesce(h.quoted_turns, []) AS", "array_to_string(coalesce(h.quoted_turns, []), ',') AS"),
+    "op2_near_duplicates": bagminhash.ORACLE,
     "op4_license_rules": license_rules.oracle(),
     "op5_line_dedup": line_dedup.ORACLE,
+    "op6_pfair_mix": pfair.ORACLE,
     "op8_phrase_index": phrase_index.ORACLE,
 }
