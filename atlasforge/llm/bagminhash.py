@@ -292,7 +292,8 @@ def near_duplicates(
             classes = components(links.union(found))
 
     rep_class = reps.join(classes, reps["rep"] == classes["doc_id"], "left").select("digest", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"))
-    out = sig.select("doc_id", "digest").join(rep_class, "digest", "left")
+    # written first, so that both sides of the join come from plain exchanges and a digest with very many copies can be split
+    out = sig.select("doc_id", "digest").join(materialize(rep_class, "classes"), "digest", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("copy_of")).alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
 
