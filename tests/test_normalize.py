@@ -70,3 +70,13 @@ def test_slice_indices():
         for count in range(1, 12):
             got = N.slice_indices(depth, count)
             assert len(got) == len(set(got)) == min(depth, count)
+
+
+def test_hash_bar_and_roles(spark):
+    from atlasforge.operators import manifests as M
+
+    assert [value(spark, M.fnv1a(F.lit(t))) for t in ("", "a", "foobar")] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8"]
+    assert [value(spark, M.scale_bar(F.lit(t))) for t in (1.0, 3.0, 80.0, 1e9)] == [1, 2, 100, 500000]
+    assert value(spark, M.roi_center(F.lit(3), F.lit(4), F.lit(100))) == 4 and value(spark, M.roi_center(F.lit(50), F.lit(60), F.lit(10))) == 9
+    role = lambda p: value(spark, M.likely_role(F.lit(p), F.lit(False)))
+    assert [role(p) for p in ("a/masks/x.tif", "a/x.OME.TIFF", "x.lif", "x", "x.zzz")] == ["derived_or_analysis_output", "raw_volume_candidate", "imaging_candidate", "no_extension", "unknown"]
