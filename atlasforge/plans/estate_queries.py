@@ -223,7 +223,7 @@ QUERIES = {
     "histogram_stats": lambda s, d: V.histogram_stats(histogram(s, d)),
     "percentile_stretch": lambda s, d: V.percentile_stretch(B.voxels(s, d)),
     "confusion": lambda s, d: V.acceptance(V.confusion(labelled(s, d), F.col("label01"), F.col("truth")), {"dice": 0.3, "recall": 0.9}),
-    "label_bbox": lambda s, d: V.label_box(labelled(s, d).where("row % 7 = 3")),
+    "label_bbox": lambda s, d: V.label_box(B.voxels(s, d).withColumn("label01", V.threshold(F.col("value"), "gt", 0.33))),
     "chunk_grid": lambda s, d: V.chunk_grid(s, (70, 33, 10), (32, 16, 4)),
     "axis_slice": lambda s, d: V.axis_slice(B.voxels(s, d), "position", 17).select("row", "value"),
     "downsample": lambda s, d: V.downsample(B.voxels(s, d), 4),
@@ -281,7 +281,7 @@ SELECT l.job_id, l.dataset, l.status, CASE WHEN place IS NULL THEN 'done' WHEN w
     "confusion": _LAB + """, c AS (SELECT count(*) FILTER (WHERE label01 = 1 AND truth = 1) AS tp, count(*) FILTER (WHERE label01 = 1 AND truth = 0) AS fp, count(*) FILTER (WHERE label01 = 0 AND truth = 1) AS fn, count(*) FILTER (WHERE label01 = 0 AND truth = 0) AS tn FROM lab)
 SELECT *, 2.0 * tp / (2 * tp + fp + fn) AS dice, tp / (tp + fp + fn) AS iou, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, tn / (tn + fp) AS specificity, fp / (fp + tn) AS false_positive_rate, (tp + tn) / (tp + fp + fn + tn) AS accuracy,
 CASE WHEN 2.0 * tp / (2 * tp + fp + fn) >= 0.3 AND tp / (tp + fn) >= 0.9 THEN 'passed' ELSE 'failed' END AS acceptance FROM c""",
-    "label_bbox": _LAB + "SELECT count(*) FILTER (WHERE label01 = 1) AS foreground, round(count(*) FILTER (WHERE label01 = 1) / count(*), 6) AS fraction, min(row) FILTER (WHERE label01 = 1) AS row_min, max(row) FILTER (WHERE label01 = 1) AS row_max, min(position) FILTER (WHERE label01 = 1) AS position_min, max(position) FILTER (WHERE label01 = 1) AS position_max FROM lab WHERE row % 7 = 3",
+    "label_bbox": _VOX + ", lab AS (SELECT *, value > 0.33 AS f FROM voxels) SELECT count(*) FILTER (WHERE f) AS foreground, round(count(*) FILTER (WHERE f) / count(*), 6) AS fraction, min(row) FILTER (WHERE f) AS row_min, max(row) FILTER (WHERE f) AS row_max, min(position) FILTER (WHERE f) AS position_min, max(position) FILTER (WHERE f) AS position_max FROM lab",
     "chunk_grid": """SELECT CAST(cz AS INT) AS cz, CAST(cy AS INT) AS cy, CAST(cx AS INT) AS cx, CAST(cz * 32 AS INT) AS z0, CAST(least(cz * 32 + 32, 70) AS INT) AS z1, CAST(cy * 16 AS INT) AS y0, CAST(least(cy * 16 + 16, 33) AS INT) AS y1, CAST(cx * 4 AS INT) AS x0, CAST(least(cx * 4 + 4, 10) AS INT) AS x1,
 cz || '.' || cy || '.' || cx AS name, CAST((least(cz * 32 + 32, 70) - cz * 32) * (least(cy * 16 + 16, 33) - cy * 16) * (least(cx * 4 + 4, 10) - cx * 4) AS BIGINT) AS voxels FROM range(3) a(cz), range(3) b(cy), range(3) c(cx)""",
     "axis_slice": _VOX + "SELECT row, value FROM voxels WHERE position = 17",
