@@ -45,36 +45,28 @@ def in_request_order(catalog: DataFrame, ids: Sequence[str]) -> DataFrame:
     return catalog.join(F.broadcast(wanted), "dataset_id").orderBy("pos")
 
 
-def _facet(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    return rows.select(value.alias("value")).groupBy("value").agg(F.count("*").alias("n")).select(F.lit(name).alias("facet"), "value", "n")
+def _values(**columns: Column) -> Column:
+    """Exploded (name, value) pairs of a record: scalars once (null dropped), arrays for each element. All names are counted in one pass."""
+    pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    each = lambda name, c: F.transform(c, lambda v: pair(name, v))
+    scalar = lambda name, c: F.array_compact(F.array(F.when(c.isNotNull(), pair(name, c))))
+    return F.explode(F.concat(*[(each if name in ("organelle", "organelle_pair", "metric_family") else scalar)(name, c) for name, c in columns.items()])).alias("x")
 
 
 def facets(catalog: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
-    """A1: counts of cell type, modality, comparator (blank dropped), organelle and metric family."""
+    """A1: counts of cell type, modality, comparator (blank dropped), organelle and metric family, from one scan."""
     rows = catalog.where(condition(spec or FilterSpec()))
-    parts = [
-        _facet(rows, "cell_type", F.col("cell_type")),
-        _facet(rows, "modality", F.col("modality")),
-        _facet(rows.where(F.trim(F.coalesce("comparator_class", F.lit(""))) != ""), "comparator_class", F.col("comparator_class")),
-        _facet(rows, "organelle", F.explode("organelles")),
-        _facet(rows, "metric_family", F.explode("metric_families")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    known = F.when(F.trim(F.coalesce("comparator_class", F.lit(""))) != "", F.col("comparator_class"))
+    pairs = _values(cell_type=F.col("cell_type"), modality=F.col("modality"), comparator_class=known, organelle=F.col("organelles"), metric_family=F.col("metric_families"))
+    return rows.select(pairs).groupBy(F.col("x.name").alias("facet"), F.col("x.value").alias("value")).agg(F.count("*").alias("n"))
 
 
 def commonalities(catalog: DataFrame, spec: FilterSpec, limit: int = 5) -> DataFrame:
-    """A2: the most frequent values of five traits; ties by value."""
-    rows = catalog.where(condition(spec))
-    traits = {"organelle": F.explode("organelles"), "organelle_pair": F.explode("organelle_pairs"), "metric_family": F.explode("metric_families"), "modality": F.col("modality"), "cell_type": F.col("cell_type")}
-    out = None
-    for name, value in traits.items():
-        part = _facet(rows, name, value).withColumnRenamed("facet", "trait").orderBy(F.desc("n"), F.asc("value")).limit(limit)
-        out = part if out is None else out.unionByName(part)
+    """A2: the most frequent values of five traits, from one scan; ties by value."""
+    pairs = _values(organelle=F.col("organelles"), organelle_pair=F.col("organelle_pairs"), metric_family=F.col("metric_families"), modality=F.col("modality"), cell_type=F.col("cell_type"))
+    counts = catalog.where(condition(spec)).select(pairs).groupBy(F.col("x.name").alias("trait"), F.col("x.value").alias("value")).agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("trait").orderBy(F.desc("n"), F.asc("value")))
-    return out.withColumn("rank", rank)
+    return counts.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
 def dimension(name: str) -> Column:
@@ -136,22 +128,24 @@ def coverage(catalog: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
 
 
 def coverage_totals(catalog: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
-    """Records, species and organelle diversity by cell type; cell types without organelles stay with 0."""
+    """Records, species and organelle diversity by cell type, from one scan; cell types without organelles stay with 0."""
     rows = catalog.where(condition(spec or FilterSpec()))
-    whole = rows.groupBy("cell_type").agg(F.count("*").alias("records"), F.array_join(F.sort_array(F.collect_set("species")), ",").alias("species"))
-    kinds = coverage(catalog, spec).groupBy("cell_type").agg(F.count("*").alias("diversity"))
-    return whole.join(kinds, "cell_type", "left").withColumn("diversity", F.coalesce("diversity", F.lit(0).cast("bigint")))
+    pairs = _values(species=F.coalesce("species", F.lit("")), organelle=F.col("organelles"))
+    n = rows.select("cell_type", pairs).groupBy("cell_type", "x.name", "x.value").agg(F.count("*").alias("n"))
+    kind = lambda k: F.col("name") == k
+    return n.groupBy("cell_type").agg(
+        F.sum(F.when(kind("species"), F.col("n"))).alias("records"), F.array_join(F.sort_array(F.collect_set(F.when(kind("species"), F.nullif(F.col("value"), F.lit(""))))), ",").alias("species"), F.count_if(kind("organelle")).alias("diversity")
+    )
 
 
 def timeline(catalog: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
-    """Per year records, public records, different organelles and metrics (0 without any)."""
+    """Per year records, public records, different organelles and metrics (0 without any), from one scan."""
     rows = catalog.where(condition(spec or FilterSpec()))
-    base = rows.groupBy("year").agg(F.count("*").alias("records"), F.count_if(F.col("public_data_status") != "none").alias("public_records"))
-    for column, name in (("organelles", "distinct_organelles"), ("metric_families", "distinct_metrics")):
-        # distinct values first: an aggregate that combines before the shuffle
-        part = rows.select("year", F.explode(column).alias("v")).distinct().groupBy("year").agg(F.count("*").alias(name))
-        base = base.join(part, "year", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
-    return base
+    pairs = _values(record=F.when(F.col("public_data_status") != "none", "public").otherwise("other"), organelle=F.col("organelles"), metric_family=F.col("metric_families"))
+    n = rows.select("year", pairs).groupBy("year", "x.name", "x.value").agg(F.count("*").alias("n"))
+    kind = lambda k: F.col("name") == k
+    public = F.sum(F.when(kind("record") & (F.col("value") == "public"), F.col("n")).otherwise(0))
+    return n.groupBy("year").agg(F.sum(F.when(kind("record"), F.col("n"))).alias("records"), public.alias("public_records"), F.count_if(kind("organelle")).alias("distinct_organelles"), F.count_if(kind("metric_family")).alias("distinct_metrics"))
 
 
 def timeline_families(catalog: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
