@@ -16,6 +16,7 @@ Repeated doc_ids are scored row by row; a null doc_id is scored and is not held
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -64,69 +65,83 @@ def vector_rows(col: pa.Array, table: TermTable) -> Iterator[tuple[int, int, np.
 
 def select_terms(texts: np.ndarray, y: np.ndarray, weight: np.ndarray, most: int = MAX_TERMS) -> np.ndarray:
     """Hashes of the terms whose presence depends most on the label."""
-    pairs = []
+    hashes, owners = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     for row, data, offs in text_slices(pa.array(texts.tolist(), pa.large_string())):
-        for owner, h in terms_of(data, offs):
-            both = np.empty(len(h), dtype=[("h", U64), ("d", np.int64)])
-            both["h"], both["d"] = h, owner + row
-            pairs.append(np.unique(both))
-    if not pairs:
-        return np.zeros(0, U64)
-    every = np.unique(np.concatenate(pairs))
-    start = np.flatnonzero(np.append(True, every["h"][1:] != every["h"][:-1]))
-    df = np.diff(np.append(start, len(every)))
-    pos = np.add.reduceat((y[every["d"]] == 1).astype(np.int64), start)
+        found = list(terms_of(data, offs))
+        if not found:
+            continue
+        owner, h = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((h, owner))
+        owner, h = owner[order], h[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))
+        hashes.append(h[new])
+        owners.append(owner[new] + row)
+    h, d = np.concatenate(hashes), np.concatenate(owners)
+    if not len(h):
+        return h
+    order = np.argsort(h, kind="stable")
+    h, d = h[order], d[order]
+    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    df = np.diff(np.append(start, len(h)))
+    pos = np.add.reduceat((y[d] == 1).astype(np.int64), start)
     n, n1 = len(y), int((y == 1).sum())
     a, b = pos.astype(float), (df - pos).astype(float)
-    c, d = n1 - a, (n - n1) - b
+    without = n - a - b
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = np.nan_to_num(n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)))
+        chi2 = np.nan_to_num(n * (a * (n - n1 - b) - b * (n1 - a)) ** 2 / ((a + b) * without * n1 * (n - n1)))
     ok = np.flatnonzero((chi2 >= LEAST_CHI2) & (df >= LEAST_DF))
-    ok = ok[np.lexsort((every["h"][start[ok]], -chi2[ok]))][:most]
-    return np.sort(every["h"][start[ok]])
+    ok = ok[np.lexsort((h[start[ok]], -chi2[ok]))][:most]
+    return np.sort(h[start[ok]])
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of examples, with each block's greatest weight."""
+    """Postings of unit vectors by term, in blocks of examples, with each block's greatest weight.
+
+    Tasks get the postings and lay them out by (term, block, example) when they first search.
+    """
 
     def __init__(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, n_terms: int, block: int = BLOCK):
         order = np.lexsort((row, term))
-        self.row, self.value = row[order], value[order]
-        self.n, self.block = n, block
-        blocks = max(1, -(-n // block))
-        code = term[order] * blocks + self.row // block
-        self.start = np.searchsorted(code, np.arange(n_terms * blocks + 1)).reshape(-1)
-        self.best = np.zeros((n_terms, blocks))
-        np.maximum.at(self.best.reshape(-1), code, self.value)
-        self.blocks = blocks
-
-    def nearest(self, term: np.ndarray, value: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        self.row, self.term, self.value = row[order].astype(np.int32), term[order].astype(np.int32), value[order].astype(np.float32)
+        self.n, self.n_terms, self.block, self.blocks = n, n_terms, block, max(1, -(-n // block))
+
+    @cached_property
+    def weight(self) -> np.ndarray:
+        out = np.zeros((self.n_terms, self.blocks * self.block), dtype=np.float32)
+        out[self.term, self.row] = self.value
+        return out.reshape(self.n_terms, self.blocks, self.block)
+
+    @cached_property
+    def best(self) -> np.ndarray:
+        return self.weight.max(axis=2)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("weight", "best")}
+
+    def nearest(self, term: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k best and of all that equal the k-th."""
+        value = value.astype(np.float32)
         bound = value @ self.best[term]
-        order = np.argsort(-bound, kind="stable")
-        rows, scores, kth = [], [], -1.0
-        pool = np.zeros(0)
-        for b in order.tolist():
-            if bound[b] < kth - 1e-9:
-                break
-            score = np.zeros(self.block)
-            for t, v in zip(term.tolist(), value.tolist(), strict=True):
-                i, j = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                if i < j:
-                    score[self.row[i:j] - b * self.block] += v * self.value[i:j]
-            last = min(self.block, self.n - b * self.block)
-            ids, score = b * self.block + np.arange(last), score[:last]
-            keep = ids != skip
-            rows.append(ids[keep])
-            scores.append(score[keep])
-            pool = np.sort(np.concatenate([pool, score[keep]]))[-k:]
-            if len(pool) == k:
-                kth = pool[0]
-        ids, score = np.concatenate(rows), np.concatenate(scores)
-        kth = pool[0] if len(pool) else 0.0
-        at = np.flatnonzero(score >= kth - 1e-9)
+        first = np.argsort(-bound, kind="stable")[: -(-2 * k // self.block) + 1]
+        scores = self._block_scores(term, value, first)
+        kth = np.sort(scores[1])[-k] if len(scores[1]) >= k else -1.0
+        # all other blocks that can still hold an example as good as the k-th so far
+        rest = np.flatnonzero(bound >= kth - 1e-5)
+        rest = rest[~np.isin(rest, first)]
+        more = self._block_scores(term, value, rest)
+        ids, score = np.concatenate([scores[0], more[0]]), np.concatenate([scores[1], more[1]])
+        kth = np.sort(score)[-min(k, len(score))]
+        at = np.flatnonzero(score >= kth - 1e-5)
         at = at[np.lexsort((ids[at], -score[at]))]
-        return ids[at], score[at]
+        return ids[at], score[at].astype(np.float64)
+
+    def _block_scores(self, term: np.ndarray, value: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        score = np.zeros((len(blocks), self.block), dtype=np.float32)
+        for t, v in zip(term.tolist(), value.tolist(), strict=True):
+            score += np.float32(v) * self.weight[t, blocks]
+        ids = (blocks[:, None] * self.block + np.arange(self.block)).reshape(-1)
+        inside = ids < self.n
+        return ids[inside], score.reshape(-1)[inside]
 
 
 class Model:
