@@ -29,7 +29,7 @@ from .phrase_index import TermTable
 
 BEGINNINGS = range(3, 10)
 MAX_TERMS, LEAST_CHI2, LEAST_DF = 1024, 20.0, 3
-NEIGHBOURS, BLOCK, CONSTANT = 15, 32, 0.5
+NEIGHBOURS, BLOCK, CONSTANT = 9, 32, 5.0
 
 
 def terms_of(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
