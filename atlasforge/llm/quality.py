@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .calibrate import SAMPLE_PER_CLASS, Isotonic, held_out, labelled_sample
 from .common import U64, Words, mix, powers, text_slices
 
-WORD_TERMS, STYLE_TERMS = 3072, 1024
+WORD_TERMS, STYLE_TERMS = 1536, 1024
 WORD_WEIGHT, STYLE_WEIGHT = 0.35, 1.0
 DIMS, NEIGHBOURS, BLOCK = 48, 25, 512
 

@@ -30,6 +30,8 @@ from .phrase_index import TermTable
 BEGINNINGS = range(3, 10)
 MAX_TERMS, LEAST_CHI2, LEAST_DF = 1024, 20.0, 3
 NEIGHBOURS, BLOCK, CONSTANT = 9, 32, 5.0
+#: Term hashes have 64 - ROW_BITS bits, so that a term and the number of a labelled text fit one 64-bit number.
+ROW_BITS = 13
 
 
 def terms_of(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -43,11 +45,11 @@ def terms_of(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, n
     total = np.zeros(n + 1, dtype=U64)
     np.cumsum((w.low.astype(U64) + U64(1)) * f[:n], out=total[1:])
     size = w.ends - w.starts
-    yield owner, mix((total[w.ends] - total[w.starts]) * inv[w.starts] ^ U64(0xA5A5))
+    yield owner, mix((total[w.ends] - total[w.starts]) * inv[w.starts] ^ U64(0xA5A5)) >> U64(ROW_BITS)
     for k in BEGINNINGS:
         at = np.flatnonzero(size > k)
         s = w.starts[at]
-        yield owner[at], mix((total[s + k] - total[s]) * inv[s] ^ U64(k << 8))
+        yield owner[at], mix((total[s + k] - total[s]) * inv[s] ^ U64(k << 8)) >> U64(ROW_BITS)
 
 
 def vector_rows(col: pa.Array, table: TermTable) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -63,35 +65,33 @@ def vector_rows(col: pa.Array, table: TermTable) -> Iterator[tuple[int, int, np.
         yield row, len(offs) - 1, code // max(1, len(table.terms)), code % max(1, len(table.terms)), count
 
 
-def select_terms(texts: np.ndarray, y: np.ndarray, weight: np.ndarray, most: int = MAX_TERMS) -> np.ndarray:
-    """Hashes of the terms whose presence depends most on the label."""
-    hashes, owners = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+def select_terms(texts: np.ndarray, y: np.ndarray, most: int = MAX_TERMS) -> np.ndarray:
+    """Hashes of the terms whose presence depends most on the label, from at most 2**ROW_BITS texts."""
+    if len(texts) > 1 << ROW_BITS:
+        raise ValueError(f"more than {1 << ROW_BITS} labelled texts")
+    found = [np.zeros(0, U64)]
     for row, data, offs in text_slices(pa.array(texts.tolist(), pa.large_string())):
-        found = list(terms_of(data, offs))
-        if not found:
-            continue
-        owner, h = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((h, owner))
-        owner, h = owner[order], h[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))
-        hashes.append(h[new])
-        owners.append(owner[new] + row)
-    h, d = np.concatenate(hashes), np.concatenate(owners)
-    if not len(h):
-        return h
-    order = np.argsort(h, kind="stable")
-    h, d = h[order], d[order]
-    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    df = np.diff(np.append(start, len(h)))
-    pos = np.add.reduceat((y[d] == 1).astype(np.int64), start)
+        for owner, h in terms_of(data, offs):
+            found.append(np.unique(h << U64(ROW_BITS) | (owner + row).astype(U64)))
+    packed = np.concatenate(found)
+    del found
+    if not len(packed):
+        return packed
+    packed.sort()
+    positive = (y == 1).astype(np.int8)[(packed & U64((1 << ROW_BITS) - 1)).astype(np.int16)]
+    packed >>= U64(ROW_BITS)
+    start = np.flatnonzero(np.append(True, packed[1:] != packed[:-1]))
+    df = np.diff(np.append(start, len(packed)))
+    a = np.add.reduceat(positive, start, dtype=np.int32)
+    terms = packed[start]
+    del packed, positive
+    ok = np.flatnonzero(df >= LEAST_DF)
+    terms, a, b = terms[ok], a[ok].astype(float), (df[ok] - a[ok]).astype(float)
     n, n1 = len(y), int((y == 1).sum())
-    a, b = pos.astype(float), (df - pos).astype(float)
-    without = n - a - b
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = np.nan_to_num(n * (a * (n - n1 - b) - b * (n1 - a)) ** 2 / ((a + b) * without * n1 * (n - n1)))
-    ok = np.flatnonzero((chi2 >= LEAST_CHI2) & (df >= LEAST_DF))
-    ok = ok[np.lexsort((h[start[ok]], -chi2[ok]))][:most]
-    return np.sort(h[start[ok]])
+        chi2 = np.nan_to_num(n * (a * (n - n1 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n - a - b) * n1 * (n - n1)))
+    ok = np.flatnonzero(chi2 >= LEAST_CHI2)
+    return np.sort(terms[ok[np.lexsort((terms[ok], -chi2[ok]))][:most]])
 
 
 class BlockMaxIndex:
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     ids, texts, y, weight = labelled_sample(docs, labels, label, ~held_out(folds, fold), per_class)
     if not len(y):
         return None
-    terms = select_terms(texts, y, weight)
+    terms = select_terms(texts, y)
     df, n = term_frequencies(docs, terms)
     return Model(terms, np.log((1 + n) / (1 + df)) + 1, ids, texts, y, weight)
 
