@@ -269,8 +269,10 @@ def near_duplicates(
     # the hub of a larger bucket is its most central member: the one that meets most texts in all its buckets
     central = members.groupBy("rep").agg(F.sum("n").alias("met"))
     large = members.where(F.col("n") > bucket_pairs).join(central, "rep")
+    large = materialize(large, "members")
     hubs = large.groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("back"))).alias("h")).select("key", (-F.col("h.back")).alias("hub"))
-    large = materialize(large.join(hubs, "key").select("key", "rep", "hub"), "large")
+    # both sides written first, so that a bucket with very many members can be split in the join
+    large = materialize(large.join(materialize(hubs, "hubs"), "key").select("key", "rep", "hub"), "large")
     stars = large.where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
     pairs = materialize(pairs.union(stars).distinct(), "pairs")
 
