@@ -32,7 +32,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 
 
 def held_out(n: int, remainder: int) -> Column:
-    return crc_bucket(F.col("doc_id"), n) == remainder
+    return F.coalesce(crc_bucket(F.col("doc_id"), n) == remainder, F.lit(False))
 
 
 class Isotonic:

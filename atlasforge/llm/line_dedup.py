@@ -33,7 +33,11 @@ NO_ID = Decimal(-(10**19))  # before every long
 
 
 def normal_line(line: Column) -> Column:
-    return F.trim(F.lower(F.regexp_replace(line, "[ \\t\\r\\f]+", " ")))
+    """Lower case, single spaces, trimmed. Only lines with more than single spaces go through the pattern."""
+    odd = F.contains(line, F.lit("  "))
+    for space in "\t\r\f":
+        odd = odd | F.contains(line, F.lit(space))
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, "[ \\t\\r\\f]+", " ")).otherwise(line)))
 
 
 def place(doc_id: Column, line_no: Column) -> Column:

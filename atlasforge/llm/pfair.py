@@ -26,7 +26,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, RESOLUTION, EXPONENT, PIECE_ROWS, MAX_SOURCES = 16, 512, 0.5, 20_000, 4096
+BLOCK_ROWS, RESOLUTION, EXPONENT, MAX_SOURCES = 16, 512, 0.5, 4096
+LEAST_PIECE, MOST_PIECE = 64, 20_000  # rows of a piece, about
 
 
 def period(weights: dict[str, int]) -> dict[str, list[int]]:
@@ -86,7 +87,7 @@ def interleave(
     id_col: str = "doc_id",
     block_rows: int = BLOCK_ROWS,
     resolution: int = RESOLUTION,
-    piece_rows: int = PIECE_ROWS,
+    piece_rows: int | None = None,
 ) -> DataFrame:
     """docs with mix_block (of its source), mix_slot (of its block) and mix_position (slot * block_rows + place in the block).
 
@@ -110,8 +111,10 @@ def interleave(
     phases = plan({k: -(-v // block_rows) for k, v in n.items()}, whole)
 
     # numbering within a source: by pieces of its order, each small, then offsets of the pieces
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    piece_rows = piece_rows or min(MOST_PIECE, max(LEAST_PIECE, sum(n.values()) // (2 * tasks)))
     width = 1
-    while 16**width < sum(n.values()) / piece_rows and width < 8:
+    while max(n.values(), default=0) / 16**width > piece_rows and width < 8:
         width += 1
     rows = rows.withColumn("__mix_piece", F.substring("__mix_order", 1, width))
     pieces = rows.groupBy("__mix_key", "__mix_piece").agg(F.count("*").alias("m"))
