@@ -1,7 +1,9 @@
 """Licence scan by sentence rules: known licence sentences become identifiers, and rules are ordered runs of identifiers.
 
-A text is cut into sentences at punctuation followed by white space and at empty lines; a sentence that spans lines is tried whole
-and line by line. Sentences are normalised (letters and digits, lower case, single spaces) and looked up.
+A text is cut into sentences at punctuation followed by white space and at empty lines. Comment marks (ASCII punctuation)
+at the start of a line after a cut go with it, and a line of nothing else is empty. A sentence that spans lines is tried
+whole and line by line. A known sentence has no cut inside. Sentences are normalised (letters and digits, lower case, single
+spaces) and looked up. Wrapped sentences are not found in comments whose mark is itself a cut (`; `) or a word (`dnl`, `REM`).
 A rule matches where its identifiers follow one another in the text's sequence of identifiers, whatever unknown
 sentences stand between. Everything is one projection per row: no shuffle, no limit on texts or sentences.
 
@@ -30,11 +32,16 @@ SENTENCES = {
     "apache2.header": "licensed under the apache license version 2 0 the license",
     "apache2.comply": "you may not use this file except in compliance with the license",
     "apache2.copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
+    "apache2.obtain": "you may obtain a copy of the license at",
+    "apache2.url": "http www apache org licenses license 2 0",
+    "apache2.urls": "https www apache org licenses license 2 0",
     "apache2.asis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache2.see": "see the license for the specific language governing permissions and limitations under the license",
     "gpl3.work": "this work is licensed under the gnu general public license version 3",
     "gpl3.licensed": "licensed under the gnu general public license version 3",
     "gpl3.free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl.free": "this program is free software",
+    "gpl3.later": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl.hope": "this program is distributed in the hope that it will be useful but without any warranty",
     "gpl.implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl.see": "see the gnu general public license for more details",
@@ -43,6 +50,8 @@ SENTENCES = {
     "bsd.source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd.binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd.names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd.asis": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd.asis-holder": "this software is provided by the copyright holder and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "ccbync4.licensed": "licensed under cc by nc 4 0",
     "ccby4.licensed": "licensed under cc by 4 0",
     "ccbysa4.licensed": "licensed under cc by sa 4 0",
@@ -59,11 +68,17 @@ RULES = (
     ("mit-text", "MIT", ("mit.grant", "mit.notice", "mit.warranty", "mit.liability")),
     ("apache-2.0-licensed", "Apache-2.0", ("apache2.licensed",)),
     ("apache-2.0-header", "Apache-2.0", ("apache2.header", "apache2.comply", "apache2.copy", "apache2.asis", "apache2.see")),
+    ("apache-2.0-header-lines", "Apache-2.0", ("apache2.header", "apache2.comply", "apache2.obtain", "apache2.url", "apache2.asis", "apache2.see")),
+    ("apache-2.0-header-https", "Apache-2.0", ("apache2.header", "apache2.comply", "apache2.obtain", "apache2.urls", "apache2.asis", "apache2.see")),
     ("gpl-3.0-work", "GPL-3.0-only", ("gpl3.work",)),
     ("gpl-3.0-licensed", "GPL-3.0-only", ("gpl3.licensed",)),
     ("gpl-3.0-header", "GPL-3.0-or-later", ("gpl3.free", "gpl.hope", "gpl.implied", "gpl.see", "gpl.received")),
+    ("gpl-3.0-header-cut", "GPL-3.0-or-later", ("gpl.free", "gpl3.later", "gpl.hope", "gpl.implied", "gpl.see", "gpl.received")),
     ("bsd-3-clause-text", "BSD-3-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary", "bsd.names")),
-    ("bsd-2-clause-text", "BSD-2-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary", "reserved")),
+    # the three conditions alone also begin the BSD-3 text, so a BSD-2 rule goes on to what follows them there
+    ("bsd-2-clause-text", "BSD-2-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary", "bsd.asis")),
+    ("bsd-2-clause-text-holder", "BSD-2-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary", "bsd.asis-holder")),
+    ("bsd-2-clause-reserved", "BSD-2-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary", "reserved")),
     ("cc-by-nc-4.0-licensed", "CC-BY-NC-4.0", ("ccbync4.licensed",)),
     ("cc-by-4.0-licensed", "CC-BY-4.0", ("ccby4.licensed",)),
     ("cc-by-4.0-work", "CC-BY-4.0", ("ccby4.work",)),
@@ -72,7 +87,9 @@ RULES = (
     ("all-rights-reserved", "proprietary-notice", ("reserved",)),
 )
 
-_CUT = "([.!?:;])[ \\t\\n\\r\\f]+|\\n[ \\t\\r]*\\n"
+# white space, and the ASCII punctuation of which comment marks are made; they go with the line end before them
+_MARKS = " \\t\\r\\f!-/:-@\\[-`{-~"
+_CUT = f"([.!?:;])(?:[ \\t\\r\\f]*\\n[{_MARKS}\\n]*|[ \\t\\r\\f]+)|\\n[{_MARKS}]*\\n[{_MARKS}\\n]*"
 
 
 def sentences(text: Column) -> Column:

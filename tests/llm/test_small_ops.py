@@ -196,6 +196,98 @@ def test_license_rules(spark):
     assert got[3] == got[4] == got[5] == ("", "") and got[6][0] == "MIT"
 
 
+APACHE = """Copyright 2020 A. Name
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """Copyright (C) 2020 A. Name
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+BSD = """Copyright (c) 2020, A. Name
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE."""
+NAMES = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+MIT = """Copyright (c) 2020 A. Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+NOTICES = {
+    "Apache-2.0": APACHE,
+    "GPL-3.0-or-later": GPL,
+    "BSD-2-Clause": BSD.format(""),
+    "BSD-3-Clause": BSD.format(NAMES),
+    "MIT": MIT,
+}
+
+
+def test_standard_notices_plain_and_commented(spark, duck):
+    """Every notice of several sentences, as it is published and in the comments of common languages."""
+    texts, want = [], []
+    for licence, text in (NOTICES | {"Apache-2.0 ": APACHE.replace("http:", "https:"), "GPL-3.0-or-later ": GPL.replace("software:", "software;"), "BSD-2-Clause ": BSD.format("").replace("HOLDERS AND", "HOLDER AND")}).items():
+        lines = text.split("\n")
+        for start, mark, end in (("", "", ""), ("", "# ", ""), ("", "// ", ""), ("/*\n", " * ", "\n */"), ("<!--\n", "  ~ ", "\n-->"), ("", "-- ", ""), ("", "% ", "")):
+            for glue in ("\n", "\r\n"):
+                texts.append(start + glue.join((mark + x).rstrip() for x in lines) + end + "\n\nimport os\n")
+                want.append(licence.strip())
+        texts.append(text.replace("\n\n", "\n\n\n"))
+        want.append(licence.strip())
+    df = docs(spark, texts)
+    got = license_rules.scan(df).collect()
+    found = {r.doc_id: set(r.licences.split(",")) - {"proprietary-notice"} for r in got}
+    assert [found[i] for i in range(len(texts))] == [{x} for x in want]
+    duck.register("notices", df.toPandas())
+    same_rows(license_rules.scan(df), duck.sql(license_rules.oracle().replace("FROM documents", "FROM notices")))
+
+
+def test_known_sentences_have_no_cut_inside(spark):
+    for name, sentence in license_rules.SENTENCES.items():
+        assert sentence == " ".join(sentence.split()) and not set(sentence) & set(".!?:;\n"), name
+    assert {i for _, _, r in license_rules.RULES for i in r} <= set(license_rules.SENTENCES)
+    assert len({n for n, _, _ in license_rules.RULES}) == len(license_rules.RULES)
+
+
 # ---------------------------------------------------------------- op5
 
 
