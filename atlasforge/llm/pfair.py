@@ -6,7 +6,12 @@ the earliest deadline among the released blocks goes first (ties by source name)
 at any slot its count differs from its share by less than one block. The schedule repeats every W slots, so
 only one period is planned. When a source runs out, a new phase begins with the others' weights.
 
-The plan's size depends on the number of sources and on the resolution, not on the rows: from the rows it takes one
+Integer weights are target weights rounded to a resolution. It is doubled until all that rounding moves a source, from the
+first slot to its last, is less than one block, so a count differs from the unrounded share by less than two. It
+ends at MOST_RESOLUTION; beyond (some millions of blocks, or weights under its inverse) a share is off by up to about half its inverse a slot,
+and a smaller one is raised to it.
+
+The plan has at most a period a phase and never more than one number for each block. From the rows it takes one
 count per source, and at most MAX_SOURCES of them. Rows of one source are numbered by pieces of its order, so that a
 source with most of the rows is spread over many tasks.
 
@@ -23,15 +28,20 @@ import heapq
 import json
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS, RESOLUTION, EXPONENT, MAX_SOURCES = 16, 512, 0.5, 4096
+MOST_RESOLUTION = 1 << 20
 LEAST_PIECE, MOST_PIECE = 64, 20_000  # rows of a piece, about
 
 
-def period(weights: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source within one period of sum(weights) slots: earliest deadline first among the released."""
+def period(weights: dict[str, int], blocks: dict[str, int] | None = None) -> dict[str, list[int]]:
+    """Slots of each source within one period of sum(weights) slots: earliest deadline first among the released.
+
+    With the sources' numbers of blocks, it ends early with the first slot that is a source's last.
+    """
     total = sum(weights.values())
     waiting = [(0, name, 0) for name in sorted(weights)]  # release, source, block
     heapq.heapify(waiting)
@@ -45,6 +55,8 @@ def period(weights: dict[str, int]) -> dict[str, list[int]]:
         if t + 1 > deadline:
             raise AssertionError("a block missed its deadline")
         slots[name].append(t)
+        if blocks and len(slots[name]) == blocks[name]:
+            break
         if j + 1 < weights[name]:
             heapq.heappush(waiting, ((j + 1) * total // weights[name], name, j + 1))
     return slots
@@ -59,13 +71,15 @@ def plan(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
         active = {k: weights[k] for k in left if weights.get(k, 0) > 0} or dict.fromkeys(left, 1)
         common = math.gcd(*active.values())
         active = {k: w // common for k, w in active.items()}
-        total, slots = sum(active.values()), period(active)
-        ends = {k: (left[k] - 1) // w * total + slots[k][(left[k] - 1) % w] for k, w in active.items()}
+        total, slots = sum(active.values()), period(active, left)
+        whole = all(len(slots[k]) == w for k, w in active.items())
+        ends = {k: (left[k] - 1) // w * total + slots[k][(left[k] - 1) % w] for k, w in active.items() if whole or len(slots[k]) == left[k]}
         end = min(ends.values()) + 1
         for k, w in active.items():
             full, rest = divmod(end, total)
             used = full * w + sum(s < rest for s in slots[k])
-            out.append({"key": k, "first": done[k], "used": used, "start": start, "total": total, "places": slots[k]})
+            if used:
+                out.append({"key": k, "first": done[k], "used": used, "start": start, "total": total, "places": slots[k]})
             done[k] += used
             left[k] -= used
         left = {k: n for k, n in left.items() if n}
@@ -75,11 +89,36 @@ def plan(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
 
 def target_weights(rows: dict[str, int], exponent: float = EXPONENT, resolution: int = RESOLUTION) -> dict[str, int]:
     """Integer weights in proportion to rows ** exponent, at least 1."""
-    share = {k: n**exponent for k, n in rows.items() if n > 0}
+    return rounded({k: n**exponent for k, n in rows.items() if n > 0}, resolution)
+
+
+def rounded(share: dict[str, float], resolution: int) -> dict[str, int]:
     total = sum(share.values())
     return {k: max(1, math.floor(resolution * v / total + 0.5)) for k, v in share.items()}
 
 
+def rounding(share: dict[str, float], whole: dict[str, int], blocks: dict[str, int]) -> float:
+    """At most so many blocks are moved, for any source and slot, by the integer weights in place of the shares."""
+    names = [k for k in share if blocks.get(k, 0) > 0]
+    if not names:
+        return 0.0
+    t, w, n = (np.array([d[k] for k in names], dtype=float) for d in (share, whole, blocks))
+    order = np.argsort(n / t, kind="stable")  # the order in which sources run out
+    t, w, n = t[order], w[order], n[order]
+    time, moved, before = n / t, np.zeros(len(t)), 0.0
+    for i in range(len(t)):
+        slots, before = (time[i] - before) * t[i:].sum(), time[i]
+        moved[i:] += slots * np.abs(w[i:] / w[i:].sum() - t[i:] / t[i:].sum())
+    return float(moved.max())
+
+
+def whole_weights(share: dict[str, float], blocks: dict[str, int], resolution: int = RESOLUTION) -> dict[str, int]:
+    """Integer weights of the least resolution, doubled from the given one, at which rounding moves less than one block."""
+    while resolution < MOST_RESOLUTION and rounding(share, rounded(share, resolution), blocks) >= 1:
+        resolution *= 2
+    return rounded(share, resolution)
+
+
 def interleave(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -91,7 +130,7 @@ def interleave(
 ) -> DataFrame:
     """docs with mix_block (of its source), mix_slot (of its block) and mix_position (slot * block_rows + place in the block).
 
-    weights: relative weights by source; by default rows ** EXPONENT.
+    weights: relative weights by source; by default rows ** EXPONENT. resolution: the least to which they are rounded.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
@@ -102,13 +141,9 @@ def interleave(
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
     n = {r["__mix_key"]: r.n for r in counts}
-    if weights is None:
-        whole = target_weights(n, resolution=resolution)
-    else:
-        given = {("null" if k is None else f"={k}"): v for k, v in weights.items() if v > 0}
-        total = sum(given.values()) or 1
-        whole = {k: max(1, math.floor(resolution * v / total + 0.5)) for k, v in given.items()}
-    phases = plan({k: -(-v // block_rows) for k, v in n.items()}, whole)
+    blocks = {k: -(-v // block_rows) for k, v in n.items()}
+    share = {k: v**EXPONENT for k, v in n.items()} if weights is None else {("null" if k is None else f"={k}"): v for k, v in weights.items() if v > 0}
+    phases = plan(blocks, whole_weights(share, blocks, resolution))
 
     # numbering within a source: by pieces of its order, each small, then offsets of the pieces
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -347,6 +347,37 @@ def test_schedule_deviates_by_less_than_one_block():
         assert sorted(slots) == list(range(sum(blocks.values())))
 
 
+@pytest.mark.parametrize("kind", ["two", "hot", "many"])
+def test_schedule_keeps_to_the_unrounded_targets(kind):
+    if kind == "two":
+        share, blocks = {"a": 0.999, "b": 0.001}, {"a": 100_000, "b": 200}
+    else:
+        rows = {"hot": 500_000} | {f"s{i:04}": 1000 for i in range(999)} if kind == "hot" else {f"s{i:04}": 17 + i * i % 3001 for i in range(1500)}
+        share, blocks = {k: v**0.5 for k, v in rows.items()}, {k: -(-v // pfair.BLOCK_ROWS) for k, v in rows.items()}
+    names = list(share)
+    owner = {}
+    for p in pfair.plan(blocks, pfair.whole_weights(share, blocks)):
+        assert len(p["places"]) <= p["total"]
+        for j in range(p["used"]):
+            owner[p["start"] + j // len(p["places"]) * p["total"] + p["places"][j % len(p["places"])]] = names.index(p["key"])
+    assert sorted(owner) == list(range(sum(blocks.values())))
+    # until the first source runs out
+    t, left, count = np.array([share[k] for k in names]) / sum(share.values()), np.array([blocks[k] for k in names]), np.zeros(len(names))
+    for slot in range(len(owner)):
+        count[owner[slot]] += 1
+        if slot % 7 == 0:
+            assert np.abs(count - t * (slot + 1)).max() < 2, slot
+        if count[owner[slot]] == left[owner[slot]]:
+            break
+    assert slot > 1000
+
+
+def test_small_tables_keep_the_least_resolution():
+    rows = {"a": 5000, "b": 3000, "c": 1500, "d": 500}
+    share, blocks = {k: v**0.5 for k, v in rows.items()}, {k: -(-v // pfair.BLOCK_ROWS) for k, v in rows.items()}
+    assert pfair.whole_weights(share, {k: 5 for k in blocks}) == pfair.target_weights(rows)
+
+
 def test_interleave_like_brute_force(spark):
     r = random.Random(2)
     sources = [r.choice(["hot", "hot", "hot", "b", None, ""]) for _ in range(300)]
