@@ -8,12 +8,14 @@ it takes the anchor's list, shifts it by the anchor's offset, and intersects it
 terms from the rarest on. Phrases (exact) need every term at its offset; proximity matches need all terms
 within `slop` further words of the anchor's place.
 
-The phrases are broadcast, so their number has a limit, `max_phrases`; more are searched in passes of that many items'
-phrases over the same documents. Nothing of the documents is collected: only one count for each phrase term.
+The distinct phrases are made on the executors and kept as a table. Their plan is broadcast, so of more than
+PASS_PHRASES they are searched in passes over the same documents, each for one part of the table by the phrases' hash, and the
+passes' matches are merged by row. The driver holds one pass's phrases at a time, with the ids of all items that
+share each. Nothing of the documents is collected: only one count for each phrase term.
 
 Words: A-Z are lower-cased, then runs of characters other than ASCII non-alphanumerics. Defined results: null or empty
 texts have no words and no hits; items without words give no phrase; items that repeat an item_id are searched
-each and reported under that id; repeated doc_ids are rows of their own. Other columns are not read.
+each and reported under that id; items without an id are searched, and their hits count but name no item; repeated doc_ids are rows of their own. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from .common import BROADCAST_ROWS, U64, Words, materialize, text_slices
 
 WINDOW = 10
 MAX_PHRASES = 2_000_000
+PASS_PHRASES = 250_000
 
 
 @dataclass
@@ -43,20 +46,51 @@ class Phrases:
 
 def phrases(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW, max_phrases: int = MAX_PHRASES) -> Phrases:
     """The windows of `width` consecutive words of each item; a shorter item is one window."""
-    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null and i is not null")
+    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     found: dict[tuple[int, ...], set[str]] = {}
     for row in rows.toLocalIterator():
         for _, data, offs in text_slices(pa.array([row.t], pa.string())):
             h = Words(data, offs).hashes().tolist()
             n = min(width, len(h))
             for k in range(len(h) - n + 1 if h else 0):
-                found.setdefault(tuple(h[k : k + n]), set()).add(row.i)
+                found.setdefault(tuple(h[k : k + n]), set()).update([row.i] if row.i is not None else [])
         if len(found) > max_phrases:
             raise ValueError(f"more than {max_phrases} distinct phrases: search the items in several calls")
     terms = np.unique(np.array([x for w in found for x in w], dtype=U64))
     return Phrases(terms, [np.searchsorted(terms, np.array(w, dtype=U64)) for w in found], [sorted(v) for v in found.values()])
 
 
+def phrase_table(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
+    """The distinct windows of phrases() with the ids of their items: w (word hashes), items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offs in text_slices(batch.column(1)):
+                w = Words(data, offs)
+                h = w.hashes().view(np.int64)
+                many, size, parts = np.zeros(len(offs) - 1, np.int64), np.diff(w.bounds), [np.zeros(0, np.int64)]
+                for i in np.flatnonzero(size):
+                    found = np.lib.stride_tricks.sliding_window_view(h[w.bounds[i] : w.bounds[i + 1]], min(width, size[i]))
+                    many[i] = len(found)
+                    parts.append(found.reshape(-1))
+                ends = np.append(0, np.cumsum(np.repeat(np.minimum(width, size), many))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + np.repeat(np.arange(len(many)), many))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts)))], names=["i", "w"])
+
+    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(run, "i string, w array<long>").groupBy("w").agg(F.sort_array(F.collect_set("i")).alias("items"))
+
+
+def phrases_of(table: DataFrame) -> Phrases:
+    """The rows of a part of phrase_table()."""
+    got = table.select("w", "items").toArrow().combine_chunks()
+    if not got.num_rows:
+        return Phrases(np.zeros(0, U64), [], [])
+    w = got.column("w").combine_chunks()
+    terms, number = np.unique(np.asarray(w.flatten()).astype(np.int64).view(U64), return_inverse=True)
+    ends = np.cumsum(np.asarray(w.value_lengths()))
+    return Phrases(terms, np.split(number, ends[:-1]), got.column("items").to_pylist())
+
+
 def term_numbers(hashes: np.ndarray, terms: np.ndarray) -> np.ndarray:
     """Number of each word among the terms, or -1."""
     if not len(terms):
@@ -264,11 +298,49 @@ def _within(term: np.ndarray, pos: np.ndarray, t: int, lo: int, hi: int) -> bool
     return bool(np.searchsorted(pos[i:j], hi, side="right") > np.searchsorted(pos[i:j], lo))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, pass_phrases: int = PASS_PHRASES) -> DataFrame:
     """Exact phrase matches of every item's windows in every document (columns as search())."""
-    ph = phrases(items, width=width)
-    plan = Plan(ph, document_frequencies(docs, ph.terms))
-    return search(build_index(docs, plan), plan)
+    table = materialize(phrase_table(items, width=width), "phrases")
+    passes = max(1, -(-table.count() // pass_phrases))
+
+    def found(rows: DataFrame, part: DataFrame, id_col: str) -> DataFrame:
+        ph = phrases_of(part)
+        plan = Plan(ph, document_frequencies(rows, ph.terms))
+        return search(build_index(rows, plan, id_col=id_col), plan)
+
+    if passes == 1:
+        return found(docs, table, "doc_id")
+    # rows get a key of their own, as ids may repeat; written, so that it is the same in every pass
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")), "rows")
+    hits = size = None
+    for k in range(passes):
+        got = materialize(found(rows, table.where(F.pmod(F.xxhash64("w"), F.lit(passes)) == k), "row").withColumnRenamed("doc_id", "row"), "pass")
+        size = got.select("row", "n_words") if size is None else size
+        hit = got.where("n_hit > 0").drop("n_words")
+        hits = hit if hits is None else hits.unionAll(hit)
+    return rows.select("row", "doc_id").join(size, "row").join(merged(hits), "row", "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("n_phrases", F.lit(0).cast("long")).alias("n_phrases"),
+        *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("items", "array<string>"), ("span_starts", "array<int>"), ("span_ends", "array<int>"))],
+    )
+
+
+def merged(hits: DataFrame) -> DataFrame:
+    """One row for each row key of the passes' matches: items and spans united."""
+    lists = hits.groupBy("row").agg(
+        F.sum("n_phrases").alias("n_phrases"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.sort_array(F.flatten(F.collect_list(F.arrays_zip(F.col("span_starts").alias("a"), F.col("span_ends").alias("b"))))).alias("spans"),
+    )
+    grown = lambda done, s: F.when(
+        (F.size(done) > 0) & (F.element_at(done, -1)["b"] >= s["a"]),
+        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["a"].alias("a"), F.greatest(F.element_at(done, -1)["b"], s["b"]).alias("b")))),
+    ).otherwise(F.concat(done, F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))))
+    spans = lists.withColumn("spans", F.aggregate("spans", F.array().cast("array<struct<a:int,b:int>>"), grown))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["b"] - s["a"]).cast("long"))
+    return spans.select("row", n_hit.alias("n_hit"), "n_phrases", "items", F.col("spans.a").alias("span_starts"), F.col("spans.b").alias("span_ends"))
 
 
 def match_digests(matches: DataFrame) -> DataFrame:

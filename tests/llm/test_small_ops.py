@@ -428,6 +428,21 @@ def test_phrases_like_brute_force(spark):
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == (len(w), len(hit), len(found), digest, bool(hit)), i
 
 
+def test_phrases_in_passes_and_without_ids(spark):
+    r = random.Random(5)
+    say = lambda n: " ".join(f"v{r.randrange(9)}" for _ in range(n))
+    items = [(i % 7 if i % 4 else None, say(r.choice([0, 1, 3, 10, 14, 30]))) for i in range(20)] + [(None, "only without an id"), (3, None)]
+    texts = [*ODD, "a text with only without an id in it", *[f"{say(r.randint(0, 40))} {r.choice(items)[1]} {say(5)}" for _ in range(40)]]
+    df, bench = docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") > 20, F.col("doc_id")).when(F.col("doc_id") > 8, 5)), spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda rows: sorted((tuple(x) for x in rows.collect()), key=repr)
+    once = plain(phrase_index.decontaminate(df, bench))
+    assert len(once) == len(texts) and once == plain(phrase_index.decontaminate(df, bench, pass_phrases=50))
+    ph = phrase_index.phrases(bench)
+    plan = phrase_index.Plan(ph, phrase_index.document_frequencies(df, ph.terms))
+    assert once == plain(phrase_index.search(phrase_index.build_index(df, plan), plan))
+    assert any(x[1:5] == (9, 4, 1, []) for x in once)  # hits without an item's id
+
+
 def test_proximity(spark):
     d = docs(spark, ["one two three four", "four x one y two three", "one two"])
     ph = phrase_index.phrases(spark.createDataFrame([(7, "two three four one")], "item_id long, text string"))
