@@ -2,33 +2,65 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import U64, crc_bucket, materialize, release
+from .terms import Featurizer, own_terms
+
+#: Most labelled rows taken of each class, and most bytes of their texts. A smaller labelled set is taken whole.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 3000, 32 << 20
+
+
+@dataclass
+class Sample:
+    """Labelled texts by their terms: all different terms of them (sorted hashes), and each text's numbers and counts of these."""
+
+    ids: np.ndarray
+    y: np.ndarray
+    weight: np.ndarray  # labelled rows that each sampled row stands for
+    terms: np.ndarray
+    bounds: np.ndarray  # entries of text i: bounds[i]:bounds[i+1]
+    number: np.ndarray
+    count: np.ndarray
 
-#: Most labelled rows taken of each class. A smaller labelled set is taken whole.
-SAMPLE_PER_CLASS = 3000
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.y)), np.diff(self.bounds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int = SAMPLE_PER_CLASS) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, texts as an object array, labels, weights) of at most per_class training rows of each class.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, featurize: Featurizer, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> Sample:
+    """At most per_class training rows of each class, and of these so many that their texts have at most most_bytes (one at least).
 
-    Rows are taken in the order of a hash of doc_id, so the sample does not depend on the partitioning. A weight
-    is the number of labelled rows that the sampled row stands for. Null labels are left out; of rows
-    that repeat a doc_id one label counts (the greatest).
+    Rows are taken in the order of a hash of doc_id, so the sample does not depend on the partitioning. Null labels
+    are left out; of rows that repeat a doc_id one label counts (the greatest) and one text (the least). Texts stay on the executors.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).where(train)
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     picked = parts[0].union(parts[1])  # at most 2 * per_class rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    y = np.array([r.y for r in rows], dtype=np.int64)
+    rows = materialize(texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "labelled")
+    sizes = rows.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    total = np.cumsum(sizes.column("n").to_numpy().astype(np.int64))
+    chosen = rows
+    if len(total) and total[-1] > most_bytes:
+        some = sizes.column("doc_id").to_numpy()[: max(1, int(np.searchsorted(total, most_bytes, side="right")))]
+        chosen = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in some], "doc_id long")), "doc_id", "left_semi")
+    got = own_terms(chosen, featurize).combine_chunks()
+    release(rows)
+    got = got.sort_by("doc_id").combine_chunks()
+    y = got.column("y").to_numpy().astype(np.int64)
     have = np.bincount(y, minlength=2)
     weight = np.array([totals.get(c, 0) / max(1, have[c]) for c in (0, 1)])[y] if len(y) else np.zeros(0)
-    return [r.doc_id for r in rows], np.array([r.text for r in rows], dtype=object), y, weight
+    lists = got.column("terms").combine_chunks()
+    terms, number = np.unique(np.asarray(lists.flatten()).astype(np.int64).view(U64), return_inverse=True)
+    bounds = np.append(0, np.cumsum(np.asarray(lists.value_lengths()).astype(np.int64))).astype(np.int64)
+    count = np.asarray(got.column("counts").combine_chunks().flatten()).astype(np.int32)
+    return Sample(got.column("doc_id").to_numpy(), y, weight, terms, bounds, number.astype(np.int32), count)
 
 
 def held_out(n: int, remainder: int) -> Column:

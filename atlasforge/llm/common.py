@@ -7,6 +7,7 @@ about a megabyte at a time, so memory does not depend on the batch or the row co
 from __future__ import annotations
 
 import atexit
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -16,19 +17,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 SLICE_BYTES = 1 << 20
 
 # ---------------------------------------------------------------- scratch tables
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may leave it unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or "/tmp/atlasforge-scratch"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "/tmp/atlasforge-scratch"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -63,6 +63,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Remove the files of a frame that materialize() returned, once nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, path)
+
+
+def repeats(df: DataFrame, key: str) -> bool:
+    """Whether a key, or the lack of one, is on more than one row."""
+    return df.groupBy(key).count().where("count > 1").limit(1).count() > 0
+
+
 BROADCAST_ROWS = 1_000_000
 
 
@@ -90,19 +101,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n; grown by doubling and kept per worker."""
-    have = _powers.get("f")
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("f", _BASE), ("i", _BASE_INV)):
-            step = np.full(size, base, dtype=U64)
-            step[0] = 1
-            _powers[name] = np.multiply.accumulate(step)
-    return _powers["f"], _powers["i"]
+_SALT, _STEP = U64(0xA0761D6478BD642F), U64(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U64)
+_CHAINED = 64
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans. Spans of up to 7 bytes never collide with one another.
+
+    Up to 64 bytes are mixed eight at a time, each into the state that went before; longer spans go through blake2b.
+    Another salt gives another, unrelated hash.
+    """
+    size = (ends - starts).astype(np.int64)
+    if not len(size):
+        return np.zeros(0, dtype=U64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    salted = mix(np.array([salt], dtype=U64) + _SALT)[0]
+    h = mix((eight[starts] & _KEEP[np.minimum(size, 8)] | np.where(size < 8, size, 0).astype(U64) << U64(56)) ^ salted)
+    at = np.flatnonzero((size > 7) & (size <= _CHAINED))
+    if len(at):
+        s, n, state = starts[at], size[at], mix(h[at] + size[at].astype(U64) * _STEP)
+        for k in range(8, int(n.max()), 8):
+            go = np.flatnonzero(n > k)
+            state[go] = mix(state[go] * _STEP ^ (eight[s[go] + k] & _KEEP[np.minimum(n[go] - k, 8)]))
+        h[at] = state
+    far = np.flatnonzero(size > _CHAINED)
+    if len(far):
+        raw, person = data.tobytes(), salt.to_bytes(8, "little")
+        h[far] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8, person=person).digest(), "little") for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
+    return h
 
 
 #: Bytes of a word: digits, a-z and every byte of a non-ASCII character. A-Z are lower-cased first.
@@ -154,14 +182,7 @@ class Words:
         self.bounds = np.searchsorted(starts, offs)  # words of text i: bounds[i]:bounds[i+1]
 
     def hashes(self) -> np.ndarray:
-        n = len(self.low)
-        if not len(self.starts):
-            return np.zeros(0, dtype=U64)
-        f, inv = powers(n + 1)
-        total = np.zeros(n + 1, dtype=U64)
-        np.cumsum((self.low.astype(U64) + U64(1)) * f[:n], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * inv[self.starts]
-        return mix(h ^ ((self.ends - self.starts).astype(U64) << U64(56)))
+        return span_hashes(self.low, self.starts, self.ends)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -1,15 +1,16 @@
 """Document quality by similarity-weighted votes of labelled latent-semantic vectors.
 
-A text is a bag of hashed terms in two groups: its words, and its style (what stands between words, the case shape of
-words, and words that repeat one of the last three words). Each group is log-TF-IDF weighted with frequencies counted over
-all documents, scaled to unit length, and weighted. A truncated SVD of the labelled sample gives the latent axes.
-The labelled vectors are broadcast (at most 2 * calibrate.SAMPLE_PER_CLASS rows of DIMS numbers); every document's exact
-cosines with all of them are computed in blocks, its nearest neighbours vote by similarity, and isotonic regression on
-left-one-out votes makes probabilities of them.
-
-Every document is scored by its whole text; null is empty. A text without words has a zero word group and is judged by what
-style it has. Without labelled rows every score is 0.5. Repeated doc_ids are scored row by row; a null doc_id is scored
-and is not held out. Other columns are not read.
+A text is a bag of terms in two groups: its words, and its style (what stands between words, the case shape of words, words that repeat
+one of the last three words, and the magnitude of its length). Every term of the labelled texts has a column of its own.
+Each group is log-TF-IDF weighted with frequencies counted over all documents, scaled to unit length, and weighted. Terms that no
+labelled text has lie on no axis; they lengthen their group as if each occurred once and in one document. A truncated SVD of the
+labelled sample gives the latent axes. The labelled vectors are broadcast (at most 2 * calibrate.SAMPLE_PER_CLASS rows of
+DIMS numbers); every document's exact cosines with all of them are computed in blocks, its nearest neighbours and all that tie with the
+last of them vote by the fourth power of similarity, and isotonic regression on left-one-out votes makes probabilities of them.
+
+Every document is scored by its whole text; null is empty. A text without words has only its length and case of style,
+so it is nearest to others of that kind; where nothing of it is known, all labelled texts tie and vote. Without labelled rows
+every score is 0.5. Repeated doc_ids are scored row by row; a null doc_id is scored and is not held out. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,126 +22,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .calibrate import SAMPLE_PER_CLASS, Isotonic, held_out, labelled_sample
-from .common import U64, Words, mix, powers, text_slices
+from .calibrate import SAMPLE_PER_CLASS, Isotonic, Sample, held_out, labelled_sample
+from .common import U64, Words, mix, span_hashes
+from .terms import TermTable, count_terms, document_frequencies
 
-WORD_TERMS, STYLE_TERMS = 1536, 1024
 WORD_WEIGHT, STYLE_WEIGHT = 0.35, 1.0
-DIMS, NEIGHBOURS, BLOCK = 48, 25, 512
-
-
-def counts(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per slice: first row, number of rows, and (row, term, count) triples sorted by row and term."""
-    for row, data, offs in text_slices(col):
-        n_docs = len(offs) - 1
-        w = Words(data, offs)
-        owner = np.repeat(np.arange(n_docs), np.diff(w.bounds))
-        n = len(data)
-        f, inv = powers(n + 1)
-        total = np.zeros(n + 1, dtype=U64)
-        np.cumsum((data.astype(U64) + U64(1)) * f[:n], out=total[1:])
-        word = w.hashes()
-        # from the word's end to the next word or the text's end
-        ends = w.ends
-        until = np.append(w.starts[1:], n) if len(ends) else ends
-        until = np.minimum(until, offs[owner + 1])
-        gap = mix((total[until] - total[ends]) * inv[ends])
-        upper = np.zeros(n + 1, dtype=np.int64)
-        np.cumsum((data >= 65) & (data <= 90), out=upper[1:])
-        big, size = upper[w.ends] - upper[w.starts], w.ends - w.starts
-        shape = np.select([big == 0, (big == size) & (size > 1), (big == 1)], [0, 1, 2], 3)
-        again = np.zeros(len(word), dtype=bool)
-        for k in (1, 2, 3):
-            again[k:] |= (word[k:] == word[:-k]) & (owner[k:] == owner[:-k])
-        style = np.concatenate([8 + (gap % U64(STYLE_TERMS - 8)).astype(np.int64), shape.astype(np.int64), np.full(int(again.sum()), 4)])
-        term = np.concatenate([(word % U64(WORD_TERMS)).astype(np.int64), WORD_TERMS + style])
-        rows = np.concatenate([owner, owner, owner, owner[again]])
-        code, count = np.unique(rows * (WORD_TERMS + STYLE_TERMS) + term, return_counts=True)
-        yield row, n_docs, code // (WORD_TERMS + STYLE_TERMS), code % (WORD_TERMS + STYLE_TERMS), count
-
-
-def weighted(n: int, row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
+DIMS, SPARE, NEIGHBOURS, BLOCK, TIE = 48, 16, 25, 512, 1e-6
+#: The lowest bit of a term's hash tells its group.
+STYLE = U64(1)
+
+
+def terms_of(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, term hash) of words, gaps, case shapes, repeats and lengths."""
+    w, n_docs, n = Words(data, offs), len(offs) - 1, len(data)
+    sizes = np.diff(w.bounds)
+    owner = np.repeat(np.arange(n_docs), sizes)
+    word = w.hashes()
+    yield owner, word & ~STYLE
+    # from the word's end to the next word or the text's end
+    until = np.minimum(np.append(w.starts[1:], n)[: len(w.ends)], offs[owner + 1])
+    yield owner, span_hashes(data, w.ends, until, salt=11) | STYLE
+    upper = np.zeros(n + 1, dtype=np.int64)
+    np.cumsum((data >= 65) & (data <= 90), out=upper[1:])
+    big, size = upper[w.ends] - upper[w.starts], w.ends - w.starts
+    shape = np.select([big == 0, (big == size) & (size > 1), (big == 1)], [0, 1, 2], 3)
+    again = np.zeros(len(word), dtype=bool)
+    for k in (1, 2, 3):
+        again[k:] |= (word[k:] == word[:-k]) & (owner[k:] == owner[:-k])
+    length = np.ceil(np.log2(sizes + 1)).astype(np.int64)
+    named = np.concatenate([shape, np.full(int(again.sum()), 4), 8 + length])
+    yield np.concatenate([owner, owner[again], np.arange(n_docs)]), mix(named.astype(U64) * U64(0xD1342543DE82EF95) + U64(12)) | STYLE
+
+
+def weighted(n: int, row: np.ndarray, term: np.ndarray, count: np.ndarray, unknown: np.ndarray, idf: np.ndarray, style: np.ndarray, rare: float) -> np.ndarray:
     """Weights of the triples: log-TF-IDF, unit length within each group of a text, times the group's weight."""
     value = np.log1p(count) * idf[term]
-    group = 2 * row + (term >= WORD_TERMS)
-    length = np.sqrt(np.bincount(group, weights=value**2, minlength=2 * n))
-    return value / np.maximum(length[group], 1e-12) * np.where(term >= WORD_TERMS, STYLE_WEIGHT, WORD_WEIGHT)
-
-
-def frequencies(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequencies of the hashed terms, over all documents."""
-    size = WORD_TERMS + STYLE_TERMS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n_docs = np.zeros(size + 1, dtype=np.int64), 0
-        for batch in batches:
-            for _, n, _, t, _ in counts(batch.column(0)):
-                n_docs += n
-                df += np.bincount(t, minlength=size + 1)
-        df[-1] = n_docs
-        seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen])], names=["term", "df"])
-
-    out = np.zeros(size + 1)
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
-        out[r.term] = r.df
-    return np.log((1 + out[-1]) / (1 + out[:-1])) + 1
+    group = 2 * row + style[term]
+    square = np.bincount(group, weights=value**2, minlength=2 * n).astype(float)
+    square[::2] += unknown * (np.log(2) * rare) ** 2
+    return value / np.sqrt(np.maximum(square, 1e-24))[group] * np.where(style[term], STYLE_WEIGHT, WORD_WEIGHT)
 
 
 class Model:
-    def __init__(self, idf: np.ndarray, texts: np.ndarray, y: np.ndarray, weight: np.ndarray, dims: int = DIMS, k: int = NEIGHBOURS):
-        self.idf, self.y, self.weight, self.k = idf, y, weight, k
-        dense = np.zeros((len(y), len(idf)), dtype=np.float32)
-        for row, n, r, t, c in counts(pa.array(texts.tolist(), pa.large_string())):
-            dense[row + r, t] = weighted(n, r, t, c, idf)
-        # axes of the truncated SVD from a randomised range finder with power iterations
-        dims = min(dims, *dense.shape)
-        rng = np.random.default_rng(7)
-        q = dense.T @ rng.standard_normal((len(y), min(2 * dims, len(y)))).astype(np.float32)
-        for _ in range(3):
-            q, _ = np.linalg.qr(dense.T @ (dense @ q))
-        _, _, v = np.linalg.svd(dense @ q, full_matrices=False)
-        self.axes = np.ascontiguousarray((q @ v.T)[:, :dims], dtype=np.float32)
-        self.bank = unit(dense @ self.axes)
-        votes = np.concatenate([self.votes(self.bank[i : i + BLOCK], np.arange(i, min(i + BLOCK, len(y)))) for i in range(0, len(y), BLOCK)])
-        self.map = Isotonic(votes, y, weight)
+    def __init__(self, sample: Sample, df: np.ndarray, n_docs: int, dims: int = DIMS, k: int = NEIGHBOURS):
+        self.terms, self.y, self.weight, self.k = sample.terms, sample.y, sample.weight, k
+        self.idf = (np.log((1 + n_docs) / (1 + df)) + 1).astype(np.float32)
+        self.rare = float(np.log((1 + n_docs) / 2) + 1)
+        self.style = (sample.terms & STYLE).astype(np.int64)
+        n = len(sample.y)
+        value = weighted(n, sample.owner, sample.number, sample.count, np.zeros(n), self.idf, self.style, self.rare).astype(np.float32)
+        # axes of the truncated SVD: a randomised range of the rows, sharpened by power iterations
+        wide = min(dims + SPARE, n)
+        y = np.random.default_rng(7).standard_normal((n, wide)).astype(np.float32)
+        turn = np.argsort(sample.number, kind="stable")
+        by_term = (np.searchsorted(sample.number[turn], np.arange(len(sample.terms) + 1)), sample.owner.astype(np.int32)[turn], value[turn])
+        for _ in range(4):
+            y, _ = np.linalg.qr(product(sample.bounds, sample.number, value, product(*by_term, y)))
+        side = product(*by_term, y)  # terms by wide
+        power, turned = np.linalg.eigh(side.T.astype(np.float64) @ side)
+        top = np.argsort(-power)[: min(dims, int((power > 1e-9 * max(power.max(), 1e-30)).sum()))]
+        self.axes = np.ascontiguousarray(side @ (turned[:, top] / np.sqrt(power[top])).astype(np.float32))
+        del side
+        self.bank = unit(product(sample.bounds, sample.number, value, self.axes))
+        votes = [self.votes(self.bank[i : i + BLOCK], np.arange(i, min(i + BLOCK, n))) for i in range(0, n, BLOCK)] if n > 1 else [np.full(n, 0.5)]
+        self.map = Isotonic(np.concatenate(votes), sample.y, sample.weight)
 
     def votes(self, x: np.ndarray, skip: np.ndarray | None = None) -> np.ndarray:
-        sim = x @ self.bank.T
+        cosine = x @ self.bank.T
         if skip is not None:
-            sim[np.arange(len(x)), skip] = -2
-        k = min(self.k, sim.shape[1])
-        near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-        s = np.take_along_axis(sim, near, axis=1)
-        # squared similarity, set against the farthest neighbour's place
-        w = np.maximum(s, 1e-6).astype(np.float64) ** 4 * self.weight[near] * (s > -2)
-        return (w * self.y[near]).sum(axis=1) / np.maximum(w.sum(axis=1), 1e-300)
+            cosine[np.arange(len(x)), skip] = -2
+        k = min(self.k, cosine.shape[1] - (skip is not None))
+        kth = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k]
+        i, j = np.nonzero(cosine >= np.maximum(kth, -1.5)[:, None] - TIE)
+        w = np.maximum(cosine[i, j], 1e-3).astype(np.float64) ** 4 * self.weight[j]
+        return np.bincount(i, weights=w * self.y[j], minlength=len(x)) / np.bincount(i, weights=w, minlength=len(x))
+
+    def table(self) -> TermTable:
+        if "_table" not in self.__dict__:
+            self._table = TermTable(self.terms)
+        return self._table
+
+    def vectors(self, col: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """Per slice: first row, and the latent unit vectors of its texts."""
+        for row, n, r, t, c, unknown in count_terms(col, self.table(), terms_of):
+            value = weighted(n, r, t, c, unknown, self.idf, self.style, self.rare).astype(np.float32)
+            yield row, unit(product(np.searchsorted(r, np.arange(n + 1)), t, value, self.axes))
 
     def scores(self, col: pa.Array) -> np.ndarray:
         out = np.zeros(len(col))
-        for row, n, r, t, c in counts(col):
-            value = weighted(n, r, t, c, self.idf).astype(np.float32)
-            x = np.zeros((n, self.axes.shape[1]), dtype=np.float32)
-            if len(r):
-                start = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                for a in range(0, len(start), 64):  # a few texts at a time
-                    i, j = start[a], (np.append(start, len(r)))[min(a + 64, len(start))]
-                    part = self.axes[t[i:j]] * value[i:j, None]
-                    x[r[start[a : a + 64]]] = np.add.reduceat(part, start[a : a + 64] - i, axis=0)
-            x = unit(x)
-            for i in range(0, n, BLOCK):
-                out[row + i : row + min(i + BLOCK, n)] = self.map(self.votes(x[i : i + BLOCK]))
+        for row, x in self.vectors(col):
+            for i in range(0, len(x), BLOCK):
+                out[row + i : row + i + len(x[i : i + BLOCK])] = self.map(self.votes(x[i : i + BLOCK]))
         return out
 
 
+def product(bounds: np.ndarray, number: np.ndarray, value: np.ndarray, dense: np.ndarray, entries: int = 1 << 16) -> np.ndarray:
+    """A sparse matrix given by rows (entries bounds[i]:bounds[i+1] of row i), times a dense one, some entries at a time."""
+    out = np.zeros((len(bounds) - 1, dense.shape[1]), dtype=np.float32)
+    for a in range(0, len(number), entries):
+        b = min(a + entries, len(number))
+        first, last = np.searchsorted(bounds, a, side="right") - 1, np.searchsorted(bounds, b, side="left")
+        start = np.maximum(bounds[first:last], a)
+        full = np.flatnonzero(np.minimum(bounds[first + 1 : last + 1], b) > start)
+        out[first + full] += np.add.reduceat(dense[number[a:b]] * value[a:b, None], start[full] - a, axis=0)
+    return out
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, fold: int = 2, per_class: int = SAMPLE_PER_CLASS) -> Model | None:
     """The model from labelled rows outside the held-out fold; None without any."""
-    _, texts, y, weight = labelled_sample(docs, labels, label, ~held_out(folds, fold), per_class)
-    return Model(frequencies(docs), texts, y, weight) if len(y) else None
+    sample = labelled_sample(docs, labels, label, ~held_out(folds, fold), terms_of, per_class)
+    return Model(sample, *document_frequencies(docs, sample.terms, terms_of)) if len(sample.y) else None
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:

@@ -7,7 +7,8 @@ the offset over all parts is added on reading from one small row per part.
 
 Encoding uses the tokenizers library. A text is cut where no token of this vocabulary's kind can cross (white space,
 and borders between ASCII letters, digits and punctuation; apostrophes and non-ASCII characters keep to their
-neighbours), so a piece seen before is looked up in a table of bounded size. `pieces_are_safe` says whether a tokenizer
+neighbours), so a piece seen before is looked up in a table of bounded size. A piece of up to 7 bytes is its own key; a longer one
+must agree in two unrelated 64-bit hashes. `pieces_are_safe` says whether a tokenizer
 allows that; any other is applied to whole texts.
 
 Defined results: null texts are encoded as empty and give only the end id. Rows that share a doc_id are ordered by text
@@ -29,7 +30,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, U64, mix, powers, text_slices
+from .common import _LOWER, U64, span_hashes, text_slices
 
 END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 64 << 10
@@ -88,7 +89,7 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.key = np.zeros(self.slots, dtype=U64)
+        self.key, self.check = np.zeros(self.slots, dtype=U64), np.zeros(self.slots, dtype=U64)
         self.at = np.zeros(self.slots, dtype=np.int32)
         self.size = np.zeros(self.slots, dtype=np.int32)
         self.pool, self.used = np.zeros(self.most, dtype=np.int32), 0
@@ -133,14 +134,17 @@ class PieceEncoder:
         raw = data.tobytes()
         if not self.by_piece or any(s in raw for s in self.special):
             return self._large(data, offs)
-        starts, ends, hashes, low = self.pieces(data, offs)
+        starts, ends, hashes, checks, low = self.pieces(data, offs)
         one, two = self._places(hashes)
-        place = np.where(self.key[one] == hashes, one, two)
+        place = np.where((self.key[one] == hashes) & (self.check[one] == checks), one, two)
         at, size = self.at[place].astype(np.int64), self.size[place].astype(np.int64)
-        miss = np.flatnonzero(self.key[place] != hashes)
+        miss = np.flatnonzero((self.key[place] != hashes) | (self.check[place] != checks))
         if len(miss):
-            new, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            first = miss[first]
+            miss = miss[np.lexsort((checks[miss], hashes[miss]))]
+            new, check = hashes[miss], checks[miss]
+            first = np.flatnonzero(np.append(True, (new[1:] != new[:-1]) | (check[1:] != check[:-1])))
+            back = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(miss))))
+            new, check, first = new[first], check[first], miss[first]
             text = low.tobytes()
             ids, sizes = self._new([text[a:b].decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
             if self.used + len(ids) > self.most:
@@ -152,7 +156,7 @@ class PieceEncoder:
             at[miss], size[miss] = where[back], sizes[back]
             one, two = self._places(new)
             place = np.where(self.key[one] == 0, one, two)
-            self.key[place], self.at[place], self.size[place] = new, where, sizes
+            self.key[place], self.check[place], self.at[place], self.size[place] = new, check, where, sizes
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, offs)]
@@ -173,15 +177,14 @@ class PieceEncoder:
         cut[offs] = True
         edges = np.flatnonzero(cut)
         if not n:
-            return edges[:0], edges[:0], np.zeros(0, U64), low
+            return edges[:0], edges[:0], np.zeros(0, U64), np.zeros(0, U64), low
         starts, ends = edges[:-1], edges[1:]
         text = kind[starts] != 0
         starts, ends = starts[text], ends[text]
-        f, inv = powers(n + 1)
-        total = np.zeros(n + 1, dtype=U64)
-        np.cumsum((low.astype(U64) + U64(1)) * f[:n], out=total[1:])
-        h = mix((total[ends] - total[starts]) * inv[starts] ^ ((ends - starts).astype(U64) << U64(56)))
-        return starts, ends, np.maximum(h, U64(1)), low
+        checks = np.zeros(len(starts), dtype=U64)
+        long = np.flatnonzero(ends - starts > 7)
+        checks[long] = span_hashes(low, starts[long], ends[long], salt=1)
+        return starts, ends, np.maximum(span_hashes(low, starts, ends), U64(1)), checks, low
 
 
 @lru_cache(maxsize=2)

@@ -1,20 +1,28 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings of 3 to 9 bytes. The vocabulary is the terms whose presence in the labelled sample
-depends on the label (chi-squared), and the examples' index is over these; document frequencies come from all
-documents. A constant component stands for the rest of a text, so a text without any such term is nearest to the
-examples without any. Each term's postings are cut into blocks of examples with their greatest weight; a query visits
-blocks in the order of their bounds and stops when no other block can reach its k-th best cosine, which leaves the
-result exact. Examples within the k best (and ties with the k-th) vote, weighted by similarity, and isotonic
-regression on left-one-out votes turns votes into probabilities. The best examples are returned as evidence.
-
-The labelled sample is bounded (calibrate.SAMPLE_PER_CLASS rows a class); so are the vocabulary (MAX_TERMS) and thus the
-broadcast model. Every document is scored by its whole text; null is empty. Without labelled rows every score is 0.5.
-Repeated doc_ids are scored row by row; a null doc_id is scored and is not held out. Other columns are not read.
+Terms are words and word beginnings of 4 and 6 bytes, all of them: the vocabulary is every term of the labelled examples. A
+term's weight in a text is (1 + ln tf) * idf * relevance; document frequencies come from all documents, and relevance is FLOOR plus
+the squared smoothed log ratio of the term's rates in the two classes, so a term without evidence counts little but counts.
+Terms that no labelled example has add nothing to any product; they would only lengthen the document's own vector, by which
+all its cosines are divided alike, so they change neither the order nor the votes.
+
+Examples are ordered by their heaviest term. Each term's postings are cut into blocks of BLOCK examples, and each piece keeps its
+greatest weight. The terms that most examples have (as many as fit HEAD_BYTES) are stored as full rows, and their part of
+the cosine is taken for all examples at once. To a block's best such part a query adds the maxima of its other terms: a bound for every
+block. It scores the blocks of the highest bounds, and then all others whose bound reaches the k-th best cosine so far, so the
+result is exact to the rounding of single floats (TIE). The k best examples, and all that tie with the
+k-th, vote by squared cosine. Isotonic regression turns votes into probabilities; its votes come from FOLDS folds, in each
+of which relevance and index are made without the fold's own labels. The nearest examples are returned as evidence.
+
+The labelled sample is bounded (calibrate.SAMPLE_PER_CLASS rows a class, SAMPLE_BYTES of text), and with it the broadcast
+model. Every document is scored by its whole text; null is empty. A text without known terms has cosine 0 with every example, so all of
+them tie and vote. Without labelled rows every score is 0.5. Repeated doc_ids are scored row by row; a null doc_id is
+scored and is not held out. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -23,213 +31,207 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .calibrate import SAMPLE_PER_CLASS, Isotonic, held_out, labelled_sample
-from .common import U64, Words, mix, powers, text_slices
-from .phrase_index import TermTable
+from .calibrate import SAMPLE_PER_CLASS, Isotonic, Sample, held_out, labelled_sample
+from .common import Words, span_hashes
+from .terms import TermTable, count_terms, document_frequencies
 
-BEGINNINGS = range(3, 10)
-MAX_TERMS, LEAST_CHI2, LEAST_DF = 1024, 20.0, 3
-NEIGHBOURS, BLOCK, CONSTANT = 9, 32, 5.0
-#: Term hashes have 64 - ROW_BITS bits, so that a term and the number of a labelled text fit one 64-bit number.
-ROW_BITS = 13
+BEGINNINGS = (4, 6)
+FLOOR, SMOOTHING = 0.05, 5.0
+NEIGHBOURS, BLOCK, FOLDS = 9, 32, 4
+TIE, HEAD_BYTES, BATCH = 2e-6, 16 << 20, 128
 
 
 def terms_of(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(owner, term hash) of the words, then of the beginnings of each length."""
+    """(text, term hash) of the words, then of the beginnings of each length."""
     w = Words(data, offs)
-    n = len(data)
-    if not len(w.starts):
-        return
     owner = np.repeat(np.arange(len(offs) - 1), np.diff(w.bounds))
-    f, inv = powers(n + 1)
-    total = np.zeros(n + 1, dtype=U64)
-    np.cumsum((w.low.astype(U64) + U64(1)) * f[:n], out=total[1:])
-    size = w.ends - w.starts
-    yield owner, mix((total[w.ends] - total[w.starts]) * inv[w.starts] ^ U64(0xA5A5)) >> U64(ROW_BITS)
+    yield owner, w.hashes()
     for k in BEGINNINGS:
-        at = np.flatnonzero(size > k)
-        s = w.starts[at]
-        yield owner[at], mix((total[s + k] - total[s]) * inv[s] ^ U64(k << 8)) >> U64(ROW_BITS)
-
-
-def vector_rows(col: pa.Array, table: TermTable) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per slice: first row, number of rows, and (row, term number, count) triples sorted by row and term."""
-    for row, data, offs in text_slices(col):
-        rows, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for owner, h in terms_of(data, offs):
-            number = table.numbers(h)
-            at = np.flatnonzero(number >= 0)
-            rows.append(owner[at])
-            numbers.append(number[at].astype(np.int64))
-        code, count = np.unique(np.concatenate(rows) * max(1, len(table.terms)) + np.concatenate(numbers), return_counts=True)
-        yield row, len(offs) - 1, code // max(1, len(table.terms)), code % max(1, len(table.terms)), count
-
-
-def select_terms(texts: np.ndarray, y: np.ndarray, most: int = MAX_TERMS) -> np.ndarray:
-    """Hashes of the terms whose presence depends most on the label, from at most 2**ROW_BITS texts."""
-    if len(texts) > 1 << ROW_BITS:
-        raise ValueError(f"more than {1 << ROW_BITS} labelled texts")
-    found = [np.zeros(0, U64)]
-    for row, data, offs in text_slices(pa.array(texts.tolist(), pa.large_string())):
-        for owner, h in terms_of(data, offs):
-            found.append(np.unique(h << U64(ROW_BITS) | (owner + row).astype(U64)))
-    packed = np.concatenate(found)
-    del found
-    if not len(packed):
-        return packed
-    packed.sort()
-    positive = (y == 1).astype(np.int8)[(packed & U64((1 << ROW_BITS) - 1)).astype(np.int16)]
-    packed >>= U64(ROW_BITS)
-    start = np.flatnonzero(np.append(True, packed[1:] != packed[:-1]))
-    df = np.diff(np.append(start, len(packed)))
-    a = np.add.reduceat(positive, start, dtype=np.int32)
-    terms = packed[start]
-    del packed, positive
-    ok = np.flatnonzero(df >= LEAST_DF)
-    terms, a, b = terms[ok], a[ok].astype(float), (df[ok] - a[ok]).astype(float)
-    n, n1 = len(y), int((y == 1).sum())
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = np.nan_to_num(n * (a * (n - n1 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n - a - b) * n1 * (n - n1)))
-    ok = np.flatnonzero(chi2 >= LEAST_CHI2)
-    return np.sort(terms[ok[np.lexsort((terms[ok], -chi2[ok]))][:most]])
+        at = np.flatnonzero(w.ends - w.starts > k)
+        yield owner[at], span_hashes(w.low, w.starts[at], w.starts[at] + k, salt=k)
 
 
-class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of examples, with each block's greatest weight.
+def relevance(sample: Sample, rows: np.ndarray) -> np.ndarray:
+    """FLOOR + squared log ratio of each term's rates in the two classes, from the sampled texts marked in `rows`."""
+    owner, n = sample.owner, len(sample.terms)
+    part = rows[owner]
+    rate = []
+    for c in (1, 0):
+        mine = rows & (sample.y == c)
+        have = np.bincount(sample.number[part & (sample.y[owner] == c)], minlength=n)
+        prior = mine.sum() / max(1, rows.sum())
+        rate.append((have + SMOOTHING * max(prior, 1e-6)) / (mine.sum() + SMOOTHING))
+    return FLOOR + (np.log(rate[0]) - np.log(rate[1])) ** 2
+
 
-    Tasks get the postings and lay them out by (term, block, example) when they first search.
-    """
+class BlockMaxIndex:
+    """Postings of vectors by term and example, cut where the block of examples changes, with each piece's greatest weight."""
 
-    def __init__(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, n_terms: int, block: int = BLOCK):
+    def __init__(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, n_terms: int, block: int = BLOCK, head_bytes: int = HEAD_BYTES):
         order = np.lexsort((row, term))
-        self.row, self.term, self.value = row[order].astype(np.int32), term[order].astype(np.int32), value[order].astype(np.float32)
-        self.n, self.n_terms, self.block, self.blocks = n, n_terms, block, max(1, -(-n // block))
+        self.row, self.value = row[order].astype(np.int32), value[order].astype(np.float32)
+        term = term[order]
+        self.n, self.block, self.blocks = n, block, max(1, -(-n // block))
+        piece = self.row // block
+        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (piece[1:] != piece[:-1]))) if len(term) else np.zeros(0, np.int64)
+        self.piece_block = piece[first].astype(np.int32)
+        self.piece_max = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0, np.float32)
+        self.piece_start = np.append(first, len(term)).astype(np.int32)
+        self.term_start = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
+        df = np.bincount(term, minlength=n_terms)
+        most = min(head_bytes // (4 * self.blocks * block), int((df * 32 > n).sum()))
+        self.head = np.sort(np.argsort(-df, kind="stable")[:most])
 
     @cached_property
-    def weight(self) -> np.ndarray:
-        out = np.zeros((self.n_terms, self.blocks * self.block), dtype=np.float32)
-        out[self.term, self.row] = self.value
-        return out.reshape(self.n_terms, self.blocks, self.block)
+    def rows(self) -> np.ndarray:
+        """The head terms' weights in all examples."""
+        out = np.zeros((len(self.head), self.blocks * self.block), dtype=np.float32)
+        for i, t in enumerate(self.head.tolist()):
+            a, b = self.piece_start[self.term_start[t]], self.piece_start[self.term_start[t + 1]]
+            out[i, self.row[a:b]] = self.value[a:b]
+        return out
 
     @cached_property
-    def best(self) -> np.ndarray:
-        return self.weight.max(axis=2)
+    def head_number(self) -> np.ndarray:
+        out = np.full(len(self.term_start) - 1, -1, dtype=np.int32)
+        out[self.head] = np.arange(len(self.head))
+        return out
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("weight", "best")}
-
-    def nearest(self, term: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k best and of all that equal the k-th."""
-        value = value.astype(np.float32)
-        bound = value @ self.best[term]
-        first = np.argsort(-bound, kind="stable")[: -(-2 * k // self.block) + 1]
-        scores = self._block_scores(term, value, first)
-        kth = np.sort(scores[1])[-k] if len(scores[1]) >= k else -1.0
-        # all other blocks that can still hold an example as good as the k-th so far
-        rest = np.flatnonzero(bound >= kth - 1e-5)
-        rest = rest[~np.isin(rest, first)]
-        more = self._block_scores(term, value, rest)
-        ids, score = np.concatenate([scores[0], more[0]]), np.concatenate([scores[1], more[1]])
-        kth = np.sort(score)[-min(k, len(score))]
-        at = np.flatnonzero(score >= kth - 1e-5)
-        at = at[np.lexsort((ids[at], -score[at]))]
-        return ids[at], score[at].astype(np.float64)
-
-    def _block_scores(self, term: np.ndarray, value: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        score = np.zeros((len(blocks), self.block), dtype=np.float32)
-        for t, v in zip(term.tolist(), value.tolist(), strict=True):
-            score += np.float32(v) * self.weight[t, blocks]
-        ids = (blocks[:, None] * self.block + np.arange(self.block)).reshape(-1)
-        inside = ids < self.n
-        return ids[inside], score.reshape(-1)[inside]
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "head_number")}
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, values): examples and products of the k best and of all that equal the k-th, best first."""
+        k = min(k, self.n)
+        for a in range(0, len(queries), BATCH):
+            part = queries[a : a + BATCH]
+            dense = np.zeros((len(part), len(self.head)), dtype=np.float32)
+            tails = []
+            for i, (term, value) in enumerate(part):
+                at = self.head_number[term]
+                dense[i, at[at >= 0]] = value[at >= 0]
+                tails.append((term[at < 0], value[at < 0]))
+            base = (dense @ self.rows).reshape(len(part), self.blocks, self.block)
+            top = base.max(axis=2)
+            for i, (term, value) in enumerate(tails):
+                yield self._one(term, value.astype(np.float32), base[i].reshape(-1)[: self.n], top[i], k)
+
+    def _one(self, term: np.ndarray, value: np.ndarray, score: np.ndarray, top: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        piece, who = _ranges(self.term_start[term], self.term_start[term + 1])
+        weight, block = value[who], self.piece_block[piece]
+        bound = top + np.bincount(block, weights=weight * self.piece_max[piece], minlength=self.blocks)
+        first = np.argsort(-bound, kind="stable")[: max(4, -(-2 * k // self.block))]
+        visited = np.zeros(self.blocks, dtype=bool)
+        visited[first] = True
+        score = score.astype(np.float64)
+        self._add(score, piece, weight, visited[block])
+        seen = np.concatenate([score[b * self.block : (b + 1) * self.block] for b in first.tolist()])
+        kth = np.partition(seen, len(seen) - k)[len(seen) - k] if len(seen) >= k else -1.0
+        rest = ~visited & (bound >= kth - TIE)
+        if rest.any():
+            self._add(score, piece, weight, rest[block])
+            visited |= rest
+        at = np.flatnonzero((score >= kth - TIE) & np.repeat(visited, self.block)[: self.n])
+        best = score[at]
+        keep = best >= np.partition(best, len(best) - k)[len(best) - k] - TIE
+        at, best = at[keep], best[keep]
+        order = np.lexsort((at, -best))
+        return at[order], best[order]
+
+    def _add(self, score: np.ndarray, piece: np.ndarray, weight: np.ndarray, take: np.ndarray) -> None:
+        piece, weight = piece[take], weight[take]
+        at, who = _ranges(self.piece_start[piece], self.piece_start[piece + 1])
+        score += np.bincount(self.row[at], weights=self.value[at] * weight[who], minlength=self.n)
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after the other, and the range of each."""
+    size = (end - start).astype(np.int64)
+    who = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(who)) + np.repeat(start - (np.cumsum(size) - size), size), who
+
+
+class Examples:
+    """Unit vectors of labelled texts under given term weights, their index and their votes."""
+
+    def __init__(self, sample: Sample, rows: np.ndarray, weight: np.ndarray, k: int):
+        self.k = k
+        chosen = np.flatnonzero(rows)
+        owner = sample.owner
+        value = (1 + np.log(sample.count)) * weight[sample.number]
+        length = np.sqrt(np.bincount(owner, weights=value**2, minlength=len(sample.y)))
+        part = rows[owner]
+        owner, term, value = owner[part], sample.number[part], value[part] / np.maximum(length[owner[part]], 1e-300)
+        # examples with the same heaviest term side by side, so that blocks are alike
+        lead = np.full(len(sample.y), -1, dtype=np.int64)
+        by = np.lexsort((value, owner))
+        last = np.flatnonzero(np.append(owner[by][1:] != owner[by][:-1], True)) if len(by) else by
+        lead[owner[by][last]] = term[by][last]
+        order = chosen[np.lexsort((chosen, lead[chosen]))]
+        place = np.full(len(sample.y), -1, dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.index = BlockMaxIndex(place[owner], term, value, len(order), len(sample.terms))
+        self.y, self.weight, self.ids = sample.y[order], sample.weight[order], sample.ids[order]
+
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray]]:
+        for at, cosine in self.index.nearest(queries, self.k):
+            w = np.maximum(cosine, 1e-6) ** 2 * self.weight[at]
+            yield float((w * self.y[at]).sum() / w.sum()), self.ids[at[:3]]
 
 
 class Model:
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list, texts: np.ndarray, y: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS):
-        self.terms, self.idf, self.k = terms, idf, k
-        self.table = TermTable(terms)
-        self.y, self.weight = y, weight
-        self.ids = np.array(ids, dtype=np.int64)
-        rows, cols, vals = [], [], []
-        self.queries = []
-        for row, n, r, t, c in vector_rows(pa.array(texts.tolist(), pa.large_string()), self.table):
-            for i, (term, value) in enumerate(self.vectors(n, r, t, c)):
-                rows.append(np.full(len(term), row + i))
-                cols.append(term)
-                vals.append(value)
-                self.queries.append((term, value))
-        # examples with the same leading term side by side, so that blocks are alike
-        lead = np.array([t[np.argmax(v)] for t, v in self.queries], dtype=np.int64)
-        self.order = np.lexsort((np.arange(len(lead)), lead))
-        place = np.empty(len(lead), dtype=np.int64)
-        place[self.order] = np.arange(len(lead))
-        self.index = BlockMaxIndex(place[np.concatenate(rows)], np.concatenate(cols), np.concatenate(vals), len(y), len(terms) + 1)
+    def __init__(self, sample: Sample, df: np.ndarray, n_docs: int, k: int = NEIGHBOURS, folds: int = FOLDS):
+        self.terms = sample.terms
+        self.idf = np.log((1 + n_docs) / (1 + df)) + 1
+        n = len(sample.y)
+        votes, fold = np.full(n, 0.5), np.arange(n) % folds
+        for f in range(folds if n > 1 else 0):
+            mine = fold == f
+            if not mine.any() or mine.all():
+                continue
+            weight = self.idf * relevance(sample, ~mine)
+            others = Examples(sample, ~mine, weight, k)
+            ends = [(sample.bounds[i], sample.bounds[i + 1]) for i in np.flatnonzero(mine)]
+            votes[mine] = [v for v, _ in others.votes([self.vector(sample.number[a:b], sample.count[a:b], weight) for a, b in ends])]
+            del others
+        self.map = Isotonic(votes, sample.y, sample.weight)
+        self.relevant = relevance(sample, np.ones(n, dtype=bool)) * self.idf
+        self.examples = Examples(sample, np.ones(n, dtype=bool), self.relevant, k)
         self.memo: dict[bytes, tuple[float, list[int]]] = {}
-        votes = []
-        seen: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-        for i, (term, value) in enumerate(self.queries):
-            key = term.tobytes() + value.tobytes()
-            if key not in seen:
-                seen[key] = self.index.nearest(term, value, self.k + 1)
-            at, score = seen[key]
-            me = at == place[i]
-            votes.append(self.vote(at[~me], score[~me]))
-        self.map = Isotonic(np.array(votes), y, weight)
-        del self.queries
-
-    def vectors(self, n: int, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Unit vectors of n texts; the last component is the constant."""
-        value = (1 + np.log(count)) * self.idf[term] if len(term) else np.zeros(0)
-        bounds = np.searchsorted(row, np.arange(n + 1))
-        for i in range(n):
-            a, b = bounds[i], bounds[i + 1]
-            v = np.append(value[a:b], CONSTANT)
-            yield np.append(term[a:b], len(self.terms)), v / np.sqrt(v @ v)
-
-    def vote(self, at: np.ndarray, score: np.ndarray) -> float:
-        if not len(at):
-            return 0.5
-        w = np.maximum(score, 1e-6) ** 2 * self.weight[self.order[at]]
-        return float((w * self.y[self.order[at]]).sum() / w.sum())
-
-    def score(self, term: np.ndarray, value: np.ndarray) -> tuple[float, list[int]]:
-        key = term.tobytes() + value.tobytes()
-        if key not in self.memo:
-            if len(self.memo) > 20_000:
-                self.memo.clear()
-            at, sim = self.index.nearest(term, value, self.k)
-            self.memo[key] = (float(self.map(np.array([self.vote(at, sim)]))[0]), self.ids[self.order[at[:3]]].tolist())
-        return self.memo[key]
-
 
-def term_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
-    """Document frequency of each term, and the number of documents, over all documents."""
-    cast = docs.sparkSession.sparkContext.broadcast(terms)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, df, n_docs = TermTable(cast.value), np.zeros(len(cast.value) + 1, dtype=np.int64), 0
-        for batch in batches:
-            for _, n, _, t, _ in vector_rows(batch.column(0), table):
-                n_docs += n
-                df += np.bincount(t, minlength=len(df))
-        df[-1] = n_docs
-        seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen])], names=["term", "df"])
-
-    out = np.zeros(len(terms) + 1, dtype=np.int64)
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
-        out[r.term] = r.df
-    return out[:-1], int(out[-1])
+    @staticmethod
+    def vector(term: np.ndarray, count: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        value = (1 + np.log(count)) * weight[term]
+        return term, value / max(float(np.sqrt(value @ value)), 1e-300)
+
+    def table(self) -> TermTable:
+        if "_table" not in self.__dict__:
+            self._table = TermTable(self.terms)
+        return self._table
+
+    def scores(self, col: pa.Array) -> list[tuple[float, list[int]]]:
+        """Probability and nearest examples of each text. What equal vectors got is remembered."""
+        found = []
+        for _, n, row, term, count, _ in count_terms(col, self.table(), terms_of):
+            bounds = np.searchsorted(row, np.arange(n + 1)).tolist()
+            parts = [(term[a:b], count[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+            keys = [hashlib.blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest() for t, c in parts]
+            if len(self.memo) >= 50_000:
+                self.memo.clear()
+            new = {key: part for key, part in zip(keys, parts, strict=True) if key not in self.memo}
+            got = list(self.examples.votes([self.vector(t, c, self.relevant) for t, c in new.values()]))
+            p = self.map(np.array([v for v, _ in got]))
+            self.memo.update((key, (float(x), ids.tolist())) for key, x, (_, ids) in zip(new, p, got, strict=True))
+            found += [self.memo[key] for key in keys]
+        return found
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, per_class: int = SAMPLE_PER_CLASS) -> Model | None:
     """The model from labelled rows outside the held-out fold; None without any."""
-    ids, texts, y, weight = labelled_sample(docs, labels, label, ~held_out(folds, fold), per_class)
-    if not len(y):
+    sample = labelled_sample(docs, labels, label, ~held_out(folds, fold), terms_of, per_class)
+    if not len(sample.y):
         return None
-    terms = select_terms(texts, y)
-    df, n = term_frequencies(docs, terms)
-    return Model(terms, np.log((1 + n) / (1 + df)) + 1, ids, texts, y, weight)
+    return Model(sample, *document_frequencies(docs, sample.terms, terms_of))
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
@@ -239,12 +241,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = cast.value
         for batch in batches:
-            if m is None:
-                found = [(0.5, [])] * batch.num_rows
-            else:
-                found = []
-                for _, n, r, t, c in vector_rows(batch.column(1), m.table):
-                    found += [m.score(term, value) for term, value in m.vectors(n, r, t, c)]
+            found = [(0.5, [])] * batch.num_rows if m is None else m.scores(batch.column(1))
             p = np.array([f[0] for f in found])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["doc_id", "score", "predicted", "evidence"]

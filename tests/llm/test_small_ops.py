@@ -456,19 +456,21 @@ def test_proximity(spark):
 # ---------------------------------------------------------------- op9, op10
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("head", [0, 60, 200])
+def test_block_max_search_is_exact(head):
     rng = np.random.default_rng(0)
     n, v = 1500, 200
     code = np.unique(np.repeat(np.arange(n), 8) * v + rng.integers(0, v, n * 8))
     row, term, value = code // v, code % v, rng.random(len(code))
     value /= np.sqrt(np.bincount(row, weights=value**2))[row]
-    index, dense = toxicity.BlockMaxIndex(row, term, value, n, v), np.zeros((n, v))
+    index, dense = toxicity.BlockMaxIndex(row, term, value, n, v, head_bytes=4 * n * head), np.zeros((n, v))
     dense[row, term] = value
+    asked = []
     for _ in range(100):
         q = np.unique(rng.integers(0, v, 6))
         x = rng.random(len(q))
-        x /= np.sqrt(x @ x)
-        at, score = index.nearest(q, x, 15)
+        asked.append((q, x / np.sqrt(x @ x)))
+    for (q, x), (at, score) in zip(asked, index.nearest(asked, 15), strict=True):
         full = dense[:, q] @ x
         assert np.allclose(np.sort(score)[::-1][:15], np.sort(full)[::-1][:15], atol=1e-5)
         assert set(at.tolist()) >= set(np.flatnonzero(full > np.sort(full)[-15] + 1e-4).tolist())
@@ -483,7 +485,7 @@ def _held_out(spark, name, label):
 
 def test_toxicity_on_held_out_rows(spark):
     y, p, s = _held_out(spark, "op9_toxicity", "toxic")
-    assert (y == p).mean() > 0.96 and p[y == 1].mean() > 0.78 and p[y == 0].mean() < 0.01 and ((s - y) ** 2).mean() < 0.03
+    assert (y == p).mean() > 0.98 and p[y == 1].mean() >= 0.9 and p[y == 0].mean() < 0.01 and ((s - y) ** 2).mean() < 0.03
 
 
 def test_quality_on_held_out_rows(spark):
