@@ -50,7 +50,7 @@ def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "media")
     webp.store_texts(table(spark, sf_dir, "documents"), path)
-    return webp.media_digests(spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path))
+    return webp.media_digests(spark.read.schema(webp.STORED).parquet(path))
 
 
 def op8_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
-"""Lossless WebP columns: a decoder for the whole format and an encoder for byte payloads.
+"""Lossless WebP columns: a decoder for the whole format, and an encoder for byte payloads that uses all of it but meta codes.
 
 The decoder reads prefix codes (simple and normal, with meta prefix images), back-references with the
 distance map, the colour cache, and inverts the predictor, cross-colour, subtract-green and colour-indexing
-transforms, in any allowed order. Where every green code has one length and the other channels one symbol,
-its result comes from one vectorised bit unpacking instead of the symbol loop; both give the same pixels.
+transforms, in any allowed order.
 
-The encoder stores one payload byte to a pixel as its green level. All green codes have the same length, as few bits
-as the bytes that occur need; the other channels take no bits. Payloads larger than one image are split into several.
+The encoder stores four payload bytes to a pixel, as alpha, red, green and blue, WIDTH pixels to a row (wider where a payload
+needs more than MAX_SIDE rows). Images of at most 256 colours get a palette, up to eight indexes to a pixel. The others take their
+transforms by the payload's checksum, in turn: none, predictor, cross-colour with subtract-green, or predictor with cross-colour; text has
+no gradients by which one would pay over another, and so every corpus goes through every inverse. All images have
+canonical prefix codes made for their own counts, a colour cache, and back-references to the latest equal run of three
+pixels or more. Payloads of more than a whole image (a gigabyte) are split into several files.
 
 Defined results: a null text is empty; a payload is padded with bytes 255 to a positive multiple of 576; texts with equal
 bytes have equal media and features; nothing is dropped, however long the text. Rows keep their doc_id, null or repeated.
@@ -26,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAD, WIDTH, MAX_SIDE = 576, 576, 16384
+PAD, WIDTH, MAX_SIDE = 576, 144, 16384
+CACHE_BITS, BLOCK_BITS, MODES = 7, 4, (0, 2, 3, 7, 11, 12, 13)
 
 # Fixed values of the format: order of code-length codes, and (dx, dy) of the short distance codes.
 CODE_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -64,43 +68,39 @@ REVERSED = [np.array([int(format(i, f"0{n}b")[::-1], 2) if n else 0 for i in ran
 
 
 class PrefixCode:
-    """A canonical prefix code. `uniform` is the length that all its symbols share, or 0."""
+    """A canonical prefix code."""
 
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths
         self.symbols = np.flatnonzero(lengths)
         n = len(self.symbols)
         self.single = int(self.symbols[0]) if n == 1 else (0 if n == 0 else None)
-        self.longest = self.uniform = 0
+        self.longest = 0
         if self.single is not None:
             return
         sizes = lengths[self.symbols]
         self.longest = int(sizes.max())
         if int((1 << (self.longest - sizes)).sum()) != 1 << self.longest:
             raise ValueError("the prefix code is not complete")
-        self.uniform = self.longest if int(sizes.min()) == self.longest else 0
 
     @cached_property
-    def table(self) -> list[tuple[int, int]]:
-        """(symbol, length) for each value of the next `longest` bits."""
-        out: list[tuple[int, int]] = [(0, 0)] * (1 << self.longest)
-        code, last = 0, 0
-        for n, sym in sorted((int(self.lengths[i]), int(i)) for i in self.symbols):
-            code <<= n - last
-            last = n
-            for k in range(int(REVERSED[n][code]), 1 << self.longest, 1 << n):
-                out[k] = (sym, n)
-            code += 1
-        return out
+    def table(self) -> list[int]:
+        """32 * symbol + length for each value of the next `longest` bits."""
+        if self.single is not None:
+            return [self.single << 5]
+        by = self.symbols[np.argsort(self.lengths[self.symbols], kind="stable")]
+        sizes = self.lengths[by]
+        # canonical codes divide the values, most significant bit first, into ranges
+        return np.repeat(by << 5 | sizes, 1 << (self.longest - sizes))[REVERSED[self.longest]].tolist()
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
-        sym, n = self.table[bits.peek(self.longest)]
-        bits.at += n
+        found = self.table[bits.peek(self.longest)]
+        bits.at += found & 31
         if bits.at > bits.end:
             raise ValueError("the stream ends early")
-        return sym
+        return found >> 5
 
 
 @lru_cache(maxsize=1024)
@@ -132,33 +132,31 @@ def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
     if bits.read(1):
         left = min(alphabet, 2 + bits.read(2 + 2 * bits.read(3)))
     lengths = np.zeros(alphabet, dtype=np.int64)
-    if code.uniform == 1 and code.symbols[1] < 16:  # one bit to a length, no repeats
-        lengths[:left] = code.symbols[_take_bits(bits, left)]
-        return PrefixCode(lengths)
-    i, before = 0, 8
-    while i < alphabet and left > 0:
+    table, mask, data, at, end = code.table, (1 << code.longest) - 1, bits.data, bits.at, bits.end
+    found: list[int] = []
+    before = 8
+    while len(found) < alphabet and left > 0:
         left -= 1
-        n = code.read(bits)
+        w = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+        step = table[w & mask]
+        n, size = step >> 5, step & 31
+        if code.single is not None:
+            size = 0
+        at += size
         if n < 16:
-            lengths[i] = n
+            found.append(n)
             before = n or before
-            i += 1
             continue
         value, least, extra = ((before, 3, 2), (0, 3, 3), (0, 11, 7))[n - 16]
-        many = least + bits.read(extra)
-        if i + many > alphabet:
-            raise ValueError("code lengths run over")
-        lengths[i : i + many] = value
-        i += many
-    return PrefixCode(lengths)
-
-
-def _take_bits(bits: Bits, n: int) -> np.ndarray:
-    if bits.at + n > bits.end:
+        found += [value] * (least + (w >> size & ((1 << extra) - 1)))
+        at += extra
+    if at > end:
         raise ValueError("the stream ends early")
-    i, s = divmod(bits.at, 8)
-    bits.at += n
-    return np.unpackbits(np.frombuffer(bits.data[i : i + (s + n + 7) // 8], dtype=np.uint8), bitorder="little")[s : s + n]
+    if len(found) > alphabet:
+        raise ValueError("code lengths run over")
+    bits.at = at
+    lengths[: len(found)] = found
+    return PrefixCode(lengths)
 
 
 def _number(bits: Bits, prefix: int) -> int:
@@ -186,14 +184,8 @@ def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     cache_size = 1 << cache_bits if cache_bits else 0
     codes = [[_read_code(bits, n) for n in (256 + 24 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
     total = width * height
-    if groups == 1 and not cache_bits:
-        green, *rest, _ = codes[0]
-        if len(green.symbols) and all(c.single is not None for c in rest) and (green.single is not None or green.uniform) and int(green.symbols[-1]) < 256:
-            red, blue, alpha = (c.single for c in rest)
-            low = (alpha << 24) | (red << 16) | blue
-            if green.single is not None:
-                return np.full(total, low | (green.single << 8), dtype=np.uint32)
-            return unpack_fixed(bits, green, total).astype(np.uint32) << np.uint32(8) | np.uint32(low)
+    if groups == 1 and sum(c.longest for c in codes[0][:4]) <= 56:
+        return _one_group(bits, codes[0], width, total, cache_bits)
     out = [0] * total
     cache = [0] * cache_size
     at, seen, shift = 0, 0, 32 - cache_bits
@@ -231,26 +223,61 @@ def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     return np.array(out, dtype=np.uint32)
 
 
-def unpack_fixed(bits: Bits, code: PrefixCode, count: int) -> np.ndarray:
-    """`count` symbols of a code in which every symbol has the same length, at most 8 bits."""
-    n = code.uniform
-    if bits.at + n * count > bits.end:
+def _one_group(bits: Bits, codes: list[PrefixCode], width: int, total: int, cache_bits: int) -> np.ndarray:
+    """The pixels of an image with one group of codes. Each literal is read from one 64-bit window of the stream."""
+    raw = np.zeros(len(bits.data) + 16, dtype=np.uint8)
+    raw[: len(bits.data)] = np.frombuffer(bits.data, dtype=np.uint8)
+    base = bits.at >> 3
+    window = np.ndarray((len(bits.data) - base + 8,), "<u8", buffer=raw, offset=base, strides=(1,)).tolist()
+    green, red, blue, alpha, far = (c.table for c in codes)
+    m_green, m_red, m_blue, m_alpha = ((1 << c.longest) - 1 for c in codes[:4])
+    pos, end = bits.at - 8 * base, bits.end - 8 * base
+    out = [0] * total
+    cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
+    at = seen = 0
+    while at < total:
+        if pos > end:
+            raise ValueError("the stream ends early")
+        w = window[pos >> 3] >> (pos & 7)
+        g = green[w & m_green]
+        n = g & 31
+        if g < 8192:  # a literal
+            w >>= n
+            r = red[w & m_red]
+            k = r & 31
+            w >>= k
+            b = blue[w & m_blue]
+            j = b & 31
+            a = alpha[(w >> j) & m_alpha]
+            pos += n + k + j + (a & 31)
+            out[at] = (a >> 5) << 24 | (r >> 5) << 16 | (g >> 5) << 8 | b >> 5
+            at += 1
+        elif g < 8960:
+            bits.at = pos + n + 8 * base
+            length = _number(bits, (g >> 5) - 256)
+            d = _number(bits, codes[4].read(bits))
+            pos = bits.at - 8 * base
+            if d > 120:
+                d -= 120
+            else:
+                dx, dy = DISTANCE_MAP[d - 1]
+                d = max(1, dx + dy * width)
+            if d > at or at + length > total:
+                raise ValueError("back-reference out of the image")
+            run = out[at - d : at - d + min(d, length)]
+            out[at : at + length] = (run * (length // len(run) + 1))[:length]
+            at += length
+        else:
+            for x in out[seen:at]:
+                cache[((0x1E35A7BD * x) & 0xFFFFFFFF) >> shift] = x
+            seen = at
+            out[at] = cache[(g >> 5) - 280]
+            pos += n
+            at += 1
+    if pos > end:
         raise ValueError("the stream ends early")
-    first, shift = divmod(bits.at, 8)
-    groups = -(-count // 8)
-    raw = np.zeros(groups * n + 1, dtype=np.uint8)
-    have = np.frombuffer(bits.data, dtype=np.uint8)[first : first + len(raw)]
-    raw[: len(have)] = have
-    if shift:
-        raw[:-1] = (raw[:-1] >> shift) | (raw[1:] << (8 - shift))
-    words = np.zeros((groups, 8), dtype=np.uint8)
-    words[:, :n] = raw[:-1].reshape(groups, n)
-    packed = words.view("<u8").reshape(-1)
-    value = np.empty((groups, 8), dtype=np.uint8)
-    for j in range(8):
-        value[:, j] = (packed >> np.uint64(j * n)) & np.uint64((1 << n) - 1)
-    bits.at += n * count
-    return code.symbols[REVERSED[n]].astype(np.uint8)[value.reshape(-1)[:count]]
+    bits.at = pos + 8 * base
+    return np.array(out, dtype=np.uint32)
 
 
 # ---------------------------------------------------------------- inverse transforms, on uint8 (height, width, ARGB)
@@ -260,59 +287,84 @@ def _channels(px: np.ndarray, width: int) -> np.ndarray:
     return px.astype(">u4").view(np.uint8).reshape(-1, width, 4).copy()
 
 
-def _average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a + b) >> 1
+def _average(a: int, b: int) -> int:
+    """Channel by channel: (a + b) // 2 of two ARGB numbers."""
+    return (a & b) + (((a ^ b) & 0xFEFEFEFE) >> 1)
 
 
-def _predict(mode: int, left, top, corner, right) -> np.ndarray:
-    """left, top, top-left and top-right as int arrays of four channels."""
-    if mode == 0 or mode > 13:
-        return np.array([255, 0, 0, 0])
-    if mode == 1:
-        return left
-    if mode == 2:
-        return top
-    if mode == 3:
-        return right
-    if mode == 4:
-        return corner
-    if mode == 5:
-        return _average(_average(left, right), top)
-    if mode == 6:
-        return _average(left, corner)
-    if mode == 7:
-        return _average(left, top)
-    if mode == 8:
-        return _average(corner, top)
-    if mode == 9:
-        return _average(top, right)
-    if mode == 10:
-        return _average(_average(left, corner), _average(top, right))
-    if mode == 11:
-        # the neighbour nearer to left + top - corner
-        p = left + top - corner
-        return left if np.abs(p - left).sum() < np.abs(p - top).sum() else top
-    if mode == 12:
-        return np.clip(left + top - corner, 0, 255)
-    a = _average(left, top)
-    half = a - corner
-    return np.clip(a + np.where(half < 0, -((-half) >> 1), half >> 1), 0, 255)
+def _select(left: int, top: int, corner: int) -> int:
+    """The neighbour nearer to left + top - corner: left is as far from it as top from corner, and the other way round."""
+    to_left = to_top = 0
+    for k in (0, 8, 16, 24):
+        x, y, c = (left >> k) & 255, (top >> k) & 255, (corner >> k) & 255
+        to_left += abs(y - c)
+        to_top += abs(x - c)
+    return left if to_left < to_top else top
+
+
+def _full(left: int, top: int, corner: int) -> int:
+    out = 0
+    for k in (0, 8, 16, 24):
+        v = ((left >> k) & 255) + ((top >> k) & 255) - ((corner >> k) & 255)
+        out |= (0 if v < 0 else 255 if v > 255 else v) << k
+    return out
+
+
+def _half(mean: int, corner: int) -> int:
+    out = 0
+    for k in (0, 8, 16, 24):
+        v = (mean >> k) & 255
+        d = v - ((corner >> k) & 255)
+        v += d >> 1 if d >= 0 else -(-d >> 1)
+        out |= (0 if v < 0 else 255 if v > 255 else v) << k
+    return out
+
+
+#: Each mode's prediction from the left, top, top-left and top-right pixels as ARGB numbers.
+_PREDICT = (
+    lambda left, top, corner, right: 0xFF000000,
+    lambda left, top, corner, right: left,
+    lambda left, top, corner, right: top,
+    lambda left, top, corner, right: right,
+    lambda left, top, corner, right: corner,
+    lambda left, top, corner, right: _average(_average(left, right), top),
+    lambda left, top, corner, right: _average(left, corner),
+    lambda left, top, corner, right: _average(left, top),
+    lambda left, top, corner, right: _average(corner, top),
+    lambda left, top, corner, right: _average(top, right),
+    lambda left, top, corner, right: _average(_average(left, corner), _average(top, right)),
+    lambda left, top, corner, right: _select(left, top, corner),
+    lambda left, top, corner, right: _full(left, top, corner),
+    lambda left, top, corner, right: _half(_average(left, top), corner),
+    lambda left, top, corner, right: 0xFF000000,
+    lambda left, top, corner, right: 0xFF000000,
+)
 
 
 def _unpredict(img: np.ndarray, modes: np.ndarray, block_bits: int) -> np.ndarray:
+    """Pixels as ARGB numbers; the sum of two works on two channels at a time."""
     h, w, _ = img.shape
-    out = img.astype(np.int64)
-    for y in range(h):
-        for x in range(w):
-            if y == 0:
-                p = np.array([255, 0, 0, 0]) if x == 0 else out[0, x - 1]
-            elif x == 0:
-                p = out[y - 1, 0]
-            else:
-                right = out[y - 1, x + 1] if x + 1 < w else out[y, 0]
-                p = _predict(int(modes[y >> block_bits, x >> block_bits]), out[y, x - 1], out[y - 1, x], out[y - 1, x - 1], right)
-            out[y, x] = (out[y, x] + p) & 255
-    return out.astype(np.uint8)
+    rest = _packed(img).reshape(-1).tolist()
+    out = [0] * (h * w)
+    even, odd = 0x00FF00FF, 0xFF00FF00
+    last = 0xFF000000
+    for x in range(w):
+        v = rest[x]
+        out[x] = last = ((v & even) + (last & even)) & even | ((v & odd) + (last & odd)) & odd
+    for y in range(1, h):
+        at, row = y * w, modes[y >> block_bits].tolist()
+        v, p = rest[at], out[at - w]
+        out[at] = last = ((v & even) + (p & even)) & even | ((v & odd) + (p & odd)) & odd
+        for b in range(len(row)):
+            predict = _PREDICT[row[b] & 15]
+            for i in range(at + max(1, b << block_bits), at + min(w, (b + 1) << block_bits)):
+                v, p = rest[i], predict(last, out[i - w], out[i - w - 1], out[i - w + 1])
+                out[i] = last = ((v & even) + (p & even)) & even | ((v & odd) + (p & odd)) & odd
+    return np.array(out, dtype=np.uint32).astype(">u4").view(np.uint8).reshape(h, w, 4)
+
+
+def _packed(img: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(img).view(">u4").reshape(img.shape[:2]).astype(np.uint32)
 
 
 def _uncross(img: np.ndarray, data: np.ndarray, block_bits: int) -> np.ndarray:
@@ -399,88 +451,372 @@ def _decode_stream(data: bytes) -> np.ndarray:
 # ---------------------------------------------------------------- encoder
 
 
-class Writer:
-    """Little-endian bit fields, low bits first."""
+class Fields:
+    """Bit fields of up to 60 bits in order, low bits first: single ones and whole arrays."""
 
     def __init__(self):
-        self.value, self.n = 0, 0
+        self.values: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.value: list[int] = []
+        self.size: list[int] = []
 
     def put(self, value: int, n: int) -> None:
-        self.value |= value << self.n
-        self.n += n
+        self.value.append(value)
+        self.size.append(n)
+
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self._flush()
+        self.values.append(values)
+        self.sizes.append(sizes)
+
+    def _flush(self) -> None:
+        if self.value:
+            self.values.append(np.array(self.value, dtype=np.uint64))
+            self.sizes.append(np.array(self.size, dtype=np.int64))
+            self.value, self.size = [], []
+
+    def stream(self) -> bytes:
+        self._flush()
+        value, size = np.concatenate(self.values), np.concatenate(self.sizes)
+        out = []
+        for k in range(0, len(value), 1 << 18):  # a part ends within a byte, so bits are kept until all are packed
+            v, n = value[k : k + (1 << 18)], size[k : k + (1 << 18)]
+            start = np.cumsum(n) - n
+            place = np.arange(int(n.sum())) - np.repeat(start, n)
+            out.append(((np.repeat(v, n) >> place.astype(np.uint64)) & np.uint64(1)).astype(np.uint8))
+        return np.packbits(np.concatenate(out), bitorder="little").tobytes()
+
+
+def code_lengths(counts: list[int], limit: int) -> list[int]:
+    """Lengths of a complete prefix code for symbols of these (positive) counts, at most `limit`; two symbols or more."""
+    n, least = len(counts), 1
+    order = sorted(range(n), key=counts.__getitem__)
+    far = 1 << 60
+    while True:
+        weight = [counts[i] if counts[i] > least else least for i in order] + [far] * n
+        parent = [0] * (2 * n - 1)
+        leaf, node, new = 0, n, n  # the two queues of the merge: single symbols, and pairs already made
+        one, pair = weight[0], far
+        while new < 2 * n - 1:
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and one <= pair:
+                    total += one
+                    parent[leaf] = new
+                    leaf += 1
+                    one = weight[leaf] if leaf < n else far
+                else:
+                    total += pair
+                    parent[node] = new
+                    node += 1
+                    pair = weight[node]
+            weight[new] = total
+            if node == new:
+                pair = total
+            new += 1
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if depth[0] <= limit and max(depth[:n]) <= limit:
+            out = [0] * n
+            for i, d in zip(order, depth, strict=False):
+                out[i] = d
+            return out
+        least = 2 * least + 1  # raise the rarest counts until the tree is flat enough
+
+
+def canonical(lengths: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, int]:
+    """The codes of symbols with these lengths, low bit first, and the greatest length."""
+    longest = int(lengths.max())
+    by = np.lexsort((symbols, lengths))
+    room = 1 << (longest - lengths[by])
+    code = np.empty(len(by), dtype=np.uint64)
+    code[by] = REVERSED[longest][np.cumsum(room) - room]
+    return code, longest
+
+
+def _put_code(out: Fields, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Write the code for an alphabet's counts; each symbol's code and its length."""
+    symbols = np.flatnonzero(counts)
+    code, size = np.zeros(len(counts), dtype=np.uint64), np.zeros(len(counts), dtype=np.int64)
+    if len(symbols) < 2 and (not len(symbols) or symbols[0] < 256):
+        one = int(symbols[0]) if len(symbols) else 0
+        out.put(1 | (1 << 2 | one << 3 if one > 1 else one << 3), 11 if one > 1 else 4)
+        return code, size
+    if len(symbols) == 2 and symbols[1] < 256:
+        out.put(1 | 1 << 1 | 1 << 2 | int(symbols[0]) << 3 | int(symbols[1]) << 11, 19)
+        code[symbols[1]], size[symbols] = 1, 1
+        return code, size
+    size[symbols] = code_lengths(counts[symbols].tolist(), 15)
+    code[symbols] = canonical(size[symbols], symbols)[0]
+    # lengths as runs: 16 repeats a length, 17 and 18 skip symbols without a code
+    edges = np.flatnonzero(np.append(True, size[1:] != size[:-1]))
+    kind, extra, wide = [], [], []
+    for value, run in zip(size[edges].tolist(), np.diff(np.append(edges, len(size))).tolist(), strict=True):
+        if value:
+            kind.append(value)
+            extra.append(0)
+            wide.append(0)
+            run -= 1
+        while run >= 3:
+            k, least, most, bits = (16, 3, 6, 2) if value else (17, 3, 10, 3) if run < 11 else (18, 11, 138, 7)
+            now = run if run < most else most
+            kind.append(k)
+            extra.append(now - least)
+            wide.append(bits)
+            run -= now
+        for _ in range(run):
+            kind.append(value)
+            extra.append(0)
+            wide.append(0)
+    steps = np.array(kind)
+    kinds = np.bincount(steps, minlength=19)
+    used = np.flatnonzero(kinds)
+    sizes = np.array(code_lengths(kinds[used].tolist(), 7)) if len(used) > 1 else np.array([1])
+    by_kind, bits_of, lengths = np.zeros(19, np.uint64), np.zeros(19, np.int64), dict(zip(used.tolist(), sizes.tolist(), strict=True))
+    if len(used) > 1:
+        by_kind[used], bits_of[used] = canonical(sizes, used)[0], sizes
+    many = max(4, max(CODE_ORDER.index(k) for k in lengths) + 1)
+    out.put((many - 4) << 1, 5)
+    head = 0
+    for i, k in enumerate(CODE_ORDER[:many]):
+        head |= lengths.get(k, 0) << 3 * i
+    out.put(head, 3 * many)
+    out.put(0, 1)
+    n = bits_of[steps]
+    out.put_all(by_kind[steps] | np.array(extra, dtype=np.uint64) << n.astype(np.uint64), n + np.array(wide))
+    return code, size
+
+
+def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, number of extra bits and their value, of lengths or distance codes from 1 on."""
+    v = v.astype(np.int64) - 1
+    high = np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
+    extra = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + ((v >> np.maximum(high - 1, 0)) & 1)), extra, v & ((1 << extra) - 1)
+
+
+@lru_cache(maxsize=64)
+def _near_codes(width: int) -> dict[int, int]:
+    """Short distance code of each distance that has one."""
+    out: dict[int, int] = {}
+    for k, (dx, dy) in enumerate(DISTANCE_MAP):
+        out.setdefault(max(1, dx + dy * width), k + 1)
+    return out
+
+
+def copies(px: np.ndarray) -> list[tuple[int, int, int]]:
+    """Back-references (at, length, distance) in order and apart: runs equal to those at the latest place with the same three pixels."""
+    n = len(px)
+    if n < 6:
+        return []
+    key = (px[:-2].astype(np.uint64) | px[1:-1].astype(np.uint64) << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) ^ px[2:].astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    order = np.argsort(key, kind="stable")
+    twin = key[order[1:]] == key[order[:-1]]
+    here, there = order[1:][twin], order[:-1][twin]
+    same = (px[here] == px[there]) & (px[here + 1] == px[there + 1]) & (px[here + 2] == px[there + 2]) & (here - there <= (1 << 20) - 120)
+    away = np.zeros(n - 2, dtype=np.int64)
+    away[here[same]] = (here - there)[same]
+    edges = np.flatnonzero(np.append(True, away[1:] != away[:-1]))
+    size = np.diff(np.append(edges, n - 2))
+    out, free = [], 0
+    found = away[edges] > 0
+    for at, length, d in zip(edges[found].tolist(), (size[found] + 2).tolist(), away[edges[found]].tolist(), strict=True):
+        end = at + length
+        at = max(at, free)
+        while end - at >= 3:
+            now = min(end - at, 4096)
+            out.append((at, now, d))
+            at += now
+            free = at
+    return out
 
 
-def _single(out: Writer, symbol: int) -> None:
-    """A code of one symbol, which takes no bits."""
-    if symbol > 1:
-        out.put(1 | 1 << 2 | symbol << 3, 11)
-    else:
-        out.put(1 | symbol << 3, 4)
+def _put_image(out: Fields, px: np.ndarray, width: int, top: bool) -> None:
+    """Entropy-coded pixels; a top image has a colour cache and back-references."""
+    n = len(px)
+    cache_bits = CACHE_BITS if top and n > 64 else 0
+    out.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
+    if top:
+        out.put(0, 1)  # one group of codes
+    single = np.ones(n, dtype=bool)
+    refs = copies(px) if top else []
+    for at, length, _ in refs:
+        single[at : at + length] = False
+    cached = np.zeros(n, dtype=bool)
+    if cache_bits:
+        slot = ((px * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+        by = np.argsort(slot, kind="stable")
+        again = (slot[by[1:]] == slot[by[:-1]]) & (px[by[1:]] == px[by[:-1]])
+        cached[by[1:][again]] = True
+        cached &= single
+    plain = np.flatnonzero(single & ~cached)
+    g, r, b, a = ((px[plain] >> np.uint32(k)) & np.uint32(255) for k in (8, 16, 0, 24))
+    green = np.bincount(g, minlength=280 + (1 << cache_bits if cache_bits else 0))
+    if cache_bits:
+        green += np.bincount(280 + slot[cached], minlength=len(green))
+    far = np.zeros(40, dtype=np.int64)
+    if refs:
+        start, length, away = (np.array(x, dtype=np.int64) for x in zip(*refs, strict=True))
+        near = _near_codes(width)
+        long = _prefix(length)
+        dist = _prefix(np.array([near.get(d, d + 120) for d in away.tolist()]))
+        green += np.bincount(256 + long[0], minlength=len(green))
+        far += np.bincount(dist[0], minlength=40)
+    codes = [_put_code(out, c) for c in (green, *(np.bincount(x, minlength=256) for x in (r, b, a)), far)]
+    value, size = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
+
+    def append(at: np.ndarray, v: np.ndarray, bits: np.ndarray) -> None:
+        value[at] |= v.astype(np.uint64) << size[at].astype(np.uint64)
+        size[at] += bits
+
+    for (code, bits), symbol in zip(codes[:4], (g, r, b, a), strict=True):
+        append(plain, code[symbol], bits[symbol])
+    if cache_bits:
+        hit = np.flatnonzero(cached)
+        append(hit, codes[0][0][280 + slot[hit]], codes[0][1][280 + slot[hit]])
+    if refs:
+        append(start, codes[0][0][256 + long[0]], codes[0][1][256 + long[0]])
+        append(start, long[2], long[1])
+        append(start, codes[4][0][dist[0]], codes[4][1][dist[0]])
+        append(start, dist[2], dist[1])
+        token = single
+        token[start] = True
+        value, size = value[token], size[token]
+    out.put_all(value, size)
+
+
+def _predictions(img: np.ndarray, mode: int) -> np.ndarray:
+    """Prediction of every pixel below the first row and right of the first column, from its true neighbours."""
+    x = img.astype(np.int32)
+    left, top, corner = x[1:, :-1], x[:-1, 1:], x[:-1, :-1]
+    right = np.concatenate([x[:-1, 2:], x[1:, :1]], axis=1)  # the last pixel of a row has the first of its own row there
+    if mode == 0:
+        return np.broadcast_to(np.array([255, 0, 0, 0], np.int32), left.shape)
+    if mode == 2:
+        return top
+    if mode == 3:
+        return right
+    if mode == 7:
+        return (left + top) >> 1
+    if mode == 11:
+        return np.where((np.abs(top - corner).sum(axis=2) < np.abs(left - corner).sum(axis=2))[..., None], left, top)
+    if mode == 12:
+        return np.clip(left + top - corner, 0, 255)
+    mean = (left + top) >> 1
+    d = mean - corner
+    return np.clip(mean + np.where(d < 0, -((-d) >> 1), d >> 1), 0, 255)
+
 
+def _by_block(x: np.ndarray, block_bits: int) -> np.ndarray:
+    """Sums over square blocks of a (height, width) array."""
+    h, w = x.shape
+    return np.add.reduceat(np.add.reduceat(x, np.arange(0, h, 1 << block_bits), axis=0), np.arange(0, w, 1 << block_bits), axis=1)
 
-def _equal_lengths(out: Writer, used: np.ndarray, n: int) -> None:
-    """A normal code in which the symbols marked in `used` (256 booleans) have length n and all others none."""
+
+def _predict_image(out: Fields, img: np.ndarray) -> np.ndarray:
+    """Write the predictor transform with each block's best of MODES; the residuals."""
+    h, w, _ = img.shape
+    rest = np.empty((len(MODES), h, w, 4), dtype=np.uint8)
+    for k, mode in enumerate(MODES):
+        rest[k, 1:, 1:] = img[1:, 1:] - _predictions(img, mode).astype(np.uint8)
+    rest[:, 0, 0] = img[0, 0] - np.array([255, 0, 0, 0], np.uint8)
+    rest[:, 0, 1:] = img[0, 1:] - img[0, :-1]
+    rest[:, 1:, 0] = img[1:, 0] - img[:-1, 0]
+    cost = np.abs(rest.view(np.int8).astype(np.int16)).sum(axis=3, dtype=np.int32)
+    best = np.stack([_by_block(c, BLOCK_BITS) for c in cost]).argmin(axis=0)
+    out.put(1 | PREDICTOR << 1 | (BLOCK_BITS - 2) << 3, 6)
+    _put_image(out, (np.array(MODES, dtype=np.uint32)[best] << np.uint32(8) | np.uint32(0xFF000000)).reshape(-1), best.shape[1], False)
+    each = best[np.arange(h)[:, None] >> BLOCK_BITS, np.arange(w)[None, :] >> BLOCK_BITS]
+    return np.take_along_axis(rest, each[None, :, :, None], axis=0)[0]
+
+
+def _cross_image(out: Fields, img: np.ndarray) -> np.ndarray:
+    """Write the cross-colour transform with each block's least-squares multipliers; what is left of red and blue."""
+    h, w, _ = img.shape
+    red, green, blue = (img[..., k].view(np.int8).astype(np.int64) for k in (1, 2, 3))
+    power = np.maximum(_by_block(green * green, BLOCK_BITS), 1)
+    to_red = np.clip(32 * _by_block(red * green, BLOCK_BITS) // power, -128, 127)
+    to_blue = np.clip(16 * _by_block(blue * green, BLOCK_BITS) // power, -128, 127)
+    from_red = np.clip(16 * _by_block(blue * red, BLOCK_BITS) // np.maximum(_by_block(red * red, BLOCK_BITS), 1), -128, 127)
+    out.put(1 | CROSS_COLOUR << 1 | (BLOCK_BITS - 2) << 3, 6)
+    data = np.full((*to_red.shape, 4), 255, dtype=np.uint8)
+    for k, m in ((1, from_red), (2, to_blue), (3, to_red)):
+        data[..., k] = (m & 255).astype(np.uint8)
+    _put_image(out, _packed(data).reshape(-1), to_red.shape[1], False)
+    at = (np.arange(h)[:, None] >> BLOCK_BITS, np.arange(w)[None, :] >> BLOCK_BITS)
+    left = img.copy()
+    left[..., 1] -= (((to_red[at] * green) >> 5) & 255).astype(np.uint8)
+    left[..., 3] -= ((((to_blue[at] * green) >> 5) + ((from_red[at] * red) >> 5)) & 255).astype(np.uint8)
+    return left
+
+
+def _palette_image(out: Fields, px: np.ndarray, colours: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+    """Write the palette; packed indexes in green, and their width."""
+    palette = _channels(colours, len(colours))[0]
+    step = np.diff(palette, axis=0, prepend=np.zeros((1, 4), np.uint8))
+    out.put(1 | INDEXING << 1 | (len(colours) - 1) << 3, 11)
+    _put_image(out, _packed(step[None]).reshape(-1), len(colours), False)
+    index = np.searchsorted(colours, px).reshape(-1, width)
+    pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+    if pack:
+        per, bits = 1 << pack, 8 >> pack
+        across = _cells(width, pack)
+        full = np.zeros((len(index), across * per), dtype=np.int64)
+        full[:, :width] = index
+        index = (full.reshape(len(index), across, per) << (np.arange(per) * bits)).sum(axis=2)
+    return (index.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000)).reshape(-1), index.shape[1]
+
+
+def encode(payload: np.ndarray, style: int | None = None) -> bytes:
+    """One image of a payload whose length is a multiple of PAD. style: 0 to 3, by the checksum where it is not given."""
+    n = len(payload) // 4
+    width = WIDTH * max(1, -(-n // (WIDTH * MAX_SIDE)))
+    height = -(-n // width)
+    if style is None:
+        style = zlib.crc32(payload.tobytes()) & 3
+    if n < width * height:
+        payload = np.concatenate([payload, np.zeros(4 * (width * height - n), np.uint8)])
+    img = payload.reshape(height, width, 4)
+    px = _packed(img).reshape(-1)
+    out = Fields()
+    out.put(0x2F | (width - 1) << 8 | (height - 1) << 22 | 1 << 36, 40)  # with alpha, version 0
+    colours = np.unique(px)
+    if len(colours) <= 256:
+        px, width = _palette_image(out, px, colours, width)
+    elif style:
+        if style & 1:
+            img = _predict_image(out, img)
+        if style & 2:
+            img = _cross_image(out, img)
+        if style == 2:
+            out.put(1 | SUBTRACT_GREEN << 1, 3)
+            img = img.copy()
+            img[..., 1] -= img[..., 2]
+            img[..., 3] -= img[..., 2]
+        px = _packed(img).reshape(-1)
     out.put(0, 1)
-    many = max(CODE_ORDER.index(n), CODE_ORDER.index(0)) + 1
-    out.put(many - 4, 4)
-    for kind in CODE_ORDER[:many]:
-        out.put(1 if kind in (0, n) else 0, 3)
-    out.put(1, 1)  # only the first 256 lengths follow
-    out.put(3, 3)
-    out.put(254, 8)
-    out.put(int.from_bytes(np.packbits(used, bitorder="little").tobytes(), "little"), 256)
-
-
-def encode(payload: np.ndarray, width: int = WIDTH) -> bytes:
-    """One image, `width` pixels to a row, with the bytes as green levels; the payload's length is a multiple of width."""
-    used = np.bincount(payload, minlength=256) > 0
-    n = max(1, int(used.sum() - 1).bit_length())
-    used[np.flatnonzero(~used)[: (1 << n) - int(used.sum())]] = True  # a code must be complete
-    head = Writer()
-    head.put(0x2F, 8)
-    head.put(width - 1, 14)
-    head.put(len(payload) // width - 1, 14)
-    head.put(0, 4)  # opaque, version 0
-    head.put(0, 3)  # no transform, no colour cache, no meta codes
-    _equal_lengths(head, used, n)
-    for s in (0, 0, 255, 0):
-        _single(head, s)
-    code = np.zeros(256, dtype=np.uint64)
-    code[used] = REVERSED[n]
-    value = np.zeros(-(-len(payload) // 8) * 8, dtype=np.uint64)
-    value[: len(payload)] = code[payload]
-    value = value.reshape(-1, 8)
-    packed = value[:, 0].copy()
-    for j in range(1, 8):
-        packed |= value[:, j] << np.uint64(j * n)
-    body = packed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].reshape(-1)
-    whole, part = divmod(head.n, 8)
-    raw = np.zeros(whole + len(body) + 1, dtype=np.uint8)
-    raw[: whole + 1] = np.frombuffer(head.value.to_bytes(whole + 1, "little"), dtype=np.uint8)
-    if part:
-        raw[whole : whole + len(body)] |= body << part
-        raw[whole + 1 :] |= body >> (8 - part)
-    else:
-        raw[whole : whole + len(body)] = body
-    stream = raw[: (head.n + n * len(payload) + 7) // 8].tobytes()
+    _put_image(out, px, width, True)
+    stream = out.stream()
     chunk = b"VP8L" + struct.pack("<I", len(stream)) + stream + b"\0" * (len(stream) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
 
-def encode_payload(payload: np.ndarray) -> bytes:
-    """The payload's images, one after the other: each RIFF file says its own size."""
-    step = WIDTH * MAX_SIDE
-    return b"".join(encode(payload[k : k + step]) for k in range(0, len(payload), step))
+MOST_BYTES = 4 * (MAX_SIDE // WIDTH) * WIDTH * MAX_SIDE
 
 
-def decode_payload(media: bytes) -> np.ndarray:
-    """The payload: the green level of every pixel of every image."""
-    out, at = [], 0
-    while at < len(media):
-        size = 8 + struct.unpack_from("<I", media, at + 4)[0]
-        out.append(decode(media[at : at + size])[..., 2].reshape(-1))
-        at += size
-    return np.concatenate(out)
+def encode_payload(payload: np.ndarray) -> list[bytes]:
+    """The payload's files: one of up to MOST_BYTES bytes, and more where it is longer."""
+    return [encode(payload[k : k + MOST_BYTES]) for k in range(0, len(payload), MOST_BYTES)]
+
+
+def decode_payload(images: list[np.ndarray], n_bytes: int) -> np.ndarray:
+    """The payload of n_bytes text bytes from its images' pixels."""
+    return np.concatenate([x.reshape(-1) for x in images])[: padded(n_bytes)]
+
+
+def padded(n_bytes: int) -> int:
+    return max(1, -(-n_bytes // PAD)) * PAD
 
 
 # ---------------------------------------------------------------- columns
@@ -494,16 +830,46 @@ def _store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for t in part.column(1):
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 sizes.append(len(raw))
-                payload = np.full(max(1, -(-len(raw) // PAD)) * PAD, 255, dtype=np.uint8)
+                payload = np.full(padded(len(raw)), 255, dtype=np.uint8)
                 payload[: len(raw)] = np.frombuffer(raw, dtype=np.uint8)
                 media.append(encode_payload(payload))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "media"])
+
+
+STORED = "doc_id long, n_bytes long, media array<binary>"
 
 
 def store_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write doc_id, n_bytes (unpadded) and media (lossless WebP) of every text."""
+    """Write doc_id, n_bytes (unpadded) and media (lossless WebP files, nearly always one) of every text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows.mapInArrow(_store_batches, "doc_id long, n_bytes long, media binary").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(_store_batches, STORED).write.option("compression", "zstd").parquet(path)
+
+
+IMAGES = "images array<struct<height:int,width:int,pixels:binary>>"
+
+
+def decode_images(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns named in keep, media, and `images`: height, width and pixels (bytes A, R, G, B by row) of each lossless WebP file.
+
+    media_col is one file or an array of files a row; null has no images.
+    """
+    kind = df.schema[media_col].dataType.typeName()
+    files = F.col(media_col) if kind == "array" else F.when(F.col(media_col).isNotNull(), F.array(media_col))
+    rows = df.select(*keep, files.alias("media"))
+    struct_type = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = len(keep)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                found = []
+                for files in part.column(at):
+                    found.append([{"height": x.shape[0], "width": x.shape[1], "pixels": x.tobytes()} for x in map(decode, files.as_py() or [])])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(struct_type))], names=[*part.schema.names, "images"])
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{types}, {IMAGES}")
 
 
 def feature(pixels: np.ndarray) -> str:
@@ -523,10 +889,9 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
             rows = []
-            for m in part.column(2):
-                media = m.as_py()
-                px = decode_payload(media)
-                raw = px.tobytes()
+            for n, files, images in zip(part.column(1), part.column(2), part.column(3), strict=True):
+                px = decode_payload([np.frombuffer(x["pixels"].as_py(), np.uint8) for x in images], n.as_py())
+                raw, media = px.tobytes(), b"".join(files.as_py())
                 rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(px)))
             cols = list(zip(*rows, strict=True))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -537,5 +902,5 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
-    """Decode every stored image and describe its payload and its file."""
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_digest_batches, DIGESTS)
+    """Each text's payload, read from the pixels of its stored files, and the files described."""
+    return decode_images(stored, keep=("doc_id", "n_bytes")).mapInArrow(_digest_batches, DIGESTS)
