@@ -1,21 +1,22 @@
 """Benchmark decontamination by a positional inverted index over the training documents.
 
-The index is partitioned by document: each row holds one document's postings, (term, position) sorted by term, for the
-words that the test phrases can need. Terms are the distinct words of the phrases. A first pass counts in how many
-documents each term occurs; each phrase is then anchored at its rarest term. The second pass stores postings of
-the anchors and of the terms within a phrase's length of an anchor. Search reads the stored postings: for each phrase
-it takes the anchor's list, shifts it by the anchor's offset, and intersects it with the shifted lists of the other
-terms from the rarest on. Phrases (exact) need every term at its offset; proximity matches need all terms
-within `slop` further words of the anchor's place.
-
-The distinct phrases are made on the executors and kept as a table. Their plan is broadcast, so of more than
-PASS_PHRASES they are searched in passes over the same documents, each for one part of the table by the phrases' hash, and the
-passes' matches are merged by row. The driver holds one pass's phrases at a time, with the ids of all items that
-share each. Nothing of the documents is collected: only one count for each phrase term.
-
-Words: A-Z are lower-cased, then runs of characters other than ASCII non-alphanumerics. Defined results: null or empty
-texts have no words and no hits; items without words give no phrase; items that repeat an item_id are searched
-each and reported under that id; items without an id are searched, and their hits count but name no item; repeated doc_ids are rows of their own. Other columns are not read.
+The index is partitioned by blocks of documents (about a megabyte of text, whole documents). A block has a row with its documents and
+number of words of each, its distinct words as sorted hashes, and for each word the list of its places in the block. It is made
+once, from the documents alone, and any set of phrases can be searched in it. Search takes, in each block, the phrases of which
+the block has every term; it goes from the list of a phrase's rarest term in the block, shifted by the term's offset,
+and intersects it with the shifted lists of the other terms, from the rarest on, at most EXPANDED candidates at a time. Phrases
+(exact) need every term at its offset within one document; proximity matches need all terms within a stretch of the phrase's
+length and `slop` further words, in any order.
+
+The distinct phrases are made on the executors and kept as a table. A search broadcasts them, so of more than PASS_PHRASES
+they are searched in passes over the index, each for one part of the table by the phrases' hash, and the passes' matches are merged by
+row. The driver holds one pass's phrases at a time, as arrays. Nothing of the documents is collected.
+
+Words: A-Z are lower-cased, then runs of characters other than ASCII non-alphanumerics. They are compared by the 64-bit hashes
+of common.span_hashes, which are exact for words of up to 7 bytes; for two given longer words they are equal with probability 2**-64. Defined
+results: null or empty texts have no words and no hits; items without words give no phrase; items that repeat an item_id
+are searched each and reported under that id; items without an id are searched, and their hits count but name no item; repeated
+doc_ids are rows of their own. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,40 +29,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, U64, Words, materialize, text_slices
+from .common import BROADCAST_ROWS, U64, Words, materialize, repeats, text_slices
 
 WINDOW = 10
-MAX_PHRASES = 2_000_000
-PASS_PHRASES = 250_000
+PASS_PHRASES, EXPANDED = 250_000, 1 << 20
 
 
 @dataclass
 class Phrases:
-    """Distinct windows of the items as rows of term numbers; terms are sorted word hashes."""
+    """Distinct windows of items as rows of term numbers (-1 after the last); terms are sorted word hashes."""
 
-    terms: np.ndarray  # hashes, sorted
-    windows: list[np.ndarray]  # term numbers of each window
-    items: list[list[str]]  # ids of the items that have it
-
-
-def phrases(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW, max_phrases: int = MAX_PHRASES) -> Phrases:
-    """The windows of `width` consecutive words of each item; a shorter item is one window."""
-    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    found: dict[tuple[int, ...], set[str]] = {}
-    for row in rows.toLocalIterator():
-        for _, data, offs in text_slices(pa.array([row.t], pa.string())):
-            h = Words(data, offs).hashes().tolist()
-            n = min(width, len(h))
-            for k in range(len(h) - n + 1 if h else 0):
-                found.setdefault(tuple(h[k : k + n]), set()).update([row.i] if row.i is not None else [])
-        if len(found) > max_phrases:
-            raise ValueError(f"more than {max_phrases} distinct phrases: search the items in several calls")
-    terms = np.unique(np.array([x for w in found for x in w], dtype=U64))
-    return Phrases(terms, [np.searchsorted(terms, np.array(w, dtype=U64)) for w in found], [sorted(v) for v in found.values()])
+    terms: np.ndarray
+    windows: np.ndarray  # phrase by offset
+    length: np.ndarray
+    items: pa.ListArray  # ids of the items that have it
 
 
 def phrase_table(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """The distinct windows of phrases() with the ids of their items: w (word hashes), items."""
+    """The distinct windows of `width` consecutive words of the items with the ids of their items: w (word hashes), items. A shorter item is one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,252 +69,224 @@ def phrases_of(table: DataFrame) -> Phrases:
     """The rows of a part of phrase_table()."""
     got = table.select("w", "items").toArrow().combine_chunks()
     if not got.num_rows:
-        return Phrases(np.zeros(0, U64), [], [])
+        return Phrases(np.zeros(0, U64), np.zeros((0, 1), np.int64), np.zeros(0, np.int64), pa.array([], pa.list_(pa.string())))
     w = got.column("w").combine_chunks()
     terms, number = np.unique(np.asarray(w.flatten()).astype(np.int64).view(U64), return_inverse=True)
-    ends = np.cumsum(np.asarray(w.value_lengths()))
-    return Phrases(terms, np.split(number, ends[:-1]), got.column("items").to_pylist())
-
-
-def term_numbers(hashes: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """Number of each word among the terms, or -1."""
-    if not len(terms):
-        return np.full(len(hashes), -1, dtype=np.int64)
-    # a small table on the top bits answers most words that are no term
-    at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
-    return np.where(terms[at] == hashes, at, -1)
+    length = np.asarray(w.value_lengths()).astype(np.int64)
+    windows = np.full((len(length), int(length.max())), -1, dtype=np.int32)
+    windows[np.arange(windows.shape[1]) < length[:, None]] = number
+    return Phrases(terms, windows, length, got.column("items").combine_chunks())
 
 
-class TermTable:
-    """Hash table from word hash to term number, for fast lookup of a slice's words."""
+# ---------------------------------------------------------------- the index
 
-    def __init__(self, terms: np.ndarray):
-        self.terms = terms
-        self.mask = U64((1 << max(10, int(np.ceil(np.log2(8 * max(1, len(terms))))))) - 1)
-        self.maybe = np.zeros(int(self.mask) + 1, dtype=bool)
-        self.maybe[(terms & self.mask).astype(np.int64)] = True
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), -1, dtype=np.int32)
-        near = np.flatnonzero(self.maybe[(hashes & self.mask).astype(np.int64)])
-        out[near] = term_numbers(hashes[near], self.terms)
-        return out
+POSTINGS = "docs array<long>, n_words array<int>, terms array<long>, ends array<int>, places array<int>"
 
 
-def document_frequencies(docs: DataFrame, terms: np.ndarray, text_col: str = "text") -> np.ndarray:
-    """In how many documents each term occurs, over all documents. Tasks send one row per term they met."""
-    cast = docs.sparkSession.sparkContext.broadcast(terms)
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stored postings, one row per block: block, docs, n_words, terms (sorted), ends (of each term's part of places) and places.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = TermTable(cast.value), np.zeros(len(cast.value), dtype=np.int64)
-        for batch in batches:
-            for _, data, offs in text_slices(batch.column(0)):
-                w = Words(data, offs)
-                number = table.numbers(w.hashes())
-                at = np.flatnonzero(number >= 0)
-                owner = np.searchsorted(w.bounds, at, side="right") - 1
-                pair = np.unique(owner * len(total) + number[at])
-                total += np.bincount(pair % len(total), minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["term", "df"])
-
-    out = np.zeros(len(terms), dtype=np.int64)
-    if not len(terms):
-        return out
-    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    for r in counts.toLocalIterator():  # at most one row for each term of the phrases
-        out[r.term] = r.df
-    return out
-
-
-class Plan:
-    """Search order of each phrase: its offsets from the rarest term on."""
-
-    def __init__(self, ph: Phrases, df: np.ndarray):
-        n, width = len(ph.windows), max(map(len, ph.windows), default=0)
-        self.terms, self.length = ph.terms, np.array([len(w) for w in ph.windows], dtype=np.int64)
-        self.term = np.full((n, width), -2, dtype=np.int64)
-        self.offset = np.zeros((n, width), dtype=np.int64)
-        for i, w in enumerate(ph.windows):
-            order = np.lexsort((np.arange(len(w)), df[w]))
-            self.term[i, : len(w)], self.offset[i, : len(w)] = w[order], order
-        by = np.argsort(self.term[:, 0], kind="stable") if n else np.zeros(0, np.int64)
-        self.term, self.offset, self.length, self.number = self.term[by], self.offset[by], self.length[by], by
-        self.items = [ph.items[i] for i in by]
-        anchors = self.term[:, 0] if n else np.zeros(0, np.int64)
-        self.first = np.searchsorted(anchors, np.arange(len(ph.terms) + 1))
-        self.is_anchor = np.diff(self.first) > 0
-        self.width = width
-
-
-def build_index(docs: DataFrame, plan: Plan, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored postings: doc_id, n_words, terms, positions (sorted by term, then position). One row per document.
-
-    slop: how many words further than a phrase's length from an anchor terms are kept, for proximity().
+    A place is the number of a word among all words of its block, so those of one document are consecutive.
     """
-    cast = docs.sparkSession.sparkContext.broadcast((plan.terms, plan.is_anchor, plan.width + slop))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, is_anchor, width = cast.value
-        table = TermTable(terms)
         for batch in batches:
             for row, data, offs in text_slices(batch.column(1)):
                 w = Words(data, offs)
-                n, number = len(offs) - 1, table.numbers(w.hashes())
-                anchor = np.flatnonzero(number >= 0)
-                anchor = anchor[is_anchor[number[anchor]]] if len(terms) else anchor
-                near = np.zeros(len(number) + 1, dtype=np.int64)
-                np.add.at(near, np.maximum(anchor - width + 1, 0), 1)
-                np.add.at(near, np.minimum(anchor + width, len(number)), -1)
-                keep = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (number >= 0))
-                owner = np.searchsorted(w.bounds, keep, side="right") - 1
-                order = np.lexsort((keep, number[keep], owner))
-                keep, owner = keep[order], owner[order]
-                bounds = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-                position = (keep - w.bounds[owner]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, n), pa.array(np.diff(w.bounds).astype(np.int64)), pa.ListArray.from_arrays(bounds, pa.array(number[keep].astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(position))],
-                    names=["doc_id", "n_words", "terms", "positions"],
-                )
+                h = w.hashes().view(np.int64)
+                place = np.argsort(h, kind="stable")
+                first = np.flatnonzero(np.append(True, h[place[1:]] != h[place[:-1]])) if len(h) else place
+                ends = np.append(first[1:], len(h)) if len(h) else first
+                ids = pa.ListArray.from_arrays(pa.array([0, len(offs) - 1], pa.int32()), batch.column(0).slice(row, len(offs) - 1))
+                lists = [_one_list(x) for x in (np.diff(w.bounds).astype(np.int32), h[place[first]], ends.astype(np.int32), place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([ids, *lists], names=["docs", "n_words", "terms", "ends", "places"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "doc_id long, n_words long, terms array<int>, positions array<int>"), "postings")
+    return materialize(rows.mapInArrow(run, POSTINGS).withColumn("block", F.monotonically_increasing_id()), "postings")
+
+
+def _one_list(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
+
+
+class Block:
+    """One row of the index, with the phrases' terms found in it."""
+
+    def __init__(self, row: dict, ph: Phrases):
+        self.n_words = np.asarray(row["n_words"].values).astype(np.int64)
+        self.bounds = np.append(0, np.cumsum(self.n_words))
+        terms = np.asarray(row["terms"].values).astype(np.int64)
+        ends = np.append(0, np.asarray(row["ends"].values)).astype(np.int64)
+        self.places = np.asarray(row["places"].values).astype(np.int64)
+        self.span = len(self.places) + ph.windows.shape[1] + 1
+        # the block's terms are in the order of signed numbers, those of the phrases in that of unsigned ones
+        want = ph.terms.view(np.int64)
+        at = np.minimum(np.searchsorted(terms, want), max(0, len(terms) - 1))
+        here = terms[at] == want if len(terms) else np.zeros(len(want), bool)
+        self.start, self.end = np.where(here, ends[at], 0), np.where(here, ends[np.minimum(at + 1, len(ends) - 1)], 0)
+        self.df = self.end - self.start
+        # term and place of each posting as one sorted number, for the phrases' terms alone
+        chosen = np.flatnonzero(self.df)
+        size = self.df[chosen]
+        self.code = np.repeat(chosen, size) * self.span + self.places[np.arange(size.sum()) + np.repeat(self.start[chosen] - (np.cumsum(size) - size), size)]
+
+    def owner(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, place, side="right") - 1
+
+    def plans(self, ph: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of which the block has every term, and the offsets of each from its rarest term on."""
+        if not len(ph.windows) or not len(self.code):
+            return np.zeros(0, np.int64), np.zeros((0, 1), np.int64)
+        df = np.append(self.df, np.iinfo(np.int64).max)[ph.windows]  # -1 takes the last
+        alive = np.flatnonzero((df > 0).all(axis=1))
+        return alive, np.argsort(df[alive], axis=1, kind="stable")
+
+    def has(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        want = term * self.span + place
+        return self.code[np.minimum(np.searchsorted(self.code, want), len(self.code) - 1)] == want
+
+    def exact(self, ph: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first word, phrase) of every occurrence."""
+        alive, order = self.plans(ph)
+        starts, phrases = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        many = self.df[ph.windows[alive, order[:, 0]]] if len(alive) else np.zeros(0, np.int64)
+        part = np.cumsum(many) // EXPANDED
+        for k in np.unique(part):
+            rows = np.flatnonzero(part == k)
+            # a term with very many places is taken in stretches of them
+            longest = int(many[rows].max())
+            for low in range(0, longest, EXPANDED):
+                size = np.clip(many[rows] - low, 0, EXPANDED)
+                row = np.repeat(rows, size)
+                anchor = ph.windows[alive[row], order[row, 0]]
+                within = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + low
+                start = self.places[self.start[anchor] + within] - order[row, 0]
+                p = alive[row]
+                ok = (start >= 0) & (start + ph.length[p] <= len(self.places))
+                start, row, p = start[ok], row[ok], p[ok]
+                ok = self.owner(start) == self.owner(start + ph.length[p] - 1)
+                start, row, p = start[ok], row[ok], p[ok]
+                for j in range(1, ph.windows.shape[1]):
+                    off = order[row, j]
+                    ok = self.has(ph.windows[p, off], start + off) | (j >= ph.length[p])
+                    start, row, p = start[ok], row[ok], p[ok]
+                    if not len(row):
+                        break
+                starts.append(start)
+                phrases.append(p)
+        return np.concatenate(starts), np.concatenate(phrases)
+
+    def near(self, ph: Phrases, slop: int) -> list[tuple[int, int, int]]:
+        """(document, phrase, first place) of the first stretch of length + slop words that has all terms of a phrase."""
+        alive, order = self.plans(ph)
+        out = []
+        for p, by in zip(alive.tolist(), order, strict=True):
+            terms, reach, seen = np.unique(ph.windows[p, : ph.length[p]]), int(ph.length[p]) + slop, set()
+            rare = ph.windows[p, by[0]]
+            for anchor in self.places[self.start[rare] : self.end[rare]].tolist():
+                doc = int(self.owner(np.array([anchor]))[0])
+                if doc in seen:
+                    continue
+                low, high = max(self.bounds[doc], anchor - reach + 1), self.bounds[doc + 1]
+                starts = np.concatenate([self._between(t, low, anchor + 1) for t in terms])
+                for first in np.sort(starts).tolist():
+                    if all(len(self._between(t, first, min(high, first + reach))) for t in terms):
+                        out.append((doc, p, first - int(self.bounds[doc])))
+                        seen.add(doc)
+                        break
+        return out
 
+    def _between(self, term: int, low: int, high: int) -> np.ndarray:
+        own = self.places[self.start[term] : self.end[term]]
+        return own[np.searchsorted(own, low) : np.searchsorted(own, high)]
 
-def _match(plan: Plan, code: np.ndarray, owner: np.ndarray, term: np.ndarray, pos: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(posting of the anchor, phrase) pairs where each term's list, shifted by its offset, meets the anchor's.
 
-    code: owner, term and position of each posting as one sorted number; span: its positions' range.
-    """
-    at = np.flatnonzero(plan.is_anchor[term]) if len(term) else np.zeros(0, np.int64)
-    many = plan.first[term[at] + 1] - plan.first[term[at]]
-    phrase = np.repeat(plan.first[term[at]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    at = np.repeat(at, many)
-    for k in range(plan.width):
-        start = pos[at] - plan.offset[phrase, 0]
-        if k == 0:
-            ok = start >= 0
-        else:
-            want = (owner[at] * len(plan.terms) + plan.term[phrase, k]) * span + start + plan.offset[phrase, k]
-            i = np.minimum(np.searchsorted(code, want), len(code) - 1)
-            ok = (code[i] == want) | (plan.length[phrase] <= k)
-        at, phrase = at[ok], phrase[ok]
-        if not len(at):
-            break
-    return at, phrase
-
-
-def search(index: DataFrame, plan: Plan) -> DataFrame:
-    """Exact phrase matches: doc_id, n_words, n_hit, n_phrases, items (sorted item ids), spans (merged [start, end) of hit words)."""
-    cast = index.sparkSession.sparkContext.broadcast(plan)
+def _blocks(batches: Iterator[pa.RecordBatch], ph: Phrases) -> Iterator[tuple[int, pa.Array, Block]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i] for name in ("n_words", "terms", "ends", "places")}
+            yield batch.column("block")[i].as_py(), batch.column("docs")[i].values, Block(row, ph)
+
+
+MATCHES = "block long, nth int, doc_id long, n_words long, n_hit long, n_phrases long, items array<string>, span_starts array<int>, span_ends array<int>"
+
+
+def search(index: DataFrame, ph: Phrases) -> DataFrame:
+    """Exact phrase matches, a row for each document: block and nth (its place in the index), doc_id, n_words, n_hit, n_phrases, items (sorted item ids), spans (merged [start, end) of hit words)."""
+    cast = index.sparkSession.sparkContext.broadcast(ph)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p: Plan = cast.value
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                yield _search_rows(batch.slice(k, 512), p)
-
-    return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_phrases long, items array<string>, span_starts array<int>, span_ends array<int>")
-
-
-def _search_rows(batch: pa.RecordBatch, p: Plan) -> pa.RecordBatch:
-    n = batch.num_rows
-    lists = batch.column(2)
-    sizes = np.diff(np.asarray(lists.offsets))
-    term = np.asarray(lists.flatten()).astype(np.int64)
-    pos = np.asarray(batch.column(3).flatten()).astype(np.int64)
-    owner = np.repeat(np.arange(n), sizes)
-    span = int(pos.max()) + p.width + 1 if len(pos) else 1
-    code = (owner * max(1, len(p.terms)) + term) * span + pos
-    at, phrase = _match(p, code, owner, term, pos, span)
+        p: Phrases = cast.value
+        for block, ids, b in _blocks(batches, p):
+            start, phrase = b.exact(p)
+            yield _match_rows(block, ids, b, p, start, phrase)
+
+    return index.mapInArrow(run, MATCHES)
+
+
+def _match_rows(block: int, ids: pa.Array, b: Block, ph: Phrases, start: np.ndarray, phrase: np.ndarray) -> pa.RecordBatch:
+    n = len(ids)
     items: list[list[str]] = [[] for _ in range(n)]
     hit, count = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     starts: list[list[int]] = [[] for _ in range(n)]
     ends: list[list[int]] = [[] for _ in range(n)]
-    if len(at):
-        who = owner[at]
-        a = pos[at] - p.offset[phrase, 0]
-        order = np.lexsort((a, who))
-        who, a, b, phrase = who[order], a[order], (a + p.length[phrase])[order], phrase[order]
-        for d in np.unique(who):
-            i, j = np.searchsorted(who, [d, d + 1])
-            items[d] = sorted({x for q in np.unique(phrase[i:j]).tolist() for x in p.items[q]})
-            count[d] = j - i
-            reach = np.maximum.accumulate(b[i:j])
-            new = np.concatenate([[True], a[i + 1 : j] > reach[:-1]])
-            first = np.flatnonzero(new)
-            starts[d] = a[i:j][first].tolist()
-            ends[d] = reach[np.append(first[1:] - 1, j - i - 1)].tolist()
-            hit[d] = sum(ends[d]) - sum(starts[d])
+    order = np.argsort(start, kind="stable")
+    start, phrase = start[order], phrase[order]
+    owner = b.owner(start)
+    for d in np.unique(owner).tolist():
+        i, j = np.searchsorted(owner, [d, d + 1])
+        begin = start[i:j] - b.bounds[d]
+        reach = np.maximum.accumulate(begin + ph.length[phrase[i:j]])
+        first = np.flatnonzero(np.append(True, begin[1:] > reach[:-1]))
+        starts[d], ends[d] = begin[first].tolist(), reach[np.append(first[1:] - 1, j - i - 1)].tolist()
+        items[d] = sorted(set(ph.items.take(pa.array(np.unique(phrase[i:j]))).flatten().to_pylist()))
+        count[d], hit[d] = j - i, sum(ends[d]) - sum(starts[d])
+    lists = [pa.array(items, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))]
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), batch.column(1), pa.array(hit), pa.array(count), pa.array(items, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))],
-        names=["doc_id", "n_words", "n_hit", "n_phrases", "items", "span_starts", "span_ends"],
+        [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(b.n_words), pa.array(hit), pa.array(count), *lists],
+        names=["block", "nth", "doc_id", "n_words", "n_hit", "n_phrases", "items", "span_starts", "span_ends"],
     )
 
 
-def proximity(index: DataFrame, plan: Plan, slop: int) -> DataFrame:
-    """Phrases of which every term lies within plan.width + slop words of an anchor, in any order: doc_id, phrase, position, items.
-
-    The index must have been built with at least this slop.
-    """
-    cast = index.sparkSession.sparkContext.broadcast(plan)
+def proximity(index: DataFrame, ph: Phrases, slop: int) -> DataFrame:
+    """Documents that have all terms of a phrase within its length and slop further words, in any order: doc_id, phrase, position (of the first such stretch), items."""
+    cast = index.sparkSession.sparkContext.broadcast(ph)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p: Plan = cast.value
-        for batch in batches:
-            out: list[tuple] = []
-            for r in range(batch.num_rows):
-                term, pos = (np.asarray(batch.column(c)[r].values).astype(np.int64) for c in (2, 3))
-                for i in np.flatnonzero(p.is_anchor[term]) if len(term) else ():
-                    for q in range(p.first[term[i]], p.first[term[i] + 1]):
-                        reach = int(p.length[q]) - 1 + slop
-                        lo, hi = pos[i] - reach, pos[i] + reach
-                        if all(_within(term, pos, t, lo, hi) for t in p.term[q, 1 : p.length[q]]):
-                            out.append((batch.column(0)[r].as_py(), int(p.number[q]), int(pos[i]), p.items[q]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())))], names=["doc_id", "phrase", "position", "items"]
-            )
+        p: Phrases = cast.value
+        for _, ids, b in _blocks(batches, p):
+            out = [(ids[d].as_py(), q, at, p.items[q].as_py()) for d, q, at in b.near(p, slop)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())))], names=["doc_id", "phrase", "position", "items"])
 
     return index.mapInArrow(run, "doc_id long, phrase long, position long, items array<string>")
 
 
-def _within(term: np.ndarray, pos: np.ndarray, t: int, lo: int, hi: int) -> bool:
-    i, j = np.searchsorted(term, [t, t + 1])
-    return bool(np.searchsorted(pos[i:j], hi, side="right") > np.searchsorted(pos[i:j], lo))
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, pass_phrases: int = PASS_PHRASES, id_col: str = "doc_id") -> DataFrame:
+    """Exact phrase matches of every item's windows in every document: doc_id, n_words, n_hit, n_phrases, items, span_starts, span_ends."""
+    return find(build_index(docs, id_col), items, width, pass_phrases)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, pass_phrases: int = PASS_PHRASES) -> DataFrame:
-    """Exact phrase matches of every item's windows in every document (columns as search())."""
+def find(index: DataFrame, items: DataFrame, width: int = WINDOW, pass_phrases: int = PASS_PHRASES) -> DataFrame:
+    """The same from an index that is there."""
     table = materialize(phrase_table(items, width=width), "phrases")
     passes = max(1, -(-table.count() // pass_phrases))
-
-    def found(rows: DataFrame, part: DataFrame, id_col: str) -> DataFrame:
-        ph = phrases_of(part)
-        plan = Plan(ph, document_frequencies(rows, ph.terms))
-        return search(build_index(rows, plan, id_col=id_col), plan)
-
+    columns = ("n_hit", "n_phrases", "items", "span_starts", "span_ends")
     if passes == 1:
-        return found(docs, table, "doc_id")
-    # rows get a key of their own, as ids may repeat; written, so that it is the same in every pass
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")), "rows")
-    hits = size = None
+        return search(index, phrases_of(table)).select("doc_id", "n_words", *columns)
+    hits = every = None
     for k in range(passes):
-        got = materialize(found(rows, table.where(F.pmod(F.xxhash64("w"), F.lit(passes)) == k), "row").withColumnRenamed("doc_id", "row"), "pass")
-        size = got.select("row", "n_words") if size is None else size
-        hit = got.where("n_hit > 0").drop("n_words")
+        got = materialize(search(index, phrases_of(table.where(F.pmod(F.xxhash64("w"), F.lit(passes)) == k))), "pass")
+        every = got.select("block", "nth", "doc_id", "n_words") if every is None else every
+        hit = got.where("n_hit > 0").select("block", "nth", *columns)
         hits = hit if hits is None else hits.unionAll(hit)
-    return rows.select("row", "doc_id").join(size, "row").join(merged(hits), "row", "left").select(
-        "doc_id",
-        "n_words",
-        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("n_phrases", F.lit(0).cast("long")).alias("n_phrases"),
-        *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("items", "array<string>"), ("span_starts", "array<int>"), ("span_ends", "array<int>"))],
-    )
+    zero = F.lit(0).cast("long")
+    none = {"n_hit": zero, "n_phrases": zero, "items": F.array().cast("array<string>"), "span_starts": F.array().cast("array<int>"), "span_ends": F.array().cast("array<int>")}
+    return every.join(merged(hits), ["block", "nth"], "left").select("doc_id", "n_words", *[F.coalesce(c, v).alias(c) for c, v in none.items()])
 
 
 def merged(hits: DataFrame) -> DataFrame:
-    """One row for each row key of the passes' matches: items and spans united."""
-    lists = hits.groupBy("row").agg(
+    """One row for each document of the passes' matches: items and spans united."""
+    lists = hits.groupBy("block", "nth").agg(
         F.sum("n_phrases").alias("n_phrases"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.sort_array(F.flatten(F.collect_list(F.arrays_zip(F.col("span_starts").alias("a"), F.col("span_ends").alias("b"))))).alias("spans"),
@@ -340,11 +297,11 @@ def merged(hits: DataFrame) -> DataFrame:
     ).otherwise(F.concat(done, F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))))
     spans = lists.withColumn("spans", F.aggregate("spans", F.array().cast("array<struct<a:int,b:int>>"), grown))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["b"] - s["a"]).cast("long"))
-    return spans.select("row", n_hit.alias("n_hit"), "n_phrases", "items", F.col("spans.a").alias("span_starts"), F.col("spans.b").alias("span_ends"))
+    return spans.select("block", "nth", n_hit.alias("n_hit"), "n_phrases", "items", F.col("spans.a").alias("span_starts"), F.col("spans.b").alias("span_ends"))
 
 
 def match_digests(matches: DataFrame) -> DataFrame:
-    """The per-document digest columns of search()'s matches."""
+    """The per-document digest columns of the matches."""
     return matches.select(
         "doc_id",
         "n_words",
@@ -355,11 +312,16 @@ def match_digests(matches: DataFrame) -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no phrase of the items. Rows that share a doc_id go together; rows without one stay."""
-    hit = materialize(decontaminate(docs, items, width).where("n_hit > 0").select("doc_id").distinct(), "hit")
+def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no phrase of the items. Each row is judged by its own text: where ids repeat or lack, rows get a key of their own, and are written with it."""
+    own = id_col
+    rows = docs
+    if repeats(docs.select(id_col), id_col) or docs.where(F.col(id_col).isNull()).limit(1).count():
+        own = "__row"
+        rows = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    hit = materialize(decontaminate(rows, items, width, id_col=own).where("n_hit > 0").select(F.col("doc_id").alias(own)), "hit")
     n = hit.limit(BROADCAST_ROWS + 1).count()
-    return docs.join(F.broadcast(hit) if n <= BROADCAST_ROWS else hit, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(F.broadcast(hit) if n <= BROADCAST_ROWS else hit, own, "left_anti").select(*docs.columns)
 
 
 ORACLE = """
