@@ -12,8 +12,10 @@ Every candidate pair is verified on the multisets themselves; verified links mak
 
 Defined results: null or empty texts, and texts without words, match only texts that are equal byte for byte (null
 equals empty). Texts with fewer than five words have one shingle of all their words. Rows that repeat a doc_id are
-kept as rows and judged by their own text. A null doc_id gets a null class. Columns other than the id and text
-columns are not read. An empty table gives an empty result.
+kept as rows and judged by their own text: each different multiset is a node of its own, whatever ids it has, and a class
+is named by the least doc_id in it (two classes with different texts of one doc_id may bear the same name). The result does not depend
+on the order of rows. A null doc_id gets a null class and links nothing. Columns other than the id and text columns are not read.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import U64, Words, materialize, mix, semi_join_ids, shingle_hashes, text_slices
+from .common import BROADCAST_ROWS, U64, Words, materialize, mix, repeats, semi_join_ids, shingle_hashes, text_slices
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -104,6 +107,25 @@ def multiset(col: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray],
         yield row, sorted_shingles(w.hashes(), w.bounds, width), data, offs
 
 
+def digests(sets: list[np.ndarray], data: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """What equal multisets share, and without shingles equal texts."""
+    return [hashlib.blake2b(s.tobytes() if len(s) else b"text:" + data[offs[i] : offs[i + 1]].tobytes(), digest_size=16).digest() for i, s in enumerate(sets)]
+
+
+def with_digest(df: DataFrame, width: int, text_col: str = "text") -> DataFrame:
+    """df and its texts' digests in the column __digest."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[bytes] = []
+            for _, sets, data, offs in multiset(batch.column(at).cast(pa.string()), width):
+                found += digests(sets, data, offs)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "__digest"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("__digest", BinaryType())]))
+
+
 def _signature_batches(width: int, bands: int, rows: int):
     m = bands * rows
 
@@ -112,10 +134,7 @@ def _signature_batches(width: int, bands: int, rows: int):
             for row, sets, data, offs in multiset(batch.column(1), width):
                 n = len(sets)
                 sizes = np.array([len(s) for s in sets])
-                digest = [
-                    hashlib.blake2b(s.tobytes() if len(s) else b"text:" + data[offs[i] : offs[i + 1]].tobytes(), digest_size=16).digest()
-                    for i, s in enumerate(sets)
-                ]
+                digest = digests(sets, data, offs)
                 flat = np.concatenate(sets) if n else np.zeros(0, U64)
                 owner = np.repeat(np.arange(n), sizes)
                 first = np.ones(len(flat), dtype=bool)
@@ -250,17 +269,21 @@ def near_duplicates(
     bands * rows registers; a pair of similarity s becomes a candidate with probability 1 - (1 - s**rows)**bands,
     0.999997 at 0.8 with the defaults.
     """
+    sig, nodes = _classify(docs, id_col, text_col, width, threshold, bands, rows, bucket_pairs)
+    named = nodes.select("digest", "copy_of", "class_id")
+    # written first, so that both sides of the join come from plain exchanges and a digest with very many copies can be split
+    out = sig.select("doc_id", "digest").join(materialize(named, "classes"), "digest", "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("copy_of")).alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+
+
+def _classify(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, bands: int, rows: int, bucket_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' signatures, and the nodes: digest, copy_of (its least doc_id), class_id (its class's), first (whether it is the class's first, by doc_id and digest)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = materialize(texts.mapInArrow(_signature_batches(width, bands, rows), "doc_id long, digest binary, weight long, bands array<long>"), "signatures")
-    # one representative for each multiset: min() combines on the map side, however many copies there are
-    reps = sig.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    rep_bands = (
-        sig.where("doc_id is not null and size(bands) > 0")
-        .groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "bands")).alias("x"))
-        .select(F.col("x.doc_id").alias("rep"), F.explode("x.bands").alias("key"))
-    )
-    rep_bands = materialize(rep_bands, "bands")
+    # one node for each multiset: min() combines on the map side, however many copies there are
+    reps = sig.where("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
+    reps = materialize(reps.select("digest", F.col("x.doc_id").alias("rep_id"), F.col("x.bands").alias("bands")).withColumn("rep", F.monotonically_increasing_id()), "nodes")
+    rep_bands = reps.where("size(bands) > 0").select("rep", F.explode("bands").alias("key"))
     shared = rep_bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(rep_bands.join(shared, "key"), "buckets")
 
@@ -276,9 +299,8 @@ def near_duplicates(
     stars = large.where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
     pairs = materialize(pairs.union(stars).distinct(), "pairs")
 
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    copies = texts.dropDuplicates(["doc_id"]) if _repeats(texts) else texts
-    chosen = materialize(semi_join_ids(copies.where("doc_id is not null"), named, "doc_id"), "texts")
+    named = materialize(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), "named")
+    chosen = materialize(_texts_of(texts, sig, semi_join_ids(reps.select("rep", "digest", "rep_id"), named, "rep"), width), "texts")
     links = materialize(verify(pairs, chosen, width).where(F.col("similarity") >= threshold).select("a", "b"), "links")
     classes = components(links)
 
@@ -293,23 +315,41 @@ def near_duplicates(
         if found.limit(1).count():
             classes = components(links.union(found))
 
-    rep_class = reps.join(classes, reps["rep"] == classes["doc_id"], "left").select("digest", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"))
-    # written first, so that both sides of the join come from plain exchanges and a digest with very many copies can be split
-    out = sig.select("doc_id", "digest").join(materialize(rep_class, "classes"), "digest", "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("copy_of")).alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    # numbers of nodes carry no order of documents: a class is named by its least doc_id
+    known = materialize(reps.select("digest", "rep_id", "rep").join(classes.select(F.col("doc_id").alias("rep"), F.col("class_id").alias("class")), "rep", "left").withColumn("class", F.coalesce("class", "rep")), "known")
+    heads = known.groupBy("class").agg(F.min(F.struct("rep_id", "digest")).alias("h"))
+    nodes = known.join(materialize(heads, "heads"), "class")
+    return sig, nodes.select("digest", F.col("rep_id").alias("copy_of"), F.col("h.rep_id").alias("class_id"), (F.col("h.digest") == F.col("digest")).alias("first"))
 
 
-def _repeats(texts: DataFrame) -> bool:
-    return texts.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
+def _texts_of(texts: DataFrame, sig: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """One text (doc_id: the node's number, text) of each wanted node (rep, digest, rep_id)."""
+    near = semi_join_ids(texts.where("doc_id is not null"), wanted.select(F.col("rep_id").alias("doc_id")).distinct(), "doc_id")
+    if not repeats(sig.where("doc_id is not null").select("doc_id"), "doc_id"):
+        return near.join(wanted.select(F.col("rep_id").alias("doc_id"), "rep"), "doc_id").select(F.col("rep").alias("doc_id"), "text")
+    own = with_digest(near, width).withColumnRenamed("__digest", "digest").withColumnRenamed("doc_id", "rep_id")
+    return own.join(wanted, ["rep_id", "digest"]).groupBy(F.col("rep").alias("doc_id")).agg(F.min("text").alias("text"))
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with all their columns, that are the first of their class. Of rows that repeat a doc_id one stays; rows without one all do."""
-    classes = near_duplicates(docs, **options)
-    first = materialize(classes.where("doc_id = class_id").select("doc_id").distinct(), "first")
-    known = docs.where("doc_id is not null")
-    kept = semi_join_ids(known.dropDuplicates(["doc_id"]) if _repeats(known) else known, first, "doc_id")
-    return kept.unionByName(docs.where("doc_id is null"))
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their class: one row for each class, with its least doc_id.
+
+    Where ids repeat, rows are told apart by their texts' digests, and of rows with the same id and digest one stays, the
+    first by a hash of its columns. Rows without an id all stay.
+    """
+    sig, nodes = _classify(docs, id_col, text_col, width, threshold, bands, rows, bucket_pairs)
+    first = materialize(nodes.where("first").select(F.col("copy_of").alias("__id"), F.col("digest").alias("__digest")), "first")
+    n = first.limit(BROADCAST_ROWS + 1).count()
+    known = docs.where(F.col(id_col).isNotNull()).withColumn("__id", F.col(id_col).cast("long"))
+    if not repeats(sig.where("doc_id is not null").select("doc_id"), "doc_id"):
+        kept = known.join(F.broadcast(first.select("__id")) if n <= BROADCAST_ROWS else first.select("__id"), "__id", "left_semi")
+    else:
+        rows_of = semi_join_ids(known, first.select("__id").distinct(), "__id")
+        rows_of = with_digest(rows_of.withColumn("__text", F.col(text_col).cast("string")), width, "__text").drop("__text")
+        kept = rows_of.join(first, ["__id", "__digest"], "left_semi")
+        every = F.struct(*[F.col(c) for c in docs.columns])
+        kept = kept.groupBy("__id", "__digest").agg(F.min_by(every, F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in docs.columns])).alias("x")).select("x.*")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 ORACLE = """
