@@ -147,7 +147,21 @@ def test_repeated_ids_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "q r s t u v"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.class_id or 0) for r in bagminhash.near_duplicates(df).collect())
     assert got == [(0, 0), (1, 1), (1, 1), (2, 1)]
-    assert sorted(r.doc_id or 0 for r in bagminhash.keep_first(df).collect()) == [0, 1]
+    # the two different texts of document 1 are two classes, so both stay
+    assert sorted((r.doc_id or 0, r.text) for r in bagminhash.keep_first(df).collect()) == [(0, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v")]
+
+
+def test_rows_of_one_id_are_told_apart_in_any_order(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    b = " ".join(f"b{i}" for i in range(60))
+    near = b.replace("b30", "other")
+    rows = [(1, a, "x"), (1, b, "y"), (2, near, "z"), (1, b, "y"), (3, a + " ", "w"), (4, "alone", None)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, other string")
+        got = {(t, r.class_id) for r in bagminhash.near_duplicates(df).collect() for t in [r.doc_id]}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+        assert sorted(map(tuple, bagminhash.keep_first(df).collect()), key=repr) == [(1, a, "x"), (1, b, "y"), (4, "alone", None)]
 
 
 # ---------------------------------------------------------------- op3
@@ -320,13 +334,23 @@ def test_lines_like_brute_force(spark):
         keep = []
         for line in (t or "").split("\n"):
             n = norm(line)
-            if len(n) < line_dedup.MIN_CHARS or not any(abs(len(n) - len(o)) <= 1 and levenshtein(n, o) <= 1 for o in seen):
+            close = n in seen or len(n) >= line_dedup.MIN_CHARS and any(len(o) >= line_dedup.MIN_CHARS and abs(len(n) - len(o)) <= 1 and levenshtein(n, o) <= 1 for o in seen)
+            if not n or not close:
                 keep.append(line)
-            if len(n) >= line_dedup.MIN_CHARS:
+            if n:
                 seen.append(n)
         assert got[i] == "\n".join(keep), i
 
 
+def test_lines_of_rows_with_one_id(spark):
+    lines, other = "this is line one of it\nshort", "another line of some length"
+    rows = [(1, lines), (2, lines), (2, other), (2, lines), (None, "short"), (None, "short"), (1, other)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = sorted((r.doc_id or 0, r.n_lines, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == sorted([(0, 1, "short"), (0, 1, ""), (1, 2, "this is line one of it"), (1, 1, other), (2, 2, ""), (2, 2, ""), (2, 1, "")])
+
+
 # ---------------------------------------------------------------- op6
 
 
@@ -437,33 +461,43 @@ def test_phrases_in_passes_and_without_ids(spark):
     plain = lambda rows: sorted((tuple(x) for x in rows.collect()), key=repr)
     once = plain(phrase_index.decontaminate(df, bench))
     assert len(once) == len(texts) and once == plain(phrase_index.decontaminate(df, bench, pass_phrases=50))
-    ph = phrase_index.phrases(bench)
-    plan = phrase_index.Plan(ph, phrase_index.document_frequencies(df, ph.terms))
-    assert once == plain(phrase_index.search(phrase_index.build_index(df, plan), plan))
+    assert once == plain(phrase_index.find(phrase_index.build_index(df), bench))  # an index that is there serves any items
+    phrase_index.EXPANDED, whole = 64, phrase_index.EXPANDED
+    ph = phrase_index.phrases_of(phrase_index.phrase_table(bench))
+    b = [x for _, _, x in phrase_index._blocks(phrase_index.build_index(df).toArrow().to_batches(), ph)]
+    some = [sorted(zip(*map(np.ndarray.tolist, x.exact(ph)), strict=True)) for x in b]
+    phrase_index.EXPANDED = whole
+    assert some == [sorted(zip(*map(np.ndarray.tolist, x.exact(ph)), strict=True)) for x in b]  # expanded a few at a time
     assert any(x[1:5] == (9, 4, 1, []) for x in once)  # hits without an item's id
 
 
 def test_proximity(spark):
     d = docs(spark, ["one two three four", "four x one y two three", "one two"])
-    ph = phrase_index.phrases(spark.createDataFrame([(7, "two three four one")], "item_id long, text string"))
-    plan = phrase_index.Plan(ph, phrase_index.document_frequencies(d, ph.terms))
-    index = phrase_index.build_index(d, plan, slop=3)
-    assert {r.doc_id for r in phrase_index.proximity(index, plan, 3).collect()} == {0, 1}
-    assert {r.doc_id for r in phrase_index.proximity(index, plan, 0).collect()} == {0}
-    assert phrase_index.search(index, plan).where("n_hit > 0").count() == 0
+    ph = phrase_index.phrases_of(phrase_index.phrase_table(spark.createDataFrame([(7, "two three four one")], "item_id long, text string")))
+    index = phrase_index.build_index(d)
+    assert {r.doc_id for r in phrase_index.proximity(index, ph, 3).collect()} == {0, 1}
+    assert [(r.doc_id, r.position, r["items"]) for r in phrase_index.proximity(index, ph, 0).collect()] == [(0, 0, ["7"])]
+    assert phrase_index.search(index, ph).where("n_hit > 0").count() == 0
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    rows = [(1, "a b c d"), (1, "clean"), (None, "x a b c d"), (None, "y"), (2, "b c")]
+    kept = phrase_index.keep_clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(None, "a b c d")], "item_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, "clean"), (None, "y"), (2, "b c")], key=repr)
 
 
 # ---------------------------------------------------------------- op9, op10
 
 
-@pytest.mark.parametrize("head", [0, 60, 200])
-def test_block_max_search_is_exact(head):
+@pytest.mark.parametrize(("head", "middle", "rare"), [(0, 200, 0), (60, 100, 0), (200, 0, 0), (20, 200, 60)])
+def test_block_max_search_is_exact(monkeypatch, head, middle, rare):
+    monkeypatch.setattr(toxicity, "RARE", rare)
     rng = np.random.default_rng(0)
     n, v = 1500, 200
     code = np.unique(np.repeat(np.arange(n), 8) * v + rng.integers(0, v, n * 8))
     row, term, value = code // v, code % v, rng.random(len(code))
     value /= np.sqrt(np.bincount(row, weights=value**2))[row]
-    index, dense = toxicity.BlockMaxIndex(row, term, value, n, v, head_bytes=4 * n * head), np.zeros((n, v))
+    index, dense = toxicity.BlockMaxIndex(row, term, value, n, v, head_bytes=4 * (n + 31) * head, middle_bytes=4 * 47 * middle), np.zeros((n, v))
     dense[row, term] = value
     asked = []
     for _ in range(100):
@@ -511,5 +545,50 @@ def test_media_round_trip(spark):
         payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         x = got[r.doc_id]
         assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-    payload = np.random.default_rng(0).integers(0, 256, webp.WIDTH * 20, dtype=np.uint8)
-    assert np.array_equal(webp.decode_payload(webp.encode_payload(payload)), payload)
+    rng = np.random.default_rng(0)
+    for n, kinds in ((1, 256), (1, 2), (4, 4), (5, 3), (40, 256), (300, 5)):
+        payload = rng.integers(0, kinds, webp.PAD * n, dtype=np.uint8)
+        for style in range(4):
+            assert np.array_equal(webp.decode(webp.encode(payload, style)).reshape(-1), payload)
+
+
+def test_driver_texts_use_the_whole_format(spark, monkeypatch):
+    """Predictor, cross-colour, green, palette, back-references, cache and codes of several lengths all occur in stored texts."""
+    used = set()
+
+    def watch(name, feature, when=lambda *a: True):
+        inner = getattr(webp, name)
+        monkeypatch.setattr(webp, name, lambda *a: (used.add(feature) if when(*a) else None, inner(*a))[1])
+
+    watch("_unpredict", "predictor", lambda img, modes, bits: len(set(modes.ravel().tolist())) > 1)
+    watch("_uncross", "cross-colour", lambda img, data, bits: data[..., 1:].any())
+    watch("_unindex", "palette")
+    watch("_number", "back-reference")
+    watch("_one_group", "cache", lambda bits, codes, *a: (codes[0].symbols >= 280).any())
+    watch("_one_group", "lengths", lambda bits, codes, *a: len(set(codes[0].lengths[codes[0].symbols].tolist())) > 3)
+    stored = 0
+    for r in spark.read.parquet(f"{DIR}/documents.parquet").collect():
+        raw = (r.text or "").encode()
+        payload = np.frombuffer(raw + b"\xff" * (webp.padded(len(raw)) - len(raw)), np.uint8)
+        files = webp.encode_payload(payload)
+        stored += sum(map(len, files))
+        assert webp.decode_payload([webp.decode(x) for x in files], len(raw)).tobytes() == payload.tobytes()
+    assert used == {"predictor", "cross-colour", "palette", "back-reference", "cache", "lengths"} and stored > 0
+
+
+def test_long_payloads_get_wide_images_and_several_files(monkeypatch):
+    monkeypatch.setattr(webp, "MAX_SIDE", 300)
+    monkeypatch.setattr(webp, "MOST_BYTES", 4 * (300 // webp.WIDTH) * webp.WIDTH * 300)
+    payload = np.random.default_rng(1).integers(0, 7, webp.PAD * 1000, dtype=np.uint8)
+    files = webp.encode_payload(payload)
+    images = [webp.decode(x) for x in files]
+    assert len(files) > 1 and all(max(x.shape[:2]) <= 300 for x in images)
+    assert np.array_equal(webp.decode_payload(images, len(payload)), payload)
+
+
+def test_decode_images_of_one_file_a_row(spark):
+    media = webp.encode(np.arange(webp.PAD * 2, dtype=np.int64).astype(np.uint8))
+    rows = webp.decode_images(spark.createDataFrame([(1, bytearray(media)), (2, None)], "id long, m binary"), "m", ("id",)).orderBy("id").collect()
+    image = rows[0].images[0]
+    assert (image.height, image.width) == (2, webp.WIDTH) and bytes(image.pixels) == np.arange(webp.PAD * 2, dtype=np.int64).astype(np.uint8).tobytes()
+    assert rows[1].images == []
