@@ -6,10 +6,11 @@ the squared smoothed log ratio of the term's rates in the two classes, so a term
 Terms that no labelled example has add nothing to any product; they would only lengthen the document's own vector, by which
 all its cosines are divided alike, so they change neither the order nor the votes.
 
-Examples are ordered by their heaviest term. Each term's postings are cut into blocks of BLOCK examples, and each piece keeps its
-greatest weight. The terms that most examples have (as many as fit HEAD_BYTES) are stored as full rows, and their part of
-the cosine is taken for all examples at once. To a block's best such part a query adds the maxima of its other terms: a bound for every
-block. It scores the blocks of the highest bounds, and then all others whose bound reaches the k-th best cosine so far, so the
+Examples are ordered by their heaviest term and taken in blocks of BLOCK. The terms that most examples have (as many as fit
+HEAD_BYTES) are stored as full rows, whose part of the cosine is taken for all examples at once; the lists of rare terms are added
+whole. The lists in between are cut by block, and each piece keeps its greatest weight: to what a block's best example has so far
+a query adds these maxima, a bound for every block. It scores the blocks of the highest bounds, and then all others whose bound
+reaches the k-th best cosine so far, so the
 result is exact to the rounding of single floats (TIE). The k best examples, and all that tie with the
 k-th, vote by squared cosine. Isotonic regression turns votes into probabilities; its votes come from FOLDS folds, in each
 of which relevance and index are made without the fold's own labels. The nearest examples are returned as evidence.
@@ -38,7 +39,7 @@ from .terms import TermTable, count_terms, document_frequencies
 BEGINNINGS = (4, 6)
 FLOOR, SMOOTHING = 0.05, 5.0
 NEIGHBOURS, BLOCK, FOLDS = 9, 32, 4
-TIE, HEAD_BYTES, BATCH = 2e-6, 16 << 20, 128
+TIE, HEAD_BYTES, MIDDLE_BYTES, RARE, BATCH = 2e-6, 32 << 20, 8 << 20, 48, 128
 
 
 def terms_of(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -67,88 +68,105 @@ def relevance(sample: Sample, rows: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Postings of vectors by term and example, cut where the block of examples changes, with each piece's greatest weight."""
 
-    def __init__(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, n_terms: int, block: int = BLOCK, head_bytes: int = HEAD_BYTES):
+    def __init__(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, n_terms: int, block: int = BLOCK, head_bytes: int = HEAD_BYTES, middle_bytes: int = MIDDLE_BYTES):
         order = np.lexsort((row, term))
         self.row, self.value = row[order].astype(np.int32), value[order].astype(np.float32)
         term = term[order]
         self.n, self.block, self.blocks = n, block, max(1, -(-n // block))
-        piece = self.row // block
-        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (piece[1:] != piece[:-1]))) if len(term) else np.zeros(0, np.int64)
-        self.piece_block = piece[first].astype(np.int32)
-        self.piece_max = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0, np.float32)
-        self.piece_start = np.append(first, len(term)).astype(np.int32)
-        self.term_start = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
-        df = np.bincount(term, minlength=n_terms)
-        most = min(head_bytes // (4 * self.blocks * block), int((df * 32 > n).sum()))
-        self.head = np.sort(np.argsort(-df, kind="stable")[:most])
+        self.term_start = np.searchsorted(term, np.arange(n_terms + 1)).astype(np.int32)
+        df = np.diff(self.term_start)
+        by = np.argsort(-df, kind="stable")
+        head = min(head_bytes // (4 * self.blocks * block), int((df * 128 > n).sum()))
+        middle = min(middle_bytes // (4 * self.blocks), int((df > RARE).sum()) - head)
+        self.head, self.middle = by[:head], np.sort(by[head : head + max(0, middle)])
+
+    @cached_property
+    def tier(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each term: 2 for the head, 1 for those with block maxima, 0 for the rest; and its number in its tier."""
+        kind, number = np.zeros(len(self.term_start) - 1, dtype=np.int8), np.zeros(len(self.term_start) - 1, dtype=np.int32)
+        for k, terms in ((1, self.middle), (2, self.head)):
+            kind[terms], number[terms] = k, np.arange(len(terms))
+        return kind, number
 
     @cached_property
     def rows(self) -> np.ndarray:
         """The head terms' weights in all examples."""
         out = np.zeros((len(self.head), self.blocks * self.block), dtype=np.float32)
         for i, t in enumerate(self.head.tolist()):
-            a, b = self.piece_start[self.term_start[t]], self.piece_start[self.term_start[t + 1]]
+            a, b = self.term_start[t], self.term_start[t + 1]
             out[i, self.row[a:b]] = self.value[a:b]
         return out
 
     @cached_property
-    def head_number(self) -> np.ndarray:
-        out = np.full(len(self.term_start) - 1, -1, dtype=np.int32)
-        out[self.head] = np.arange(len(self.head))
-        return out
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The middle terms by block: greatest weight, first posting, and number of postings."""
+        best = np.zeros((len(self.middle), self.blocks), dtype=np.float32)
+        first, size = np.zeros(best.shape, dtype=np.int32), np.zeros(best.shape, dtype=np.int32)
+        at = _ranges(self.term_start[self.middle], np.diff(self.term_start)[self.middle])
+        who = np.repeat(np.arange(len(self.middle)), np.diff(self.term_start)[self.middle])
+        block = self.row[at] // self.block
+        start = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (block[1:] != block[:-1]))) if len(at) else at
+        if len(at):
+            best[who[start], block[start]] = np.maximum.reduceat(self.value[at], start)
+            first[who[start], block[start]] = at[start]
+            size[who[start], block[start]] = np.diff(np.append(start, len(at)))
+        return best, first, size
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "head_number")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("tier", "rows", "pieces")}
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query (terms, values): examples and products of the k best and of all that equal the k-th, best first."""
         k = min(k, self.n)
+        kind, number = self.tier
         for a in range(0, len(queries), BATCH):
             part = queries[a : a + BATCH]
             dense = np.zeros((len(part), len(self.head)), dtype=np.float32)
-            tails = []
             for i, (term, value) in enumerate(part):
-                at = self.head_number[term]
-                dense[i, at[at >= 0]] = value[at >= 0]
-                tails.append((term[at < 0], value[at < 0]))
-            base = (dense @ self.rows).reshape(len(part), self.blocks, self.block)
-            top = base.max(axis=2)
-            for i, (term, value) in enumerate(tails):
-                yield self._one(term, value.astype(np.float32), base[i].reshape(-1)[: self.n], top[i], k)
-
-    def _one(self, term: np.ndarray, value: np.ndarray, score: np.ndarray, top: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        piece, who = _ranges(self.term_start[term], self.term_start[term + 1])
-        weight, block = value[who], self.piece_block[piece]
-        bound = top + np.bincount(block, weights=weight * self.piece_max[piece], minlength=self.blocks)
-        first = np.argsort(-bound, kind="stable")[: max(4, -(-2 * k // self.block))]
-        visited = np.zeros(self.blocks, dtype=bool)
-        visited[first] = True
-        score = score.astype(np.float64)
-        self._add(score, piece, weight, visited[block])
-        seen = np.concatenate([score[b * self.block : (b + 1) * self.block] for b in first.tolist()])
+                at = kind[term] == 2
+                dense[i, number[term[at]]] = value[at]
+            base = dense @ self.rows
+            for i, (term, value) in enumerate(part):
+                yield self._one(term, value, base[i].astype(np.float64), k)
+
+    def _one(self, term: np.ndarray, value: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        kind, number = self.tier
+        rest, middle = kind[term] == 0, kind[term] == 1
+        start = self.term_start[term[rest]]
+        self._add(score, start, self.term_start[term[rest] + 1] - start, value[rest])
+        row, weight = number[term[middle]], value[middle]
+        best, first, size = self.pieces
+        bound = score.reshape(self.blocks, self.block).max(axis=1) + weight.astype(np.float32) @ best[row]
+        # the blocks of the highest bounds give a k-th best, which rules out most others
+        some = np.argsort(-bound, kind="stable")[: max(4, -(-2 * k // self.block))]
+        self._add_blocks(score, row, weight, some, first, size)
+        seen = (some[:, None] * self.block + np.arange(self.block)).reshape(-1)
+        seen = score[seen[seen < self.n]]
         kth = np.partition(seen, len(seen) - k)[len(seen) - k] if len(seen) >= k else -1.0
-        rest = ~visited & (bound >= kth - TIE)
-        if rest.any():
-            self._add(score, piece, weight, rest[block])
-            visited |= rest
-        at = np.flatnonzero((score >= kth - TIE) & np.repeat(visited, self.block)[: self.n])
-        best = score[at]
-        keep = best >= np.partition(best, len(best) - k)[len(best) - k] - TIE
-        at, best = at[keep], best[keep]
-        order = np.lexsort((at, -best))
-        return at[order], best[order]
-
-    def _add(self, score: np.ndarray, piece: np.ndarray, weight: np.ndarray, take: np.ndarray) -> None:
-        piece, weight = piece[take], weight[take]
-        at, who = _ranges(self.piece_start[piece], self.piece_start[piece + 1])
-        score += np.bincount(self.row[at], weights=self.value[at] * weight[who], minlength=self.n)
-
-
-def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges one after the other, and the range of each."""
-    size = (end - start).astype(np.int64)
-    who = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(who)) + np.repeat(start - (np.cumsum(size) - size), size), who
+        live = bound >= kth - TIE
+        live[some] = False
+        self._add_blocks(score, row, weight, np.flatnonzero(live), first, size)
+        # examples of blocks left out have parts of their scores, which are below the k-th best
+        score = score[: self.n]
+        kth = np.partition(score, self.n - k)[self.n - k]
+        found = np.flatnonzero(score >= kth - TIE)
+        order = np.lexsort((found, -score[found]))
+        return found[order], score[found[order]]
+
+    def _add_blocks(self, score: np.ndarray, row: np.ndarray, weight: np.ndarray, blocks: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        many = size[row[:, None], blocks]
+        i, j = np.nonzero(many)
+        self._add(score, first[row[i], blocks[j]], many[i, j], weight[i])
+
+    def _add(self, score: np.ndarray, start: np.ndarray, size: np.ndarray, weight: np.ndarray) -> None:
+        at = _ranges(start, size)
+        score += np.bincount(self.row[at], weights=self.value[at] * np.repeat(weight, size), minlength=len(score))
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
 class Examples:
