@@ -248,7 +248,13 @@ def is_hidden(path: Column) -> Column:
 
 
 #: Nanometres in a unit.
-NANOMETRES = {"nm": 1.0, "nanometer": 1.0, "um": 1000.0, "µm": 1000.0, "micron": 1000.0, "micrometer": 1000.0, "angstrom": 0.1, "å": 0.1, "a": 0.1, "m": 1e9, "mm": 1e6, "cm": 1e7, "inch": 2.54e7}
+NANOMETRES = {
+    **dict.fromkeys(("nm", "nanometer", "nanometers", "nanometre", "nanometres"), 1.0),
+    **dict.fromkeys(("um", "µm", "μm", "micron", "microns", "micrometer", "micrometers", "micrometre", "micrometres"), 1000.0),
+    **dict.fromkeys(("angstrom", "angstroms", "ångström", "ångströms", "å", "a"), 0.1),
+    **dict.fromkeys(("m", "meter", "meters", "metre", "metres"), 1e9),
+    "mm": 1e6, "cm": 1e7, "inch": 2.54e7,
+}
 
 
 def unit_nm(unit: Column) -> Column:
@@ -315,3 +321,25 @@ def identity(c: Column) -> Column:
 def normal_path(c: Column) -> Column:
     """Forward slashes, no repeats, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "\\\\", "/"), "/+", "/"), "^/|/$", "")
+
+
+def citation_label(study: Column, dataset_id: Column, year: Column, source: Column) -> Column:
+    """X42: 'Name et al., year, source'; the name is the first word of the study without years and 'et al', or of the id in title case."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(study, F.lit("")), "\\b(19|20)\\d{2}\\b", ""), "(?i)\\bet\\s+al\\.?", "")
+    author = F.nullif(F.regexp_extract(F.regexp_replace(bare, "[,\\s]+$", ""), "^\\s*(\\S+)", 1), F.lit(""))
+    head = F.coalesce(F.nullif(F.substring_index(dataset_id, "-", 1), F.lit("")), dataset_id)
+    words = F.filter(F.split(head, "[_\\s]+"), lambda w: w != "")
+    named = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), " ")
+    return F.concat(F.coalesce(author, named), F.lit(" et al., "), year.cast("string"), F.lit(", "), source)
+
+
+def public_data_label(status: Column) -> Column:
+    """X42."""
+    return F.concat(F.lit("Data Publicly Available: "), F.when(status == "complete", "Complete").when(status == "partial", "Partial").otherwise("None indexed"))
+
+
+def voxel_size_label(xy: Column, z: Column, same: Column) -> Column:
+    """Numbers without a trailing '.0'."""
+    plain = lambda c: F.regexp_replace(c.cast("string"), "\\.0$", "")
+    three = F.concat(plain(xy), F.lit(" x "), plain(z), F.lit(" nm voxel size (XY/Z, 3D)"), F.when(F.coalesce(same, F.lit(False)), " isotropic").otherwise(""))
+    return F.when(xy.isNull(), "Unknown").when(z.isNull(), F.concat(plain(xy), F.lit(" nm voxel size (XY)"))).otherwise(three)

@@ -1,4 +1,4 @@
-"""Catalog analytics (A1-A13, O1-O5, F12, F22, R20-R22, X20-X22): long-form results, one scan of the filtered catalog each."""
+"""Catalog analytics (A1-A13, A25, O1-O5, F12, F22, R20-R22, X20-X22): long-form results, one scan of the filtered catalog each."""
 
 from __future__ import annotations
 
@@ -153,23 +153,43 @@ def timeline_families(catalog: DataFrame, spec: FilterSpec | None = None) -> Dat
     return catalog.where(condition(spec or FilterSpec())).groupBy("year", "modality_family").agg(F.count("*").alias("n"))
 
 
+def values_at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column], bins: int = 1024) -> DataFrame:
+    """By group, the values at the given ranks (from 1; Columns over n, the number of known values), exact and in pieces.
+
+    A sketch cuts each group into bins of about equal size; counts of the bins tell in which a rank falls, and only the different values of
+    these bins are ranked. No task ranks more than a bin, and equal values are one row.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(group, F.col(value).alias("_v"))
+    counts = known.groupBy(group, "_v").agg(F.count("*").alias("m"))
+    cuts = known.groupBy(group).agg(F.percentile_approx("_v", [i / bins for i in range(1, bins)], 10_000).alias("_cuts"), F.count("*").alias("n"))
+    binned = counts.join(F.broadcast(cuts.select(F.col(group).alias("_g"), "_cuts")), F.col(group).eqNullSafe(F.col("_g"))).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).select(group, "_bin", "_v", "m")
+    sizes = binned.groupBy(group, "_bin").agg(F.sum("m").alias("s"))
+    upto = F.sum("s").over(Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # bins rows at most
+    wanted = cuts.select(F.col(group).alias("_g"), F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()])).alias("w"))
+    found = sizes.withColumn("_before", upto - F.col("s")).join(F.broadcast(wanted), F.col(group).eqNullSafe(F.col("_g")) & (F.col("w.rank") > F.col("_before")) & (F.col("w.rank") <= F.col("_before") + F.col("s")))
+    found = found.select(F.col(group).alias("_g"), F.col("_bin").alias("_b"), "w.name", (F.col("w.rank") - F.col("_before")).alias("_left"))
+    inside = Window.partitionBy(group, "_bin", "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = binned.join(F.broadcast(found), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bin") == F.col("_b"))).withColumn("_upto", F.sum("m").over(inside))
+    return ranked.where("_upto >= _left").groupBy(group).agg(*[F.min(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in ranks])
+
+
 def benchmarks(catalog: DataFrame, include_borderline: bool = True) -> DataFrame:
     """Count, extremes, discrete median and mean (one decimal) of two measures by modality family."""
+    rows = catalog.where(condition(FilterSpec(include_borderline=include_borderline)))
     aggs = []
-    for column, name in (("lateral_resolution_nm", "resolution"), ("sample_size", "sample")):
-        aggs += [
-            F.count(column).alias(f"{name}_n"), F.min(column).cast("double").alias(f"{name}_min"), F.max(column).cast("double").alias(f"{name}_max"),
-            F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column})").cast("double").alias(f"{name}_median"), F.round(F.avg(column), 1).alias(f"{name}_mean"),
-        ]
-    return catalog.where(condition(FilterSpec(include_borderline=include_borderline))).groupBy("modality_family").agg(F.count("*").alias("records"), *aggs)
+    measures = (("lateral_resolution_nm", "resolution"), ("sample_size", "sample"))
+    for column, name in measures:
+        aggs += [F.count(column).alias(f"{name}_n"), F.min(column).cast("double").alias(f"{name}_min"), F.max(column).cast("double").alias(f"{name}_max"), F.round(F.avg(column), 1).alias(f"{name}_mean")]
+    out = rows.groupBy("modality_family").agg(F.count("*").alias("records"), *aggs)
+    for column, name in measures:
+        median = values_at_ranks(rows, "modality_family", column, {f"{name}_median": F.ceil(F.col("n") / 2)})
+        out = out.join(F.broadcast(median.withColumnRenamed("modality_family", "_family")), F.col("modality_family").eqNullSafe(F.col("_family")), "left").drop("_family").withColumn(f"{name}_median", F.col(f"{name}_median").cast("double"))  # a row for each family
+    return out
 
 
 def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """The upper middle value by group: the value of rank n / 2 + 1, by a count and a ranked histogram of the values."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("m"))
-    order = Window.partitionBy(group).orderBy(value)
-    ranked = counts.withColumn("upto", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.sum("m").over(Window.partitionBy(group)))
-    return ranked.where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(group).agg(F.min(value).alias("upper_median"))
+    """The upper middle value by group: the value of rank n / 2 + 1."""
+    return values_at_ranks(rows, group, value, {"upper_median": F.floor(F.col("n") / 2) + 1})
 
 
 def similar(catalog: DataFrame, target_id: str, limit: int = 4) -> DataFrame:
@@ -182,16 +202,28 @@ def similar(catalog: DataFrame, target_id: str, limit: int = 4) -> DataFrame:
     return rows.withColumn("similarity_score", score).orderBy(F.desc("similarity_score"), F.desc("year"), F.asc("dataset_id")).limit(limit)
 
 
-def compare(catalog: DataFrame, groups: DataFrame) -> DataFrame:
-    """Comparability of the records of each group (group_id, dataset_id), 2 to 8 records a group."""
-    g = catalog.join(groups, "dataset_id").groupBy("group_id")
+#: The summary of each band of comparability.
+COMPARABILITY = {
+    75: "High biological overlap with enough shared structure to justify direct comparison.",
+    50: "Moderate comparability; useful for targeted comparison with technical caveats.",
+    0: "Low direct comparability; treat these datasets as analogs rather than close matches.",
+}
+
+
+def compare(records: DataFrame) -> DataFrame:
+    """Comparability of the records of each group_id, 2 to 8 records a group, in one aggregation.
+
+    Traits of one value count as shared where all records have it; of comparators, all that are known.
+    """
+    g = records.withColumn("comparator_class", F.nullif("comparator_class", F.lit(""))).groupBy("group_id")
+    joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     fields = {"organelles": "organelles", "organelle_pairs": "organelle_pairs", "metric_families": "metric_families"}
     out = g.agg(
         F.count_distinct("cell_type").alias("n_cell"), F.count_distinct("species").alias("n_species"), F.count_distinct("modality_family").alias("n_family"),
         F.count_distinct("comparator_class").alias("n_comparator"), F.count("comparator_class").alias("with_comparator"), F.min("metadata_completeness_score").alias("least"),
         *[F.collect_list(c).alias(f"all_{c}") for c in fields.values()],
-        F.array_join(F.sort_array(F.collect_set("modality")), ",").alias("modalities"), F.array_join(F.sort_array(F.collect_set("sample_size_bucket")), ",").alias("sample_size_buckets"),
-        F.array_join(F.sort_array(F.collect_set("public_data_status")), ",").alias("public_data_statuses"),
+        joined("modality").alias("modalities"), joined("sample_size_bucket").alias("sample_size_buckets"), joined("public_data_status").alias("public_data_statuses"), joined("whole_cell_boundary_confirmed").alias("boundary_confirmation"),
+        *[F.when(F.count_distinct(c) == 1, F.min(c)).alias(f"shared_{c}") for c in ("cell_type", "species", "comparator_class", "modality_family")],
     )
     for c in fields.values():
         shared = F.aggregate(F.slice(f"all_{c}", 2, F.greatest(F.size(f"all_{c}"), F.lit(1))), F.get(F.col(f"all_{c}"), F.lit(0)), lambda acc, x: F.array_intersect(acc, x))
@@ -208,9 +240,19 @@ def compare(catalog: DataFrame, groups: DataFrame) -> DataFrame:
     )
     out = out.withColumn("comparability_score", F.least(F.lit(100), points))
     band = F.when(F.col("comparability_score") >= 75, "high").when(F.col("comparability_score") >= 50, "moderate").otherwise("low")
-    return out.withColumn("band", band).select(
-        "group_id", *[F.array_join(f"shared_{c}", ",").alias(f"shared_{c}") for c in fields.values()], "modalities", "sample_size_buckets", "public_data_statuses", "comparability_score", "band"
-    )
+    summary = F.when(F.col("comparability_score") >= 75, COMPARABILITY[75]).when(F.col("comparability_score") >= 50, COMPARABILITY[50]).otherwise(COMPARABILITY[0])
+    return out.select(
+        "group_id", F.coalesce("shared_cell_type", F.lit("")).alias("shared_cell_types"), F.coalesce("shared_species", F.lit("")).alias("shared_species"),
+        *[F.array_join(f"shared_{c}", ",").alias(f"shared_{c}") for c in fields.values()],
+        F.coalesce("shared_comparator_class", F.lit("")).alias("shared_comparator_classes"), F.coalesce("shared_modality_family", F.lit("")).alias("shared_modality_families"),
+        "modalities", "sample_size_buckets", "public_data_statuses", "boundary_confirmation", "comparability_score", band.alias("band"), summary.alias("summary"),
+    )
+
+
+def repeated_studies(records: DataFrame) -> DataFrame:
+    """Studies of which a comparison (group_id) has more than one record, with their number; blank studies drop out."""
+    study = F.nullif(F.trim("source_study_id"), F.lit(""))
+    return records.where(study.isNotNull()).groupBy("group_id", study.alias("study")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def plan_thresholds(resolution: float | None, sample: int | None) -> Column:
@@ -224,18 +266,43 @@ def plan_thresholds(resolution: float | None, sample: int | None) -> Column:
 
 
 def plan_status(catalog: DataFrame, organelles: Sequence[str], resolution: float | None, sample: int | None) -> DataFrame:
-    """Counts, feasibility, most frequent modality (ties: first in canonical order) and the three most frequent metrics."""
-    base = catalog.where(condition(FilterSpec()) & overlaps("organelles", organelles)).withColumn("strict", plan_thresholds(resolution, sample))
-    counts = base.agg(F.count("*").alias("matched"), F.count_if("strict").alias("meeting"))
-    first = F.min(F.struct(-F.col("year"), F.col("dataset_id"))).alias("first")
-    modality = base.groupBy("modality").agg(F.count("*").alias("n"), first).orderBy(F.desc("n"), F.asc("first")).limit(1).select("modality")
-    metrics = base.select("year", "dataset_id", F.posexplode("metric_families").alias("p", "metric")).groupBy("metric")
-    metrics = metrics.agg(F.count("*").alias("n"), F.min(F.struct(-F.col("year"), F.col("dataset_id"), F.col("p"))).alias("first")).orderBy(F.desc("n"), F.asc("first")).limit(3)
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("first")))  # three rows at most
-    top = metrics.withColumn("rank", rank).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "metric"))), lambda x: x["metric"]), ",").alias("standard_metrics"))
+    """Counts, feasibility with its message, most frequent modality (ties: first in canonical order), the three most frequent metrics, and three baselines.
+
+    Modalities and metrics, which are controlled words, are counted in one scan. Baselines are the first matching records with
+    public data; they need no more than a top three.
+    """
+    base = catalog.where(condition(FilterSpec()) & overlaps("organelles", organelles))
+    strict = plan_thresholds(resolution, sample)
+    pair = lambda kind, value, p: F.struct(F.lit(kind).alias("kind"), value.alias("value"), p.alias("p"))
+    pairs = F.concat(F.array(pair("modality", F.col("modality"), F.lit(0))), F.transform("metric_families", lambda m, i: pair("metric", m, i)))
+    rows = base.select("year", "dataset_id", strict.alias("strict"), F.explode(pairs).alias("x"))
+    counts = rows.groupBy("x.kind", "x.value").agg(F.count("*").alias("n"), F.count_if("strict").alias("m"), F.min(F.struct(-F.col("year"), F.col("dataset_id"), F.col("x.p"))).alias("first"))
+    kind = lambda k: F.col("kind") == k
+    place = F.struct(-F.col("n"), F.col("first"))
+    out = counts.agg(
+        F.coalesce(F.sum(F.when(kind("modality"), F.col("n"))), F.lit(0)).alias("matched"),
+        F.coalesce(F.sum(F.when(kind("modality"), F.col("m"))), F.lit(0)).alias("meeting"),
+        F.coalesce(F.min_by(F.when(kind("modality"), F.col("value")), F.when(kind("modality"), place)), F.lit("Unknown")).alias("top_modality"),
+        F.slice(F.array_sort(F.collect_list(F.when(kind("metric"), F.struct(place.alias("place"), "value")))), 1, 3).alias("metrics"),
+    )
+    near = base.where("public_data_status <> 'none'").select("year", "dataset_id").orderBy(*canonical_order()).limit(3)
+    near = near.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("year"), "dataset_id"))), lambda x: x["dataset_id"]), ",").alias("suggested_baselines"))
+    n, m = F.col("matched").cast("string"), F.col("meeting").cast("string")
+    # The wording of the messages
+    messages = {
+        "frontier": F.lit("No records in the current corpus capture this organelle target."),
+        "high-risk": F.concat(n, F.lit(" matching records exist in the current corpus, but none meet the active threshold filters.")),
+        "challenging": F.concat(F.lit("Only "), m, F.lit(" records in the current corpus meet the active threshold filters for this target.")),
+        "feasible": F.concat(m, F.lit(" records in the current corpus meet the active filters for this target.")),
+    }
+    advice = F.concat(F.lit("In the current corpus, "), "top_modality", F.lit(" is the most common modality for this target ("), n, F.lit(" matching records)."))
     status = F.when(F.col("matched") == 0, "frontier").when(F.col("meeting") == 0, "high-risk").when(F.col("meeting") < 3, "challenging").otherwise("feasible")
-    out = counts.withColumn("status", status).join(F.broadcast(modality), how="left").crossJoin(F.broadcast(top))  # one row each
-    return out.select("matched", "meeting", "status", F.coalesce("modality", F.lit("Unknown")).alias("top_modality"), "standard_metrics")
+    message = F.coalesce(*[F.when(F.col("status") == k, v) for k, v in messages.items()])
+    out = out.withColumn("status", status).crossJoin(F.broadcast(near))  # one row each
+    return out.select(
+        F.lit(" & ".join(organelles)).alias("biological_target"), "matched", "meeting", "status", message.alias("status_message"), "top_modality", advice.alias("modality_recommendation"),
+        F.array_join(F.transform("metrics", lambda x: x["value"]), ",").alias("standard_metrics"), "suggested_baselines",
+    )
 
 
 def plan_precedents(catalog: DataFrame, organelles: Sequence[str], resolution: float | None, sample: int | None) -> DataFrame:
@@ -267,17 +334,30 @@ def bibtex(records: DataFrame) -> DataFrame:
     entry = F.concat(
         F.lit("@article{"), F.replace(F.col("dataset_id"), F.lit("-"), F.lit("")), F.lit(",\n"),
         line("title", F.col("paper_title")), line("author", F.coalesce("source_study_id", "source")), line("journal", F.col("source")), line("year", F.col("year").cast("string")),
-        F.coalesce(line("pmid", F.col("publication_pmid")), F.lit("")), F.lit("  note = {Indexed record: "), F.col("title"), F.lit("}\n}\n"),
+        F.coalesce(line("pmid", F.nullif(F.trim("publication_pmid"), F.lit(""))), F.lit("")), F.lit("  note = {Indexed record: "), F.col("title"), F.lit("}\n}\n"),
     )
     return records.select("dataset_id", entry.alias("entry"))
 
 
+def _text(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
 def csv_rows(records: DataFrame) -> DataFrame:
-    """K1: export rows, arrays joined by '; ' and nulls blank."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    """K1: the 19 export columns, arrays joined by '; ' and nulls of texts blank."""
+    return records.select(
+        "dataset_id", "title", "paper_title", _text("source_study_id").alias("study"), _text("publication_pmid").alias("pmid"), "year", F.col("source").alias("journal"), "species", "cell_type", "modality",
+        F.col("lateral_resolution_nm").alias("res_xy_nm"), F.col("axial_resolution_nm").alias("res_z_nm"), F.array_join("organelles", "; ").alias("organelles"), F.array_join("metric_families", "; ").alias("metrics"),
+        "public_data_status", "included_status", _text("source_publication_url").alias("publication_url"), F.array_join("public_locator_urls", "; ").alias("public_data_urls"), _text("notes").alias("notes"),
+    )
+
+
+def precedent_csv_rows(records: DataFrame) -> DataFrame:
+    """K4: the 19 columns of a plan's precedents."""
     return records.select(
-        "dataset_id", "title", "paper_title", text("source_study_id").alias("study"), text("publication_pmid").alias("pmid"), "year", "source", "species", "cell_type", "modality",
-        "lateral_resolution_nm", F.array_join("organelles", "; ").alias("organelles"), F.array_join("metric_families", "; ").alias("metrics"), "public_data_status", "included_status",
+        "dataset_id", _text("source_study_id").alias("study"), _text("publication_pmid").alias("pmid"), "paper_title", "year", F.col("source").alias("journal"), "cell_type", "species", "modality", "modality_family",
+        F.col("lateral_resolution_nm").alias("res_xy_nm"), F.col("axial_resolution_nm").alias("res_z_nm"), "sample_size", F.array_join("organelles", "; ").alias("organelles"), F.array_join("metric_families", "; ").alias("metrics"),
+        _text("comparator_class").alias("comparator_class"), _text("comparator_detail").alias("comparator_detail"), "public_data_status", _text("source_publication_url").alias("publication_url"),
     )
 
 
@@ -288,7 +368,16 @@ def guarded(records: DataFrame, most: int) -> DataFrame:
     return records
 
 
+def locators() -> Column:
+    """The record's public locators, trimmed, blank ones and repeats left out, in their order."""
+    return F.array_distinct(F.filter(F.transform("public_locator_urls", lambda u: F.trim(u)), lambda u: u != ""))
+
+
+def identity_fingerprint(urls: Column) -> Column:
+    """SHA-256 of the newline-joined identity fields and sorted locators."""
+    fields = ("dataset_id", "title", "paper_title", "year", "source_study_id", "publication_pmid", "source_publication_url", "public_data_status")
+    return F.sha2(F.array_join(F.concat(F.array(*[_text(c) for c in fields]), F.array_sort(urls)), "\n"), 256)
+
+
 def handoff_fingerprint(records: DataFrame) -> DataFrame:
-    """SHA-256 of the newline-joined identity fields and sorted traits."""
-    parts = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("dataset_id", "title", "paper_title", "year", "source_study_id", "publication_pmid")])
-    return records.select("dataset_id", F.sha2(F.array_join(F.concat(parts, F.array_sort("organelles")), "\n"), 256).alias("fingerprint"))
+    return records.select("dataset_id", identity_fingerprint(locators()).alias("fingerprint"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,8 +147,31 @@ def prefix_rollup(prefixes: DataFrame, files: DataFrame) -> DataFrame:
 def tree_digest(files: DataFrame, group: str) -> DataFrame:
     """SHA-256 over a directory's sorted 'path NUL size NUL digest' lines. It hashes the children's digests, not their bytes."""
     line = F.concat("relative_path", F.lit("\0"), F.col("size_bytes").cast("string"), F.lit("\0"), "digest", F.lit("\n"))
-    rows = files.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("relative_path", line.alias("line")))).alias("x"), F.count("*").alias("n_files"))
-    return rows.select(group, F.sha2(F.array_join(F.transform("x", lambda r: r["line"]), ""), 256).alias("tree_digest"), "n_files")
+    rows = files.select(F.col(group).cast("string").alias("g"), "relative_path", line.alias("line")).repartition("g").sortWithinPartitions("g", "relative_path").select("g", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines come in order, so a directory of any size is hashed as it passes; the state is one digest."""
+        name, state, n, begun = None, hashlib.sha256(), 0, False
+        result = lambda: pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([state.hexdigest()]), pa.array([n], pa.int64())], names=[group, "tree_digest", "n_files"])
+        for batch in batches:
+            names = batch.column(0)
+            ends = [i for i in range(1, len(names)) if names[i] != names[i - 1]] + [len(names)]
+            start = 0
+            for end in ends:
+                if start == end:
+                    continue
+                if begun and names[start].as_py() != name:
+                    yield result()
+                    state, n = hashlib.sha256(), 0
+                name, begun = names[start].as_py(), True
+                for text in batch.column(1).slice(start, end - start).drop_null().to_pylist():
+                    state.update(text.encode())
+                n += end - start
+                start = end
+        if begun:
+            yield result()
+
+    return rows.mapInArrow(run, f"{group} string, tree_digest string, n_files long")
 
 
 def overlay(assets: DataFrame, rows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STATUSES = ("complete", "partial", "none")
-TEXT_FIELDS = ("dataset_id", "title", "paper_title", "source", "species", "cell_type", "modality", "comparator_class")
+TEXT_FIELDS = ("title", "paper_title", "source_study_id", "publication_pmid", "source", "species", "cell_type", "notes")
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def overlaps(array: str, values: Sequence[str]) -> Column:
 def precedent_text(query: str | None) -> Column:
     """substring of the joined fields, ignoring case."""
     q = (query or "").strip().lower()
-    fields = ["dataset_id", "source_study_id", "publication_pmid", "paper_title", "source", "cell_type", "species", "modality", "comparator_class"]
+    fields = ["dataset_id", "source_study_id", "publication_pmid", "paper_title", "source", "cell_type", "species", "modality", "comparator_class", "comparator_detail"]
     parts = [F.coalesce(F.col(f), F.lit("")) for f in fields] + [F.array_join("organelles", " "), F.array_join("metric_families", " ")]
     return F.contains(F.lower(F.concat_ws(" ", *parts)), F.lit(q)) if q else F.lit(True)
 

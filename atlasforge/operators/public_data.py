@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from .catalog import identity_fingerprint, locators
 
 VOLUME_FORMATS = ("MRC", "TIFF", "HDF5", "Zarr")
 TRUSTED_SCALES = ("asset_api_details", "citation_details")
@@ -208,6 +209,22 @@ def replace_scope(old: DataFrame, new: DataFrame, scope: str, order: str, most:
     return old.join(new.select(scope).distinct(), scope, "left_anti").unionByName(new).orderBy(F.desc(order)).limit(most)
 
 
+def with_evidence(inventory: DataFrame, remote: DataFrame, previews: DataFrame) -> DataFrame:
+    """Inventory rows with their remote file and preview by path, and flags of what was found."""
+    out = inventory.join(remote.withColumn("has_remote", F.lit(True)), "relative_path", "left").join(previews.withColumn("has_preview", F.lit(True)), "relative_path", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_remote", "has_preview")})
+
+
+def extremes(assets: DataFrame) -> DataFrame:
+    """The smallest asset by size, ties by path."""
+    return assets.where("size_bytes is not null").agg(F.min_by("relative_path", F.struct("size_bytes", "relative_path")).alias("smallest"), F.min("size_bytes").alias("bytes"))
+
+
+def manifest_order(rows: DataFrame, *more: str) -> DataFrame:
+    """By status, study and what follows."""
+    return rows.orderBy("status", "study_id", *more)
+
+
 # ---------------------------------------------------------------- hand-off and queues
 
 
@@ -227,10 +244,8 @@ def repository_identity(url: Column) -> Column:
 
 def handoff(records: DataFrame) -> DataFrame:
     """Distinct locators in order with their repository, and the fingerprint of the identity fields and sorted locators."""
-    urls = F.array_distinct(F.filter(F.transform("public_locator_urls", lambda u: F.trim(u)), lambda u: u != ""))
-    out = records.withColumn("urls", urls)
-    fields = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("dataset_id", "title", "paper_title", "year", "source_study_id", "publication_pmid", "public_data_status")])
-    return out.select("dataset_id", F.transform("urls", lambda u: F.struct(u.alias("locator_url"), repository_identity(u).alias("r"))).alias("candidates"), F.sha2(F.array_join(F.concat(fields, F.array_sort("urls")), "\n"), 256).alias("fingerprint"))
+    out = records.withColumn("urls", locators())
+    return out.select("dataset_id", F.transform("urls", lambda u: F.struct(u.alias("locator_url"), repository_identity(u).alias("r"))).alias("candidates"), identity_fingerprint(F.col("urls")).alias("fingerprint"))
 
 
 def first_failure(rules: Sequence[tuple[Column, str]], passed: str) -> Column:

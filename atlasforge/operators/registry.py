@@ -35,9 +35,15 @@ def import_public(sources: DataFrame, derivatives: DataFrame) -> DataFrame:
     return sources.select("relative_path", "sha256", "format", F.lit("source").alias("kind")).unionByName(first)
 
 
+def under_review() -> Column:
+    """Whether a review is required or gaps are left."""
+    return F.coalesce("review_required", F.lit(False)) | (F.size("gaps") > 0)
+
+
 def section(name: str) -> Column:
     """F16: predicate of a registry section."""
-    flags = {"all": F.lit(True), "project_ready": F.col("project_ready"), "conversion_queue": F.col("is_candidate") & ~F.col("conversion_ready"), "review": F.size("blockers") > 0}
+    queue = ~F.col("project_ready") & F.col("can_convert") & F.col("ready") & F.col("digest").isNotNull()
+    flags = {"all": F.lit(True), "project_ready": F.col("project_ready"), "conversion_queue": queue, "review": under_review() | (F.size("blockers") > 0) | (F.coalesce("duplicate_of", F.lit("")) != "")}
     if name not in flags:
         raise ValueError(f"unknown section {name!r}")
     return flags[name]
@@ -57,6 +63,24 @@ def public_notices(findings: DataFrame) -> DataFrame:
     return findings.where((F.col("review_status") == "approved") & F.col("public_candidate"))
 
 
+def on_plane(overlays: DataFrame, axis: str, index: int) -> DataFrame:
+    """overlays drawn on one plane: those of its axis and slice."""
+    return overlays.where((F.col("axis") == axis) & (F.col("slice_index") == index))
+
+
+def unresolved(assets: DataFrame, entries: DataFrame, registry_id: str) -> DataFrame:
+    """What breaks a registry bundle: assets of another registry, and search entries that name no asset."""
+    foreign = assets.where(F.col("registry_id") != registry_id).select(F.lit("foreign_asset").alias("problem"), "asset_id")
+    lost = entries.join(assets.select("asset_id"), "asset_id", "left_anti").select(F.lit("unknown_entry").alias("problem"), "asset_id")
+    return foreign.unionByName(lost)
+
+
+def normalise_workset(rows: DataFrame) -> DataFrame:
+    """Workset rows as registry rows: review_required where there are findings or gaps, and the blocked intents among the blockers, sorted."""
+    blockers = F.array_sort(F.array_distinct(F.concat("blockers", F.transform("blocked_intents", lambda i: F.concat(F.lit("blocked_intent:"), i)))))
+    return rows.withColumn("review_required", (F.size("gaps") > 0) | (F.size("blocked_intents") > 0)).withColumn("blockers", blockers)
+
+
 def exactly_one(rows: DataFrame, condition: Column) -> DataFrame:
     """the one row of a selection; raises for none and for more."""
     found = rows.where(condition)
@@ -86,7 +110,7 @@ def sidecars(volumes: DataFrame, files: DataFrame) -> DataFrame:
 
 def conversion_order() -> list[Column]:
     """Assets under review pressure last, then by path in code-point order."""
-    return [(F.size("blockers") > 0).cast("int").asc(), F.asc("relative_path")]
+    return [under_review().cast("int").asc(), F.asc("relative_path")]
 
 
 def advisory_order() -> list[Column]:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .catalog import values_at_ranks
+
 CHUNKS = "cz int, cy int, cx int, z0 int, y0 int, x0 int, z1 int, y1 int, x1 int, raw binary"
 
 
@@ -50,11 +52,21 @@ def histogram_stats(hist: DataFrame) -> DataFrame:
     return rows.agg(F.max("total").alias("total"), F.max_by("bin", F.struct("n", -F.col("bin"))).alias("peak_bin"), F.min(F.when(F.col("upto") >= F.col("total") / 2, F.col("bin"))).alias("median_bin"))
 
 
+def percentiles(voxels: DataFrame, wanted: dict[str, float]) -> DataFrame:
+    """One row of linear percentiles of the finite values, exact, from the values at the ranks on both sides, with the least and the greatest value."""
+    finite = voxels.where(~F.isnan("value") & (F.abs("value") < float("inf"))).withColumn("_all", F.lit(0))
+    at = {k: (F.col("n") - 1) * q for k, q in wanted.items()}
+    ranks = {f"{k}_{side}": f(p) + 1 for k, p in at.items() for side, f in (("below", F.floor), ("above", F.ceil))}
+    ends = values_at_ranks(finite, "_all", "value", ranks).crossJoin(F.broadcast(finite.agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))))  # one row each
+    return ends.select("least", "most", *[(F.col(f"{k}_below") + (p - F.floor(p)) * (F.col(f"{k}_above") - F.col(f"{k}_below"))).alias(k) for k, p in at.items()])
+
+
 def percentile_stretch(voxels: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Values between two percentiles stretched to 0-255, truncated; all 0 when the range is empty."""
-    ends = voxels.agg(F.percentile("value", low).alias("lo"), F.percentile("value", high).alias("hi"))
+    """Values between two percentiles stretched to 0-255, truncated; between the extremes where these percentiles are equal, and all 0 where they are too. NaN is 0."""
+    wide = F.col("hi") > F.col("lo")
+    ends = percentiles(voxels, {"lo": low, "hi": high}).select(F.when(wide, F.col("lo")).otherwise(F.col("least")).alias("lo"), F.when(wide, F.col("hi")).otherwise(F.col("most")).alias("hi"))
     scaled = F.floor(F.least(F.greatest((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0)) * 255).cast("int")
-    return voxels.crossJoin(F.broadcast(ends)).select("row", "position", F.when(F.col("hi") > F.col("lo"), scaled).otherwise(0).alias("u8"))  # one row of percentiles
+    return voxels.crossJoin(F.broadcast(ends)).select("row", "position", F.when((F.col("hi") > F.col("lo")) & ~F.isnan("value"), scaled).otherwise(0).alias("u8"))  # one row of percentiles
 
 
 def threshold(value: Column, op: str, level: float) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import catalog as C
-from ..operators.filters import FilterSpec
+from ..operators.filters import FilterSpec, precedent_text
 from ..sources import bindings as B
 
 INCLUDED = "included_status = 'included'"
@@ -16,14 +18,14 @@ _cat = B.catalog
 
 def _pairs(spark, sf_dir):
     """Groups of three records with neighbouring ids."""
-    rows = _cat(spark, sf_dir)
-    groups = rows.selectExpr("dataset_id", "cast(floor(cast(substr(dataset_id, 5) as bigint) / 3) as bigint) as group_id")
-    return C.compare(rows, groups)
+    return C.compare(_grouped(spark, sf_dir))
 
 
-def _strings(df, *arrays):
-    from pyspark.sql import functions as F
+def _grouped(spark, sf_dir):
+    return _cat(spark, sf_dir).selectExpr("*", "cast(floor(cast(substr(dataset_id, 5) as bigint) / 3) as bigint) as group_id")
 
+
+def _strings(df, *arrays):
     for a in arrays:
         df = df.withColumn(a, F.array_join(a, ","))
     return df
@@ -65,6 +67,10 @@ QUERIES = {
     "organelle_pairs": lambda s, d: _cat(s, d).selectExpr("dataset_id", "array_join(organelle_pairs, ',') as pairs", "sample_size_bucket", "metadata_completeness_score"),
     "bibtex": lambda s, d: C.bibtex(_cat(s, d).where(INCLUDED)),
     "csv_rows": lambda s, d: C.csv_rows(_cat(s, d).where(INCLUDED)),
+    "precedent_csv_rows": lambda s, d: C.precedent_csv_rows(C.plan_precedents(_cat(s, d), ORGANELLES, 120.0, 30)),
+    "repeated_studies": lambda s, d: C.repeated_studies(_cat(s, d).selectExpr("*", "cast(floor(cast(substr(dataset_id, 5) as bigint) / 500) as bigint) as group_id")),
+    "precedent_text": lambda s, d: _cat(s, d).where(precedent_text(" Stain PROTOCOL 7")).select("dataset_id", "comparator_detail"),
+    "precedent_state": lambda s, d: _cat(s, d).where(F.col("public_data_status").isin("complete", "partial")).groupBy("public_data_status").agg(F.count("*").alias("n")),
     "handoff_fingerprint": lambda s, d: C.handoff_fingerprint(_cat(s, d)),
 }
 
@@ -88,7 +94,7 @@ _TAB = "SELECT coalesce(nullif(trim(organelles[1]), ''), 'none') AS row_value, c
 ORACLES = {
     "catalog_search": _sql("""SELECT dataset_id, year, title, public_data_status, lateral_resolution_nm, sample_size FROM catalog
 WHERE included_status IN ('included', 'borderline') AND year = 1995 AND list_contains(metric_families, 'AF') AND public_data_status <> 'none'
-AND (dataset_id ILIKE '%_u%d%' OR title ILIKE '%_u%d%' OR paper_title ILIKE '%_u%d%' OR source ILIKE '%_u%d%' OR species ILIKE '%_u%d%' OR cell_type ILIKE '%_u%d%' OR modality ILIKE '%_u%d%' OR coalesce(comparator_class ILIKE '%_u%d%', false))
+AND (title ILIKE '%_u%d%' OR paper_title ILIKE '%_u%d%' OR coalesce(source_study_id, '') ILIKE '%_u%d%' OR coalesce(publication_pmid, '') ILIKE '%_u%d%' OR source ILIKE '%_u%d%' OR species ILIKE '%_u%d%' OR cell_type ILIKE '%_u%d%' OR coalesce(notes, '') ILIKE '%_u%d%')
 ORDER BY year DESC, dataset_id LIMIT 200"""),
     "catalog_listing": _sql("SELECT dataset_id, year, array_to_string(organelles, ',') AS organelles FROM inc WHERE modality_family ILIKE '%asia%' AND comparator_class ILIKE '%treat%'"),
     "catalog_page_total": _sql("SELECT count(*) AS total FROM inc WHERE cell_type ILIKE '%mach%' AND list_contains(organelles, 'promo')"),
@@ -128,14 +134,24 @@ FROM inc, (SELECT * FROM catalog WHERE dataset_id = '{TARGET}') t WHERE inc.data
 x AS (SELECT group_id, list_sort(list_distinct(list_reduce(list(organelles), lambda a, b: list_intersect(a, b)))) AS so, list_sort(list_distinct(list_reduce(list(organelle_pairs), lambda a, b: list_intersect(a, b)))) AS sp,
   list_sort(list_distinct(list_reduce(list(metric_families), lambda a, b: list_intersect(a, b)))) AS sm, string_agg(DISTINCT modality, ',' ORDER BY modality) AS modalities,
   string_agg(DISTINCT sample_size_bucket, ',' ORDER BY sample_size_bucket) AS sample_size_buckets, string_agg(DISTINCT public_data_status, ',' ORDER BY public_data_status) AS public_data_statuses,
+  string_agg(DISTINCT whole_cell_boundary_confirmed, ',' ORDER BY whole_cell_boundary_confirmed) AS boundary_confirmation,
+  list_distinct(list(cell_type)) AS cts, list_distinct(list(species)) AS sps, list_distinct(list_filter(list(comparator_class), lambda c: c IS NOT NULL)) AS cms, list_distinct(list(modality_family)) AS mfs,
   count(DISTINCT cell_type) = 1 AS c1, count(DISTINCT species) = 1 AS c2, count(DISTINCT modality_family) = 1 AS c3, count(DISTINCT comparator_class) = 1 AS c4, min(metadata_completeness_score) >= 0.8 AS c5 FROM g GROUP BY group_id),
 s AS (SELECT *, CAST(least(100, 25 * c1::INT + 10 * c2::INT + least(20, 5 * len(sp)) + least(15, 3 * len(sm)) + 10 * c3::INT + 10 * c4::INT + 10 * c5::INT) AS INT) AS comparability_score FROM x)
-SELECT group_id, array_to_string(so, ',') AS shared_organelles, array_to_string(sp, ',') AS shared_organelle_pairs, array_to_string(sm, ',') AS shared_metric_families, modalities, sample_size_buckets, public_data_statuses,
+SELECT group_id, CASE WHEN len(cts) = 1 THEN cts[1] ELSE '' END AS shared_cell_types, CASE WHEN len(sps) = 1 THEN sps[1] ELSE '' END AS shared_species,
+CASE WHEN len(cms) = 1 THEN cms[1] ELSE '' END AS shared_comparator_classes, CASE WHEN len(mfs) = 1 THEN mfs[1] ELSE '' END AS shared_modality_families, boundary_confirmation,
+CASE WHEN comparability_score >= 75 THEN 'High biological overlap with enough shared structure to justify direct comparison.' WHEN comparability_score >= 50 THEN 'Moderate comparability; useful for targeted comparison with technical caveats.'
+ELSE 'Low direct comparability; treat these datasets as analogs rather than close matches.' END AS summary, array_to_string(so, ',') AS shared_organelles, array_to_string(sp, ',') AS shared_organelle_pairs, array_to_string(sm, ',') AS shared_metric_families, modalities, sample_size_buckets, public_data_statuses,
 comparability_score, CASE WHEN comparability_score >= 75 THEN 'high' WHEN comparability_score >= 50 THEN 'moderate' ELSE 'low' END AS band FROM s"""),
-    "plan_status": _plan("""SELECT count(*) AS matched, count(*) FILTER (WHERE strict) AS meeting,
+    "plan_status": _plan("""SELECT *, CASE status WHEN 'frontier' THEN 'No records in the current corpus capture this organelle target.'
+  WHEN 'high-risk' THEN matched || ' matching records exist in the current corpus, but none meet the active threshold filters.'
+  WHEN 'challenging' THEN 'Only ' || meeting || ' records in the current corpus meet the active threshold filters for this target.'
+  ELSE meeting || ' records in the current corpus meet the active filters for this target.' END AS status_message,
+'In the current corpus, ' || top_modality || ' is the most common modality for this target (' || matched || ' matching records).' AS modality_recommendation, 'promo & economy' AS biological_target,
+(SELECT string_agg(dataset_id, ',' ORDER BY year DESC, dataset_id) FROM (SELECT dataset_id, year FROM m WHERE public_data_status <> 'none' ORDER BY year DESC, dataset_id LIMIT 3)) AS suggested_baselines FROM (SELECT count(*) AS matched, count(*) FILTER (WHERE strict) AS meeting,
 CASE WHEN count(*) = 0 THEN 'frontier' WHEN count(*) FILTER (WHERE strict) = 0 THEN 'high-risk' WHEN count(*) FILTER (WHERE strict) < 3 THEN 'challenging' ELSE 'feasible' END AS status,
 (SELECT modality FROM m GROUP BY modality ORDER BY count(*) DESC, min((-year, dataset_id)) LIMIT 1) AS top_modality,
-(SELECT string_agg(v, ',' ORDER BY k) FROM (SELECT v, row_number() OVER (ORDER BY count(*) DESC, min((-year, dataset_id, i))) AS k FROM (SELECT year, dataset_id, i, metric_families[i] AS v FROM m, unnest(range(1, len(metric_families) + 1)) AS t(i)) GROUP BY v ORDER BY k LIMIT 3)) AS standard_metrics FROM m"""),
+(SELECT string_agg(v, ',' ORDER BY k) FROM (SELECT v, row_number() OVER (ORDER BY count(*) DESC, min((-year, dataset_id, i))) AS k FROM (SELECT year, dataset_id, i, metric_families[i] AS v FROM m, unnest(range(1, len(metric_families) + 1)) AS t(i)) GROUP BY v ORDER BY k LIMIT 3)) AS standard_metrics FROM m)"""),
     "plan_precedents": _plan("SELECT dataset_id, year, sample_size FROM pre ORDER BY coalesce(nullif(sample_size, 0), -1) DESC, year DESC, dataset_id LIMIT 50"),
     "plan_precedents_by_author": _plan("SELECT dataset_id, source_study_id FROM pre ORDER BY lower(split_part(trim(regexp_replace(source_study_id, 'et al\\.?', '')), ' ', 1)), year DESC, dataset_id LIMIT 50"),
     "plan_precedents_by_resolution": _plan("SELECT dataset_id, lateral_resolution_nm FROM pre ORDER BY lateral_resolution_nm ASC NULLS LAST, year DESC, dataset_id LIMIT 50"),
@@ -144,7 +160,13 @@ CASE WHEN count(*) = 0 THEN 'frontier' WHEN count(*) FILTER (WHERE strict) = 0 T
     "organelle_pairs": _sql("SELECT dataset_id, array_to_string(organelle_pairs, ',') AS pairs, sample_size_bucket, metadata_completeness_score FROM catalog"),
     "bibtex": _sql("""SELECT dataset_id, '@article{' || replace(dataset_id, '-', '') || ',' || chr(10) || '  title = {' || paper_title || '},' || chr(10) || '  author = {' || source_study_id || '},' || chr(10)
 || '  journal = {' || source || '},' || chr(10) || '  year = {' || year || '},' || chr(10) || coalesce('  pmid = {' || publication_pmid || '},' || chr(10), '') || '  note = {Indexed record: ' || title || '}' || chr(10) || '}' || chr(10) AS entry FROM inc"""),
-    "csv_rows": _sql("""SELECT dataset_id, title, paper_title, coalesce(source_study_id, '') AS study, coalesce(publication_pmid, '') AS pmid, year, source, species, cell_type, modality, lateral_resolution_nm,
-array_to_string(organelles, '; ') AS organelles, array_to_string(metric_families, '; ') AS metrics, public_data_status, included_status FROM inc"""),
-    "handoff_fingerprint": _sql("""SELECT dataset_id, sha256(array_to_string(list_concat([dataset_id, title, paper_title, CAST(year AS VARCHAR), coalesce(source_study_id, ''), coalesce(publication_pmid, '')], organelles), chr(10))) AS fingerprint FROM catalog"""),
+    "csv_rows": _sql("""SELECT dataset_id, title, paper_title, coalesce(source_study_id, '') AS study, coalesce(publication_pmid, '') AS pmid, year, source AS journal, species, cell_type, modality, lateral_resolution_nm AS res_xy_nm, axial_resolution_nm AS res_z_nm,
+array_to_string(organelles, '; ') AS organelles, array_to_string(metric_families, '; ') AS metrics, public_data_status, included_status, coalesce(source_publication_url, '') AS publication_url, array_to_string(public_locator_urls, '; ') AS public_data_urls, coalesce(notes, '') AS notes FROM inc"""),
+    "precedent_csv_rows": _plan("""SELECT dataset_id, coalesce(source_study_id, '') AS study, coalesce(publication_pmid, '') AS pmid, paper_title, year, source AS journal, cell_type, species, modality, modality_family, lateral_resolution_nm AS res_xy_nm, axial_resolution_nm AS res_z_nm, sample_size,
+array_to_string(organelles, '; ') AS organelles, array_to_string(metric_families, '; ') AS metrics, coalesce(comparator_class, '') AS comparator_class, coalesce(comparator_detail, '') AS comparator_detail, public_data_status, coalesce(source_publication_url, '') AS publication_url FROM pre"""),
+    "repeated_studies": _sql("SELECT CAST(floor(CAST(substr(dataset_id, 5) AS BIGINT) / 500) AS BIGINT) AS group_id, source_study_id AS study, count(*) AS n FROM catalog GROUP BY ALL HAVING count(*) > 1"),
+    "precedent_text": _sql("""SELECT dataset_id, comparator_detail FROM catalog WHERE contains(lower(concat_ws(' ', dataset_id, coalesce(source_study_id, ''), coalesce(publication_pmid, ''), paper_title, source, cell_type, species, modality, coalesce(comparator_class, ''), coalesce(comparator_detail, ''),
+array_to_string(organelles, ' '), array_to_string(metric_families, ' '))), 'stain protocol 7')"""),
+    "precedent_state": _sql("SELECT public_data_status, count(*) AS n FROM catalog WHERE public_data_status <> 'none' GROUP BY ALL"),
+    "handoff_fingerprint": _sql("""SELECT dataset_id, sha256(array_to_string(list_concat([dataset_id, title, paper_title, CAST(year AS VARCHAR), coalesce(source_study_id, ''), coalesce(publication_pmid, ''), coalesce(source_publication_url, ''), public_data_status], list_sort(list_transform(public_locator_urls, lambda u: trim(u)))), chr(10))) AS fingerprint FROM catalog"""),
 }

@@ -40,6 +40,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = rows.withColumn("is_candidate", F.col("role") == "raw_volume_candidate").withColumn("gaps", E.gaps()).withColumn("states", E.blocked_states())
     rows = rows.withColumn("states", F.when(F.col("can_view"), F.array_remove("states", "blocked_permission")).otherwise(F.col("states")))
+    rows = rows.withColumn("review_required", F.col("walk_pos") % 8 == 3).withColumn("duplicate_of", F.when(F.col("walk_pos") % 19 == 0, F.lit("first/copy.tif")))
     rows = rows.withColumn("notes", F.array(F.lit("scanner_seeded_status"))).withColumn("search_text", F.lower(F.concat_ws(" ", "asset_id", "relative_path", "format")))
     return E.readiness(rows)
 

@@ -77,7 +77,8 @@ ORACLES = {
     "matched_assets": Q.ASSETS_SQL + "SELECT asset_id FROM assets WHERE split_part(relative_path, '/', 3) IN (SELECT split_part(relative_path, '/', 3) FROM assets WHERE walk_pos % 40 = 0)",
     "registry_assets": Q.ASSETS_SQL + """, r AS (SELECT *, substr(sha256('reg' || chr(10) || relative_path), 1, 16) AS rid FROM assets)
 SELECT rid AS asset_id, relative_path, digest IS NOT NULL AS present, project_ready, CAST(len(gaps) AS INT) AS n_gaps, CAST(length(rid || ' ' || relative_path || ' ' || format || ' ' || array_to_string(blockers, ' ')) AS INT) AS search_chars FROM r""",
-    "section_counts": Q.ASSETS_SQL + """SELECT count(*) AS "all", count(*) FILTER (WHERE project_ready) AS project_ready, count(*) FILTER (WHERE is_candidate AND NOT conversion_ready) AS conversion_queue, count(*) FILTER (WHERE len(blockers) > 0) AS review,
+    "section_counts": Q.ASSETS_SQL + """SELECT count(*) AS "all", count(*) FILTER (WHERE project_ready) AS project_ready, count(*) FILTER (WHERE NOT project_ready AND can_convert AND ready AND digest IS NOT NULL) AS conversion_queue,
+count(*) FILTER (WHERE len(blockers) > 0 OR len(gaps) > 0 OR doc_id % 8 = 3 OR doc_id % 19 = 0) AS review,
 count(*) FILTER (WHERE len(list_filter(blockers, lambda b: b <> 'blocked_permission')) = 0) AS queue_ready, count(*) FILTER (WHERE len(list_filter(blockers, lambda b: b <> 'blocked_permission')) > 0) AS queue_review FROM assets""",
     "asset_counters": Q.ASSETS_SQL + " UNION ALL ".join(f"SELECT '{n}' AS counter, coalesce(CAST({c} AS VARCHAR), 'unknown') AS name, count(*) AS n FROM assets GROUP BY ALL" for n, c in (("role", "role"), ("metadata_status", "ms"), ("format", "format"), ("can_view", "can_view"))),
 }

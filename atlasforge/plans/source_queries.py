@@ -31,16 +31,18 @@ STATES = {"purchase": "completed", "error": "running", "signup": "queued", "clic
 
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user's events as one job's state changes; the last update of each job."""
-    status = F.element_at(F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv]), "event_type")
+    status = F.element_at(F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv]), F.col("event_type"))
     events = event_stream(spark, sf_dir).select(F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"), "event_id", status.alias("status"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("seconds"))
     updates = streams.drain(streams.job_states(events), "update")
     return updates.groupBy("job_id").agg(F.max_by(F.struct("status", "log_lines"), "epoch").alias("s")).select("job_id", "s.status", "s.log_lines")
 
 
 def hourly_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly amounts of the event stream; the last hours stay open until their watermark passes, so whole windows before them appear."""
+    """Hourly amounts of the events as a stream, whose update mode gives the last hours too: the last state of each window."""
     events = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.drain(streams.progress(events))
+    updates = streams.drain(streams.progress(events), "update")
+    last = updates.groupBy("start").agg(F.max_by(F.struct("n", "amount", "per_second"), "epoch").alias("s"))
+    return last.select("start", "s.n", F.round("s.amount", 3).alias("amount"))
 
 
 def tiff_bytes(width: int, height: int, spacing: float) -> bytes:
@@ -79,6 +81,24 @@ QUERIES = {
 }
 
 ORACLES = {
+    "hourly_progress": "SELECT date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 3) AS amount FROM events GROUP BY ALL",
+    # the admitted hits of each user, followed one event at a time
+    "rate_limited_events": """WITH RECURSIVE e AS (SELECT user_id, event_id, floor(epoch(ts)) AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS i FROM events),
+r AS (
+  SELECT user_id, event_id, i, [t] AS hits, true AS admitted FROM e WHERE i = 1
+  UNION ALL
+  SELECT user_id, event_id, i, CASE WHEN len(live) < 5 THEN list_append(live, t) ELSE live END, len(live) < 5
+  FROM (SELECT e.user_id, e.event_id, e.i, e.t, list_filter(r.hits, lambda h: h >= e.t - 21600) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT user_id, event_id, admitted FROM r""",
+    "job_states": """WITH RECURSIVE e AS (
+  SELECT 'job-' || user_id AS job_id, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'running' WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'view' THEN 'cancel_requested' END AS new,
+         row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+r AS (
+  SELECT job_id, new AS status, i, n FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.job_id, CASE WHEN r.status IN ('completed', 'failed', 'cancelled') THEN r.status WHEN r.status = 'cancel_requested' AND e.new IN ('completed', 'failed', 'cancelled') THEN 'cancelled' ELSE e.new END, e.i, e.n
+  FROM r JOIN e ON e.job_id = r.job_id AND e.i = r.i + 1)
+SELECT job_id, status, least(300, n) AS log_lines FROM r WHERE i = n""",
     "volume_headers": """SELECT 'f/' || doc_id || (['.tif', '.mrc', '.h5', '.tif'])[CAST(doc_id % 4 AS INT) + 1] AS relative_path, (['readable', 'readable', 'detected', 'unreadable'])[CAST(doc_id % 4 AS INT) + 1] AS status,
 CASE WHEN doc_id % 4 < 2 THEN n_chars + 1 END AS x, CASE doc_id % 4 WHEN 0 THEN doc_id % 50 + 1 WHEN 1 THEN 3 END AS y, CASE doc_id % 4 WHEN 0 THEN 7 WHEN 1 THEN 2 END AS z, CASE WHEN doc_id % 4 < 2 THEN 'uint16' END AS dtype,
 CASE doc_id % 4 WHEN 0 THEN 20.0 WHEN 1 THEN 1.0 END::DOUBLE AS voxel_x_nm, CASE doc_id % 4 WHEN 0 THEN 20.0 WHEN 1 THEN 2.0 END::DOUBLE AS voxel_y_nm, CASE doc_id % 4 WHEN 0 THEN 20.0 WHEN 1 THEN 5.0 END::DOUBLE AS voxel_z_nm FROM documents""",

@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or spark.sparkContext.getCheckpointDir() or "/tmp/atlasforge-scratch").rstrip("/")
+    """spark.checkpoint.dir. Only a local master may leave it unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or "/tmp/atlasforge-scratch").rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/atlasforge/{name}-{uuid.uuid4().hex}"
+    """A new folder name; removed when the program ends."""
+    path = f"{shared_dir(spark)}/atlasforge/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write a frame once to the shared folder and read it back, with the columns in their order."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..scratch import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_catalogs: dict[tuple[str, str], DataFrame] = {}
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog as a table by year: loaded on its first use in an application, from all its sources, and read by every query after that."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _catalogs:
+        _catalogs[key] = written(catalog_rows(spark, sf_dir), "catalog", "year")
+    return _catalogs[key]
+
+
+def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One order is one catalog record; its line items give the multi-valued traits."""
     t = lambda name: table(spark, sf_dir, name)
     traits = (
@@ -30,6 +42,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "P", "partial").otherwise("none")
     comparator = F.when(k % 5 == 1, "cell type").when(k % 5 == 2, "treatment").when(k % 5 == 3, "methodology").when(k % 5 == 4, "other")
     xy = F.when(k % 7 != 0, F.col("o_totalprice") / 1000)
+    known = F.array(F.concat(F.lit("https://zenodo.org/records/"), k.cast("string")), F.when(k % 2 == 0, F.concat(F.lit(" https://www.ebi.ac.uk/empiar/EMPIAR-"), k.cast("string"))))
+    urls = F.when(F.col("o_orderstatus") == "O", none).otherwise(F.array_compact(known))
     rows = (
         t("orders")
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -55,10 +69,16 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(k % 17 == 0, "excluded").when(k % 10 == 0, "borderline").otherwise("included").alias("included_status"),
             F.concat(F.lit("Author"), (k % 97).cast("string"), F.lit(" et al. "), F.year("o_orderdate").cast("string")).alias("source_study_id"),
             F.when(k % 3 != 0, k.cast("string")).alias("publication_pmid"),
+            F.when(k % 4 != 0, F.col("o_totalprice") / 500).alias("axial_resolution_nm"),
+            F.when(k % 6 == 0, F.concat(F.lit("stain protocol "), (k % 13).cast("string"))).alias("comparator_detail"),
+            F.when(k % 3 == 0, "yes").when(k % 3 == 1, "partial").otherwise("no").alias("whole_cell_boundary_confirmed"),
+            F.when(k % 8 == 0, F.concat(F.lit("Reviewed by "), F.col("c_name"))).alias("notes"),
+            urls.alias("public_locator_urls"),
         )
     )
     return rows.select(
         "*",
+        N.publication_url(F.col("publication_pmid"), F.when(F.col("year") % 2 == 0, F.concat(F.lit("https://example.org/study/"), "dataset_id"))).alias("source_publication_url"),
         N.pairs(F.col("organelles")).alias("organelle_pairs"),
         N.sample_size_bucket(F.col("sample_size")).alias("sample_size_bucket"),
         N.completeness(F.col("organelles"), F.col("metric_families"), F.col("sample_size"), F.col("lateral_resolution_nm"), F.lit(None).cast("double"), F.col("public_data_status")).alias("metadata_completeness_score"),
@@ -82,7 +102,11 @@ base AS (
          coalesce(organelles, CAST([] AS VARCHAR[])) AS organelles, coalesce(metric_families, CAST([] AS VARCHAR[])) AS metric_families, sample_size,
          CASE WHEN o_orderkey % 17 = 0 THEN 'excluded' WHEN o_orderkey % 10 = 0 THEN 'borderline' ELSE 'included' END AS included_status,
          'Author' || (o_orderkey % 97) || ' et al. ' || year(o_orderdate) AS source_study_id,
-         CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS publication_pmid
+         CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS publication_pmid, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice / 500 END AS axial_resolution_nm,
+         CASE WHEN o_orderkey % 6 = 0 THEN 'stain protocol ' || (o_orderkey % 13) END AS comparator_detail, (['yes', 'partial', 'no'])[CAST(o_orderkey % 3 AS INT) + 1] AS whole_cell_boundary_confirmed,
+         CASE WHEN o_orderkey % 8 = 0 THEN 'Reviewed by ' || c_name END AS notes,
+         CASE WHEN o_orderstatus = 'O' THEN CAST([] AS VARCHAR[]) WHEN o_orderkey % 2 = 0 THEN ['https://zenodo.org/records/' || o_orderkey, ' https://www.ebi.ac.uk/empiar/EMPIAR-' || o_orderkey] ELSE ['https://zenodo.org/records/' || o_orderkey] END AS public_locator_urls,
+         CASE WHEN o_orderkey % 3 <> 0 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || o_orderkey || '/' WHEN year(o_orderdate) % 2 = 0 THEN 'https://example.org/study/rec-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') END AS source_publication_url
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN arr ON o_orderkey = k),
 catalog AS (
   SELECT *, flatten(list_transform(range(1, len(organelles) + 1), lambda i: list_transform(organelles[i + 1 :], lambda y: organelles[i] || ':' || y))) AS organelle_pairs,

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +34,12 @@ def rate_limited(events: DataFrame, key: str, limit: int, window: float = WINDOW
     """Events (key, event_id, seconds) with `admitted`; state is at most `limit` times for each key. Works on streams and is exact for input in time order across batches."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["seconds", "event_id"])
+        seconds, ids = (np.concatenate(x) for x in zip(*((b["seconds"].to_numpy(), b["event_id"].to_numpy()) for b in batches), strict=True))  # two numbers an event
+        order = np.lexsort((ids, seconds))
         hits = list(state.get[0]) if state.exists else []
-        ok, hits = admit(rows["seconds"].tolist(), hits, limit, window)
+        ok, hits = admit(seconds[order].tolist(), hits, limit, window)
         state.update((hits,))
-        yield pd.DataFrame({key: k[0], "event_id": rows["event_id"].to_numpy(), "admitted": ok})
+        yield pd.DataFrame({key: k[0], "event_id": ids[order], "admitted": ok})
 
     kind = dict(events.dtypes)[key]
     return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, event_id long, admitted boolean", "hits array<double>", "append", GroupStateTimeout.NoTimeout)
@@ -65,8 +67,8 @@ def job_states(events: DataFrame) -> DataFrame:
 
 
 def progress(events: DataFrame, time: str = "ts", value: str = "value", width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """M4: amount and rate per second by tumbling window; events later than `delay` are dropped by the watermark."""
-    w = events.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"))
+    """M4: amount and rate per second by tumbling window; on a stream, events later than `delay` are dropped by the watermark. A closed table gives the same windows, and all of them."""
+    w = (events.withWatermark(time, delay) if events.isStreaming else events).groupBy(F.window(time, width).alias("w"))
     seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
     return w.agg(F.count("*").alias("n"), F.sum(value).alias("amount")).select(F.col("w.start").alias("start"), "n", "amount", F.round(F.col("amount") / seconds, 3).alias("per_second"))
 

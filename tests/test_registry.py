@@ -124,5 +124,12 @@ def test_volume_planes(spark):
 def test_plan_is_one_scan_and_pruned(spark):
     from atlasforge.sources import bindings
 
-    plan = catalog.toolkit_matrix(bindings.catalog(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("lineitem.parquet") == 1 and "l_extendedprice" not in plan
+    shown = lambda rows: catalog.toolkit_matrix(rows)._jdf.queryExecution().executedPlan().toString()
+    loading = shown(bindings.catalog_rows(spark, "/root/testdata/sf0.001"))
+    assert loading.count("lineitem.parquet") == 1 and "l_extendedprice" not in loading
+    table = bindings.catalog(spark, "/root/testdata/sf0.001")
+    plan = shown(table)
+    assert plan.count("FileScan parquet") == 1 and "title" not in plan
+    assert table is bindings.catalog(spark, "/root/testdata/sf0.001")  # loaded once
+    year = table.where("year = 1995")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in year
