@@ -1,10 +1,11 @@
 """Quotation linking: conversations in reply order without their quotes, with DataFrame functions only.
 
-Lines that begin with '>' marks are quotes; their number is the level. Every line is normalised (lower case, letters and digits,
-single spaces) and hashed. A quoted line is joined, within its conversation, to the earliest message that has the same line
-as its own, unquoted text. A message replies to the earlier message that owns most of the characters of its level-1
-quotes (ties: the later one); deeper levels give the ancestors it quotes. A message without a linked quote follows the previous
-message of its conversation.
+Lines that begin with '>' marks are quotes; their number is the level. Consecutive lines of one level, without an empty line between
+them, are a passage. Passages, their sentences and their lines are normalised (lower case, letters and digits, single spaces) and
+hashed, so a quote that was wrapped anew is found by its passage or sentences, and a part of a passage by its sentences or
+lines. A quoted piece is joined, within its conversation, to the earliest message that has the same piece in its own, unquoted
+text. A message replies to the earlier message that owns most characters of its level-1 pieces (ties: the later one);
+deeper levels give the ancestors it quotes. A message without a linked quote follows the previous message of its conversation.
 
 Messages are ordered by thread and turn: a message that replies to one that is not the previous message starts a branch, and each
 message belongs to the branch it continues; the branch's root is found by pointer doubling over branch heads alone.
@@ -13,8 +14,8 @@ and over the pieces, so that a conversation with a third of all messages is spre
 
 Defined results: null text is empty; quoted lines without letters or digits, or that no earlier message of the conversation has,
 link to nothing and are still removed; several messages of one conversation and turn keep their own text and quotes, share
-the place and count as one turn for linking; a null conv_id or turn is a conversation or turn of its own at the start;
-empty tables give empty results. Other columns are not read.
+the place and count as one turn for linking; a message with a null conv_id or turn is kept without a place (parent, thread, branch,
+depth and rank are null) and links nothing; empty tables give empty results. Of other columns only role is carried along.
 """
 
 from __future__ import annotations
@@ -45,11 +46,34 @@ def parse(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     return messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), "role", lines.alias("lines"))
 
 
+_RUN, _LEVEL, _SENTENCE = "\u0002", "\u0003", "\u0001"
+
+
+def pieces() -> Column:
+    """Of a message's `lines`: (level, normal form) of its passages, their sentences and its lines, each once and none empty."""
+    bare = lambda x: F.regexp_replace(x["line"], "[\u0001-\u0003]", " ")
+
+    def joined(x: Column, i: Column) -> Column:
+        before = F.get("lines", i - 1)
+        same = (i > 0) & (before["level"] == x["level"]) & (before["normal"] != "") & (x["normal"] != "")
+        return F.concat(F.when(same, " ").otherwise(F.concat(F.lit(_RUN), x["level"].cast("string"), F.lit(_LEVEL))), bare(x))
+
+    runs = F.filter(F.split(F.array_join(F.transform("lines", joined), ""), _RUN), lambda r: r != "")
+
+    def parts(run: Column) -> Column:
+        level, text = F.substring_index(run, _LEVEL, 1).cast("int"), F.substring_index(run, _LEVEL, -1)
+        sentences = F.split(F.regexp_replace(text, "([.!?]+)\\s+", f"$1{_SENTENCE}"), _SENTENCE)
+        return F.transform(F.concat(F.array(text), sentences), lambda t: F.struct(level.alias("level"), normal_line(t).alias("normal")))
+
+    lines = F.transform("lines", lambda x: F.struct(x["level"].alias("level"), x["normal"].alias("normal")))
+    return F.array_distinct(F.filter(F.concat(F.flatten(F.transform(runs, parts)), lines), lambda x: x["normal"] != ""))
+
+
 def passages(parsed: DataFrame) -> DataFrame:
-    """Quoted and own lines that have letters or digits: conv_id, turn, level, hash, n_chars."""
+    """Quoted and own pieces that have letters or digits: conv_id, turn, level, hash, n_chars."""
     return (
-        parsed.select("conv_id", "turn", F.explode("lines").alias("x"))
-        .where("x.normal <> '' and conv_id is not null and turn is not null")
+        parsed.where("conv_id is not null and turn is not null")
+        .select("conv_id", "turn", F.explode(pieces()).alias("x"))
         .select("conv_id", "turn", F.col("x.level").alias("level"), F.sha2("x.normal", 256).alias("hash"), F.length("x.normal").alias("n_chars"))
     )
 
@@ -133,13 +157,19 @@ l AS (
          regexp_replace(ls[i], '^[ \\t]*((?:>[ \\t]?)+)', '') AS line,
          trim(lower(regexp_replace(regexp_replace(ls[i], '^[ \\t]*((?:>[ \\t]?)+)', ''), '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS normal
   FROM raw, unnest(range(1, len(ls) + 1)) AS t(i)),
+u AS (SELECT *, sum(brk) OVER (PARTITION BY rid ORDER BY i) AS run FROM (
+  SELECT *, CASE WHEN normal <> '' AND lag(normal) OVER w <> '' AND lag(level) OVER w = level THEN 0 ELSE 1 END AS brk FROM l WINDOW w AS (PARTITION BY rid ORDER BY i))),
+runs AS (SELECT rid, conv_id, turn, level, string_agg(line, ' ' ORDER BY i) AS text FROM u GROUP BY rid, conv_id, turn, level, run),
+pc AS (SELECT DISTINCT rid, conv_id, turn, level, trim(lower(regexp_replace(x, '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS normal FROM (
+  SELECT rid, conv_id, turn, level, text AS x FROM runs UNION ALL SELECT rid, conv_id, turn, level, line FROM l
+  UNION ALL SELECT rid, conv_id, turn, level, unnest(string_split(regexp_replace(text, '([.!?]+)\\s+', '\\1' || chr(1), 'g'), chr(1))) FROM runs)),
 own AS (SELECT rid, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0), '')) AS text FROM l GROUP BY rid),
-origin AS (SELECT conv_id, normal, min(turn) AS target FROM l WHERE level = 0 AND normal <> '' GROUP BY ALL),
-f AS (SELECT q.conv_id, q.turn, level, target, sum(length(q.normal)) AS n FROM l q JOIN origin o ON q.conv_id = o.conv_id AND q.normal = o.normal
+origin AS (SELECT conv_id, normal, min(turn) AS target FROM pc WHERE level = 0 AND normal <> '' GROUP BY ALL),
+f AS (SELECT q.conv_id, q.turn, level, target, sum(length(q.normal)) AS n FROM pc q JOIN origin o ON q.conv_id = o.conv_id AND q.normal = o.normal
       WHERE level > 0 AND q.normal <> '' AND target < q.turn GROUP BY ALL),
 b AS (SELECT conv_id, turn, level, max((n, target))[2] AS target FROM f GROUP BY ALL),
 bt AS (SELECT conv_id, turn, max(target) FILTER (WHERE level = 1) AS quoted, list(target ORDER BY level) AS quoted_turns FROM b GROUP BY ALL),
-t AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM raw)),
+t AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM raw WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
 p AS (SELECT t.*, quoted_turns, coalesce(quoted, previous) AS parent_turn FROM t LEFT JOIN bt USING (conv_id, turn)),
 h AS (SELECT *, max(CASE WHEN parent_turn IS NULL OR parent_turn <> previous THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS branch FROM p),
 heads AS (SELECT c.conv_id, c.branch, u.branch AS up FROM h c LEFT JOIN h u ON u.conv_id = c.conv_id AND u.turn = c.parent_turn WHERE c.turn = c.branch),
@@ -148,7 +178,7 @@ walk AS (
   UNION ALL SELECT x.conv_id, x.branch, w.thread, w.depth + 1 FROM heads x JOIN walk w ON x.conv_id = w.conv_id AND x.up = w.branch)
 SELECT r.conv_id, r.turn, r.role, h.parent_turn, coalesce(h.quoted_turns, []) AS quoted_turns, w.thread, h.branch, w.depth,
        CAST(k.rank AS BIGINT) AS reply_rank, own.text
-FROM raw r JOIN own USING (rid) JOIN h ON h.conv_id = r.conv_id AND h.turn = r.turn JOIN walk w ON w.conv_id = h.conv_id AND w.branch = h.branch
-JOIN (SELECT h.conv_id, h.turn, row_number() OVER (PARTITION BY h.conv_id ORDER BY thread, h.branch, h.turn) - 1 AS rank FROM h JOIN walk w ON w.conv_id = h.conv_id AND w.branch = h.branch) k
+FROM raw r JOIN own USING (rid) LEFT JOIN h ON h.conv_id = r.conv_id AND h.turn = r.turn LEFT JOIN walk w ON w.conv_id = h.conv_id AND w.branch = h.branch
+LEFT JOIN (SELECT h.conv_id, h.turn, row_number() OVER (PARTITION BY h.conv_id ORDER BY thread, h.branch, h.turn) - 1 AS rank FROM h JOIN walk w ON w.conv_id = h.conv_id AND w.branch = h.branch) k
   ON k.conv_id = r.conv_id AND k.turn = r.turn
 """

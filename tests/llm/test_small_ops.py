@@ -82,6 +82,22 @@ def test_threads_like_sql(spark):
         quote_threads.PIECE = piece
 
 
+def test_quotes_wrapped_anew_and_parts_of_passages(spark):
+    long = "The first sentence of this message is here. The second one follows it\nand goes on over two lines! A third, short one."
+    rows = [
+        (1, 1, "user", long),
+        (1, 2, "assistant", "Something else entirely."),
+        (1, 3, "user", "> The first sentence of this\n> message is here. The second one follows it and goes\n> on over two lines! A third, short one.\nWrapped anew."),
+        (1, 4, "assistant", "> the second one follows it and goes on\n> over two lines!\nOnly a sentence."),
+        (1, 5, "user", ">> and goes on over two lines! A third, short one.\n> Wrapped anew.\nA line, and a reply to a reply."),
+        (None, 1, "user", "> lost"), (2, None, "user", "no turn"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quote_threads.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, t].parent_turn for t in range(1, 6)] == [None, 1, 1, 1, 3]
+    assert got[1, 5].quoted_turns == [3, 1] and got[1, 3].text == "Wrapped anew."
+    assert len(got) == 7 and got[None, 1].thread is None and got[None, 1].text == "" and got[2, None].reply_rank is None
+
+
 def test_nested_quotes_and_unknown_places(spark):
     rows = [(1, 0, "user", "First line here.\nSecond"), (1, 1, "assistant", "> First LINE here\nanswer"), (1, 2, "user", ">> first line here\n> answer\nthanks"), (1, 5, "user", "> not said before\nok"), (None, 1, "user", "x"), (2, None, "user", None)]
     got = {(r.conv_id, r.turn): r for r in quote_threads.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
