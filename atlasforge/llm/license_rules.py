@@ -19,6 +19,29 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# white space, and the ASCII punctuation of which comment marks are made; they go with the line end before them
+_MARKS = " \\t\\r\\f!-/:-@\\[-`{-~"
+_CUT = f"([.!?:;])(?:[ \\t\\r\\f]*\\n[{_MARKS}\\n]*|[ \\t\\r\\f]+)|\\n[{_MARKS}]*\\n[{_MARKS}\\n]*"
+
+
+# Standard notices of further licences, as published. Their sentences are cut below by the rule for all texts.
+NOTICES = {
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-or-later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "Zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+}
+
 # Sentences of public licences and notices in normal form.
 SENTENCES = {
     "mit.released": "released under the mit license",
@@ -87,9 +110,24 @@ RULES = (
     ("all-rights-reserved", "proprietary-notice", ("reserved",)),
 )
 
-# white space, and the ASCII punctuation of which comment marks are made; they go with the line end before them
-_MARKS = " \\t\\r\\f!-/:-@\\[-`{-~"
-_CUT = f"([.!?:;])(?:[ \\t\\r\\f]*\\n[{_MARKS}\\n]*|[ \\t\\r\\f]+)|\\n[{_MARKS}]*\\n[{_MARKS}\\n]*"
+def cut(text: str) -> list[str]:
+    """The normal forms of an ASCII text's sentences, by the rule of sentences()."""
+    pattern = re.compile(_CUT.replace("\\\\", "\\"))
+    whole = pattern.sub(lambda m: (m.group(1) or "") + "\x01", text).split("\x01")
+    return [n for n in (re.sub("[^A-Za-z0-9]+", " ", w).strip().lower() for w in whole) if n]
+
+
+def _with_notices(known: dict[str, str], rules: tuple) -> tuple[dict[str, str], tuple]:
+    by_text = {v: k for k, v in known.items()}
+    more = []
+    for licence, text in NOTICES.items():
+        name = licence.lower() + "-notice"
+        ids = [by_text.setdefault(x, f"{name}.{i}") for i, x in enumerate(cut(text))]
+        more.append((name, licence, tuple(ids)))
+    return {k: v for v, k in by_text.items()}, (*rules, *more)
+
+
+SENTENCES, RULES = _with_notices(SENTENCES, RULES)
 
 
 def sentences(text: Column) -> Column:

@@ -311,6 +311,19 @@ def test_standard_notices_plain_and_commented(spark, duck):
     same_rows(license_rules.scan(df), duck.sql(license_rules.oracle().replace("FROM documents", "FROM notices")))
 
 
+def test_every_notice_is_found_plain_wrapped_and_commented(spark):
+    import textwrap
+
+    texts, want = [], []
+    for licence, text in license_rules.NOTICES.items():
+        lines = textwrap.wrap(text, 60)
+        texts += [f"Copyright 2020\n\n{text}\n\nmore", "\n".join(lines), "\n".join(f"# {x}" for x in lines), "/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */", "\n".join(f"// {x}" for x in lines)]
+        want += [licence] * 5
+    got = {r.doc_id: r.licences for r in license_rules.scan(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert all(license_rules.cut(text) for text in license_rules.NOTICES.values())
+
+
 def test_known_sentences_have_no_cut_inside(spark):
     for name, sentence in license_rules.SENTENCES.items():
         assert sentence == " ".join(sentence.split()) and not set(sentence) & set(".!?:;\n"), name
