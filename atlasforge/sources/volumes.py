@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.normalize import NANOMETRES, unit_nm
+
 HEADER = "relative_path string, status string, format string, x long, y long, z long, dtype string, voxel_x_nm double, voxel_y_nm double, voxel_z_nm double"
 _FIELDS = [f.split()[0] for f in HEADER.split(", ")]
 
@@ -22,7 +24,7 @@ MAX_DIRECTORIES = 100_000
 
 
 def tiff_directories(data: bytes, most: int = MAX_DIRECTORIES) -> list[dict[int, list]]:
-    """Every image directory of a classic TIFF as tag -> values. BigTIFF, loops and truncation raise ValueError."""
+    """Every image directory of a classic TIFF as tag -> values. A chain that leaves the file ends with the directories before; BigTIFF, loops and cut entries raise ValueError."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8:
         raise ValueError("not a TIFF file")
@@ -35,12 +37,16 @@ def tiff_directories(data: bytes, most: int = MAX_DIRECTORIES) -> list[dict[int,
         if at in seen or len(out) >= most:
             raise ValueError("the directory chain does not end")
         seen.add(at)
+        if at + 2 > len(data):
+            break
+        (n,) = struct.unpack_from(order + "H", data, at)
         try:
-            (n,) = struct.unpack_from(order + "H", data, at)
             tags = dict(_entry(data, order, at + 2 + 12 * i) for i in range(n))
-            (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
         except struct.error as e:
             raise ValueError("the file ends early") from e
+        if at + 6 + 12 * n > len(data):
+            break
+        (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
         out.append(tags)
     return out
 
@@ -66,9 +72,6 @@ def image_description(text: str) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, sep, v in (line.partition("=") for line in text.splitlines()) if sep}
 
 
-NM = {"nm": 1.0, "um": 1e3, "µm": 1e3, "\\u00b5m": 1e3, "micron": 1e3, "mm": 1e6, "cm": 1e7, "inch": 2.54e7, "angstrom": 0.1}  # fixed values
-
-
 def tiff_header(data: bytes) -> tuple:
     """Size, type and scale of a TIFF: nanometres per unit over pixels per unit; z from the description's spacing."""
     pages = tiff_directories(data)
@@ -80,7 +83,7 @@ def tiff_header(data: bytes) -> tuple:
     bits, form = int(one(BITS, 1) or 1), int(one(SAMPLE_FORMAT, 1) or 1)
     dtype = {1: "uint", 2: "int", 3: "float"}.get(form, "uint") + str(bits)
     unit = about.get("unit") or {2: "inch", 3: "cm"}.get(int(one(RES_UNIT, 1) or 1))
-    nm = NM.get((unit or "").lower())
+    nm = NANOMETRES.get((unit or "").strip().lower().replace("\\u00b5", "µ"))
     per = lambda tag: nm / one(tag) if nm and one(tag) else None
     spacing = about.get("spacing")
     z = nm * float(spacing) if nm and spacing else None
@@ -89,17 +92,16 @@ def tiff_header(data: bytes) -> tuple:
 
 
 def mrc_header(data: bytes) -> tuple:
-    """Size, mode and voxel size (cell in angstroms over samples, in nm) from the 1024-byte header of either byte order."""
+    """Size, mode and voxel size (cell in angstroms over samples, in nm, for all axes or none) from the 1024-byte header of either byte order. Without a positive size the header is partial."""
     if len(data) < 1024:
         raise ValueError("the header is incomplete")
     order = "<" if 0 <= struct.unpack_from("<i", data, 12)[0] <= 16 else ">"
     nx, ny, nz, mode = struct.unpack_from(order + "4i", data, 0)
-    if min(nx, ny, nz) <= 0 or mode not in MRC_MODES:
-        raise ValueError("not a volume that is known")
+    sized = min(nx, ny, nz) > 0
     samples = struct.unpack_from(order + "3i", data, 28)
     cell = struct.unpack_from(order + "3f", data, 40)
-    voxel = [c / m / 10 if c > 0 and m > 0 else None for c, m in zip(cell, samples, strict=True)]
-    return "readable", "MRC", nx, ny, nz, MRC_MODES[mode], *voxel
+    voxel = [c / m / 10 for c, m in zip(cell, samples, strict=True)] if min(samples) > 0 and min(cell) > 0 else [None] * 3
+    return "readable" if sized else "partial", "MRC", *((nx, ny, nz) if sized else (None,) * 3), MRC_MODES.get(mode, f"mrc-mode-{mode}"), *voxel
 
 
 def header(path: str, data: bytes) -> tuple:
@@ -147,15 +149,10 @@ def zarr_scale(arrays: DataFrame, attributes: DataFrame) -> DataFrame:
     found = a.join(m, ["parent", "inner"]).groupBy("array_path").agg(F.max_by(F.struct("axes", "scale"), "depth").alias("s"))
     base = a.where("depth = 0").select("array_path", "j")
     out = base.join(found, "array_path", "left")
-    nm = lambda i: F.get("s.scale", F.lit(i)) * _unit_nm(F.get("s.axes", F.lit(i))["unit"])
+    nm = lambda i: F.get("s.scale", F.lit(i)) * unit_nm(F.get("s.axes", F.lit(i))["unit"])
     return out.select("array_path", "j.shape", "j.chunks", "j.dtype", nm(0).alias("z_nm"), nm(1).alias("y_nm"), nm(2).alias("x_nm"))
 
 
-def _unit_nm(unit: Column) -> Column:
-    u = F.lower(unit)
-    return F.when(u == "nanometer", 1.0).when(u == "micrometer", 1000.0).when(u == "angstrom", 0.1).when(u == "meter", 1e9)
-
-
 def trakem2_calibration(text: Column) -> Column:
     """struct(x, y, z) in nm from a calibration element; z is the layer thickness times the pixel where z equals x and y within 5 %."""
     num = lambda name: F.regexp_extract(text, f'pixel{name}="([0-9.]+)"', 1).try_cast("double")

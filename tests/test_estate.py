@@ -129,3 +129,22 @@ def test_rate_limit_drops_rejected_hits(spark):
     for events in by_user.values():
         ok, _ = streams.admit([float(s) for s, _ in events], [], 5, 6 * 3600)
         assert [rows[e] for _, e in events] == ok
+
+
+def test_headers_that_are_partly_readable():
+    import struct
+
+    from atlasforge.plans.source_queries import mrc_bytes, tiff_bytes
+    from atlasforge.sources import volumes
+
+    big = bytearray(tiff_bytes(9, 8, 2.0))
+    (n,) = struct.unpack_from("<H", big, 8)
+    struct.pack_into("<I", big, 10 + 12 * n, 10_000)  # the next directory would lie outside the file
+    assert volumes.header("a.tif", bytes(big))[1] == "readable" and len(volumes.tiff_directories(bytes(big))) == 1
+    odd = bytearray(mrc_bytes(4, 3, 2))
+    struct.pack_into("<i", odd, 12, 12)
+    assert volumes.header("a.mrc", bytes(odd))[1:7] == ("readable", "MRC", 4, 3, 2, "mrc-mode-12")
+    struct.pack_into("<i", odd, 8, 0)
+    assert volumes.header("a.mrc", bytes(odd))[1:6] == ("partial", "MRC", None, None, None)
+    struct.pack_into("<f", odd, 44, 0.0)
+    assert volumes.header("a.mrc", bytes(odd))[7:] == (None, None, None)
