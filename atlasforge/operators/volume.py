@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.volumes import tiff_directories
 from .catalog import values_at_ranks
 
 CHUNKS = "cz int, cy int, cx int, z0 int, y0 int, x0 int, z1 int, y1 int, x1 int, raw binary"
@@ -282,3 +283,67 @@ def read_planes(files: DataFrame, width: int, height: int, item: str, offset: in
                     yield pd.DataFrame({"relative_path": [p], "plane": [z], "raw": [bytes(c[offset + z * size : offset + (z + 1) * size])]})
 
     return files.select("relative_path", "content").mapInPandas(run, "relative_path string, plane long, raw binary")
+
+
+def tiff_planes(files: DataFrame) -> DataFrame:
+    """Planes (relative_path, plane, height, width, dtype, raw) of classic TIFF files with uncompressed strips of one channel, one directory to a plane, in directory order.
+
+    Values come in little-endian order whatever the file's. Compressed, tiled or cut files raise.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, c in zip(b["relative_path"], b["content"], strict=True):
+                data = bytes(c)
+                for z, page in enumerate(tiff_directories(data)):
+                    yield pd.DataFrame([(p, z, *_tiff_plane(p, data, page))], columns=["relative_path", "plane", "height", "width", "dtype", "raw"])
+
+    return files.select("relative_path", "content").mapInPandas(run, "relative_path string, plane long, height long, width long, dtype string, raw binary")
+
+
+# Fixed values of the TIFF format: tags of compression, strip offsets, samples of a pixel, and strip byte counts.
+COMPRESSION, STRIPS, SAMPLES, STRIP_BYTES = 259, 273, 277, 279
+
+
+def _tiff_plane(path: str, data: bytes, page: dict[int, list]) -> tuple[int, int, str, bytes]:
+    one = lambda tag, default: (page.get(tag) or [default])[0]
+    width, height, bits, form = one(256, 0), one(257, 0), one(258, 1), one(339, 1)
+    kind = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}.get((form, bits))
+    if one(COMPRESSION, 1) != 1 or one(SAMPLES, 1) != 1 or kind is None or not page.get(STRIPS):
+        raise ValueError(f"{path}: only uncompressed strips of one channel can be read")
+    raw = b"".join(data[a : a + n] for a, n in zip(page[STRIPS], page.get(STRIP_BYTES, [len(data)]), strict=True))
+    item = np.dtype(kind).itemsize
+    if len(raw) < width * height * item:
+        raise ValueError(f"{path} is truncated")
+    order = "<" if data[:2] == b"II" else ">"
+    values = np.frombuffer(raw[: width * height * item], dtype=order + kind)
+    return height, width, "<" + kind if item > 1 else "|" + kind, values.astype("<" + kind).tobytes()
+
+
+def chunked(planes: DataFrame, shape: tuple[int, int, int], chunks: tuple[int, int, int], item_bytes: int) -> DataFrame:
+    """Planes (plane, raw) of one volume as chunk rows: each plane is cut into tiles in its task, and a chunk gathers its own tiles alone."""
+    depth, height, width = shape
+    size_z, size_y, size_x = chunks
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for z, raw in zip(b["plane"], b["raw"], strict=True):
+                a = np.frombuffer(raw, dtype=np.uint8).reshape(height, width * item_bytes)
+                out = []
+                for y in range(0, height, size_y):
+                    for x in range(0, width, size_x):
+                        tile = np.ascontiguousarray(a[y : y + size_y, x * item_bytes : (x + size_x) * item_bytes])
+                        out.append((z // size_z, y // size_y, x // size_x, z, tile.tobytes()))
+                yield pd.DataFrame(out, columns=["cz", "cy", "cx", "z", "tile"])
+
+    tiles = planes.select("plane", "raw").mapInPandas(cut, "cz int, cy int, cx int, z long, tile binary")
+
+    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        cz, cy, cx = key
+        rows = rows.sort_values("z")
+        ends = [min(n, (c + 1) * m) for c, m, n in zip(key, chunks, shape, strict=True)]
+        if len(rows) != ends[0] - cz * size_z:
+            raise ValueError(f"planes are missing or repeated in chunk {key}")
+        return pd.DataFrame([(cz, cy, cx, cz * size_z, cy * size_y, cx * size_x, *ends, b"".join(rows["tile"]))], columns=[f.split()[0] for f in CHUNKS.split(", ")])
+
+    return tiles.groupBy("cz", "cy", "cx").applyInPandas(join, CHUNKS)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -82,6 +84,79 @@ def store_chunks(chunks: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("cz").parquet(path)
 
 
+def write_chunk_files(chunks: DataFrame, path: str) -> DataFrame:
+    """Each chunk as the file 0/z.y.x below path, in a store that all executors reach (a local path or a URI); name and length of the written ones.
+
+    A file is written under another name and moved, so a task that is tried again leaves whole files.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(f"{root}/0", recursive=True)
+        for b in batches:
+            out = []
+            for c in b.itertuples(index=False):
+                name = f"{c.cz}.{c.cy}.{c.cx}"
+                part = f"{root}/0/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
+                    f.write(c.raw)
+                store.move(part, f"{root}/0/{name}")
+                out.append((name, len(c.raw)))
+            yield pd.DataFrame(out, columns=["name", "length"])
+
+    return chunks.select("cz", "cy", "cx", "raw").mapInPandas(run, "name string, length long")
+
+
+def stored_chunk_files(spark: SparkSession, path: str) -> DataFrame:
+    """Name and length of the chunk files below path, listed on the driver as any file index is; none where the folder is not there."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path)
+    found = store.get_file_info(fs.FileSelector(f"{root}/0", allow_not_found=True))
+    rows = [(f.base_name, f.size) for f in found if f.is_file and not f.base_name.startswith(".")]
+    return spark.createDataFrame(rows, "name string, length long")
+
+
+def convert_asset(chunks: DataFrame, gate: str, digest: str, expected: str, shape: tuple[int, int, int], sizes: tuple[int, int, int], dtype: str, scale_nm: tuple[float, float, float], path: str) -> str:
+    """V9: a volume as a chunk store: gate, digest, recipe, missing chunks, validation and publication; the recipe's id.
+
+    The recipe is a digest of the source and the layout; its staging folder lies beside path, and a second run writes only what
+    is missing in it. Nothing is published unless every chunk is there in its size. A store of the same recipe is left as it is.
+    """
+    if gate != "ready":
+        raise ValueError(f"the asset cannot be converted: {gate}")
+    if digest != expected:
+        raise ValueError("the source is not the registered one")
+    from pyarrow import fs
+
+    from ..operators.volume import chunk_grid, missing_chunks
+
+    spark = chunks.sparkSession
+    recipe = hashlib.sha256(json.dumps({"source": digest, "shape": shape, "chunks": sizes, "dtype": dtype, "scale_nm": scale_nm}, sort_keys=True).encode()).hexdigest()[:16]
+    store, root = fs.FileSystem.from_uri(path)
+    stage = f"{path.rstrip('/')}.stage-{recipe}"
+    marker = f"{root}/recipe.json"
+    if store.get_file_info(marker).is_file:
+        with store.open_input_stream(marker) as f:
+            if json.loads(f.read())["recipe"] == recipe:
+                return recipe
+        raise ValueError("another recipe is published there")
+    grid = chunk_grid(spark, shape, sizes)
+    item = np.dtype(dtype).itemsize
+    todo = missing_chunks(grid, stored_chunk_files(spark, stage), item).select("name")
+    write_chunk_files(chunks.withColumn("name", F.concat_ws(".", "cz", "cy", "cx")).join(todo, "name", "left_semi"), stage).write.format("noop").mode("overwrite").save()
+    if missing_chunks(grid, stored_chunk_files(spark, stage), item).limit(1).count():
+        raise ValueError("chunks are missing after the conversion")
+    _, staged = fs.FileSystem.from_uri(stage)
+    for name, text in (array_metadata(shape, sizes, dtype, scale_nm) | {"recipe.json": json.dumps({"recipe": recipe})}).items():
+        with store.open_output_stream(f"{staged}/{name}") as f:
+            f.write(text.encode())
+    store.move(staged, root)
+    return recipe
+
+
 def load_chunks(spark: SparkSession, path: str, cz: int | None = None) -> DataFrame:
     """The stored chunks; a slab is one partition folder."""
     rows = spark.read.parquet(path)

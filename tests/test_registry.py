@@ -133,3 +133,62 @@ def test_plan_is_one_scan_and_pruned(spark):
     assert table is bindings.catalog(spark, "/root/testdata/sf0.001")  # loaded once
     year = table.where("year = 1995")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in year
+
+
+def tiff_file(planes, order="<", rows_per_strip=2):
+    """A classic TIFF of uint16 planes in strips."""
+    import struct
+
+    body, at, directories = bytearray(b"II*\0" if order == "<" else b"MM\0*") + bytes(4), None, []
+    for a in planes:
+        h, w = a.shape
+        offsets, sizes = [], []
+        for y in range(0, h, rows_per_strip):
+            raw = a[y : y + rows_per_strip].astype(order + "u2").tobytes()
+            offsets.append(len(body))
+            sizes.append(len(raw))
+            body += raw
+        lists = []
+        for values in (offsets, sizes):
+            lists.append(len(body))
+            body += struct.pack(f"{order}{len(values)}I", *values)
+        entries = [(256, 4, 1, w), (257, 4, 1, h), (258, 4, 1, 16), (259, 4, 1, 1), (273, 4, len(offsets), lists[0] if len(offsets) > 1 else offsets[0]), (277, 4, 1, 1), (279, 4, len(sizes), lists[1] if len(sizes) > 1 else sizes[0])]
+        directories.append(len(body))
+        body += struct.pack(order + "H", len(entries)) + b"".join(struct.pack(order + "HHII", *e) for e in entries) + bytes(4)
+    for n, at in enumerate(directories):
+        link = 4 if n == 0 else directories[n - 1] + 2 + 12 * 7
+        struct.pack_into(order + "I", body, link, at)
+    return bytes(body)
+
+
+def test_tiff_planes_become_a_published_chunk_store(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    from atlasforge.sinks import writers
+
+    cube = np.random.default_rng(3).integers(0, 60_000, (5, 7, 6)).astype(np.uint16)
+    files = spark.createDataFrame([("a.tif", bytearray(tiff_file(cube))), ("b.tif", bytearray(tiff_file(cube, ">", 3)))], "relative_path string, content binary")
+    planes = V.tiff_planes(files)
+    for p in ("a.tif", "b.tif"):
+        got = planes.where(f"relative_path = '{p}'").orderBy("plane").collect()
+        assert [(r.height, r.width, r.dtype) for r in got] == [(7, 6, "<u2")] * 5 and b"".join(bytes(r.raw) for r in got) == cube.tobytes()
+    shape, sizes = cube.shape, (2, 4, 4)
+    chunks = V.chunked(planes.where("relative_path = 'b.tif'"), shape, sizes, 2)
+    out = str(tmp_path / "store")
+    convert = lambda gate="ready", digest="d", rows=chunks: writers.convert_asset(rows, gate, digest, "d", shape, sizes, "<u2", (30.0, 4.0, 4.0), out)
+    for bad in (dict(gate="blocked"), dict(digest="x"), dict(rows=chunks.where("cz = 0"))):
+        with pytest.raises(ValueError):
+            convert(**bad)
+    assert not (tmp_path / "store").exists()
+    recipe = convert()  # the chunks of the run that stopped are kept
+    assert recipe == convert(rows=chunks.limit(0)) and json.loads((tmp_path / "store" / "recipe.json").read_text())["recipe"] == recipe
+    back = np.zeros_like(cube)
+    for f in (tmp_path / "store" / "0").iterdir():
+        if not f.name.startswith("."):
+            at = tuple(slice(int(c) * n, min((int(c) + 1) * n, m)) for c, n, m in zip(f.name.split("."), sizes, shape, strict=True))
+            back[at] = np.frombuffer(f.read_bytes(), "<u2").reshape(back[at].shape)
+    assert np.array_equal(back, cube)
+    with pytest.raises(Exception, match="truncated|outside|early"):
+        V.tiff_planes(spark.createDataFrame([("c.tif", bytearray(tiff_file(cube)[:-40]))], "relative_path string, content binary")).collect()
