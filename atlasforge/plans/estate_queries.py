@@ -72,13 +72,14 @@ assets AS (SELECT *, can_view AND digest IS NOT NULL AND ready AND len(blockers)
 
 def _sides(s, d):
     i = B.inventory(s, d)
-    source = i.where("doc_id % 11 <> 0")
-    target = i.where("doc_id % 7 <> 0").withColumn("size_bytes", F.when(F.col("doc_id") % 13 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes"))).withColumn("digest", F.when(F.col("doc_id") % 17 != 0, F.col("digest")))
+    only = lambda side, n: F.when(F.col("doc_id") % n == 0, F.concat(F.lit(f"{side}-only/"), "relative_path")).otherwise(F.col("relative_path"))
+    source = i.withColumn("relative_path", only("source", 7))
+    target = i.withColumn("relative_path", only("target", 11)).withColumn("size_bytes", F.when(F.col("doc_id") % 13 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes"))).withColumn("digest", F.when(F.col("doc_id") % 17 != 0, F.col("digest")))
     return source, target
 
 
-_SIDES_SQL = f"""WITH {B.INVENTORY_SQL}, s AS (SELECT * FROM inventory WHERE doc_id % 11 <> 0),
-t AS (SELECT relative_path, CASE WHEN doc_id % 13 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, CASE WHEN doc_id % 17 <> 0 THEN digest END AS digest FROM inventory WHERE doc_id % 7 <> 0),
+_SIDES_SQL = f"""WITH {B.INVENTORY_SQL}, s AS (SELECT * REPLACE (CASE WHEN doc_id % 7 = 0 THEN 'source-only/' || relative_path ELSE relative_path END AS relative_path) FROM inventory),
+t AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'target-only/' || relative_path ELSE relative_path END AS relative_path, CASE WHEN doc_id % 13 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, CASE WHEN doc_id % 17 <> 0 THEN digest END AS digest FROM inventory),
 j AS (SELECT coalesce(s.relative_path, t.relative_path) AS relative_path, s.relative_path IS NOT NULL AS in_s, t.relative_path IS NOT NULL AS in_t, s.size_bytes AS s_size, t.size_bytes AS t_size, s.digest AS s_digest, t.digest AS t_digest FROM s FULL JOIN t ON s.relative_path = t.relative_path),
 issues AS (SELECT relative_path, unnest(list_filter([CASE WHEN NOT in_s THEN 'unexpected_in_target' END, CASE WHEN NOT in_t THEN 'missing_in_target' END, CASE WHEN in_s AND in_t AND s_size <> t_size THEN 'size_mismatch' END,
   CASE WHEN in_s AND in_t AND s_digest IS NULL THEN 'missing_source_checksum' END, CASE WHEN in_s AND in_t AND t_digest IS NULL THEN 'missing_target_checksum' END, CASE WHEN in_s AND in_t AND s_digest <> t_digest THEN 'checksum_mismatch' END], lambda x: x IS NOT NULL)) AS issue_type, s_size, t_size FROM j)
@@ -135,8 +136,12 @@ def prefixes(s, d):
 def scored(s, d):
     """Assets against derivatives: identity, checksum and path suffix."""
     i = B.inventory(s, d)
-    left = i.where("doc_id % 3 = 0").withColumn("name", F.substring_index("relative_path", "/", -1))
-    right = i.where("doc_id % 2 = 0").select((F.col("doc_id") + 5_000_000).alias("derived_id"), F.when(F.col("doc_id") % 4 == 0, F.col("doc_id")).alias("origin"), "digest", F.col("relative_path").alias("d_path"))
+    left = i.withColumn("name", F.substring_index("relative_path", "/", -1))
+    even = F.col("doc_id") % 2 == 0  # the others match nothing
+    right = i.select(
+        (F.col("doc_id") + 5_000_000).alias("derived_id"), F.when(F.col("doc_id") % 4 == 0, F.col("doc_id")).alias("origin"), F.when(even, F.col("digest")).alias("digest"),
+        F.when(even, F.col("relative_path")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".none"))).alias("d_path"),
+    )
     arms = [(400, F.col("doc_id").cast("string"), F.col("origin").cast("string")), (300, F.col("digest"), F.col("digest")), (100, F.col("name"), F.substring_index("d_path", "/", -1))]
     return matching.scored_best_match(left, right, "doc_id", "derived_id", arms)
 
@@ -265,7 +270,7 @@ SELECT asset_id, relative_path FROM t WHERE contains(txt, 'src1') AND contains(t
     "prefix_rollup": f"""WITH {B.INVENTORY_SQL}, p AS (SELECT DISTINCT split_part(relative_path, '/', 1) AS prefix FROM inventory UNION SELECT DISTINCT split_part(relative_path, '/', 1) || '/' || split_part(relative_path, '/', 2) FROM inventory UNION SELECT 'nowhere')
 SELECT prefix, count(relative_path) AS n_files, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes, max(walk_pos) AS latest FROM p LEFT JOIN inventory ON starts_with(relative_path, prefix || '/') GROUP BY prefix""",
     "tree_digest": f"""WITH {B.INVENTORY_SQL} SELECT split_part(relative_path, '/', 1) || '/' || split_part(relative_path, '/', 2) AS directory, sha256(string_agg(relative_path || chr(0) || size_bytes || chr(0) || digest || chr(10), '' ORDER BY relative_path)) AS tree_digest, count(*) AS n_files FROM inventory GROUP BY ALL""",
-    "scored_match": f"""WITH {B.INVENTORY_SQL}, l AS (SELECT *, split_part(relative_path, '/', 3) AS name FROM inventory WHERE doc_id % 3 = 0), r AS (SELECT doc_id + 5000000 AS rid, CASE WHEN doc_id % 4 = 0 THEN doc_id END AS origin, digest, split_part(relative_path, '/', 3) AS name FROM inventory WHERE doc_id % 2 = 0),
+    "scored_match": f"""WITH {B.INVENTORY_SQL}, l AS (SELECT *, split_part(relative_path, '/', 3) AS name FROM inventory), r AS (SELECT doc_id + 5000000 AS rid, CASE WHEN doc_id % 4 = 0 THEN doc_id END AS origin, CASE WHEN doc_id % 2 = 0 THEN digest END AS digest, CASE WHEN doc_id % 2 = 0 THEN split_part(relative_path, '/', 3) ELSE doc_id || '.none' END AS name FROM inventory),
 p AS (SELECT l.doc_id, rid, max(score) AS score FROM (SELECT l.doc_id, rid, 400 AS score FROM l JOIN r ON origin = l.doc_id UNION ALL SELECT l.doc_id, rid, 300 FROM l JOIN r USING (digest) UNION ALL SELECT l.doc_id, rid, 100 FROM l JOIN r USING (name)) l GROUP BY ALL),
 b AS (SELECT doc_id, score, count(*) AS k, min(rid) AS rid FROM p x WHERE score = (SELECT max(score) FROM p y WHERE y.doc_id = x.doc_id) GROUP BY ALL)
 SELECT l.doc_id, CASE WHEN score IS NULL THEN 'unmatched' WHEN k = 1 THEN 'matched' ELSE 'ambiguous' END AS status, CASE WHEN k = 1 THEN rid END AS match_id, score FROM l LEFT JOIN b USING (doc_id)""",

@@ -47,18 +47,19 @@ FROM labels JOIN documents USING (doc_id)) """
 
 def resolved(s: SparkSession, d: str) -> DataFrame:
     rows = documents(s, d).select(F.col("source").alias("slug"), K().alias("asset"), (SIZE() % 5).alias("fingerprint"), (SIZE() % 3).alias("other"))
-    return R.resolve_volumes(rows.drop("other"), rows.where("asset % 4 <> 0").select("slug", "asset", F.col("other").alias("fingerprint")))
+    moved = F.when(F.col("asset") % 4 == 0, F.concat("slug", F.lit("-old"))).otherwise(F.col("slug"))
+    return R.resolve_volumes(rows.drop("other"), rows.select(moved.alias("slug"), "asset", F.col("other").alias("fingerprint")))
 
 
 def sidecar_pairs(s: SparkSession, d: str) -> DataFrame:
     i = B.inventory(s, d)
-    files = i.where("doc_id % 7 = 3").select(F.concat(F.lit("side/"), (K() - 3).cast("string"), F.lit(".json")).alias("relative_path"))
-    return R.sidecars(i.where("doc_id % 7 = 0").select("relative_path"), files)
+    named = F.when(K() % 7 == 3, (K() - 3).cast("string")).otherwise(F.concat(F.lit("x"), K().cast("string")))
+    return R.sidecars(i.select("relative_path"), i.select(F.concat(F.lit("side/"), named, F.lit(".json")).alias("relative_path")))
 
 
 def violations(s: SparkSession, d: str) -> DataFrame:
-    m = events(s, d).select(F.col("event_id").alias("measurement_id"), (F.col("user_id") % 12).cast("int").alias("volume_id"), (F.col("event_id") % 120).alias("px"), (F.col("user_id") % 200).alias("py"), (F.col("event_id") % 7).alias("pz"))
-    v = B.table(s, d, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").cast("int").alias("volume_id"), F.lit(100).alias("x"), (F.col("n_nationkey") * 20).alias("y"), F.lit(6).alias("z"))
+    m = events(s, d).select(F.col("event_id").alias("measurement_id"), (F.col("user_id") % 30).cast("int").alias("volume_id"), (F.col("event_id") % 120).alias("px"), (F.col("user_id") % 200).alias("py"), (F.col("event_id") % 7).alias("pz"))
+    v = B.table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("volume_id"), F.lit(100).alias("x"), (F.col("n_nationkey") * 20).alias("y"), F.lit(6).alias("z"))
     return R.project_violations(m, v)
 
 
@@ -70,7 +71,7 @@ def allowed_labels(s: SparkSession, d: str) -> DataFrame:
 
 def stale(s: SparkSession, d: str) -> DataFrame:
     rows = documents(s, d).select(F.lit(2).alias("version"), F.col("source").alias("folder"), K().cast("string").alias("relative_path"), SIZE().alias("size_bytes"), (K() * 10).alias("modified_at"), "doc_id")
-    index = rows.where("doc_id % 5 <> 0").withColumn("size_bytes", F.when(K() % 7 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")))
+    index = rows.withColumn("relative_path", F.when(K() % 5 == 0, F.concat("relative_path", F.lit("-old"))).otherwise(F.col("relative_path"))).withColumn("size_bytes", F.when(K() % 7 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")))
     return R.needs_rebuild(index, rows).select("doc_id")
 
 
@@ -88,23 +89,25 @@ def byte_totals(s: SparkSession, d: str) -> DataFrame:
 
 def imported(s: SparkSession, d: str) -> DataFrame:
     rows = documents(s, d).select(F.concat("source", F.lit("/"), (K() % 100).cast("string")).alias("relative_path"), K().cast("string").alias("sha256"), F.col("lang").alias("format"), K().alias("pos"))
-    return R.import_public(rows.where("pos % 3 = 0"), rows.where("pos % 3 <> 0"))
+    return R.import_public(rows, rows)
 
 
 def replaced(s: SparkSession, d: str) -> DataFrame:
     e = events(s, d).select("event_id", "user_id", "value")
-    return P.replace_scope(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1 and user_id < 5"), "user_id", "event_id", 100)
+    new = e.select((F.col("event_id") + 1_000_000).alias("event_id"), F.when(F.col("user_id") < 5, F.col("user_id")).otherwise(F.col("user_id") + 1000).alias("user_id"), "value")
+    return P.replace_scope(e, new.withColumn("event_id", F.when(F.col("user_id") >= 1000, -F.col("event_id")).otherwise(F.col("event_id"))), "user_id", "event_id", 100)
 
 
 def kept_digests(s: SparkSession, d: str) -> DataFrame:
     rows = documents(s, d).select(K().cast("string").alias("relative_path"), F.lit("sha256").alias("algorithm"), SIZE().alias("size_bytes"), (K() % 9).alias("modified_at"), F.lit(1).alias("device_id"), K().alias("inode"))
-    old = rows.where("inode % 4 <> 0").withColumn("modified_at", F.when(F.col("inode") % 6 == 1, -1).otherwise(F.col("modified_at"))).withColumn("digest", F.sha2("relative_path", 256))
+    old = rows.withColumn("modified_at", F.when((F.col("inode") % 6 == 1) | (F.col("inode") % 4 == 0), -1).otherwise(F.col("modified_at"))).withColumn("digest", F.sha2("relative_path", 256))
     return E.unchanged(old, rows).select("relative_path", "digest")
 
 
 def evidence(s: SparkSession, d: str) -> DataFrame:
     rows = documents(s, d).select(K().cast("string").alias("relative_path"), "doc_id", "n_chars")
-    found = P.with_evidence(rows.select("relative_path", "doc_id"), rows.where("doc_id % 3 = 0").select("relative_path", F.col("n_chars").alias("remote_bytes")), rows.where("doc_id % 4 = 0").select("relative_path", F.concat("relative_path", F.lit(".png")).alias("preview")))
+    found_under = lambda n: F.when(K() % n == 0, F.col("relative_path")).otherwise(F.concat(F.lit("other/"), "relative_path")).alias("relative_path")
+    found = P.with_evidence(rows.select("relative_path", "doc_id"), rows.select(found_under(3), F.col("n_chars").alias("remote_bytes")), rows.select(found_under(4), F.concat("relative_path", F.lit(".png")).alias("preview")))
     return found.drop("doc_id")
 
 
@@ -118,7 +121,8 @@ def totals(s: SparkSession, d: str) -> DataFrame:
 def queue(s: SparkSession, d: str) -> DataFrame:
     rows = documents(s, d).select(F.concat(F.lit("p"), K().cast("string")).alias("relative_path"), "doc_id", "n_chars")
     e = events(s, d).select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("relative_path"), F.col("event_type").alias("status"), "ts", "event_id")
-    return jobs.queue_rows(rows.select("relative_path"), rows.where("doc_id % 2 = 0").select("relative_path", (F.col("n_chars") % 2 == 0).alias("ready")), rows.where("doc_id % 3 = 0").select("relative_path", F.col("doc_id").alias("derivative")), e)
+    found_under = lambda n: F.when(K() % n == 0, F.col("relative_path")).otherwise(F.concat(F.lit("other/"), "relative_path")).alias("relative_path")
+    return jobs.queue_rows(rows.select("relative_path"), rows.select(found_under(2), (F.col("n_chars") % 2 == 0).alias("ready")), rows.select(found_under(3), F.col("doc_id").alias("derivative")), e)
 
 
 def broken_bundle(s: SparkSession, d: str) -> DataFrame:
@@ -189,9 +193,9 @@ ORACLES = {
     "advisory_page": _ADVICE + "SELECT finding_id, severity, category FROM a ORDER BY severity, category, relative_path, finding_id LIMIT 50",
     "conversion_order": Q.ASSETS_SQL + "SELECT relative_path, doc_id % 8 = 3 AS review_required FROM assets WHERE is_candidate ORDER BY CAST(doc_id % 8 = 3 OR len(gaps) > 0 AS INT), relative_path LIMIT 50",
     "resolved_volumes": f"SELECT source AS slug, doc_id AS asset, n_chars % 5 AS fingerprint, CASE WHEN doc_id % 4 = 0 THEN 'missing' WHEN n_chars % 3 = n_chars % 5 THEN 'resolved' ELSE 'changed' END AS resolution {_D}",
-    "sidecar_pairs": f"WITH {B.INVENTORY_SQL} SELECT v.relative_path AS volume, 'side/' || v.doc_id || '.json' AS sidecar FROM inventory v JOIN inventory f ON f.doc_id = v.doc_id + 3 WHERE v.doc_id % 7 = 0",
-    "project_violations": """WITH m AS (SELECT event_id, user_id % 12 AS v, event_id % 120 AS px, user_id % 200 AS py, event_id % 7 AS pz FROM events)
-SELECT event_id AS measurement_id, unnest(CASE WHEN v >= 10 THEN ['unknown_volume'] ELSE list_filter([CASE WHEN px > 99 THEN 'x_out_of_bounds' END, CASE WHEN py > v * 20 - 1 THEN 'y_out_of_bounds' END, CASE WHEN pz > 5 THEN 'z_out_of_bounds' END], lambda c: c IS NOT NULL) END) AS violation FROM m""",
+    "sidecar_pairs": f"WITH {B.INVENTORY_SQL} SELECT v.relative_path AS volume, 'side/' || v.doc_id || '.json' AS sidecar FROM inventory v JOIN inventory f ON f.doc_id = v.doc_id + 3 AND f.doc_id % 7 = 3",
+    "project_violations": """WITH m AS (SELECT event_id, user_id % 30 AS v, event_id % 120 AS px, user_id % 200 AS py, event_id % 7 AS pz FROM events)
+SELECT event_id AS measurement_id, unnest(CASE WHEN v >= 25 THEN ['unknown_volume'] ELSE list_filter([CASE WHEN px > 99 THEN 'x_out_of_bounds' END, CASE WHEN py > v * 20 - 1 THEN 'y_out_of_bounds' END, CASE WHEN pz > 5 THEN 'z_out_of_bounds' END], lambda c: c IS NOT NULL) END) AS violation FROM m""",
     "labels_in_root": f"SELECT source || '/labels/' || doc_id AS label_path {_D} WHERE doc_id % 5 <> 0 AND n_chars % 2 = 0 AND n_chars % 3 = doc_id % 3 AND source IN ('src1', 'src2')",
     "stale_index": f"SELECT doc_id {_D} WHERE doc_id % 5 = 0 OR doc_id % 7 = 0",
     "valid_codes": """SELECT user_id, event_id AS code_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
@@ -199,10 +203,10 @@ WHERE r = 1 AND event_type <> 'purchase' AND ts + INTERVAL 10 DAY > TIMESTAMP '2
     "manifest_byte_totals": f"""SELECT count(*) AS rows, count(*) FILTER (WHERE doc_id % 3 = 0) AS included, CAST(sum(n_chars) AS BIGINT) AS bytes_min, CAST(2 * sum(n_chars) AS BIGINT) AS bytes_max,
 CAST(sum(n_chars) FILTER (WHERE doc_id % 3 = 0) AS BIGINT) AS included_min, CAST(2 * sum(n_chars) FILTER (WHERE doc_id % 3 = 0) AS BIGINT) AS included_max {_D}""",
     "imported_registry": f"""WITH r AS (SELECT source || '/' || (doc_id % 100) AS relative_path, CAST(doc_id AS VARCHAR) AS sha256, lang AS format, doc_id {_D})
-SELECT relative_path, sha256, format, 'source' AS kind FROM r WHERE doc_id % 3 = 0
-UNION ALL SELECT relative_path, arg_min(sha256, doc_id), arg_min(format, doc_id), 'derivative' FROM r WHERE doc_id % 3 <> 0 GROUP BY relative_path""",
-    "replaced_scopes": """WITH n AS (SELECT event_id, user_id, value FROM events WHERE event_id % 2 = 1 AND user_id < 5)
-SELECT * FROM (SELECT event_id, user_id, value FROM events WHERE event_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM n) UNION ALL SELECT * FROM n) ORDER BY event_id DESC LIMIT 100""",
+SELECT relative_path, sha256, format, 'source' AS kind FROM r
+UNION ALL SELECT relative_path, arg_min(sha256, doc_id), arg_min(format, doc_id), 'derivative' FROM r GROUP BY relative_path""",
+    "replaced_scopes": """WITH n AS (SELECT CASE WHEN user_id < 5 THEN event_id + 1000000 ELSE -(event_id + 1000000) END AS event_id, CASE WHEN user_id < 5 THEN user_id ELSE user_id + 1000 END AS user_id, value FROM events)
+SELECT * FROM (SELECT event_id, user_id, value FROM events WHERE user_id NOT IN (SELECT user_id FROM n) UNION ALL SELECT * FROM n) ORDER BY event_id DESC LIMIT 100""",
     "kept_digests": f"SELECT CAST(doc_id AS VARCHAR) AS relative_path, CASE WHEN doc_id % 4 <> 0 AND doc_id % 6 <> 1 THEN sha256(CAST(doc_id AS VARCHAR)) END AS digest {_D}",
     "asset_evidence": f"""SELECT CAST(doc_id AS VARCHAR) AS relative_path, CASE WHEN doc_id % 3 = 0 THEN n_chars END AS remote_bytes, doc_id % 3 = 0 AS has_remote,
 CASE WHEN doc_id % 4 = 0 THEN doc_id || '.png' END AS preview, doc_id % 4 = 0 AS has_preview {_D}""",
