@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import BROADCAST_ROWS, U64, Words, materialize, mix, repeats, semi_join_ids, shingle_hashes, text_slices
+from .common import BROADCAST_ROWS, U64, Words, materialize, mix, release, repeats, semi_join_ids, shingle_hashes, text_slices
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -318,6 +318,8 @@ def _classify(docs: DataFrame, id_col: str, text_col: str, width: int, threshold
     # numbers of nodes carry no order of documents: a class is named by its least doc_id
     known = materialize(reps.select("digest", "rep_id", "rep").join(classes.select(F.col("doc_id").alias("rep"), F.col("class_id").alias("class")), "rep", "left").withColumn("class", F.coalesce("class", "rep")), "known")
     heads = known.groupBy("class").agg(F.min(F.struct("rep_id", "digest")).alias("h"))
+    for done in (chosen, members, pairs):  # the classes are written, and nothing else reads these
+        release(done)
     nodes = known.join(materialize(heads, "heads"), "class")
     return sig, nodes.select("digest", F.col("rep_id").alias("copy_of"), F.col("h.rep_id").alias("class_id"), (F.col("h.digest") == F.col("digest")).alias("first"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, U64, Words, materialize, repeats, text_slices
+from .common import BROADCAST_ROWS, U64, Words, materialize, release, repeats, text_slices
 
 WINDOW = 10
 PASS_PHRASES, EXPANDED = 250_000, 1 << 20
@@ -319,7 +319,9 @@ def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col: s
     if repeats(docs.select(id_col), id_col) or docs.where(F.col(id_col).isNull()).limit(1).count():
         own = "__row"
         rows = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
-    hit = materialize(decontaminate(rows, items, width, id_col=own).where("n_hit > 0").select(F.col("doc_id").alias(own)), "hit")
+    index = build_index(rows, own)
+    hit = materialize(find(index, items, width).where("n_hit > 0").select(F.col("doc_id").alias(own)), "hit")
+    release(index)
     n = hit.limit(BROADCAST_ROWS + 1).count()
     return rows.join(F.broadcast(hit) if n <= BROADCAST_ROWS else hit, own, "left_anti").select(*docs.columns)
 
