@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, license_rules, line_dedup, pfair, phrase_index, quality, quote_threads, token_store, toxicity, webp
+from . import bagminhash, license_rules, line_dedup, pfair, phrase_index, prefix_trie, quality, quote_threads, token_store, toxicity, webp
 from .calibrate import held_out
 from .common import scratch_path
 
@@ -69,6 +69,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_head_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quote_threads": op1_quote_threads,
     "op2_near_duplicates": op2_near_duplicates,
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_phrase_index": op8_phrase_index,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -89,4 +94,5 @@ ORACLES: dict[str, str] = {
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_pfair_mix": pfair.ORACLE,
     "op8_phrase_index": phrase_index.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
