@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, license_rules, line_dedup, pfair, phrase_index, prefix_trie, quality, quote_threads, token_store, toxicity, webp
+from . import bagminhash, license_rules, line_dedup, pfair, phrase_index, prefix_trie, quality, quote_threads, spelling, token_store, toxicity, webp
 from .calibrate import held_out
 from .common import scratch_path
 
@@ -73,6 +73,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.shared_head_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quote_threads": op1_quote_threads,
     "op2_near_duplicates": op2_near_duplicates,
@@ -85,6 +89,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -95,4 +100,5 @@ ORACLES: dict[str, str] = {
     "op6_pfair_mix": pfair.ORACLE,
     "op8_phrase_index": phrase_index.ORACLE,
     "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
 }
