@@ -165,9 +165,10 @@ def text_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 class Words:
     """Words of a slice: byte spans, 64-bit hashes, and for each text the range of its words."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, word: np.ndarray = _WORD):
+        """word: whether each (lower-cased) byte belongs to a word."""
         low = _LOWER[data]
-        inside = _WORD[low]
+        inside = word[low]
         n = len(data)
         before = np.zeros(n + 1, dtype=bool)
         before[1:] = inside

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, license_rules, line_dedup, pfair, phrase_index, prefix_trie, quality, quote_threads, spelling, token_store, toxicity, webp
+from . import bagminhash, license_rules, line_dedup, partenum, pfair, phrase_index, prefix_trie, quality, quote_threads, spelling, token_store, toxicity, webp
 from .calibrate import held_out
 from .common import scratch_path
 
@@ -77,6 +77,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.linked(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quote_threads": op1_quote_threads,
     "op2_near_duplicates": op2_near_duplicates,
@@ -90,6 +94,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_partenum_join": op13_partenum_join,
 }
 
 ORACLES: dict[str, str] = {
@@ -101,4 +106,5 @@ ORACLES: dict[str, str] = {
     "op8_phrase_index": phrase_index.ORACLE,
     "op11_prefix_trie": prefix_trie.ORACLE,
     "op12_spelling_variants": spelling.ORACLE,
+    "op13_partenum_join": partenum.ORACLE,
 }
