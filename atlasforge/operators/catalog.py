@@ -153,24 +153,28 @@ def timeline_families(catalog: DataFrame, spec: FilterSpec | None = None) -> Dat
     return catalog.where(condition(spec or FilterSpec())).groupBy("year", "modality_family").agg(F.count("*").alias("n"))
 
 
-def values_at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column], bins: int = 1024) -> DataFrame:
-    """By group, the values at the given ranks (from 1; Columns over n, the number of known values), exact and in pieces.
+def values_at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, tuple[float, Column]], accuracy: int = 10_000) -> DataFrame:
+    """By group, the values at the given ranks, exact. ranks: name to (quantile, rank from 1 as a Column over n, the number of known values), at most two ranks apart.
 
-    A sketch cuts each group into bins of about equal size; counts of the bins tell in which a rank falls, and only the different values of
-    these bins are ranked. No task ranks more than a bin, and equal values are one row.
+    A sketch, off by n / accuracy ranks at most, gives two values that surely enclose each rank. A second scan counts what lies below
+    them, and only what lies between is ranked; a group of few values is ranked as it is. If a rank is not enclosed after all, the query fails.
     """
-    known = rows.where(F.col(value).isNotNull()).select(group, F.col(value).alias("_v"))
-    counts = known.groupBy(group, "_v").agg(F.count("*").alias("m"))
-    cuts = known.groupBy(group).agg(F.percentile_approx("_v", [i / bins for i in range(1, bins)], 10_000).alias("_cuts"), F.count("*").alias("n"))
-    binned = counts.join(F.broadcast(cuts.select(F.col(group).alias("_g"), "_cuts")), F.col(group).eqNullSafe(F.col("_g"))).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).select(group, "_bin", "_v", "m")
-    sizes = binned.groupBy(group, "_bin").agg(F.sum("m").alias("s"))
-    upto = F.sum("s").over(Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # bins rows at most
-    wanted = cuts.select(F.col(group).alias("_g"), F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()])).alias("w"))
-    found = sizes.withColumn("_before", upto - F.col("s")).join(F.broadcast(wanted), F.col(group).eqNullSafe(F.col("_g")) & (F.col("w.rank") > F.col("_before")) & (F.col("w.rank") <= F.col("_before") + F.col("s")))
-    found = found.select(F.col(group).alias("_g"), F.col("_bin").alias("_b"), "w.name", (F.col("w.rank") - F.col("_before")).alias("_left"))
-    inside = Window.partitionBy(group, "_bin", "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = binned.join(F.broadcast(found), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bin") == F.col("_b"))).withColumn("_upto", F.sum("m").over(inside))
-    return ranked.where("_upto >= _left").groupBy(group).agg(*[F.min(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in ranks])
+    known = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"))
+    at = [max(0.0, q - 4 / accuracy) for q, _ in ranks.values()] + [min(1.0, q + 4 / accuracy) for q, _ in ranks.values()]
+    sketch = known.groupBy("_g").agg(F.count("*").alias("n"), F.percentile_approx("_v", at, accuracy).alias("_at"))
+    few = F.col("n") <= 2 * accuracy
+    ends = [F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank"), F.when(~few, F.get("_at", F.lit(i))).alias("lo"), F.when(~few, F.get("_at", F.lit(i + len(ranks)))).alias("hi")) for i, (k, (_, r)) in enumerate(ranks.items())]
+    ends = sketch.select(F.col("_g").alias("_h"), F.array(*ends).alias("_ends"))
+    each = known.join(F.broadcast(ends), F.col("_g").eqNullSafe(F.col("_h")))  # a row for each group
+    # of values below only the number counts: they become null
+    part = lambda e: F.struct(e["name"].alias("name"), e["rank"].alias("rank"), F.when(F.coalesce(F.col("_v") >= e["lo"], F.lit(True)), F.col("_v")).alias("v"))
+    near = F.transform(F.filter("_ends", lambda e: F.coalesce(F.col("_v") <= e["hi"], F.lit(True))), part)
+    counts = each.select("_g", F.explode(near).alias("x")).groupBy("_g", "x.name", "x.rank", "x.v").agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("_g", "name").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    reached = counts.withColumn("_upto", upto).where("_upto >= rank")
+    found = reached.groupBy("_g", "name").agg(F.min_by(F.struct("v"), "_upto").alias("s"))
+    enclosed = F.when(F.col("s.v").isNull(), F.raise_error(F.lit("a rank is not enclosed"))).otherwise(F.col("s.v"))
+    return found.select(F.col("_g").alias(group), "name", enclosed.alias("v")).groupBy(group).agg(*[F.min(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in ranks])
 
 
 def benchmarks(catalog: DataFrame, include_borderline: bool = True) -> DataFrame:
@@ -182,14 +186,14 @@ def benchmarks(catalog: DataFrame, include_borderline: bool = True) -> DataFrame
         aggs += [F.count(column).alias(f"{name}_n"), F.min(column).cast("double").alias(f"{name}_min"), F.max(column).cast("double").alias(f"{name}_max"), F.round(F.avg(column), 1).alias(f"{name}_mean")]
     out = rows.groupBy("modality_family").agg(F.count("*").alias("records"), *aggs)
     for column, name in measures:
-        median = values_at_ranks(rows, "modality_family", column, {f"{name}_median": F.ceil(F.col("n") / 2)})
+        median = values_at_ranks(rows, "modality_family", column, {f"{name}_median": (0.5, F.ceil(F.col("n") / 2))})
         out = out.join(F.broadcast(median.withColumnRenamed("modality_family", "_family")), F.col("modality_family").eqNullSafe(F.col("_family")), "left").drop("_family").withColumn(f"{name}_median", F.col(f"{name}_median").cast("double"))  # a row for each family
     return out
 
 
 def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
     """The upper middle value by group: the value of rank n / 2 + 1."""
-    return values_at_ranks(rows, group, value, {"upper_median": F.floor(F.col("n") / 2) + 1})
+    return values_at_ranks(rows, group, value, {"upper_median": (0.5, F.floor(F.col("n") / 2) + 1)})
 
 
 def similar(catalog: DataFrame, target_id: str, limit: int = 4) -> DataFrame:

@@ -57,7 +57,7 @@ def percentiles(voxels: DataFrame, wanted: dict[str, float]) -> DataFrame:
     """One row of linear percentiles of the finite values, exact, from the values at the ranks on both sides, with the least and the greatest value."""
     finite = voxels.where(~F.isnan("value") & (F.abs("value") < float("inf"))).withColumn("_all", F.lit(0))
     at = {k: (F.col("n") - 1) * q for k, q in wanted.items()}
-    ranks = {f"{k}_{side}": f(p) + 1 for k, p in at.items() for side, f in (("below", F.floor), ("above", F.ceil))}
+    ranks = {f"{k}_{side}": (wanted[k], f(p) + 1) for k, p in at.items() for side, f in (("below", F.floor), ("above", F.ceil))}
     ends = values_at_ranks(finite, "_all", "value", ranks).crossJoin(F.broadcast(finite.agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))))  # one row each
     return ends.select("least", "most", *[(F.col(f"{k}_below") + (p - F.floor(p)) * (F.col(f"{k}_above") - F.col(f"{k}_below"))).alias(k) for k, p in at.items()])
 

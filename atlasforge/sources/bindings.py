@@ -6,21 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..scratch import written
+from ..scratch import file_identity, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_catalogs: dict[tuple[str, str], DataFrame] = {}
+CATALOG_TABLES = ("orders", "lineitem", "part", "customer", "nation", "region")
+_catalogs: dict[tuple, DataFrame] = {}
+
+
+def load_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The load: the catalog written as a table by year, from all its sources."""
+    return written(catalog_rows(spark, sf_dir), "catalog", "year")
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog as a table by year: loaded on its first use in an application, from all its sources, and read by every query after that."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The loaded catalog. A load is used again in an application as long as its source files have the names, sizes and times they had; else it is done anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, file_identity(spark, *[f"{sf_dir}/{t}.parquet" for t in CATALOG_TABLES]))
     if key not in _catalogs:
-        _catalogs[key] = written(catalog_rows(spark, sf_dir), "catalog", "year")
+        for old in [k for k in _catalogs if k[:2] == key[:2]]:
+            del _catalogs[old]
+        _catalogs[key] = load_catalog(spark, sf_dir)
     return _catalogs[key]
 
 

@@ -127,7 +127,7 @@ def test_ranks_are_exact_for_ties_groups_and_single_values(spark):
 
     r = random.Random(2)
     rows = [(g, v) for g in "abc" for v in [r.choice([1.0, 2.0, 2.5, r.random() * 9]) for _ in range(r.randint(1, 300))]] + [("one", 4.0), ("none", None), (None, 7.0)]
-    got = {x.g: x.m for x in C.values_at_ranks(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"m": F.ceil(F.col("n") / 2)}, bins=8).collect()}
+    got = {x.g: x.m for x in C.values_at_ranks(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"m": (0.5, F.ceil(F.col("n") / 2))}, accuracy=50).collect()}
     for g in {x[0] for x in rows if x[1] is not None}:
         v = sorted(x[1] for x in rows if x[0] == g)
         assert got[g] == v[(len(v) + 1) // 2 - 1], g
