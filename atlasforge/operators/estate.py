@@ -237,21 +237,41 @@ def review_queue(assets: DataFrame) -> DataFrame:
 
 
 def registry_summary(assets: DataFrame) -> DataFrame:
-    """Counters of flags, and of each blocker ('ready' where there is none), in long form."""
-    flags = ["is_candidate", "ready", "project_ready", "conversion_ready"]
-    counts = assets.agg(F.count("*").alias("assets"), *[F.count_if(c).alias(c) for c in flags], F.count_if(F.col("digest").isNotNull()).alias("with_checksum"))
-    names = ["assets", *flags, "with_checksum"]
-    long = counts.select(F.explode(F.array(*[F.struct(F.lit("flag").alias("kind"), F.lit(n).alias("name"), F.col(n).cast("bigint").alias("n")) for n in names])).alias("x")).select("x.*")
-    per = assets.select(F.explode(F.when(F.size("blockers") == 0, F.array(F.lit("ready"))).otherwise(F.col("blockers"))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    return long.unionByName(per.select(F.lit("blocker").alias("kind"), "name", "n"))
-
-
-def scan_summary(files: DataFrame) -> DataFrame:
-    """Files and bytes by extension, by role and over all, in one pass of grouping sets."""
-    sets = files.groupingSets([[F.col("extension")], [F.col("role")], []], "extension", "role")
-    return sets.agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("bytes"), F.grouping_id().alias("g")).select(
-        F.when(F.col("g") == 1, "extension").when(F.col("g") == 2, "role").otherwise("all").alias("grouping"), F.coalesce("extension", "role", F.lit("*")).alias("name"), "n_files", "bytes"
-    )
+    """Ten counters and five tallies in long form (kind, name, n), each in one pass: the assets are read twice.
+
+    A blank extension or format is [none], a blank role or status unknown; an asset without blockers tallies as ready.
+    """
+    named = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
+    queued = F.col("is_candidate") | (F.size("gaps") > 0) | F.col("duplicate_of").isNotNull()
+    logical = F.col("path_type") == "directory_volume"
+    counters = {
+        "asset_count": F.count("*"), "file_asset_count": F.count_if(~logical), "logical_asset_count": F.count_if(logical), "bytes_total": F.coalesce(F.sum("size_bytes"), F.lit(0)), "volume_candidate_count": F.count_if("is_candidate"),
+        "review_queue_count": F.count_if(queued), "metadata_gap_count": F.coalesce(F.sum(F.size("gaps")), F.lit(0)), "checksum_record_count": F.count_if(F.coalesce("digest", F.lit("")) != ""),
+        "duplicate_asset_count": F.count_if(F.col("duplicate_of").isNotNull()), "project_ready_count": F.count_if("project_ready"),
+    }
+    pair = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("name"))
+    single = F.array(pair("extension", named("extension", "[none]")), pair("role", named("role", "unknown")), pair("format", named("format", "[none]")), pair("status", named("asset_status", "unknown")))
+    readiness_of = F.transform(F.when(F.size("blockers") == 0, F.array(F.lit("ready"))).otherwise(F.col("blockers")), lambda b: pair("readiness", b))
+    tallies = assets.select(F.explode(F.concat(single, readiness_of)).alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
+    counts = assets.agg(*[c.cast("bigint").alias(k) for k, c in counters.items()])
+    long = counts.select(F.explode(F.array(*[F.struct(F.lit("counter").alias("kind"), F.lit(k).alias("name"), F.col(k).alias("n")) for k in counters])).alias("x")).select("x.*")
+    return long.unionByName(tallies.select("kind", "name", "n"))
+
+
+def scan_summary(files: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Files, bytes, and first and last time of change by extension, role, path type and over all, in one pass of grouping sets; and the errors by operation.
+
+    A blank extension is [none]. errors: rows with `operation`; their rows have a number and nothing else.
+    """
+    rows = files.withColumn("extension", F.coalesce(F.nullif("extension", F.lit("")), F.lit("[none]")))
+    sets = rows.groupingSets([[F.col("extension")], [F.col("role")], [F.col("path_type")], []], "extension", "role", "path_type")
+    kind = F.when(F.col("g") == 3, "extension").when(F.col("g") == 5, "role").when(F.col("g") == 6, "path_type").otherwise("all")
+    out = sets.agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("bytes"), F.min("modified_at").alias("modified_min"), F.max("modified_at").alias("modified_max"), F.grouping_id().alias("g"))
+    out = out.select(kind.alias("grouping"), F.coalesce("extension", "role", "path_type", F.lit("*")).alias("name"), "n_files", "bytes", "modified_min", "modified_max")
+    if errors is None:
+        return out
+    failed = errors.groupBy(F.col("operation").alias("name")).agg(F.count("*").alias("n_files")).withColumn("grouping", F.lit("error"))
+    return out.unionByName(failed, allowMissingColumns=True)
 
 
 def largest(files: DataFrame, n: int = 200) -> DataFrame:
@@ -265,12 +285,27 @@ def page(files: DataFrame, number: int, size: int, order: str) -> DataFrame:
     return files.orderBy(order).offset(number * size).limit(size)
 
 
+def page_after(rows: DataFrame, order: Sequence[str], last: Sequence | None, size: int = 100) -> DataFrame:
+    """The page of 1 to 100 rows that follows the row whose order columns are `last` (None: the first page), nulls first.
+
+    The columns must tell rows apart. Rows up to `last` are left out by a filter on the first column, which scans can use, so a page
+    costs the rows after it and a top-k, however far back it is; nothing is counted or skipped.
+    """
+    size = min(100, max(1, size))
+    if last is None:
+        return rows.orderBy(*order).limit(size)
+    beyond = F.lit(False)
+    for column, value in reversed(list(zip(order, last, strict=True))):
+        c = F.col(column)
+        same, more = (c.isNull(), c.isNotNull()) if value is None else (c == F.lit(value), c > F.lit(value))
+        beyond = more | (same & beyond)
+    first = F.col(order[0])
+    if last[0] is not None:
+        rows = rows.where(first >= F.lit(last[0]))
+    return rows.where(beyond).orderBy(*order).limit(size)
+
+
 def unchanged(previous: DataFrame, current: DataFrame) -> DataFrame:
     """M2: current files with the digest of a previous run where path, algorithm, size, time, device and inode are the same; null otherwise."""
     keys = ["relative_path", "algorithm", "size_bytes", "modified_at", "device_id", "inode"]
     return current.join(previous.select(*keys, "digest"), keys, "left")
-
-
-def running(files: DataFrame, group: str, order: str) -> DataFrame:
-    """Cumulative bytes by group, for bounded work lists."""
-    return files.withColumn("upto", F.sum("size_bytes").over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))

@@ -58,23 +58,40 @@ def build_catalog(locators: DataFrame, studies: DataFrame, public: DataFrame) ->
     )
 
 
-#: Fields that a record must have.
-REQUIRED = ("cell_type", "dataset_id", "modality", "paper_title", "source", "species", "title", "year")
+#: Fields that a record must have, and the defaults of fields that are absent.
+REQUIRED = (
+    "cell_type", "dataset_id", "metadata_completeness_score", "metric_families", "modality", "modality_family", "organelle_pairs", "organelles",
+    "paper_title", "public_data_status", "source", "source_type", "species", "title", "whole_cell_boundary_confirmed", "year",
+)
+DEFAULTS = {"source_type": "repository", "public_data_status": "none", "modality_family": "other", "sample_size_bucket": "unknown", "whole_cell_boundary_confirmed": "unclear", "metadata_completeness_score": 0.0}
+LISTS = ("organelles", "organelle_pairs", "metric_families")
+PLAIN = (
+    "title", "year", "source", "source_type", "public_data_status", "species", "cell_type", "tissue_or_system", "comparator_class", "comparator_detail", "modality", "modality_family",
+    "lateral_resolution_nm", "axial_resolution_nm", "isotropic", "sample_size", "sample_size_bucket", "metadata_completeness_score", "whole_cell_boundary_confirmed", "notes",
+)
+
+
+def _falsy(name: str, kind: str) -> Column:
+    """Null, empty text, empty list, false or zero; the text '0' is none of these."""
+    c = F.col(name)
+    if kind == "string":
+        return F.coalesce(c, F.lit("")) == ""
+    if kind.startswith("array"):
+        return F.coalesce(F.size(c), F.lit(0)) <= 0
+    return ~F.coalesce(c.cast("boolean"), F.lit(False)) if kind != "void" else F.lit(True)
 
 
 def scaffold(raw: DataFrame) -> DataFrame:
-    """Aliases and defaults, and one warning that names the missing required fields (blank and 0 count as missing)."""
-    have = lambda c: F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string")
-    out = raw.select(
-        F.coalesce(F.nullif(have("dataset_id"), F.lit("")), have("id")).alias("dataset_id"), have("title").alias("title"),
-        F.coalesce(F.nullif(have("paper_title"), F.lit("")), have("publication_title")).alias("paper_title"), have("year").try_cast("int").alias("year"), have("source").alias("source"),
-        have("species").alias("species"), have("cell_type").alias("cell_type"), have("modality").alias("modality"),
-        F.coalesce(have("source_type"), F.lit("repository")).alias("source_type"), F.coalesce(have("public_data_status"), F.lit("none")).alias("public_data_status"),
-        F.coalesce(have("modality_family"), F.lit("other")).alias("modality_family"), F.coalesce(have("sample_size_bucket"), F.lit("unknown")).alias("sample_size_bucket"),
-    )
-    absent = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0")
-    missing = F.array_compact(F.array(*[F.when(absent(c), F.lit(c)) for c in REQUIRED]))
-    return out.withColumn("warning", F.when(F.size(missing) > 0, F.concat(F.lit("Missing required fields: "), F.array_join(missing, ", "))))
+    """Aliases and defaults, and one warning that names the record and its missing required fields in order. A null counts as an absent field."""
+    kinds = dict(raw.dtypes)
+    have = lambda c: F.col(c) if c in kinds else F.lit(None).cast("string")
+    either = lambda a, b: F.coalesce(F.nullif(have(a).cast("string"), F.lit("")), have(b).cast("string")).alias(a)
+    plain = [(F.coalesce(have(c), F.lit(DEFAULTS[c])) if c in DEFAULTS else have(c)).alias(c) for c in PLAIN]
+    out = raw.select(either("dataset_id", "id"), either("paper_title", "publication_title"), *plain, *[F.coalesce(have(c) if c in kinds else F.lit(None), F.array().cast("array<string>")).alias(c) for c in LISTS])
+    kinds = dict(out.dtypes)
+    missing = F.array_compact(F.array(*[F.when(_falsy(c, kinds[c]), F.lit(c)) for c in REQUIRED]))
+    about = F.concat(F.coalesce("dataset_id", F.lit("None")), F.lit(": Missing required fields: "), F.array_join(missing, ", "))
+    return out.withColumn("warning", F.when(F.size(missing) > 0, about))
 
 
 # ---------------------------------------------------------------- asset states
@@ -140,8 +157,8 @@ def imageset_warnings(files: DataFrame) -> DataFrame:
     g = files.where("coalesce(api_name, '') <> ''").groupBy("api_name").agg(
         F.min_by("expected", "pos").alias("expected"), F.sum("depth").alias("total"), F.count("depth").alias("known"), F.count("*").alias("n"), F.min_by("relative_path", "pos").alias("path")
     )
-    many = F.format_string("%s: API reports %s images for an imageset spanning %s local files with %s total slices", "api_name", "expected", "n", "total")
-    one = F.format_string("%s: API reports %s images but local file has %s slices", "path", "expected", "total")
+    many = F.format_string("%s: API reports %s images for an imageset spanning %s local files with %s total slices; treat API count as collection-level metadata.", "api_name", "expected", "n", "total")
+    one = F.format_string("%s: API reports %s images but local file has %s slices.", "path", "expected", "total")
     return g.where("expected is not null and known > 0 and total <> expected").select("api_name", F.when(F.col("n") > 1, many).otherwise(one).alias("warning"))
 
 
@@ -162,30 +179,111 @@ def tiff_series(assets: DataFrame, least: int = 2) -> DataFrame:
 
 # ---------------------------------------------------------------- advisories
 
-#: Start of a blocker, category, severity.
-FINDING_RULES = (
-    ("mrc_header_physical_scale_likely_default", "calibration", "warning"),
-    ("trakem2_z_spacing_suspicious", "calibration", "warning"),
-    ("missing_physical_voxel_size", "calibration", "blocker"),
-    ("missing_volume_dimensions", "format", "blocker"),
-    ("missing_preview", "preview", "warning"),
-    ("preview_warning", "preview", "info"),
-    ("tiff_parse_warning", "format", "warning"),
-)
-
-
-def findings(assets: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """One finding for each blocker or note by the rule of its code; (asset, code) pairs already reviewed drop out."""
-    rules = None
-    for code, category, severity in FINDING_RULES:
-        hit = F.when(F.startswith("code", F.lit(code)), F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity")))
-        rules = hit if rules is None else F.coalesce(rules, hit)
-    rows = assets.select("relative_path", F.explode(F.array_distinct(F.concat("conversion_blockers", "review_notes"))).alias("code"))
-    rows = rows.withColumn("r", F.coalesce(rules, F.struct(F.lit("other").alias("category"), F.lit("info").alias("severity"))))
-    rows = rows.select("relative_path", F.substring_index("code", ":", 1).alias("code"), "r.category", "r.severity")
-    rows = rows.join(reviewed.select("relative_path", "code"), ["relative_path", "code"], "left_anti")
-    ident = F.substring(N.slug(F.concat_ws("-", "relative_path", "code")), 1, 80)
-    return rows.withColumn("finding_id", ident).withColumn("review_status", F.lit("needs_review"))
+_SCALES = ("validated_volume.warnings", "physical_voxel_size_nm", "header_voxel_size_nm")
+_OWN_SCALES = ("validated_volume.physical_voxel_size_nm", "validated_volume.header_voxel_size_nm")
+_SIZE = ("validated_volume.dimensions", "derived_advisory_code")
+
+#: Code of an asset, whether more follows it after a colon, category, severity, summary, impact, recommended action, fields of the evidence.
+ASSET_RULES = (
+    ("mrc_header_physical_scale_likely_default", False, "physical_scale", "review", "Raw MRC header physical scale appears default-like.",
+     "Users reading the raw MRC header may recover a voxel size that conflicts with curated repository or paper metadata.",
+     "Use the curated physical scale recorded in the catalog and verify voxel size against repository or paper methods before quantitative measurement.", _SCALES),
+    ("trakem2_z_spacing_suspicious", True, "physical_scale", "warning", "Parsed TrakEM2 z-spacing is outside the expected serial-section range.",
+     "Quantitative measurements that depend on section thickness may be misleading until the sidecar calibration is reviewed.",
+     "Inspect the paired TrakEM2 XML and paper methods before treating z-spacing as validated.", _SCALES),
+    ("missing_physical_voxel_size", False, "physical_scale", "warning", "No physical voxel size is available from the checked metadata sources.",
+     "The volume can be inspected visually, but should not be used for physical measurement without external calibration.",
+     "Find an authoritative voxel-size source before quantitative reuse.", _OWN_SCALES),
+    ("missing_volume_dimensions", False, "volume_geometry", "warning", "Volume dimensions could not be validated from available metadata.",
+     "Users may not be able to confirm axis size or stack depth without opening the source asset manually.",
+     "Verify volume dimensions from a trusted reader before downstream analysis.", _SIZE),
+    ("tiff_parse_warning", True, "file_readability", "warning", "TIFF metadata parsing produced a warning.",
+     "Some readers may disagree about dimensions, planes, or calibration for this asset.",
+     "Open the TIFF with an independent scientific image reader before quantitative reuse.", ("validated_volume.warnings",)),
+)
+
+#: What a report's warning says, with the asset as its first group, then code, category, severity, summary, impact, recommended action.
+REPORT_RULES = (
+    ("()collection-level metadata", "collection_level_image_count", "repository_metadata", "info", "Repository image count appears to describe a collection rather than one local file.",
+     "Users should not interpret the reported image count as the slice count for each individual asset.",
+     "Treat the repository image count as collection-level context and use validated local file dimensions for per-volume work."),
+    (r"^(.+): API reports \d+ images but local file has \d+ slices\.$", "image_count_mismatch", "repository_metadata", "warning", "Repository image count does not match the parsed local slice count.",
+     "Users may misread the expected stack depth if they rely on repository metadata alone.",
+     "Use parsed local dimensions for stack navigation and verify count semantics in the repository record."),
+    (r"^(.+): Figshare expected \d+ bytes but local file has \d+ bytes\.$", "figshare_size_mismatch", "file_integrity", "critical", "Local file size does not match Figshare metadata.",
+     "The mirrored file may be incomplete or stale and should not be trusted for analysis.",
+     "Re-download the asset and compare against Figshare's current metadata before reuse."),
+    (r"^(.+): Figshare MD5 mismatch\.$", "figshare_md5_mismatch", "file_integrity", "critical", "Local checksum does not match Figshare metadata.",
+     "The mirrored file may be corrupted or may not match the repository asset.",
+     "Re-download the asset and verify checksum before reuse."),
+    (r"^(.+): MRC MAP marker missing or unexpected\.$", "mrc_map_marker_unexpected", "file_format", "warning", "MRC header marker is missing or unexpected.",
+     "Some MRC readers may reject this file or interpret it inconsistently.",
+     "Open the asset with an independent MRC reader before quantitative reuse."),
+)
+
+#: Parts of a report's warnings that the assets' own codes tell better.
+TOLD_BY_ASSETS = ("header physical scale is likely default", "trakem2_z_spacing_suspicious", "no physical voxel size found")
+DATASET = ("dataset_source", "entry_id", "dataset_slug")
+FINDING = (*DATASET, "finding_id", "asset_relative_path", "severity", "category", "code", "summary", "impact", "recommended_action", "evidence", "public_notice_candidate", "review_status")
+
+
+def _rule(names: Sequence[str], values: Sequence) -> Column:
+    return F.struct(*[F.lit(v).alias(n) for n, v in zip(names, values, strict=True)])
+
+
+def _finding(rows: DataFrame) -> DataFrame:
+    """Adds the five-part id and the state in which a finding begins."""
+    part = lambda c, other: F.coalesce(F.nullif(F.substring(N.slug(F.coalesce(c, F.lit(""))), 1, 80), F.lit("")), F.lit(other))
+    blank = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other)
+    ident = (blank("dataset_source", F.lit("source")), blank("entry_id", F.col("dataset_slug")), F.col("category"), blank("asset_relative_path", F.lit("dataset")), F.col("code"))
+    rows = rows.withColumns({"finding_id": F.concat_ws("-", *[part(c, "dataset") for c in ident]), "public_notice_candidate": F.lit(True), "review_status": F.lit("needs_human_review")})
+    return rows.select(*FINDING)
+
+
+def asset_findings(assets: DataFrame) -> DataFrame:
+    """A finding for each different code of an asset (warnings, blockers, review_notes, and of a volume its missing size or scale) that a rule names.
+
+    Columns: dataset_source, entry_id, dataset_slug, relative_path, state, warnings, blockers, review_notes, x, y, z, scale_nm, and header_scale_nm if it is known.
+    """
+    header = F.col("header_scale_nm") if "header_scale_nm" in assets.columns else F.lit(None).cast("double")
+    volume = F.col("state") != "not_applicable"
+    sized = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    derived = F.array_compact(F.array(F.when(volume & ~sized, "missing_volume_dimensions"), F.when(volume & F.col("scale_nm").isNull(), "missing_physical_voxel_size")))
+    none = F.array().cast(NO_TEXT)
+    said = F.filter(F.array_distinct(F.concat(*[F.coalesce(c, none) for c in ("warnings", "blockers", "review_notes")], derived)), lambda c: c != "")
+    json = lambda *c: F.coalesce(F.to_json(F.struct(*c)), F.lit("{}"))
+    value = {
+        "validated_volume.warnings": F.col("said"), "derived_advisory_code": F.col("said"), "validated_volume.dimensions": json("x", "y", "z"),
+        **dict.fromkeys(("physical_voxel_size_nm", _OWN_SCALES[0]), json(F.col("scale_nm").alias("nm"))), **dict.fromkeys(("header_voxel_size_nm", _OWN_SCALES[1]), json(header.alias("nm"))),
+    }
+    names = ("code", "category", "severity", "summary", "impact", "recommended_action")
+    rules = []
+    for code, more, *texts, fields in ASSET_RULES:
+        hit = F.startswith("said", F.lit(code + ":")) if more else F.col("said") == code
+        evidence = F.array(*[F.struct(F.lit("asset-state-manifest").alias("source"), F.lit(f).alias("field"), value[f].alias("value")) for f in fields])
+        rules.append(F.when(hit, F.struct(_rule(names, (code, *texts)).alias("r"), evidence.alias("evidence"))))
+    rows = assets.select(*DATASET, F.col("relative_path").alias("asset_relative_path"), "x", "y", "z", "scale_nm", *(["header_scale_nm"] if "header_scale_nm" in assets.columns else []), F.explode(said).alias("said"))
+    rows = rows.withColumn("hit", F.coalesce(*rules)).where("hit is not null")
+    return _finding(rows.select(*DATASET, "asset_relative_path", "hit.r.*", "hit.evidence"))
+
+
+def report_findings(report: DataFrame) -> DataFrame:
+    """A finding for each warning of a validation report (dataset_source, entry_id, dataset_slug, warning) that a rule reads; the asset is taken from the text."""
+    names = ("code", "category", "severity", "summary", "impact", "recommended_action")
+    told = F.lit(False)
+    for text in TOLD_BY_ASSETS:
+        told = told | F.contains("warning", F.lit(text))
+    rules = [F.when(F.rlike("warning", F.lit(pattern)), F.struct(F.regexp_extract("warning", pattern, 1).alias("asset"), _rule(names, texts).alias("r"))) for pattern, *texts in REPORT_RULES]
+    rows = report.where(~told).withColumn("hit", F.coalesce(*rules)).where("hit is not null")
+    evidence = F.array(F.struct(F.lit("validation-report").alias("source"), F.lit("warnings").alias("field"), F.col("warning").alias("value")))
+    return _finding(rows.select(*DATASET, F.col("hit.asset").alias("asset_relative_path"), "hit.r.*", evidence.alias("evidence")))
+
+
+def findings(assets: DataFrame, report: DataFrame) -> DataFrame:
+    """The findings of a dataset's assets, and those of its validation report whose (asset, code) no asset has."""
+    own = asset_findings(assets)
+    key = ["dataset_slug", "asset_relative_path", "code"]
+    return own.unionByName(report_findings(report).join(own.select(*key).distinct(), key, "left_anti").select(*FINDING))
 
 
 def advisory_summary(rows: DataFrame) -> DataFrame:
@@ -220,6 +318,11 @@ def extremes(assets: DataFrame) -> DataFrame:
     return assets.where("size_bytes is not null").agg(F.min_by("relative_path", F.struct("size_bytes", "relative_path")).alias("smallest"), F.min("size_bytes").alias("bytes"))
 
 
+def longest_groups(assets: DataFrame, group: str) -> DataFrame:
+    """By group, the asset of the greatest depth (z), ties by path; a group without any depth has none."""
+    return assets.groupBy(group).agg(F.min_by(F.when(F.col("z").isNotNull(), F.col("relative_path")), F.when(F.col("z").isNotNull(), F.struct((-F.col("z")).alias("d"), "relative_path"))).alias("longest"), F.max("z").alias("depth"))
+
+
 def manifest_order(rows: DataFrame, *more: str) -> DataFrame:
     """By status, study and what follows."""
     return rows.orderBy("status", "study_id", *more)

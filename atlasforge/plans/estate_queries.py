@@ -146,6 +146,69 @@ def scored(s, d):
     return matching.scored_best_match(left, right, "doc_id", "derived_id", arms)
 
 
+def registry_matches(s, d):
+    """Inventory files as registry assets, and one derivative of each that knows some of identity, checksum, local and relative paths."""
+    i = B.inventory(s, d)
+    k, path = F.col("doc_id"), F.col("relative_path")
+    a = i.select(
+        F.concat(F.lit("asset-"), k.cast("string")).alias("asset_id"), F.concat(F.lit("reg"), (k % 2).cast("string")).alias("registry_id"), F.when(k % 4 == 0, "file:///data//arch/").when(k % 4 == 1, "\\\\srv\\data").alias("root"),
+        F.concat(F.when(k % 3 == 0, "/").otherwise(""), path, F.when(k % 5 == 0, "/").otherwise("")).alias("relative_path"), F.concat(F.lit(" "), F.upper("digest")).alias("digest"), F.when(k % 6 != 0, F.col("size_bytes")).alias("size_bytes"),
+        (k % 7 != 0).alias("project_ready"), F.when(k % 11 != 0, True).alias("can_view"),
+    )
+    d_ = i.select(
+        (k + 5_000_000).alias("derivative_id"), F.when(k % 4 == 0, F.concat(F.lit("asset-"), (k - k % 8).cast("string"))).alias("asset_id"), F.when(k % 3 == 0, F.concat(F.lit("reg"), (k % 5 % 2).cast("string"))).alias("registry_id"),
+        F.when(k % 3 == 0, F.col("digest")).otherwise("short").alias("source_sha256"), F.when(k % 9 == 0, F.col("size_bytes") + 1).when(k % 9 != 3, F.col("size_bytes")).alias("source_size_bytes"),
+        F.when(k % 6 == 1, F.concat(F.lit("file:///data/arch/"), path)).when(k % 6 == 2, F.concat(F.lit("//srv/data//"), path)).alias("source_local_path"), F.when(k % 10 == 4, F.concat(F.lit("/else\\where/"), path)).when(k % 10 == 2, F.concat(F.lit("/data/arch/"), path)).alias("output_path"),
+        F.when(k % 11 == 5, F.concat(F.lit("/"), path)).alias("source_relative_path"),
+    )
+    return matching.registry_match(a, d_)
+
+
+def handoffs(s, d):
+    """Documents as hand-offs, and as loaded datasets whose slugs and entries are written in other ways."""
+    t = B.table(s, d, "documents").select("doc_id", "n_chars")
+    k = F.col("doc_id")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    h = t.select(
+        k.alias("handoff_id"), F.when(k % 5 != 0, text("Set-", k)).alias("dataset_id"), F.when(k % 3 == 0, text("study ", F.floor(k / 4))).otherwise("").alias("source_study_id"),
+        F.when(k % 2 == 0, F.array(text("EMPIAR-", k), text("empiar ", k), text("x", k + 1), F.lit(""))).alias("accessions"),
+    )
+    loaded = t.select(F.when(k % 4 == 0, text("set_", k)).when(k % 4 == 1, text("Study", F.floor(k / 4))).otherwise(text("other", k)).alias("slug"), F.when(k % 4 == 2, text("EMPIAR", k)).when(k % 4 == 3, text("X-", k)).otherwise(text("study", F.floor(k / 8))).alias("entry_id"), (F.col("n_chars") % 3).alias("n_derivatives"))
+    return matching.handoff_match(h, loaded)
+
+
+def imagesets(s, d):
+    """Files of an entry, and image sets that name some of them by stem, by end or by folder; one entry has a single set."""
+    i, k = B.inventory(s, d), F.col("doc_id")
+    rows = i.withColumn("entry_id", F.when(k % 13 == 0, "solo").otherwise(F.substring_index("relative_path", "/", 1)))
+    about = i.select(
+        F.substring_index("relative_path", "/", 1).alias("entry_id"), k.alias("pos"), F.when(k % 5 == 0, k.cast("string")).when(k % 5 == 1, F.concat(F.lit("/"), k.cast("string"), F.lit(".ome"))).when(k % 5 == 2, (k % 100 + 100).cast("string")).when(k % 5 == 3, "").alias("name"),
+        F.when(k % 29 == 7, F.concat(F.lit("/"), F.substring_index("relative_path", "/", 2), F.lit("/"))).alias("directory"),
+    ).unionByName(s.range(1).select(F.lit("solo").alias("entry_id"), F.lit(0).cast("bigint").alias("pos"), F.lit("none").alias("name"), F.lit("").alias("directory")))
+    return matching.imageset_match(rows.select("entry_id", "relative_path"), about).select("entry_id", "relative_path", "pos", "imageset")
+
+
+def scanned(s, d):
+    k = F.col("walk_pos")
+    rows = assets(s, d).withColumns({"path_type": F.when(k % 23 == 0, "symlink").otherwise("file"), "modified_at": k * 1000})
+    return E.scan_summary(rows, rows.where("walk_pos % 31 = 0").select(F.when(k % 2 == 0, "stat").otherwise("read").alias("operation")))
+
+
+def registered(s, d):
+    k = F.col("walk_pos")
+    rows = assets(s, d).withColumns({"path_type": F.when(F.col("extension") == ".zarray", "directory_volume").otherwise("file"), "asset_status": F.when(k % 6 == 0, None).when(k % 6 == 1, "").otherwise("seen")})
+    return E.registry_summary(rows)
+
+
+def third_page(s, d):
+    """Two pages are read for their last rows, and the one after them is the result."""
+    rows, order, last = B.inventory(s, d).select("size_bytes", "relative_path"), ("size_bytes", "relative_path"), None
+    for _ in range(2):
+        found = E.page_after(rows, order, last, 40).collect()  # 40 rows
+        last = tuple(found[-1]) if found else last
+    return E.page_after(rows, order, last, 40)
+
+
 def _jobs(s, d):
     return jobs.latest(B.job_events(s, d))
 
@@ -209,11 +272,15 @@ QUERIES = {
     "readiness": lambda s, d: assets(s, d).select("asset_id", "ready", "project_ready", "conversion_ready", F.array_join("states", ",").alias("states"), F.array_join("blockers", ",").alias("blockers")),
     "overlay": overlaid,
     "overlay_leftovers": lambda s, d: E.overlay_leftovers(assets(s, d), overlay_rows(s, d)).select("asset_id"),
-    "registry_summary": lambda s, d: E.registry_summary(assets(s, d)),
+    "registry_summary": registered,
+    "registry_match": registry_matches,
+    "handoff_match": handoffs,
+    "imageset_match": imagesets,
+    "registry_page_after": third_page,
     "review_queue": lambda s, d: E.review_queue(assets(s, d).withColumn("duplicate_of", F.when(F.col("walk_pos") % 8 == 0, "x"))),
     "workset": lambda s, d: E.workset(assets(s, d), E.selected(prefixes=["src1", "src2/en"], query="asset tif"), 500).select("asset_id", "is_candidate", F.array_join("blocked_intents", ",").alias("blocked_intents")),
     "registry_search": lambda s, d: assets(s, d).where(filters.all_tokens(F.col("search_text"), "src1 tiff .mrc") & filters.token_prefixes(F.col("search_text"), "asset src1 ti")).select("asset_id", "relative_path"),
-    "extension_summary": lambda s, d: E.scan_summary(assets(s, d)),
+    "extension_summary": scanned,
     "largest_files": lambda s, d: E.largest(B.inventory(s, d), 50).select("relative_path", "size_bytes"),
     "registry_page": lambda s, d: E.page(B.inventory(s, d), 2, 40, "walk_pos").select("relative_path", "walk_pos"),
     "prefix_rollup": lambda s, d: E.prefix_rollup(prefixes(s, d), B.inventory(s, d)),
@@ -254,9 +321,36 @@ ORACLES = {
     "readiness": ASSETS_SQL + "SELECT asset_id, ready, project_ready, conversion_ready, array_to_string(states, ',') AS states, array_to_string(blockers, ',') AS blockers FROM assets",
     "overlay": _OVERLAY_SQL,
     "overlay_leftovers": "SELECT 'asset-' || (doc_id + 10000000) AS asset_id FROM labels WHERE doc_id % 10 = 0",
-    "registry_summary": ASSETS_SQL + " UNION ALL ".join(
-        ["SELECT 'flag' AS kind, 'assets' AS name, count(*) AS n FROM assets", *(f"SELECT 'flag', '{c}', count(*) FROM assets WHERE {c}" for c in ("is_candidate", "ready", "project_ready", "conversion_ready")), "SELECT 'flag', 'with_checksum', count(*) FROM assets WHERE digest IS NOT NULL",
-         "SELECT 'blocker', b, count(*) FROM (SELECT unnest(CASE WHEN len(blockers) = 0 THEN ['ready'] ELSE blockers END) AS b FROM assets) GROUP BY b"]),
+    "registry_summary": ASSETS_SQL + """, c AS (SELECT count(*) AS asset_count, count(*) FILTER (WHERE extension <> '.zarray') AS file_asset_count, count(*) FILTER (WHERE extension = '.zarray') AS logical_asset_count, sum(size_bytes) AS bytes_total,
+  count(*) FILTER (WHERE is_candidate) AS volume_candidate_count, count(*) FILTER (WHERE is_candidate OR len(gaps) > 0 OR walk_pos % 19 = 0) AS review_queue_count, sum(len(gaps)) AS metadata_gap_count,
+  count(*) FILTER (WHERE digest <> '') AS checksum_record_count, count(*) FILTER (WHERE walk_pos % 19 = 0) AS duplicate_asset_count, count(*) FILTER (WHERE project_ready) AS project_ready_count FROM assets),
+n AS (UNPIVOT c ON COLUMNS(*) INTO NAME name VALUE n)
+SELECT 'counter' AS kind, name, CAST(n AS BIGINT) AS n FROM n
+UNION ALL SELECT 'extension', CASE WHEN extension = '' THEN '[none]' ELSE extension END, count(*) FROM assets GROUP BY 2 UNION ALL SELECT 'role', role, count(*) FROM assets GROUP BY 2 UNION ALL SELECT 'format', format, count(*) FROM assets GROUP BY 2
+UNION ALL SELECT 'status', CASE WHEN walk_pos % 6 < 2 THEN 'unknown' ELSE 'seen' END, count(*) FROM assets GROUP BY 2
+UNION ALL SELECT 'readiness', b, count(*) FROM (SELECT unnest(CASE WHEN len(blockers) = 0 THEN ['ready'] ELSE blockers END) AS b FROM assets) GROUP BY 2""",
+    # every asset against every derivative, one rule after the other
+    "registry_match": f"""WITH {B.INVENTORY_SQL}, norm AS (SELECT *, 'asset-' || doc_id AS asset_id, 'reg' || (doc_id % 2) AS reg, CASE WHEN doc_id % 4 = 0 THEN '/data/arch/' || relative_path WHEN doc_id % 4 = 1 THEN '/srv/data/' || relative_path ELSE relative_path END AS whole, CASE WHEN doc_id % 6 <> 0 THEN size_bytes END AS a_size,
+  CASE WHEN doc_id % 4 = 0 THEN 'asset-' || (doc_id - doc_id % 8) END AS d_asset, CASE WHEN doc_id % 3 = 0 THEN 'reg' || (doc_id % 5 % 2) END AS d_reg, CASE WHEN doc_id % 3 = 0 THEN digest ELSE 'short' END AS d_sha, CASE WHEN doc_id % 9 = 0 THEN size_bytes + 1 WHEN doc_id % 9 <> 3 THEN size_bytes END AS d_size,
+  CASE WHEN doc_id % 6 = 1 THEN '/data/arch/' || relative_path WHEN doc_id % 6 = 2 THEN '/srv/data/' || relative_path ELSE '' END AS d_source, CASE WHEN doc_id % 10 = 4 THEN '/else/where/' || relative_path WHEN doc_id % 10 = 2 THEN '/data/arch/' || relative_path ELSE '' END AS d_out, CASE WHEN doc_id % 11 = 5 THEN relative_path ELSE '' END AS d_rel FROM inventory),
+p AS (SELECT a.asset_id, d.doc_id + 5000000 AS derivative_id, CASE WHEN d.d_asset = a.asset_id AND (d.d_reg IS NULL OR d.d_reg = a.reg) THEN 400
+    WHEN d.d_sha = a.digest AND (coalesce(a.a_size, 0) = 0 OR coalesce(d.d_size, 0) = 0 OR a.a_size = d.d_size) THEN 300 WHEN d.d_source = a.whole OR d.d_out = a.whole THEN 200
+    WHEN d.d_rel = a.relative_path OR ends_with(d.d_source, '/' || a.relative_path) OR ends_with(d.d_out, '/' || a.relative_path) THEN 100 END AS score FROM norm a, norm d WHERE a.doc_id % 7 <> 0 AND a.doc_id % 11 <> 0),
+t AS (SELECT * FROM (SELECT asset_id, score, count(*) AS n, min(derivative_id) AS derivative_id FROM p WHERE score IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY score DESC) = 1)
+SELECT norm.asset_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN 'blocked' WHEN n IS NULL THEN 'not-loaded' WHEN n = 1 THEN 'ready' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN derivative_id END AS derivative_id,
+CASE WHEN n = 1 THEN CASE score WHEN 400 THEN 'archive-identity' WHEN 300 THEN 'checksum' WHEN 200 THEN 'local-path' ELSE 'relative-path' END END AS matched_by FROM norm LEFT JOIN t USING (asset_id)""",
+    "handoff_match": """WITH h AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN 'set' || doc_id ELSE '' END AS ds, CASE WHEN doc_id % 3 = 0 THEN 'study' || (doc_id // 4) ELSE '' END AS st, CASE WHEN doc_id % 2 = 0 THEN ['empiar' || doc_id, 'x' || (doc_id + 1)] ELSE CAST([] AS VARCHAR[]) END AS acc FROM documents),
+d AS (SELECT CASE doc_id % 4 WHEN 0 THEN 'set_' || doc_id WHEN 1 THEN 'Study' || (doc_id // 4) ELSE 'other' || doc_id END AS slug, CASE doc_id % 4 WHEN 2 THEN 'empiar' || doc_id WHEN 3 THEN 'x' || doc_id ELSE 'study' || (doc_id // 8) END AS entry, n_chars % 3 > 0 AS loaded FROM documents),
+p AS (SELECT doc_id, slug, loaded, CASE WHEN replace(lower(slug), '_', '') = ds THEN 100 WHEN st <> '' AND (replace(lower(slug), '_', '') = st OR entry = st) THEN 90 WHEN list_contains(acc, entry) THEN 80 END AS score FROM h, d),
+t AS (SELECT * FROM (SELECT doc_id, score, count(*) AS n, min(slug) AS slug, bool_and(loaded) AS loaded FROM p WHERE score IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC) = 1)
+SELECT h.doc_id AS handoff_id, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 AND loaded THEN 'ready' ELSE 'pending' END AS status, CASE WHEN n = 1 AND loaded THEN slug END AS slug,
+CASE WHEN n = 1 AND loaded THEN CASE score WHEN 100 THEN 'dataset-id' WHEN 90 THEN 'study-id' ELSE 'repository-accession' END END AS matched_by FROM h LEFT JOIN t USING (doc_id)""",
+    "imageset_match": f"""WITH {B.INVENTORY_SQL}, f AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'solo' ELSE split_part(relative_path, '/', 1) END AS entry_id, regexp_replace(split_part(relative_path, '/', 3), '\\.[^.]+$', '') AS stem, regexp_replace(relative_path, '(\\.mrc|\\.mrc\\.tif|\\.tif|\\.tiff)$', '') AS bare FROM inventory),
+s AS (SELECT split_part(relative_path, '/', 1) AS entry_id, doc_id AS pos, CASE doc_id % 5 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN '/' || doc_id || '.ome' WHEN 2 THEN CAST(doc_id % 100 + 100 AS VARCHAR) WHEN 3 THEN '' END AS name, CASE WHEN doc_id % 29 = 7 THEN split_part(relative_path, '/', 1) || '/' || split_part(relative_path, '/', 2) ELSE '' END AS directory FROM inventory UNION ALL SELECT 'solo', 0, 'none', ''),
+m AS (SELECT f.entry_id, relative_path, min(pos) AS pos FROM f JOIN s ON f.entry_id = s.entry_id AND ((s.name <> '' AND (stem = s.name OR ends_with(bare, s.name))) OR (directory <> '' AND starts_with(relative_path, directory || '/'))) GROUP BY ALL),
+o AS (SELECT entry_id, min(pos) AS lone FROM s GROUP BY entry_id HAVING count(*) = 1)
+SELECT f.entry_id, f.relative_path, coalesce(m.pos, lone) AS pos, CASE WHEN coalesce(m.pos, lone) IS NOT NULL THEN coalesce(s.name, '') END AS imageset FROM f LEFT JOIN m USING (entry_id, relative_path) LEFT JOIN o USING (entry_id) LEFT JOIN s ON s.entry_id = f.entry_id AND s.pos = coalesce(m.pos, lone)""",
+    "registry_page_after": f"WITH {B.INVENTORY_SQL} SELECT size_bytes, relative_path FROM inventory ORDER BY size_bytes, relative_path LIMIT 40 OFFSET 80",
     "review_queue": ASSETS_SQL + """, r AS (SELECT *, list_concat(CASE WHEN is_candidate THEN ['volume_candidate'] ELSE CAST([] AS VARCHAR[]) END, gaps, CASE WHEN walk_pos % 8 = 0 THEN ['duplicate_checksum'] ELSE CAST([] AS VARCHAR[]) END) AS reasons FROM assets)
 SELECT asset_id, relative_path, CASE WHEN list_has_any(gaps, ['missing_dimensions', 'missing_dtype', 'metadata_status_error']) THEN 'blocker' ELSE 'review' END AS severity, array_to_string(reasons, ';') AS reasons, array_to_string(blockers, ';') AS blockers FROM r WHERE len(reasons) > 0""",
     "workset": ASSETS_SQL + """, t AS (SELECT *, lower(asset_id || ' ' || relative_path || ' ' || format) AS txt FROM assets)
@@ -264,7 +358,9 @@ SELECT asset_id, is_candidate, array_to_string(list_filter([CASE WHEN NOT projec
 FROM t WHERE starts_with(relative_path, 'src1/') OR starts_with(relative_path, 'src2/en/') OR (contains(txt, 'asset') AND contains(txt, 'tif')) ORDER BY walk_pos, relative_path LIMIT 500""",
     "registry_search": ASSETS_SQL + """, t AS (SELECT *, lower(asset_id || ' ' || relative_path || ' ' || format) AS txt FROM assets)
 SELECT asset_id, relative_path FROM t WHERE contains(txt, 'src1') AND contains(txt, 'tiff') AND contains(txt, '.mrc') AND regexp_matches(txt, '(^|[^a-z0-9])src1') AND regexp_matches(txt, '(^|[^a-z0-9])ti') AND regexp_matches(txt, '(^|[^a-z0-9])asset')""",
-    "extension_summary": ASSETS_SQL + "SELECT 'extension' AS grouping, extension AS name, count(*) AS n_files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM assets GROUP BY extension UNION ALL SELECT 'role', role, count(*), CAST(sum(size_bytes) AS BIGINT) FROM assets GROUP BY role UNION ALL SELECT 'all', '*', count(*), CAST(sum(size_bytes) AS BIGINT) FROM assets",
+    "extension_summary": ASSETS_SQL + ", r AS (SELECT *, CASE WHEN walk_pos % 23 = 0 THEN 'symlink' ELSE 'file' END AS path_type, walk_pos * 1000 AS m FROM assets) " + " UNION ALL ".join(
+        f"SELECT '{k}' AS grouping, {c} AS name, count(*) AS n_files, CAST(sum(size_bytes) AS BIGINT) AS bytes, min(m) AS modified_min, max(m) AS modified_max FROM r GROUP BY 2" for k, c in (("extension", "CASE WHEN extension = '' THEN '[none]' ELSE extension END"), ("role", "role"), ("path_type", "path_type"), ("all", "'*'")))
+    + " UNION ALL SELECT 'error', CASE WHEN walk_pos % 2 = 0 THEN 'stat' ELSE 'read' END, count(*), NULL, NULL, NULL FROM r WHERE walk_pos % 31 = 0 GROUP BY 2",
     "largest_files": f"WITH {B.INVENTORY_SQL} SELECT relative_path, size_bytes FROM inventory ORDER BY size_bytes DESC, walk_pos LIMIT 50",
     "registry_page": f"WITH {B.INVENTORY_SQL} SELECT relative_path, walk_pos FROM inventory ORDER BY walk_pos LIMIT 40 OFFSET 80",
     "prefix_rollup": f"""WITH {B.INVENTORY_SQL}, p AS (SELECT DISTINCT split_part(relative_path, '/', 1) AS prefix FROM inventory UNION SELECT DISTINCT split_part(relative_path, '/', 1) || '/' || split_part(relative_path, '/', 2) FROM inventory UNION SELECT 'nowhere')

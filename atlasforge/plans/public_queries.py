@@ -35,12 +35,28 @@ assets AS (SELECT *, CASE WHEN state = 'not_applicable' THEN 'not_a_volume' WHEN
 """
 
 
-def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assets(spark, sf_dir).where("doc_id % 10 = 0").select("relative_path", F.lit("missing_preview").alias("code"))
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assets with the dataset they belong to."""
+    k = F.col("doc_id")
+    about = B.table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(" Archive")).alias("dataset_source"), F.when(k % 3 != 0, F.concat(F.lit("E_"), (k % 3).cast("string"))).alias("entry_id"), F.concat(F.lit("set "), "lang").alias("dataset_slug"))
+    return assets(spark, sf_dir).join(about, "doc_id")
+
+
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A validation report: one warning for each document, of eight kinds."""
+    k, n = F.col("doc_id"), F.col("n_chars").cast("string")
+    d = described(spark, sf_dir).join(B.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    path = F.when(k % 5 == 0, F.lit("set")).otherwise(F.col("relative_path"))
+    kinds = (
+        F.concat(path, F.lit(": API reports 10 images but local file has "), n, F.lit(" slices.")), F.concat(path, F.lit(": Figshare expected 10 bytes but local file has "), n, F.lit(" bytes.")),
+        F.concat(path, F.lit(": Figshare MD5 mismatch.")), F.concat(path, F.lit(": MRC MAP marker missing or unexpected.")), F.concat(path, F.lit(": treat API count as collection-level metadata.")),
+        F.concat(path, F.lit(": MRC header physical scale is likely default")), F.concat(path, F.lit(": no physical voxel size found")), F.concat(path, F.lit(": Figshare MD5 mismatch. Again")),
+    )
+    return d.select("dataset_source", "entry_id", "dataset_slug", F.get(F.array(*kinds), (k % 8).cast("int")).alias("warning"))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.findings(assets(spark, sf_dir), reviewed(spark, sf_dir))
+    return P.findings(described(spark, sf_dir), report(spark, sf_dir))
 
 
 def imagesets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +84,13 @@ def packaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scaffolded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = B.table(spark, sf_dir, "part")
-    raw = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 2 == 0, "p").alias("publication_title"), (F.col("p_size") % 3 * 1000).alias("year"), F.lit("s").alias("source"), F.lit("x").alias("species"), F.when(F.col("p_size") > 9, F.col("p_brand")).alias("cell_type"), F.col("p_type").alias("modality"))
-    return P.scaffold(raw).select("dataset_id", "paper_title", "year", "source_type", "warning")
+    p, n = B.table(spark, sf_dir, "part"), F.col("p_size")
+    raw = p.select(
+        F.col("p_partkey").alias("id"), F.when(n % 7 == 0, "0").when(n % 7 == 1, "").alias("dataset_id"), F.col("p_name").alias("title"), F.when(n % 2 == 0, "p").alias("publication_title"), (n % 3 * 1000).alias("year"),
+        F.lit("s").alias("source"), F.when(n % 6 != 0, "paper").otherwise("").alias("source_type"), F.lit("0").alias("species"), F.when(n > 9, F.col("p_brand")).alias("cell_type"), F.col("p_type").alias("modality"),
+        F.when(n % 4 != 0, F.split("p_type", " ")).otherwise(F.array().cast("array<string>")).alias("organelles"), F.when(n % 5 != 0, n % 5 / 10 - 0.1).alias("metadata_completeness_score"), F.when(n % 9 == 0, F.array(F.lit("volume"))).alias("metric_families"),
+    )
+    return P.scaffold(raw).select("dataset_id", "paper_title", "year", "source_type", "modality_family", F.size("organelles").alias("n_organelles"), F.round("metadata_completeness_score", 3).alias("score"), "whole_cell_boundary_confirmed", "warning")
 
 
 def _lists(df, *cols):
@@ -84,7 +104,8 @@ QUERIES = {
     "conversion_readiness": lambda s, d: _lists(assets(s, d).select("doc_id", "readiness", "conversion_blockers"), "conversion_blockers"),
     "conversion_totals": lambda s, d: P.conversion_totals(assets(s, d)),
     "queue_status": lambda s, d: P.queue_status(assets(s, d)).select("doc_id", "gate", "queue_status"),
-    "advisory_findings": lambda s, d: findings(s, d).select("relative_path", "code", "category", "severity", "finding_id"),
+    "advisory_findings": lambda s, d: findings(s, d).withColumns({"n_evidence": F.size("evidence"), "first_field": F.col("evidence")[0]["field"], "first_value": F.col("evidence")[0]["value"]}).drop("evidence", "entry_id", "summary", "impact", "recommended_action"),
+    "longest_assets": lambda s, d: P.longest_groups(described(s, d).withColumn("z", F.when(F.col("z").isNotNull(), F.col("doc_id") % 40)), "dataset_source"),
     "advisory_summary": lambda s, d: P.advisory_summary(findings(s, d)),
     "imageset_counts": imagesets,
     "tiff_series": lambda s, d: P.tiff_series(assets(s, d).dropDuplicates(["relative_path"]).withColumn("format", F.lit("TIFF")).withColumn("x", F.lit(10)).withColumn("z", F.lit(1)).withColumn("size_bytes", F.lit(1).cast("bigint"))),
@@ -94,10 +115,24 @@ QUERIES = {
     "scaffold": scaffolded,
 }
 
-_FIND = ASSETS_SQL + """, f AS (SELECT DISTINCT doc_id, relative_path, split_part(c, ':', 1) AS code FROM (SELECT doc_id, relative_path, unnest(list_distinct(list_concat(cb, notes))) AS c FROM assets)),
-g AS (SELECT doc_id, relative_path, code, CASE WHEN code IN ('mrc_header_physical_scale_likely_default', 'trakem2_z_spacing_suspicious', 'missing_physical_voxel_size') THEN 'calibration' WHEN code IN ('missing_volume_dimensions', 'tiff_parse_warning') THEN 'format' ELSE 'preview' END AS category,
-CASE WHEN code IN ('missing_physical_voxel_size', 'missing_volume_dimensions') THEN 'blocker' WHEN code = 'preview_warning' THEN 'info' ELSE 'warning' END AS severity FROM f
-WHERE NOT (code = 'missing_preview' AND relative_path IN (SELECT relative_path FROM assets WHERE doc_id % 10 = 0)))
+_FIND = ASSETS_SQL + """, about AS (SELECT assets.*, n_chars, d.source || ' Archive' AS dataset_source, CASE WHEN doc_id % 3 <> 0 THEN 'E_' || (doc_id % 3) END AS entry_id, 'set ' || lang AS dataset_slug FROM assets JOIN documents d USING (doc_id)),
+said AS (SELECT *, unnest(list_distinct(list_concat(blockers, notes, list_filter([CASE WHEN format <> 'CSV' AND NOT sized THEN 'missing_volume_dimensions' END, CASE WHEN format <> 'CSV' AND NOT scaled THEN 'missing_physical_voxel_size' END], lambda x: x IS NOT NULL)))) AS said FROM about),
+own AS (SELECT dataset_source, entry_id, dataset_slug, relative_path AS asset, said AS told, split_part(said, ':', 1) AS code, CASE WHEN has_x THEN '"x":10,' ELSE '' END || '"y":10' || CASE WHEN has_z THEN ',"z":1' ELSE '' END AS xyz, CASE WHEN scaled THEN '{"nm":5.0}' ELSE '{}' END AS nm FROM said WHERE NOT starts_with(said, 'preview_warning')),
+texts AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'set' ELSE relative_path END AS asset FROM about),
+rep AS (SELECT dataset_source, entry_id, dataset_slug, CASE WHEN doc_id % 8 = 4 THEN '' ELSE asset END AS asset,
+  (['image_count_mismatch', 'figshare_size_mismatch', 'figshare_md5_mismatch', 'mrc_map_marker_unexpected', 'collection_level_image_count'])[CAST(doc_id % 8 AS INT) + 1] AS code,
+  asset || ([': API reports 10 images but local file has ' || n_chars || ' slices.', ': Figshare expected 10 bytes but local file has ' || n_chars || ' bytes.', ': Figshare MD5 mismatch.', ': MRC MAP marker missing or unexpected.', ': treat API count as collection-level metadata.'])[CAST(doc_id % 8 AS INT) + 1] AS told
+  FROM texts WHERE doc_id % 8 < 5),
+rules(code, category, severity, n_evidence, first_field) AS (VALUES
+  ('mrc_header_physical_scale_likely_default', 'physical_scale', 'review', 3, 'validated_volume.warnings'), ('trakem2_z_spacing_suspicious', 'physical_scale', 'warning', 3, 'validated_volume.warnings'),
+  ('missing_physical_voxel_size', 'physical_scale', 'warning', 2, 'validated_volume.physical_voxel_size_nm'), ('missing_volume_dimensions', 'volume_geometry', 'warning', 2, 'validated_volume.dimensions'),
+  ('tiff_parse_warning', 'file_readability', 'warning', 1, 'validated_volume.warnings'), ('collection_level_image_count', 'repository_metadata', 'info', 1, 'warnings'),
+  ('image_count_mismatch', 'repository_metadata', 'warning', 1, 'warnings'), ('figshare_size_mismatch', 'file_integrity', 'critical', 1, 'warnings'),
+  ('figshare_md5_mismatch', 'file_integrity', 'critical', 1, 'warnings'), ('mrc_map_marker_unexpected', 'file_format', 'warning', 1, 'warnings')),
+every AS (SELECT * FROM (SELECT dataset_source, entry_id, dataset_slug, asset, code, told, xyz, nm FROM own UNION ALL SELECT *, NULL, NULL FROM rep) JOIN rules USING (code)),
+g AS (SELECT dataset_source, dataset_slug, asset AS asset_relative_path, code, category, severity, n_evidence::INT AS n_evidence, first_field, true AS public_notice_candidate, 'needs_human_review' AS review_status,
+  CASE first_field WHEN 'validated_volume.dimensions' THEN '{' || xyz || '}' WHEN 'validated_volume.physical_voxel_size_nm' THEN nm ELSE told END AS first_value,
+  array_to_string(list_transform([dataset_source, coalesce(entry_id, dataset_slug), category, CASE WHEN asset = '' THEN 'dataset' ELSE asset END, code], lambda p: substr(regexp_replace(regexp_replace(lower(p), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80)), '-') AS finding_id FROM every)
 """
 
 ORACLES = {
@@ -106,17 +141,22 @@ ORACLES = {
     "conversion_totals": ASSETS_SQL + "SELECT CASE readiness WHEN 'not_a_volume' THEN 'sidecar' WHEN 'blocked' THEN 'blocked' ELSE 'ready' END AS kind, count(*) AS n, round(sum(size_bytes) / 1073741824.0, 3) AS gib FROM assets GROUP BY 1",
     "queue_status": ASSETS_SQL + """, g AS (SELECT *, CASE WHEN NOT can_convert THEN 'permission_denied' WHEN readiness = 'not_a_volume' THEN 'not_a_volume' WHEN len(cb) > 0 THEN 'blocked' ELSE 'ready' END AS gate FROM assets)
 SELECT doc_id, gate, CASE WHEN indexed THEN 'indexed' WHEN gate = 'ready' THEN 'ready' WHEN cached THEN 'cached' WHEN gate = 'not_a_volume' THEN 'sidecar' ELSE 'review' END AS queue_status FROM g""",
-    "advisory_findings": _FIND + "SELECT relative_path, code, category, severity, substr(regexp_replace(regexp_replace(lower(relative_path || '-' || code), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS finding_id FROM g",
-    "advisory_summary": _FIND + "SELECT 'severity' AS by, severity AS name, count(*) AS n FROM g GROUP BY severity UNION ALL SELECT 'category', category, count(*) FROM g GROUP BY category UNION ALL SELECT 'review_status', 'needs_review', count(*) FROM g",
+    "advisory_findings": _FIND + "SELECT * FROM g",
+    "longest_assets": _FIND + "SELECT dataset_source, arg_min(relative_path, (-(doc_id % 40), relative_path)) FILTER (WHERE has_z) AS longest, max(doc_id % 40) FILTER (WHERE has_z) AS depth FROM about GROUP BY dataset_source",
+    "advisory_summary": _FIND + "SELECT 'severity' AS by, severity AS name, count(*) AS n FROM g GROUP BY severity UNION ALL SELECT 'category', category, count(*) FROM g GROUP BY category UNION ALL SELECT 'review_status', review_status, count(*) FROM g GROUP BY review_status",
     "imageset_counts": """WITH r AS (SELECT 'set-' || (doc_id // 2) AS api_name, doc_id, CASE WHEN doc_id % 7 <> 0 THEN n_chars % 3 END AS depth, source || '/' || doc_id AS p FROM documents WHERE doc_id % 11 <> 0),
 g AS (SELECT api_name, sum(depth) AS total, count(depth) AS known, count(*) AS n, arg_min(p, doc_id) AS p FROM r GROUP BY api_name)
-SELECT api_name, CASE WHEN n > 1 THEN api_name || ': API reports 2 images for an imageset spanning ' || n || ' local files with ' || total || ' total slices' ELSE p || ': API reports 2 images but local file has ' || total || ' slices' END AS warning FROM g WHERE known > 0 AND total <> 2""",
+SELECT api_name, CASE WHEN n > 1 THEN api_name || ': API reports 2 images for an imageset spanning ' || n || ' local files with ' || total || ' total slices; treat API count as collection-level metadata.' ELSE p || ': API reports 2 images but local file has ' || total || ' slices.' END AS warning FROM g WHERE known > 0 AND total <> 2""",
     "tiff_series": """WITH p AS (SELECT DISTINCT source, doc_id % 50 AS i FROM documents)
 SELECT source || '/plane_' || min(i) || '-' || max(i) || '_x.tiff-series' AS source_path, count(*) AS planes, count(*) AS bytes, source || '/plane_' || min(i) || '_x.tif' AS first_asset, source || '/plane_' || max(i) || '_x.tif' AS last_asset FROM p GROUP BY source HAVING count(*) >= 2""",
     "repository_identity": """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'EMPIAR' WHEN 1 THEN 'Zenodo' ELSE lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) END AS repository, CASE WHEN page_id % 3 < 2 THEN CAST(page_id AS VARCHAR) END AS accession FROM pages""",
     "label_upsert": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 9 ELSE quality END AS quality, toxic FROM labels",
     "packaged_slugs": "SELECT source || '-' || lang AS slug, doc_id, n_chars % 3 AS n_derivatives FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) = 1 AND n_chars % 3 > 0",
-    "scaffold": """WITH r AS (SELECT CAST(p_partkey AS VARCHAR) AS dataset_id, CASE WHEN p_size % 2 = 0 THEN 'p' END AS paper_title, p_size % 3 * 1000 AS year, p_size > 9 AS ok FROM part),
-m AS (SELECT *, list_filter([CASE WHEN NOT ok THEN 'cell_type' END, CASE WHEN dataset_id = '0' THEN 'dataset_id' END, CASE WHEN paper_title IS NULL THEN 'paper_title' END, CASE WHEN year = 0 THEN 'year' END], lambda x: x IS NOT NULL) AS ms FROM r)
-SELECT dataset_id, paper_title, year, 'repository' AS source_type, CASE WHEN len(ms) > 0 THEN 'Missing required fields: ' || array_to_string(ms, ', ') END AS warning FROM m""",
+    # the required fields in order, from the list of the record's definition
+    "scaffold": """WITH r AS (
+  SELECT CASE WHEN p_size % 7 = 0 THEN '0' ELSE CAST(p_partkey AS VARCHAR) END AS dataset_id, CASE WHEN p_size % 2 = 0 THEN 'p' END AS paper_title, p_size % 3 * 1000 AS year, CASE WHEN p_size % 6 <> 0 THEN 'paper' ELSE '' END AS source_type,
+         'other' AS modality_family, CAST(CASE WHEN p_size % 4 <> 0 THEN len(string_split(p_type, ' ')) ELSE 0 END AS INT) AS n_organelles, round(CASE WHEN p_size % 5 <> 0 THEN p_size % 5 / 10 - 0.1 ELSE 0 END, 3) AS score, 'unclear' AS whole_cell_boundary_confirmed, p_size FROM part),
+m AS (SELECT *, list_filter([CASE WHEN p_size <= 9 THEN 'cell_type' END, CASE WHEN score = 0 THEN 'metadata_completeness_score' END, CASE WHEN p_size % 9 <> 0 THEN 'metric_families' END, 'organelle_pairs', CASE WHEN n_organelles = 0 THEN 'organelles' END,
+  CASE WHEN paper_title IS NULL THEN 'paper_title' END, CASE WHEN source_type = '' THEN 'source_type' END, CASE WHEN year = 0 THEN 'year' END], lambda x: x IS NOT NULL) AS ms FROM r)
+SELECT * EXCLUDE (p_size, ms), dataset_id || ': Missing required fields: ' || array_to_string(ms, ', ') AS warning FROM m""",
 }

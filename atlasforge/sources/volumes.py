@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,41 +23,56 @@ HDF5_MAGIC = b"\x89HDF\r\n\x1a\n"
 MAX_DIRECTORIES = 100_000
 
 
+Read = Callable[[int, int], bytes]
+
+
 def tiff_directories(data: bytes, most: int = MAX_DIRECTORIES) -> list[dict[int, list]]:
     """Every image directory of a classic TIFF as tag -> values. A chain that leaves the file ends with the directories before; BigTIFF, loops and cut entries raise ValueError."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8:
+    read = lambda at, n: data[at : at + n]
+    order, places = tiff_chain(read, len(data), most)
+    return [tiff_directory(read, order, at) for at in places]
+
+
+def tiff_chain(read: Read, size: int, most: int = MAX_DIRECTORIES) -> tuple[str, list[int]]:
+    """Byte order and places of a classic TIFF's directories, by ranges of the file: two short reads for each."""
+    head = read(0, 8)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if order is None or len(head) < 8:
         raise ValueError("not a TIFF file")
-    magic, at = struct.unpack_from(order + "HI", data, 2)
+    magic, at = struct.unpack_from(order + "HI", head, 2)
     if magic != 42:
         raise ValueError("BigTIFF is not supported" if magic == 43 else "not a TIFF file")
-    out: list[dict[int, list]] = []
+    places: list[int] = []
     seen: set[int] = set()
     while at:
-        if at in seen or len(out) >= most:
+        if at in seen or len(places) >= most:
             raise ValueError("the directory chain does not end")
         seen.add(at)
-        if at + 2 > len(data):
+        if at + 2 > size:
             break
-        (n,) = struct.unpack_from(order + "H", data, at)
-        try:
-            tags = dict(_entry(data, order, at + 2 + 12 * i) for i in range(n))
-        except struct.error as e:
-            raise ValueError("the file ends early") from e
-        if at + 6 + 12 * n > len(data):
+        (n,) = struct.unpack(order + "H", read(at, 2))
+        if at + 2 + 12 * n > size:
+            raise ValueError("the file ends early")
+        if at + 6 + 12 * n > size:
             break
-        (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
-        out.append(tags)
-    return out
+        places.append(at)
+        (at,) = struct.unpack(order + "I", read(at + 2 + 12 * n, 4))
+    return order, places
+
+
+def tiff_directory(read: Read, order: str, at: int) -> dict[int, list]:
+    """Tags and values of the directory at a place."""
+    (n,) = struct.unpack(order + "H", read(at, 2))
+    block = read(at + 2, 12 * n)
+    return dict(_entry(read, order, block[12 * i : 12 * i + 12]) for i in range(n))
 
 
-def _entry(data: bytes, order: str, at: int) -> tuple[int, list]:
-    tag, kind, count = struct.unpack_from(order + "HHI", data, at)
+def _entry(read: Read, order: str, entry: bytes) -> tuple[int, list]:
+    tag, kind, count = struct.unpack_from(order + "HHI", entry)
     size = TYPE_BYTES.get(kind, 0) * count
-    start = at + 8 if size <= 4 else struct.unpack_from(order + "I", data, at + 8)[0]
-    if start + size > len(data):
+    raw = entry[8 : 8 + size] if size <= 4 else read(struct.unpack_from(order + "I", entry, 8)[0], size)
+    if len(raw) < size:
         raise ValueError("a value lies outside the file")
-    raw = data[start : start + size]
     if kind == 2:
         return tag, [raw.split(b"\0")[0].decode("latin-1")]
     if kind in (5, 10):
