@@ -77,6 +77,13 @@ def precedent_text(query: str | None) -> Column:
     return F.contains(F.lower(F.concat_ws(" ", *parts)), F.lit(q)) if q else F.lit(True)
 
 
+def public_state(state: str | None) -> Column:
+    """records of one public state; any for none. Other states than the three are an error."""
+    if state and state not in STATUSES:
+        raise ValueError(f"unknown public state {state!r}")
+    return F.col("public_data_status") == state if state else F.lit(True)
+
+
 def all_tokens(text: Column, query: str) -> Column:
     """every white-space token of the query is a substring."""
     tokens = query.split()

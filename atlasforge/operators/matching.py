@@ -42,7 +42,7 @@ def scored_best_match(left: DataFrame, right: DataFrame, left_id: str, right_id:
 def local_path(path: Column) -> Column:
     """A path without file://, with single forward slashes and none at the end."""
     text = F.regexp_replace(F.coalesce(path, F.lit("")), "^file://", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\\\\", "/"), "/+", "/"), "/$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\\", "/"), "/+", "/"), "/$", "")
 
 
 def path_suffixes(path: Column) -> Column:

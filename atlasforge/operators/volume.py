@@ -39,8 +39,32 @@ def downsample(voxels: DataFrame, step: int = 4) -> DataFrame:
     return kept.select((F.col("row") / step).cast("bigint").alias("row"), (F.col("position") / step).cast("int").alias("position"), "value")
 
 
+SAMPLE = 10_000  # voxels of a chunk that a histogram takes at least, if it has as many
+
+
+def chunk_histogram(chunks: DataFrame, dtype: str = "|u1") -> DataFrame:
+    """Counts in 256 bins of every step-th voxel of each chunk, the step being its number of voxels over SAMPLE (1 at least).
+
+    8-bit values are their own bins; 16-bit ones are scaled by 255 / 65535. Each chunk gives one partial row for each bin that it meets.
+    """
+    if dtype not in ("|u1", "<u2"):
+        raise ValueError(f"no histogram of {dtype!r}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for raw in b["raw"]:
+                a = np.frombuffer(raw, dtype)
+                a = a[:: max(1, len(a) // SAMPLE)]
+                bins = a if dtype == "|u1" else np.minimum(255, np.floor(a / 65535 * 255)).astype(np.int64)
+                counts = np.bincount(bins, minlength=256)
+                at = np.flatnonzero(counts)
+                yield pd.DataFrame({"bin": at.astype(np.int32), "n": counts[at]})
+
+    return chunks.select("raw").mapInPandas(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+
+
 def histogram(voxels: DataFrame, lo: float, hi: float, bins: int = 256) -> DataFrame:
-    """Counts by bin of the clamped values."""
+    """Counts by bin of the clamped values of all voxels."""
     scaled = F.floor((F.col("value") - lo) / (hi - lo) * bins).cast("int")
     return voxels.groupBy(F.least(F.greatest(scaled, F.lit(0)), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
 
@@ -113,8 +137,8 @@ def label_box(labels: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- binary chunks
 
 
-def to_chunks(voxels: DataFrame, chunk_rows: int, width: int) -> DataFrame:
-    """Chunk table of a (rows x width) float32 grid: one binary payload for chunk_rows rows; edge chunks are truncated."""
+def to_chunks(voxels: DataFrame, chunk_rows: int, width: int, dtype: str = "<f4") -> DataFrame:
+    """Chunk table of a (rows x width) grid: one binary payload for chunk_rows rows; edge chunks are truncated."""
     key = F.floor(F.col("row") / chunk_rows).cast("int").alias("cz")
     grouped = voxels.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row", "position", "value"))).alias("v"))
 
@@ -122,7 +146,7 @@ def to_chunks(voxels: DataFrame, chunk_rows: int, width: int) -> DataFrame:
         for b in batches:
             out = []
             for cz, v in zip(b.cz, b.v, strict=True):
-                values = np.array([x["value"] for x in v], dtype="<f4")
+                values = np.array([x["value"] for x in v]).astype(dtype)
                 rows = len(values) // width
                 out.append((cz, 0, 0, cz * chunk_rows, 0, 0, cz * chunk_rows + rows, 1, width, values.tobytes()))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
-from ..operators.filters import FilterSpec, precedent_text
+from ..operators.filters import FilterSpec, precedent_text, public_state
 from ..sources import bindings as B
 
 INCLUDED = "included_status = 'included'"
@@ -59,10 +59,10 @@ QUERIES = {
     "similar_records": lambda s, d: C.similar(_cat(s, d), TARGET).select("dataset_id", "similarity_score", "year"),
     "compare_pairs": _pairs,
     "plan_status": lambda s, d: C.plan_status(_cat(s, d), ORGANELLES, 120.0, 30),
-    "plan_precedents": lambda s, d: C.plan_precedents(_cat(s, d), ORGANELLES, 120.0, 30).orderBy(*C.precedent_order("sample_desc")).limit(50).select("dataset_id", "year", "sample_size"),
-    "plan_precedents_by_author": lambda s, d: C.plan_precedents(_cat(s, d), ORGANELLES, 120.0, 30).orderBy(*C.precedent_order("author_asc")).limit(50).select("dataset_id", "source_study_id"),
-    "plan_precedents_by_resolution": lambda s, d: C.plan_precedents(_cat(s, d), ORGANELLES, 120.0, 30).orderBy(*C.precedent_order("res_asc")).limit(50).select("dataset_id", "lateral_resolution_nm"),
-    "plan_precedents_public_first": lambda s, d: C.plan_precedents(_cat(s, d), ORGANELLES, 120.0, 30).orderBy(*C.precedent_order("public_first")).limit(50).select("dataset_id", "public_data_status"),
+    "plan_precedents": lambda s, d: C.plan_precedents(_cat(s, d), ORGANELLES, 120.0, 30).orderBy(*C.precedent_order("sample_desc")).select("dataset_id", "year", "sample_size"),
+    "plan_precedents_by_author": lambda s, d: C.plan_precedents(_cat(s, d), ORGANELLES, 120.0, 30).orderBy(*C.precedent_order("author_asc")).select("dataset_id", "source_study_id"),
+    "plan_precedents_by_resolution": lambda s, d: C.plan_precedents(_cat(s, d), ORGANELLES, 120.0, 30).orderBy(*C.precedent_order("res_asc")).select("dataset_id", "lateral_resolution_nm"),
+    "plan_precedents_public_first": lambda s, d: C.plan_precedents(_cat(s, d), ORGANELLES, 120.0, 30).orderBy(*C.precedent_order("public_first")).select("dataset_id", "public_data_status"),
     "ids_in_request_order": lambda s, d: C.in_request_order(_cat(s, d), WANTED).select("pos", "dataset_id", "year"),
     "organelle_pairs": lambda s, d: _cat(s, d).selectExpr("dataset_id", "array_join(organelle_pairs, ',') as pairs", "sample_size_bucket", "metadata_completeness_score"),
     "bibtex": lambda s, d: C.bibtex(_cat(s, d).where(INCLUDED)),
@@ -70,7 +70,7 @@ QUERIES = {
     "precedent_csv_rows": lambda s, d: C.precedent_csv_rows(C.plan_precedents(_cat(s, d), ORGANELLES, 120.0, 30)),
     "repeated_studies": lambda s, d: C.repeated_studies(_cat(s, d).selectExpr("*", "cast(floor(cast(substr(dataset_id, 5) as bigint) / 500) as bigint) as group_id")),
     "precedent_text": lambda s, d: _cat(s, d).where(precedent_text(" Stain PROTOCOL 7")).select("dataset_id", "comparator_detail"),
-    "precedent_state": lambda s, d: _cat(s, d).where(F.col("public_data_status").isin("complete", "partial")).groupBy("public_data_status").agg(F.count("*").alias("n")),
+    "precedent_state": lambda s, d: _cat(s, d).where(public_state("partial") | public_state("complete")).groupBy("public_data_status").agg(F.count("*").alias("n")),
     "handoff_fingerprint": lambda s, d: C.handoff_fingerprint(_cat(s, d)),
 }
 
@@ -152,10 +152,10 @@ comparability_score, CASE WHEN comparability_score >= 75 THEN 'high' WHEN compar
 CASE WHEN count(*) = 0 THEN 'frontier' WHEN count(*) FILTER (WHERE strict) = 0 THEN 'high-risk' WHEN count(*) FILTER (WHERE strict) < 3 THEN 'challenging' ELSE 'feasible' END AS status,
 (SELECT modality FROM m GROUP BY modality ORDER BY count(*) DESC, min((-year, dataset_id)) LIMIT 1) AS top_modality,
 (SELECT string_agg(v, ',' ORDER BY k) FROM (SELECT v, row_number() OVER (ORDER BY count(*) DESC, min((-year, dataset_id, i))) AS k FROM (SELECT year, dataset_id, i, metric_families[i] AS v FROM m, unnest(range(1, len(metric_families) + 1)) AS t(i)) GROUP BY v ORDER BY k LIMIT 3)) AS standard_metrics FROM m)"""),
-    "plan_precedents": _plan("SELECT dataset_id, year, sample_size FROM pre ORDER BY coalesce(nullif(sample_size, 0), -1) DESC, year DESC, dataset_id LIMIT 50"),
-    "plan_precedents_by_author": _plan("SELECT dataset_id, source_study_id FROM pre ORDER BY lower(split_part(trim(regexp_replace(source_study_id, 'et al\\.?', '')), ' ', 1)), year DESC, dataset_id LIMIT 50"),
-    "plan_precedents_by_resolution": _plan("SELECT dataset_id, lateral_resolution_nm FROM pre ORDER BY lateral_resolution_nm ASC NULLS LAST, year DESC, dataset_id LIMIT 50"),
-    "plan_precedents_public_first": _plan("SELECT dataset_id, public_data_status FROM pre ORDER BY CASE public_data_status WHEN 'complete' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END DESC, year DESC, dataset_id LIMIT 50"),
+    "plan_precedents": _plan("SELECT dataset_id, year, sample_size FROM pre ORDER BY coalesce(nullif(sample_size, 0), -1) DESC, year DESC, dataset_id"),
+    "plan_precedents_by_author": _plan("SELECT dataset_id, source_study_id FROM pre ORDER BY lower(split_part(trim(regexp_replace(source_study_id, 'et al\\.?', '')), ' ', 1)), year DESC, dataset_id"),
+    "plan_precedents_by_resolution": _plan("SELECT dataset_id, lateral_resolution_nm FROM pre ORDER BY lateral_resolution_nm ASC NULLS LAST, year DESC, dataset_id"),
+    "plan_precedents_public_first": _plan("SELECT dataset_id, public_data_status FROM pre ORDER BY CASE public_data_status WHEN 'complete' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END DESC, year DESC, dataset_id"),
     "ids_in_request_order": _sql("SELECT CAST(i - 1 AS INT) AS pos, dataset_id, year FROM catalog JOIN (SELECT ids[i] AS dataset_id, i FROM (SELECT [" + ", ".join(f"'{w}'" for w in WANTED) + "] AS ids), unnest(range(1, 6)) AS t(i)) USING (dataset_id)"),
     "organelle_pairs": _sql("SELECT dataset_id, array_to_string(organelle_pairs, ',') AS pairs, sample_size_bucket, metadata_completeness_score FROM catalog"),
     "bibtex": _sql("""SELECT dataset_id, '@article{' || replace(dataset_id, '-', '') || ',' || chr(10) || '  title = {' || paper_title || '},' || chr(10) || '  author = {' || source_study_id || '},' || chr(10)

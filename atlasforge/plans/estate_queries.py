@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators import estate as E
-from ..operators import filters, jobs, matching
+from ..operators import filters, jobs, matching, search
 from ..operators import volume as V
+from ..scratch import scratch_path, written
+from ..sinks import writers
 from ..sources import bindings as B
 
 # ---------------------------------------------------------------- bindings
@@ -220,6 +222,38 @@ def histogram(s, d):
     return V.histogram(B.voxels(s, d), -1.0, 1.0, 64)
 
 
+def sampled_histogram(s, d):
+    """16-bit values of the embeddings in chunks of 400 rows; a whole chunk has 25,600 voxels, of which every second counts."""
+    scaled = F.least(F.greatest(F.floor((F.col("value") + 1) / 2 * 65535), F.lit(0)), F.lit(65535))
+    return V.chunk_histogram(V.to_chunks(B.voxels(s, d).withColumn("value", scaled), 400, 64, "<u2"), "<u2")
+
+
+def stored_grid(s, d):
+    """The grid of the embeddings' rows, with the length of the chunk that is stored for each place."""
+    rows = B.table(s, d, "embeddings").agg((F.max("vec_id") + 1).alias("n")).first()["n"] or 0
+    stored = V.to_chunks(B.voxels(s, d), 32, 64).select(F.concat_ws(".", "cz", "cy", "cx").alias("name"), F.length("raw").cast("bigint").alias("length"))
+    return V.chunk_grid(s, (max(1, rows), 1, 64), (32, 1, 64)).join(stored, "name", "left")
+
+
+def resumed_chunks(s, d):
+    """Half of the chunks are written, then all are asked for; the journal names each once, and nothing is missing."""
+    path, journal = scratch_path(s, "chunk-files"), scratch_path(s, "chunk-journal")
+    rows = B.table(s, d, "embeddings").agg((F.max("vec_id") + 1).alias("n")).first()["n"] or 0
+    chunks = written(V.to_chunks(B.voxels(s, d), 32, 64), "chunks")
+    grid = V.chunk_grid(s, (max(1, rows), 1, 64), (32, 1, 64))
+    writers.resume_chunks(chunks, grid.where("cz % 2 = 0"), path, journal, 4)
+    missing = writers.resume_chunks(chunks, grid, path, journal, 4).count()
+    times = s.read.schema(writers.JOURNAL).parquet(journal).groupBy("name", "length").agg(F.count("*").alias("times"))
+    return times.withColumn("missing", F.lit(missing).cast("bigint"))
+
+
+def token_search(s, d):
+    """Documents in which two prefixes begin tokens, from a table of the documents' tokens."""
+    path = scratch_path(s, "tokens")
+    search.write_token_table(B.table(s, d, "documents"), "doc_id", "text", path)
+    return search.search_tokens(s, path, "an+TH").withColumnRenamed("id", "doc_id")
+
+
 def labelled(s, d):
     return B.voxels(s, d).withColumn("label01", V.threshold(F.col("value"), "ge", 0.1)).withColumn("truth", ((F.col("label") + F.col("position")) % 3 == 0).cast("int"))
 
@@ -297,7 +331,10 @@ QUERIES = {
     "percentile_stretch": lambda s, d: V.percentile_stretch(B.voxels(s, d)),
     "confusion": lambda s, d: V.acceptance(V.confusion(labelled(s, d), F.col("label01"), F.col("truth")), {"dice": 0.3, "recall": 0.9}),
     "label_bbox": lambda s, d: V.label_box(B.voxels(s, d).withColumn("label01", V.threshold(F.col("value"), "gt", 0.33))),
-    "chunk_grid": lambda s, d: V.chunk_grid(s, (70, 33, 10), (32, 16, 4)),
+    "chunk_histogram": sampled_histogram,
+    "chunk_grid": stored_grid,
+    "chunk_journal": resumed_chunks,
+    "token_search": token_search,
     "axis_slice": lambda s, d: V.axis_slice(B.voxels(s, d), "position", 17).select("row", "value"),
     "downsample": lambda s, d: V.downsample(B.voxels(s, d), 4),
     "chunk_roundtrip": lambda s, d: V.chunk_values(V.to_chunks(B.voxels(s, d), 32, 64)),
@@ -384,8 +421,13 @@ SELECT l.job_id, l.dataset, l.status, CASE WHEN place IS NULL THEN 'done' WHEN w
 SELECT *, 2.0 * tp / (2 * tp + fp + fn) AS dice, tp / (tp + fp + fn) AS iou, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, tn / (tn + fp) AS specificity, fp / (fp + tn) AS false_positive_rate, (tp + tn) / (tp + fp + fn + tn) AS accuracy,
 CASE WHEN 2.0 * tp / (2 * tp + fp + fn) >= 0.3 AND tp / (tp + fn) >= 0.9 THEN 'passed' ELSE 'failed' END AS acceptance FROM c""",
     "label_bbox": _VOX + ", lab AS (SELECT *, value > 0.33 AS f FROM voxels) SELECT count(*) FILTER (WHERE f) AS foreground, round(count(*) FILTER (WHERE f) / count(*), 6) AS fraction, min(row) FILTER (WHERE f) AS row_min, max(row) FILTER (WHERE f) AS row_max, min(position) FILTER (WHERE f) AS position_min, max(position) FILTER (WHERE f) AS position_max FROM lab",
-    "chunk_grid": """SELECT CAST(cz AS INT) AS cz, CAST(cy AS INT) AS cy, CAST(cx AS INT) AS cx, CAST(cz * 32 AS INT) AS z0, CAST(least(cz * 32 + 32, 70) AS INT) AS z1, CAST(cy * 16 AS INT) AS y0, CAST(least(cy * 16 + 16, 33) AS INT) AS y1, CAST(cx * 4 AS INT) AS x0, CAST(least(cx * 4 + 4, 10) AS INT) AS x1,
-cz || '.' || cy || '.' || cx AS name, CAST((least(cz * 32 + 32, 70) - cz * 32) * (least(cy * 16 + 16, 33) - cy * 16) * (least(cx * 4 + 4, 10) - cx * 4) AS BIGINT) AS voxels FROM range(3) a(cz), range(3) b(cy), range(3) c(cx)""",
+    "chunk_histogram": _VOX + """, c AS (SELECT row // 400 AS c, row % 400 * 64 + position AS i, least(greatest(floor((value + 1) / 2 * 65535), 0), 65535) AS u FROM voxels), n AS (SELECT c, greatest(1, count(*) // 10000) AS step FROM c GROUP BY c)
+SELECT CAST(least(255, floor(u / 65535 * 255)) AS INT) AS bin, count(*) AS n FROM c JOIN n USING (c) WHERE i % step = 0 GROUP BY 1""",
+    "chunk_grid": """WITH n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), c AS (SELECT CAST(unnest(range((n + 31) // 32)) AS INT) AS cz, n FROM n)
+SELECT cz, 0 AS cy, 0 AS cx, cz * 32 AS z0, CAST(least(cz * 32 + 32, n) AS INT) AS z1, 0 AS y0, 1 AS y1, 0 AS x0, 64 AS x1, cz || '.0.0' AS name, (least(cz * 32 + 32, n) - cz * 32) * 64 AS voxels,
+(SELECT count(*) * 256 FROM embeddings WHERE vec_id // 32 = cz) AS length FROM c""",
+    "chunk_journal": "SELECT (vec_id // 32) || '.0.0' AS name, count(*) * 256 AS length, 1 AS times, 0 AS missing FROM embeddings GROUP BY 1",
+    "token_search": "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])an') AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])th')",
     "axis_slice": _VOX + "SELECT row, value FROM voxels WHERE position = 17",
     "downsample": _VOX + "SELECT row // 4 AS row, CAST(position // 4 AS INT) AS position, value FROM voxels WHERE row % 4 = 0 AND position % 4 = 0",
     "chunk_roundtrip": _VOX + "SELECT row, position, value FROM voxels",

@@ -161,8 +161,8 @@ def same_volumes(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "public_notices": lambda s, d: R.public_notices(advisories(s, d)).select("finding_id", "severity"),
-    "advisory_page": lambda s, d: advisories(s, d).orderBy(*R.advisory_order()).limit(50).select("finding_id", "severity", "category"),
-    "conversion_order": lambda s, d: Q.assets(s, d).where("is_candidate").orderBy(*R.conversion_order()).limit(50).select("relative_path", "review_required"),
+    "advisory_page": lambda s, d: advisories(s, d).orderBy(*R.advisory_order()).select("finding_id", "severity", "category"),
+    "conversion_order": lambda s, d: Q.assets(s, d).where("is_candidate").orderBy(*R.conversion_order()).select("relative_path", "review_required"),
     "resolved_volumes": resolved,
     "sidecar_pairs": sidecar_pairs,
     "project_violations": violations,
@@ -179,7 +179,7 @@ QUERIES = {
     "broken_bundle": broken_bundle,
     "normalised_worksets": worksets,
     "smallest_asset": lambda s, d: P.extremes(documents(s, d).select(K().cast("string").alias("relative_path"), SIZE().alias("size_bytes"))),
-    "manifest_order": lambda s, d: P.manifest_order(documents(s, d).select(F.col("lang").alias("status"), F.col("source").alias("study_id"), "doc_id"), "doc_id").limit(60),
+    "manifest_order": lambda s, d: P.manifest_order(documents(s, d).select(F.col("lang").alias("status"), F.col("source").alias("study_id"), "doc_id"), "doc_id"),
     "plane_overlays": lambda s, d: R.on_plane(documents(s, d).select("doc_id", one_of(("x", "y", "z"), K()).alias("axis"), (SIZE() % 10).alias("slice_index")), "y", 4).select("doc_id"),
     "display_labels": labels_text,
     "scalar_fields": scalars,
@@ -190,8 +190,8 @@ _D = "FROM documents"
 
 ORACLES = {
     "public_notices": _ADVICE + "SELECT finding_id, severity FROM a WHERE approved AND public_candidate",
-    "advisory_page": _ADVICE + "SELECT finding_id, severity, category FROM a ORDER BY severity, category, relative_path, finding_id LIMIT 50",
-    "conversion_order": Q.ASSETS_SQL + "SELECT relative_path, doc_id % 8 = 3 AS review_required FROM assets WHERE is_candidate ORDER BY CAST(doc_id % 8 = 3 OR len(gaps) > 0 AS INT), relative_path LIMIT 50",
+    "advisory_page": _ADVICE + "SELECT finding_id, severity, category FROM a ORDER BY severity, category, relative_path, finding_id",
+    "conversion_order": Q.ASSETS_SQL + "SELECT relative_path, doc_id % 8 = 3 AS review_required FROM assets WHERE is_candidate ORDER BY CAST(doc_id % 8 = 3 OR len(gaps) > 0 AS INT), relative_path",
     "resolved_volumes": f"SELECT source AS slug, doc_id AS asset, n_chars % 5 AS fingerprint, CASE WHEN doc_id % 4 = 0 THEN 'missing' WHEN n_chars % 3 = n_chars % 5 THEN 'resolved' ELSE 'changed' END AS resolution {_D}",
     "sidecar_pairs": f"WITH {B.INVENTORY_SQL} SELECT v.relative_path AS volume, 'side/' || v.doc_id || '.json' AS sidecar FROM inventory v JOIN inventory f ON f.doc_id = v.doc_id + 3 AND f.doc_id % 7 = 3",
     "project_violations": """WITH m AS (SELECT event_id, user_id % 30 AS v, event_id % 120 AS px, user_id % 200 AS py, event_id % 7 AS pz FROM events)
@@ -217,7 +217,7 @@ SELECT 'p' || doc_id AS relative_path, CASE WHEN doc_id % 2 = 0 THEN n_chars % 2
     "normalised_worksets": Q.ASSETS_SQL + """SELECT asset_id, len(gaps) > 0 OR NOT project_ready OR NOT conversion_ready AS review_required,
 array_to_string(list_sort(list_distinct(list_concat(blockers, list_filter([CASE WHEN NOT project_ready THEN 'blocked_intent:view' END, CASE WHEN NOT conversion_ready THEN 'blocked_intent:convert' END], lambda x: x IS NOT NULL)))), ',') AS blockers FROM assets""",
     "smallest_asset": f"SELECT arg_min(CAST(doc_id AS VARCHAR), (n_chars, CAST(doc_id AS VARCHAR))) AS smallest, min(n_chars) AS bytes {_D}",
-    "manifest_order": f"SELECT lang AS status, source AS study_id, doc_id {_D} ORDER BY lang, source, doc_id LIMIT 60",
+    "manifest_order": f"SELECT lang AS status, source AS study_id, doc_id {_D} ORDER BY lang, source, doc_id",
     "plane_overlays": f"SELECT doc_id {_D} WHERE doc_id % 3 = 1 AND n_chars % 10 = 4",
     "display_labels": f"""WITH {B.CATALOG_SQL}, r AS (SELECT *, CAST(round(lateral_resolution_nm) AS INT) AS xy, CAST(round(axial_resolution_nm) AS INT) AS z FROM catalog)
 SELECT dataset_id, split_part(source_study_id, ' ', 1) || ' et al., ' || year || ', ' || source AS citation, 'Data Publicly Available: ' || CASE public_data_status WHEN 'complete' THEN 'Complete' WHEN 'partial' THEN 'Partial' ELSE 'None indexed' END AS public_data,

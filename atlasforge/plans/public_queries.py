@@ -6,20 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import public_data as P
+from ..operators import runs
+from ..operators.runs import Stage
+from ..scratch import scratch_path
 from ..sources import bindings as B
 
 
-def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inventory(documents: DataFrame) -> DataFrame:
     """Documents as image assets with header, scale and preview evidence."""
     k, n = F.col("doc_id"), F.col("n_chars")
     fmt = F.element_at(F.array(*[F.lit(x) for x in ("MRC", "TIFF", "CSV", "TIFF")]), (k % 4 + 1).cast("int"))
-    d = B.table(spark, sf_dir, "documents").select(
+    return documents.select(
         "doc_id", F.concat("source", F.lit("/plane_"), (k % 50).cast("string"), F.lit("_x.tif")).alias("relative_path"), n.alias("size_bytes"), F.sha2("text", 256).alias("sha256"), fmt.alias("format"),
         (n % 5).alias("nx"), F.lit(3).cast("bigint").alias("mx"), (n % 5).alias("cell_x"), F.when(k % 13 == 0, "short_read").alias("tiff_error"), F.when(k % 6 == 1, n % 400).alias("trakem2_z_nm"),
         F.when(k % 17 == 0, "dim").alias("preview_warning"), F.when(k % 3 == 0, "citation_details").otherwise("header").alias("scale_source"), F.when(n % 7 != 0, F.lit(10)).alias("x"), F.lit(10).alias("y"),
         F.when(k % 8 != 5, F.lit(1)).alias("z"), F.when(n % 4 != 0, F.lit(5.0)).alias("scale_nm"), F.when(n % 9 != 0, F.lit("p.png")).alias("preview"), (k % 5 != 0).alias("can_convert"), (k % 29 == 0).alias("indexed"), (k % 2 == 0).alias("cached"),
     )
-    return P.conversion(P.asset_states(P.split_warnings(d.withColumn("warnings", P.warnings()))))
+
+
+def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.conversion(P.asset_states(P.split_warnings(inventory(B.table(spark, sf_dir, "documents")).withColumn("warnings", P.warnings()))))
 
 
 ASSETS_SQL = """WITH d AS (
@@ -37,9 +43,7 @@ assets AS (SELECT *, CASE WHEN state = 'not_applicable' THEN 'not_a_volume' WHEN
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The assets with the dataset they belong to."""
-    k = F.col("doc_id")
-    about = B.table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(" Archive")).alias("dataset_source"), F.when(k % 3 != 0, F.concat(F.lit("E_"), (k % 3).cast("string"))).alias("entry_id"), F.concat(F.lit("set "), "lang").alias("dataset_slug"))
-    return assets(spark, sf_dir).join(about, "doc_id")
+    return _described(assets(spark, sf_dir), B.table(spark, sf_dir, "documents"))
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +63,32 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.findings(described(spark, sf_dir), report(spark, sf_dir))
 
 
+def _described(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    k = F.col("doc_id")
+    about = documents.select("doc_id", F.concat("source", F.lit(" Archive")).alias("dataset_source"), F.when(k % 3 != 0, F.concat(F.lit("E_"), (k % 3).cast("string"))).alias("entry_id"), F.concat(F.lit("set "), "lang").alias("dataset_slug"))
+    return rows.join(about, "doc_id")
+
+
+RUN = (
+    Stage("inventory", ("documents",), lambda f: inventory(f["documents"])),
+    Stage("warnings", ("inventory",), lambda f: P.split_warnings(f["inventory"].withColumn("warnings", P.warnings()))),
+    Stage("states", ("warnings",), lambda f: P.asset_states(f["warnings"])),
+    Stage("readiness", ("states",), lambda f: P.conversion(f["states"])),
+    Stage("advisories", ("readiness", "documents"), lambda f: P.asset_findings(_described(f["readiness"], f["documents"]))),
+    Stage("index", ("readiness", "advisories"), lambda f: f["readiness"].join(f["advisories"].groupBy(F.col("asset_relative_path").alias("relative_path")).agg(F.count("*").alias("n_findings")), "relative_path", "left")),
+)
+
+
+def public_data_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventory, warnings, states, readiness, advisories and index as one chain; run twice, so that the second run keeps all, and read from what is published."""
+    root = scratch_path(spark, "public-data-run")
+    sources = {"documents": f"{sf_dir}/documents.parquet"}
+    runs.run_chain(spark, root, RUN, sources)
+    again = runs.run_chain(spark, root, RUN, sources)
+    index = runs.published(spark, root)["index"]
+    return index.select("doc_id", "state", "readiness", F.coalesce("n_findings", F.lit(0)).alias("n_findings")).withColumn("n_kept", F.lit(list(again.values()).count("kept")))
+
+
 def imagesets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     rows = B.table(spark, sf_dir, "documents").select(
@@ -112,6 +142,7 @@ QUERIES = {
     "repository_identity": locators,
     "label_upsert": latest_labels,
     "packaged_slugs": packaged,
+    "public_data_run": public_data_run,
     "scaffold": scaffolded,
 }
 
@@ -142,6 +173,7 @@ ORACLES = {
     "queue_status": ASSETS_SQL + """, g AS (SELECT *, CASE WHEN NOT can_convert THEN 'permission_denied' WHEN readiness = 'not_a_volume' THEN 'not_a_volume' WHEN len(cb) > 0 THEN 'blocked' ELSE 'ready' END AS gate FROM assets)
 SELECT doc_id, gate, CASE WHEN indexed THEN 'indexed' WHEN gate = 'ready' THEN 'ready' WHEN cached THEN 'cached' WHEN gate = 'not_a_volume' THEN 'sidecar' ELSE 'review' END AS queue_status FROM g""",
     "advisory_findings": _FIND + "SELECT * FROM g",
+    "public_data_run": _FIND + "SELECT doc_id, state, readiness, coalesce(n, 0) AS n_findings, 6 AS n_kept FROM about LEFT JOIN (SELECT asset, count(*) AS n FROM own GROUP BY asset) ON asset = relative_path",
     "longest_assets": _FIND + "SELECT dataset_source, arg_min(relative_path, (-(doc_id % 40), relative_path)) FILTER (WHERE has_z) AS longest, max(doc_id % 40) FILTER (WHERE has_z) AS depth FROM about GROUP BY dataset_source",
     "advisory_summary": _FIND + "SELECT 'severity' AS by, severity AS name, count(*) AS n FROM g GROUP BY severity UNION ALL SELECT 'category', category, count(*) FROM g GROUP BY category UNION ALL SELECT 'review_status', review_status, count(*) FROM g GROUP BY review_status",
     "imageset_counts": """WITH r AS (SELECT 'set-' || (doc_id // 2) AS api_name, doc_id, CASE WHEN doc_id % 7 <> 0 THEN n_chars % 3 END AS depth, source || '/' || doc_id AS p FROM documents WHERE doc_id % 11 <> 0),

@@ -16,10 +16,15 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or "/tmp/atlasforge-scratch").rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder through the file system that holds it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove(spark, path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

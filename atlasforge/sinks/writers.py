@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import escape_formula
-from ..scratch import scratch_path
+from ..scratch import remove, scratch_path
 
 
 def write_csv(rows: DataFrame, path: str, sep: str = ",") -> None:
@@ -42,7 +42,7 @@ def refresh(rows: DataFrame, path: str) -> None:
 
 
 def publish(spark: SparkSession, moves: dict[str, str]) -> None:
-    """K7: move finished folders into place, one rename each, after all have been written; nothing moves if one is missing."""
+    """K7: move finished folders into place, one rename each, after all have been written; nothing moves if one is missing. What must be seen together goes through runs.publish_all()."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     paths = {jvm.org.apache.hadoop.fs.Path(a): jvm.org.apache.hadoop.fs.Path(b) for a, b in moves.items()}
@@ -85,7 +85,7 @@ def store_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def write_chunk_files(chunks: DataFrame, path: str) -> DataFrame:
-    """Each chunk as the file 0/z.y.x below path, in a store that all executors reach (a local path or a URI); name and length of the written ones.
+    """Each chunk as the file 0/z.y.x below path, in a store that all executors reach (a local path or a URI); name, length and SHA-256 of the written ones.
 
     A file is written under another name and moved, so a task that is tried again leaves whole files.
     """
@@ -103,10 +103,57 @@ def write_chunk_files(chunks: DataFrame, path: str) -> DataFrame:
                 with store.open_output_stream(part) as f:
                     f.write(c.raw)
                 store.move(part, f"{root}/0/{name}")
-                out.append((name, len(c.raw)))
-            yield pd.DataFrame(out, columns=["name", "length"])
+                out.append((name, len(c.raw), hashlib.sha256(c.raw).hexdigest()))
+            yield pd.DataFrame(out, columns=["name", "length", "sha256"])
 
-    return chunks.select("cz", "cy", "cx", "raw").mapInPandas(run, "name string, length long")
+    return chunks.select("cz", "cy", "cx", "raw").mapInPandas(run, "name string, length long, sha256 string")
+
+
+JOURNAL = "name string, length long, sha256 string"
+
+
+def journal_rows(spark: SparkSession, journal: str) -> DataFrame:
+    """The chunks that runs have recorded as written; none before the first."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(journal)
+    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return (spark.read.schema(JOURNAL).parquet(journal) if there else spark.createDataFrame([], JOURNAL)).distinct()
+
+
+def kept_chunks(journal: DataFrame, path: str) -> DataFrame:
+    """Names of the recorded chunks whose files below path still have the recorded length and SHA-256. Files are read and hashed in tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        for b in batches:
+            same = []
+            for name, length, digest in zip(b["name"], b["length"], b["sha256"], strict=True):
+                info = store.get_file_info(f"{root}/0/{name}")
+                if info.is_file and info.size == length:
+                    state = hashlib.sha256()
+                    with store.open_input_stream(f"{root}/0/{name}") as f:
+                        while part := f.read(8 << 20):
+                            state.update(part)
+                    if state.hexdigest() == digest:
+                        same.append(name)
+            yield pd.DataFrame({"name": same})
+
+    return journal.select("name", "length", "sha256").mapInPandas(run, "name string").distinct()
+
+
+def resume_chunks(chunks: DataFrame, grid: DataFrame, path: str, journal: str, item_bytes: int) -> DataFrame:
+    """Write the chunks of the grid that are not recorded, or whose files no longer are what was recorded; the grid's chunks that are still not there.
+
+    Each run appends what it wrote to the journal, in the same job, so a run that was cut short goes on with the rest. A recorded chunk
+    of another size than the grid's counts as missing.
+    """
+    spark = chunks.sparkSession
+    sized = lambda: grid.join(journal_rows(spark, journal).where("length is not null"), "name").where(F.col("length") == F.col("voxels") * item_bytes)
+    todo = grid.select("name").join(kept_chunks(sized(), path), "name", "left_anti")
+    named = chunks.withColumn("name", F.concat_ws(".", "cz", "cy", "cx"))
+    write_chunk_files(named.join(todo, "name", "left_semi"), path).write.mode("append").parquet(journal)
+    return grid.select("name").join(kept_chunks(sized(), path), "name", "left_anti")
 
 
 def stored_chunk_files(spark: SparkSession, path: str) -> DataFrame:
@@ -120,10 +167,10 @@ def stored_chunk_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def convert_asset(chunks: DataFrame, gate: str, digest: str, expected: str, shape: tuple[int, int, int], sizes: tuple[int, int, int], dtype: str, scale_nm: tuple[float, float, float], path: str) -> str:
-    """V9: a volume as a chunk store: gate, digest, recipe, missing chunks, validation and publication; the recipe's id.
+    """V9: a volume as a chunk store: gate, digest, recipe, resumed chunks, validation and publication; the recipe's id.
 
-    The recipe is a digest of the source and the layout; its staging folder lies beside path, and a second run writes only what
-    is missing in it. Nothing is published unless every chunk is there in its size. A store of the same recipe is left as it is.
+    The recipe is a digest of the source and the layout; its staging folder and the journal of its chunks lie beside path, and a second run writes
+    only what is missing or is not what the journal says. Nothing is published unless every chunk is there as recorded. A store of the same recipe is left as it is.
     """
     if gate != "ready":
         raise ValueError(f"the asset cannot be converted: {gate}")
@@ -131,7 +178,7 @@ def convert_asset(chunks: DataFrame, gate: str, digest: str, expected: str, shap
         raise ValueError("the source is not the registered one")
     from pyarrow import fs
 
-    from ..operators.volume import chunk_grid, missing_chunks
+    from ..operators.volume import chunk_grid
 
     spark = chunks.sparkSession
     recipe = hashlib.sha256(json.dumps({"source": digest, "shape": shape, "chunks": sizes, "dtype": dtype, "scale_nm": scale_nm}, sort_keys=True).encode()).hexdigest()[:16]
@@ -145,15 +192,15 @@ def convert_asset(chunks: DataFrame, gate: str, digest: str, expected: str, shap
         raise ValueError("another recipe is published there")
     grid = chunk_grid(spark, shape, sizes)
     item = np.dtype(dtype).itemsize
-    todo = missing_chunks(grid, stored_chunk_files(spark, stage), item).select("name")
-    write_chunk_files(chunks.withColumn("name", F.concat_ws(".", "cz", "cy", "cx")).join(todo, "name", "left_semi"), stage).write.format("noop").mode("overwrite").save()
-    if missing_chunks(grid, stored_chunk_files(spark, stage), item).limit(1).count():
+    journal = f"{path.rstrip('/')}.journal-{recipe}"
+    if resume_chunks(chunks, grid, stage, journal, item).limit(1).count():
         raise ValueError("chunks are missing after the conversion")
     _, staged = fs.FileSystem.from_uri(stage)
     for name, text in (array_metadata(shape, sizes, dtype, scale_nm) | {"recipe.json": json.dumps({"recipe": recipe})}).items():
         with store.open_output_stream(f"{staged}/{name}") as f:
             f.write(text.encode())
     store.move(staged, root)
+    remove(spark, journal)
     return recipe
 
 

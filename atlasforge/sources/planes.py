@@ -150,11 +150,10 @@ class PlaneReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Bounds on the plane leave out slabs; Spark applies all filters again."""
         for f in filters:
-            if getattr(f, "attribute", None) == ("plane",) and isinstance(f.value, int):
-                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
-                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
-                    self.high = min(self.high, f.value + (not isinstance(f, LessThan)))
+            if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual) and f.attribute == ("plane",) and isinstance(f.value, int):
+                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+            if isinstance(f, EqualTo | LessThan | LessThanOrEqual) and f.attribute == ("plane",) and isinstance(f.value, int):
+                self.high = min(self.high, f.value + (not isinstance(f, LessThan)))
             yield f
 
     def _file(self, name: str):
@@ -187,7 +186,9 @@ class PlaneReader(DataSourceReader):
                     out.append(Slab(**(w.__dict__ | {"first": z, "last": last, "places": w.places[z:last]})))
         return out
 
-    def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Slab | None) -> Iterator[pa.RecordBatch]:
+        if not isinstance(partition, Slab):  # what Spark gives where there are no partitions
+            return
         s = partition
         one = mrc_plane if s.name.lower().endswith(MRC_NAMES) else tiff_plane
         with self._file(s.name) as f:
