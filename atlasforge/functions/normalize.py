@@ -247,6 +247,19 @@ def is_hidden(path: Column) -> Column:
     return F.exists(F.split(path, "/"), lambda p: F.startswith(p, F.lit(".")))
 
 
+def mode_octal(mode: Column) -> Column:
+    """The permission bits of a file mode in octal, with 0o before them."""
+    return F.concat(F.lit("0o"), F.lower(F.conv(mode.bitwiseAND(0o7777).cast("string"), 10, 8)))
+
+
+def iso_time(seconds: Column) -> Column:
+    """ISO 8601 of seconds since 1970 in UTC, with microseconds where there are any."""
+    micros = F.round(seconds.cast("double") * 1_000_000).cast("bigint")
+    whole = F.date_format(F.to_utc_timestamp(F.timestamp_micros(micros), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    rest = F.pmod(micros, F.lit(1_000_000))
+    return F.concat(whole, F.when(rest > 0, F.concat(F.lit("."), F.lpad(rest.cast("string"), 6, "0"))).otherwise(""), F.lit("Z"))
+
+
 #: Nanometres in a unit.
 NANOMETRES = {
     **dict.fromkeys(("nm", "nanometer", "nanometers", "nanometre", "nanometres"), 1.0),
@@ -263,12 +276,13 @@ def unit_nm(unit: Column) -> Column:
 
 
 def scale_from_text(text: Column) -> Column:
-    """struct(x, y, z) in nm from 'N nm isotropic' or 'A x B x C nm'; null otherwise."""
-    three = "(?i)(\\d+(?:\\.\\d+)?)\\s*(?:nm)?\\s*[x×]\\s*(\\d+(?:\\.\\d+)?)\\s*(?:nm)?\\s*[x×]\\s*(\\d+(?:\\.\\d+)?)\\s*nm"
-    same = "(?i)(\\d+(?:\\.\\d+)?)\\s*nm\\s+isotropic"
-    num = lambda p, i: F.regexp_extract(text, p, i).try_cast("double")
+    """struct(x, y, z) in nm from 'N nm isotropic' or 'A x B x C nm'; nm3 and nm^3 count as nm; null otherwise."""
+    plain = F.replace(F.replace(F.replace(text, F.lit("×"), F.lit("x")), F.lit("nm3"), F.lit("nm")), F.lit("nm^3"), F.lit("nm"))
+    three = "(?i)(\\d+(?:\\.\\d+)?)\\s*(?:nm)?\\s*x\\s*(\\d+(?:\\.\\d+)?)\\s*(?:nm)?\\s*x\\s*(\\d+(?:\\.\\d+)?)\\s*nm"
+    same = "(?i)(\\d+(?:\\.\\d+)?)\\s*nm\\s*isotropic"
+    num = lambda p, i: F.regexp_extract(plain, p, i).try_cast("double")
     triple = lambda a, b, c: F.struct(a.alias("x"), b.alias("y"), c.alias("z"))
-    return F.when(F.rlike(text, F.lit(same)), triple(num(same, 1), num(same, 1), num(same, 1))).when(F.rlike(text, F.lit(three)), triple(num(three, 1), num(three, 2), num(three, 3)))
+    return F.when(F.rlike(plain, F.lit(same)), triple(num(same, 1), num(same, 1), num(same, 1))).when(F.rlike(plain, F.lit(three)), triple(num(three, 1), num(three, 2), num(three, 3)))
 
 
 def human_bytes(n: Column) -> Column:

@@ -167,12 +167,40 @@ def project_violations(measurements: DataFrame, volumes: DataFrame) -> DataFrame
     return j.select("measurement_id", F.explode(codes).alias("violation"))
 
 
+def canonical(path: Column) -> Column:
+    """A path without empty and . parts, and each .. taken together with the part before it; one that climbs above its start is null."""
+    none = F.array().cast("array<string>")
+    up = lambda a: F.when(F.size(a) > 0, F.slice(a, F.lit(1), F.size(a) - 1))
+    step = lambda a, p: F.when(a.isNull(), a).when(p.isin("", "."), a).when(p == "..", up(a)).otherwise(F.concat(a, F.array(p)))
+    return F.aggregate(F.split(path, "/"), none, step, lambda a: F.array_join(a, "/"))
+
+
+LABEL_SCHEMA, LABEL_VERSION = "segmentation-manifest", 1
+
+
+def label_derivatives(sources: DataFrame, manifests: DataFrame, entries: DataFrame, schema: str = LABEL_SCHEMA) -> DataFrame:
+    """Label stores as derivatives of their sources: source_relative_path (source#segmentation=id), source_path, output_path.
+
+    sources: relative_path, output_path, shape. manifests: manifest_path, schema, schema_version, source_output_path. entries: manifest_path, segmentation_id, validation,
+    output_path, shape. A manifest lies beside its source as <name>.segmentations.json and must name the schema, its version and the source; an entry must
+    have passed validation, have the source's shape and lie below <name>.segmentations. Paths are compared as canonical().
+    """
+    s = sources.where(~F.contains("relative_path", F.lit("#segmentation="))).select("relative_path", canonical(F.col("output_path")).alias("source_path"), F.col("shape").alias("source_shape"))
+    s = s.where("source_path is not null").withColumn("manifest", F.concat("source_path", F.lit(".segmentations.json")))
+    m = manifests.where((F.col("schema") == schema) & (F.col("schema_version") == LABEL_VERSION)).select("manifest_path", canonical(F.col("manifest_path")).alias("manifest"), canonical(F.col("source_output_path")).alias("source_path"))
+    e = entries.where((F.col("validation") == "passed") & (F.coalesce("segmentation_id", F.lit("")) != "")).select("manifest_path", "segmentation_id", canonical(F.col("output_path")).alias("output_path"), "shape")
+    j = s.join(m, ["manifest", "source_path"]).join(e, "manifest_path")
+    below = F.startswith("output_path", F.concat("source_path", F.lit(".segmentations/"))) | (F.col("output_path") == F.concat("source_path", F.lit(".segmentations")))
+    return j.where(below & F.col("shape").eqNullSafe(F.col("source_shape"))).select(F.concat("relative_path", F.lit("#segmentation="), "segmentation_id").alias("source_relative_path"), "source_path", "output_path")
+
+
 def labels_in_root(manifests: DataFrame, roots: list[str]) -> DataFrame:
-    """Label stores that passed validation, have the source's shape and lie below an allowed folder; no path steps upwards."""
+    """Label stores that passed validation, have the source's shape and lie below an allowed folder, after their paths' steps upwards are taken."""
+    path = canonical(F.col("label_path"))
     below = F.lit(False)
     for r in roots:
-        below = below | F.startswith("label_path", F.lit(r.rstrip("/") + "/"))
-    return manifests.where(below & ~F.contains("label_path", F.lit("..")) & (F.col("validation") == "passed") & (F.col("shape") == F.col("source_shape")))
+        below = below | F.startswith(path, F.lit(r.strip("/") + "/"))
+    return manifests.where(F.coalesce(below, F.lit(False)) & (F.col("validation") == "passed") & (F.col("shape") == F.col("source_shape")))
 
 
 def resume(items: DataFrame, active: tuple[str, ...], retry: bool) -> DataFrame:
