@@ -87,25 +87,76 @@ def locator_manifest(datasets: DataFrame, studies: DataFrame, public: DataFrame)
     j = datasets.join(studies.select("study_id", F.col("included_status").alias("s"), "journal_published"), "study_id", "left").join(public.select("study_id", "public_locator_urls", "repository_types"), "study_id", "left")
     blank = lambda c: F.coalesce(c, F.lit(""))
     return j.select(
-        F.concat(N.slug(F.col("study_id")), F.lit("-"), F.lpad(F.col("pos").cast("string"), 3, "0")).alias("dataset_locator_id"), "study_id", F.coalesce("s", F.lit("included")).alias("included_status"), "cell_type",
+        F.concat(N.slug(F.col("study_id")), F.lit("-"), F.format_string("%03d", F.col("pos").cast("bigint"))).alias("dataset_locator_id"), "study_id", F.coalesce("s", F.lit("included")).alias("included_status"), "cell_type",
         blank(F.col("journal_published")).alias("journal_published"), blank(F.col("public_locator_urls")).alias("public_locator_urls"), blank(F.col("repository_types")).alias("public_repository_types"),
     )
 
 
-def validation_report(files: DataFrame) -> DataFrame:
-    """Ordered warnings of each file (columns relative_path, format, map_marker, nx, mx, cell_x, tiff_error, scale_nm)."""
-    volume = F.col("format").isin("MRC", "TIFF", "HDF5", "Zarr")
-    mrc = F.col("format") == "MRC"
-    say = lambda cond, *parts: F.when(cond, F.concat("relative_path", F.lit(": "), *parts))
-    found = F.array_compact(
-        F.array(
-            say(mrc & (F.coalesce("map_marker", F.lit("")) != "MAP "), F.lit("map marker missing or unexpected")),
-            say(mrc & (F.col("nx") == F.col("mx")) & (F.col("cell_x") == F.col("nx")), F.lit("header scale is likely a default")),
-            say(F.col("tiff_error").isNotNull(), F.lit("parse warning: "), F.col("tiff_error")),
-            say(volume & F.col("scale_nm").isNull(), F.lit("no physical voxel size found")),
-        )
-    )
-    return files.select("relative_path", F.posexplode(found).alias("rank", "warning"))
+VOLUME_FORMATS = ("MRC", "TIFF", "HDF5", "Zarr")
+
+
+def _about(path: str, rules: list[tuple[Column, Column | str]]) -> Column:
+    """The texts `path: words` of the rules that hold, in order."""
+    return F.array_compact(F.array(*[F.when(hit, F.concat(path, F.lit(": "), F.lit(words) if isinstance(words, str) else words)) for hit, words in rules]))
+
+
+def validation_warnings(files: DataFrame, previews: DataFrame, entries: DataFrame, source: str = "empiar") -> DataFrame:
+    """(entry_id, section, pos, rank, warning), in the report's order: entry, files, image sets, previews.
+
+    files: entry_id, pos, relative_path, format, size_bytes, tiff_error, scale_nm and, by source, map_marker, nx, mx, cell_x, api_name, expected, depth (empiar) or
+    expected_size, supplied_md5, computed_md5, local_md5, trakem2_z_nm (figshare). previews: entry_id, pos, relative_path, kind, warning. entries: entry_id, dataset_size.
+    """
+    from .public_data import imageset_warnings, z_spacing_warning
+
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    volume = F.col("format").isin(*VOLUME_FORMATS)
+    tiff = (text("tiff_error") != "", F.concat(F.lit("TIFF parse warning: "), "tiff_error"))
+    if source == "empiar":
+        mrc = F.col("format") == "MRC"
+        mirrors = mrc & (F.coalesce("nx", F.lit(0)) != 0) & (F.col("nx") == F.col("mx")) & (text("cell_x") == text("nx"))
+        rules = [
+            (mrc & (text("map_marker") != "MAP "), "MRC MAP marker missing or unexpected."), (mirrors, "MRC cell dimensions mirror voxel counts; header physical scale is likely default, not authoritative."), tiff,
+            (volume & F.col("scale_nm").isNull(), "no physical voxel size found in curated text, API metadata, TIFF metadata, or MRC header."),
+        ]
+    elif source == "figshare":
+        md5 = F.when(text("computed_md5") != "", F.col("computed_md5")).otherwise(text("supplied_md5"))
+        spacing = z_spacing_warning(F.col("trakem2_z_nm"))
+        rules = [
+            (F.col("expected_size").isNotNull() & (F.col("size_bytes") != F.col("expected_size")), F.concat(F.lit("Figshare expected "), text("expected_size"), F.lit(" bytes but local file has "), text("size_bytes"), F.lit(" bytes."))),
+            ((md5 != "") & (text("local_md5") != "") & (md5 != F.col("local_md5")), "Figshare MD5 mismatch."), tiff, (spacing.isNotNull(), spacing),
+            (volume & F.col("scale_nm").isNull(), "no physical voxel size found in Figshare, TIFF, or paired TrakEM2 metadata."),
+        ]
+    else:
+        raise ValueError(f"unknown source {source!r}")
+    own = files.select("entry_id", F.lit(1).alias("section"), "pos", F.posexplode(_about("relative_path", rules)).alias("rank", "warning"))
+    totals = entries.join(files.groupBy("entry_id").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes")), "entry_id", "left")
+    none, size = F.coalesce("n", F.lit(0)) == 0, text("dataset_size")
+    said = [F.when(none, F.lit("No local data files found."))]
+    if source == "empiar":
+        said.append(F.when((size != "") & (F.coalesce("bytes", F.lit(0)) == 0), F.concat(F.lit("Entry reports dataset_size="), size, F.lit(" but no local bytes were inventoried."))))
+    entry = totals.select("entry_id", F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("pos"), F.posexplode(F.array_compact(F.array(*said))).alias("rank", "warning"))
+    shown = previews.where(F.col("kind").isin(*VOLUME_FORMATS) & (text("warning") != ""))
+    last = shown.select("entry_id", F.lit(3).alias("section"), "pos", F.lit(0).alias("rank"), F.concat("relative_path", F.lit(": preview warning: "), "warning").alias("warning"))
+    out = entry.unionByName(own).unionByName(last)
+    if source != "empiar":
+        return out
+    # image sets are told apart by entry, in the order of their first files
+    of = files.where("coalesce(api_name, '') <> ''").withColumn("api_key", F.to_json(F.struct("entry_id", "api_name")))
+    named = of.groupBy("api_key").agg(F.min("entry_id").alias("entry_id"), F.min("api_name").alias("name"), F.min("pos").alias("pos"))
+    found = imageset_warnings(of.withColumn("api_name", F.col("api_key"))).withColumnRenamed("api_name", "api_key").join(named, "api_key")
+    # the key stands for the name in the text
+    worded = F.when(F.startswith("warning", F.col("api_key")), F.concat("name", F.substring("warning", F.length("api_key") + 1, F.length("warning")))).otherwise(F.col("warning"))
+    return out.unionByName(found.select("entry_id", F.lit(2).alias("section"), "pos", F.lit(0).alias("rank"), worded.alias("warning")))
+
+
+def validation_totals(files: DataFrame, previews: DataFrame, entries: DataFrame) -> DataFrame:
+    """file_count, formats (sorted), total_bytes, total_gib (3 decimals) and preview_count of each entry."""
+    f = files.groupBy("entry_id").agg(F.count("*").alias("file_count"), F.array_sort(F.collect_set("format")).alias("formats"), F.sum("size_bytes").alias("total_bytes"))
+    p = previews.where("coalesce(preview, '') <> ''").groupBy("entry_id").agg(F.count("*").alias("preview_count"))
+    out = entries.select("entry_id").join(f, "entry_id", "left").join(p, "entry_id", "left")
+    zero = F.lit(0).cast("bigint")
+    counts = {c: F.coalesce(c, zero) for c in ("file_count", "total_bytes", "preview_count")}
+    return out.withColumns(counts | {"formats": F.coalesce("formats", F.array().cast("array<string>"))}).withColumn("total_gib", F.round(F.col("total_bytes") / F.lit(float(1024**3)), 3))
 
 
 def preflight(checks: DataFrame) -> DataFrame:

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..operators import manifests
 from ..operators import registry as R
 from ..operators import worksets as W
+from ..scratch import scratch_path
+from ..sinks import writers
 from ..sources import bindings as B
+from ..sources import readers, volumes
 from . import estate_queries as Q
 from . import public_queries as U
 
@@ -82,6 +86,52 @@ def texts(s: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "v.x", "v.y", "v.z", N.mode_octal(F.lit(0o100000) + k % 4096).alias("mode"), N.iso_time(F.lit(1_700_000_000) + k * 1000 + F.when(k % 2 == 0, 0.25).otherwise(0)).alias("modified_at"))
 
 
+def calibrations(s: SparkSession, d: str) -> DataFrame:
+    """TrakEM2 texts made from the documents: cubes and flat voxels, thick layers, units, and texts without a calibration."""
+    k, n = F.col("doc_id"), F.col("n_chars").cast("string")
+    depth = F.when(k % 2 == 0, n).otherwise("7")
+    unit = F.when(k % 3 == 0, "nm").when(k % 3 == 1, "micron").otherwise("furlong")
+    element = F.concat(F.lit('<t2_calibration\n pixelWidth="'), n, F.lit('" pixelHeight="'), n, F.lit('" pixelDepth="'), depth, F.lit('" unit="'), unit, F.lit('"\n/>'))
+    layer = F.when(k % 5 != 0, F.concat(F.lit(' <t2_layer oid="4" thickness="'), F.when(k % 7 == 0, "0.5").otherwise("12.0"), F.lit('" z="0"> <t2_layer oid="5" thickness="99">'))).otherwise("")
+    rows = B.table(s, d, "documents").select("doc_id", volumes.trakem2_calibration(F.when(k % 11 == 0, "<t2_layer_set/>").otherwise(F.concat(element, layer))).alias("c"))
+    return rows.select("doc_id", "c.x", "c.z", "c.raw_z", "c.layer_thickness", "c.z_source", "c.unit")
+
+
+def curated(s: SparkSession, d: str) -> DataFrame:
+    """Parts as curated rows that name accessions, looked up for the suppliers' entries."""
+    rows = B.table(s, d, "part").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("see empiar-"), F.col("p_partkey").cast("string"), F.lit(" and XEMPIAR"), (F.col("p_partkey") + 7).cast("string"), F.lit(".")).alias("text"))
+    entries = B.table(s, d, "supplier").select("s_suppkey", F.concat(F.lit("EMPIAR-"), (F.col("s_suppkey") * 3).cast("string")).alias("entry_id"))
+    return readers.curated_lookup(entries, rows, "entry_id", "pos").select("s_suppkey", "curated.pos", "curated.text")
+
+
+def json_rows(s: SparkSession, d: str) -> DataFrame:
+    """Events written as JSON lines and read back with their schema."""
+    path = scratch_path(s, "json")
+    t = B.table(s, d, "events").select("event_id", "event_type", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"), F.array("event_type", F.lit('a "b" é')).alias("words"))
+    writers.write_json(t, path)
+    return _joined(readers.jsonl(s, path, t.schema), "words")
+
+
+def measured(s: SparkSession, d: str) -> DataFrame:
+    t = B.table(s, d, "lineitem")
+    n = F.col("l_linenumber")
+    return writers.measurement_rows(t.select(F.concat(F.lit("M"), F.col("l_orderkey").cast("string"), F.lit("."), n.cast("string")).alias("label"), n.alias("x1"), (n + 1).alias("y1"), F.lit(0).alias("z1"), (n * 2).alias("x2"), F.lit(5).alias("y2"), n.alias("z2"), (F.col("l_extendedprice") / 7).alias("distance_um")))
+
+
+def documents_of(s: SparkSession, d: str) -> DataFrame:
+    c = B.catalog(s, d).select("dataset_id", "title", "year", "organelles")
+    return c.select("dataset_id", writers.handoff_document(["dataset_id", "title", "year", "organelles"]).alias("document"))
+
+
+def located(s: SparkSession, d: str) -> DataFrame:
+    """Orders as datasets of customers (studies), of which only some are known as studies or have public assets."""
+    study = lambda k: F.concat(F.lit("Study #"), F.col(k).cast("string"))
+    datasets = B.table(s, d, "orders").select(study("o_custkey").alias("study_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("cell_type"))
+    studies = B.table(s, d, "customer").where("c_custkey % 3 <> 0").select(study("c_custkey").alias("study_id"), F.when(F.col("c_custkey") % 2 == 0, "borderline").otherwise("included").alias("included_status"), F.col("c_mktsegment").alias("journal_published"))
+    public = B.table(s, d, "customer").where("c_custkey % 5 = 0").select(study("c_custkey").alias("study_id"), F.lit("https://zenodo.org/record/1").alias("public_locator_urls"), F.lit("Zenodo").alias("repository_types"))
+    return manifests.locator_manifest(datasets, studies, public)
+
+
 def _joined(df: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
         df = df.withColumn(c, F.array_join(c, ","))
@@ -100,6 +150,12 @@ QUERIES = {
     "project_rules": project_files,
     "label_derivatives": labels,
     "path_and_scale_texts": texts,
+    "trakem2_scales": calibrations,
+    "curated_lookup": curated,
+    "json_roundtrip": json_rows,
+    "measurement_rows": measured,
+    "handoff_documents": documents_of,
+    "locator_manifest": located,
 }
 
 _A = Q.ASSETS_SQL + """, w AS (SELECT *, CASE walk_pos % 4 WHEN 0 THEN 'cleared' WHEN 2 THEN 'restricted' ELSE 'unknown' END AS rights, CASE WHEN walk_pos % 3 = 0 THEN 'kept' ELSE 'unknown' END AS triage, CASE WHEN walk_pos % 5 = 0 THEN 'published' ELSE 'unknown' END AS pub,
@@ -151,6 +207,17 @@ x AS (
 SELECT p AS project_id, item, violation, count(*) AS n, min(id) AS first_id FROM x GROUP BY ALL"""
 
 ORACLES = {
+    "trakem2_scales": """WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 1000.0 END::DOUBLE AS u, n_chars AS w, CASE WHEN doc_id % 2 = 0 THEN n_chars ELSE 7 END AS h, CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 7 = 0 THEN 0.5 ELSE 12.0 END END::DOUBLE AS th,
+  doc_id % 11 <> 0 AND doc_id % 3 <> 2 AS ok FROM documents), m AS (SELECT *, coalesce(th > 1, false) AND abs(h - w) <= 0.05 * greatest(h, w) AS layers FROM t)
+SELECT doc_id, CASE WHEN ok THEN w * u END AS x, CASE WHEN ok THEN CASE WHEN layers THEN h * u * th ELSE h * u END END AS z, CASE WHEN ok THEN h * u END AS raw_z, CASE WHEN ok THEN th END AS layer_thickness,
+CASE WHEN ok THEN CASE WHEN layers THEN 'trakem2_calibration_times_layer_thickness' ELSE 'trakem2_calibration' END END AS z_source, CASE WHEN ok THEN CASE doc_id % 3 WHEN 0 THEN 'nm' ELSE 'micron' END END AS unit FROM m""",
+    "curated_lookup": """WITH c AS (SELECT p_partkey AS pos, 'see empiar-' || p_partkey || ' and XEMPIAR' || (p_partkey + 7) || '.' AS text FROM part)
+SELECT s_suppkey, min(pos) AS pos, arg_min(text, pos) AS text FROM supplier LEFT JOIN c ON contains(upper(text), 'EMPIAR-' || (s_suppkey * 3)) OR contains(upper(text), 'EMPIAR' || (s_suppkey * 3)) GROUP BY s_suppkey""",
+    "json_roundtrip": """SELECT event_id, event_type, CASE WHEN event_id % 3 <> 0 THEN value END AS value, event_type || ',a "b" é' AS words FROM events""",
+    "measurement_rows": "SELECT 'M' || l_orderkey || '.' || l_linenumber AS label, l_linenumber + 1 AS x1, l_linenumber + 2 AS y1, 1 AS z1, l_linenumber * 2 + 1 AS x2, 6 AS y2, l_linenumber + 1 AS z2, printf('%.6f', l_extendedprice / 7) AS distance_um FROM lineitem",
+    "handoff_documents": f"""WITH {B.CATALOG_SQL} SELECT dataset_id, '{{"schema":"catalog-handoff","schema_version":1,"dataset_id":"' || dataset_id || '","title":"' || title || '","year":' || year || ',"organelles":[' || coalesce(array_to_string(list_transform(organelles, lambda x: '"' || x || '"'), ','), '') || ']}}' AS document FROM catalog""",
+    "locator_manifest": """SELECT 'study-' || o_custkey || '-' || printf('%03d', o_orderkey) AS dataset_locator_id, 'Study #' || o_custkey AS study_id, CASE WHEN o_custkey % 3 <> 0 AND o_custkey % 2 = 0 THEN 'borderline' ELSE 'included' END AS included_status, o_orderpriority AS cell_type,
+CASE WHEN o_custkey % 3 <> 0 THEN c_mktsegment ELSE '' END AS journal_published, CASE WHEN o_custkey % 5 = 0 THEN 'https://zenodo.org/record/1' ELSE '' END AS public_locator_urls, CASE WHEN o_custkey % 5 = 0 THEN 'Zenodo' ELSE '' END AS public_repository_types FROM orders JOIN customer ON c_custkey = o_custkey""",
     "workset_promotion": _R + "SELECT asset_id, array_to_string(blocked, ',') AS blocked_operations, len(blocked) = 0 AS can_enter FROM r",
     "workset_summary": _R + _counters("r", **_FIRST, **_READY, dataset_mode_ready_count="count(*) FILTER (WHERE len(blocked) = 0)") + _tallies("r", rights_status="rights", triage_status="triage", publication_status="pub", format="format") + _lists("r", blocker="blockers", blocked_operation="blocked"),
     "workset_findings": _R + """, c AS (SELECT count(*) AS n, count(digest) AS s, count(*) FILTER (WHERE rights = 'unknown') AS u, sum(len(blocked)) AS b FROM r)

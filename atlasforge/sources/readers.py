@@ -79,11 +79,15 @@ def workset(header: DataFrame, assets: DataFrame, schema: str, most: int = 10_00
 
 
 def curated_lookup(entries: DataFrame, curated: DataFrame, key: str, position: str) -> DataFrame:
-    """For each entry the first curated row whose joined upper-case text names it, with or without a hyphen.
+    """For each entry (letters and digits, as EMPIAR-10094) the first curated row whose joined upper-case text has it, with or without a hyphen, as a part of the text.
 
-    The accession is extracted from each curated row, so the join is on equality.
+    Every ending of a row's letters and beginning of the digits after them is a key, so the join is on equality.
     """
     text = F.upper(F.concat_ws(" ", *[c for c in curated.columns if c != position]))
-    named = curated.withColumn("entry", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("([A-Z]+)-?(\\d+)"), 0), lambda x: F.regexp_replace(x, "-", "")))))
+    ends = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.right(t, i))
+    begins = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.left(t, i))
+    pairs = F.transform(F.regexp_extract_all(text, F.lit("[A-Z]+-?[0-9]+"), 0), lambda t: F.struct(F.regexp_extract(t, "^[A-Z]+", 0).alias("w"), F.regexp_extract(t, "[0-9]+$", 0).alias("n")))
+    keys = F.flatten(F.transform(pairs, lambda p: F.flatten(F.transform(ends(p["w"]), lambda w: F.transform(begins(p["n"]), lambda n: F.concat(w, n))))))
+    named = curated.withColumn("entry", F.explode(F.array_distinct(keys)))
     first = named.groupBy("entry").agg(F.min_by(F.struct(*curated.columns), position).alias("curated"))
-    return entries.withColumn("entry", F.regexp_replace(F.upper(key), "-", "")).join(first, "entry", "left").drop("entry")
+    return entries.withColumn("entry", F.replace(F.upper(key), F.lit("-"), F.lit(""))).join(first, "entry", "left").drop("entry")

@@ -169,14 +169,20 @@ def zarr_scale(arrays: DataFrame, attributes: DataFrame) -> DataFrame:
 
 
 def trakem2_calibration(text: Column) -> Column:
-    """struct(x, y, z) in nm from a calibration element; z is the layer thickness times the pixel where z equals x and y within 5 %."""
-    num = lambda name: F.regexp_extract(text, f'pixel{name}="([0-9.]+)"', 1).try_cast("double")
-    unit = F.regexp_extract(text, 'unit="([^"]*)"', 1)
-    nm = F.when(unit == "nm", 1.0).when(F.lower(unit).isin("micron", "um", "µm"), 1000.0)
-    x, y, z = num("Width"), num("Height"), num("Depth")
-    thick = F.regexp_extract(text, 'layer_thickness="([0-9.]+)"', 1).try_cast("double")
-    flat = (F.abs(z - x) <= 0.05 * x) & (F.abs(y - x) <= 0.05 * x) & thick.isNotNull()
-    return F.struct((x * nm).alias("x"), (y * nm).alias("y"), (F.when(flat, x * thick).otherwise(z) * nm).alias("z"))
+    """struct(x, y, z, raw_z, layer_thickness, z_source, unit) in nm of a TrakEM2 text; null without a calibration of a known unit and three numbers.
+
+    z is the pixel's depth; where the first layer's thickness is over 1 and the depth is that of a cube (within 5 % of both sides), it is so many depths.
+    """
+    attribute = lambda element, name: F.regexp_extract(element, f'(?:^|\\W){name}="([^"]*)"', 1)
+    element = F.regexp_extract(text, r"(?is)<t2_calibration\b([^>]*)/>", 1)
+    unit = attribute(element, "unit")
+    x, y, z = (F.trim(attribute(element, f"pixel{name}")).try_cast("double") * unit_nm(unit) for name in ("Width", "Height", "Depth"))
+    thick = F.trim(attribute(F.regexp_extract(text, r'(?is)<t2_layer\s+oid="[^"]+"([^>]*)>', 1), "thickness")).try_cast("double")
+    close = lambda a, b: F.abs(a - b) <= 0.05 * F.greatest(F.abs(a), F.abs(b))
+    layers = F.coalesce((thick > 1) & close(z, x) & close(z, y), F.lit(False))
+    source = F.when(layers, "trakem2_calibration_times_layer_thickness").otherwise("trakem2_calibration")
+    found = F.struct(x.alias("x"), y.alias("y"), F.when(layers, z * thick).otherwise(z).alias("z"), z.alias("raw_z"), thick.alias("layer_thickness"), source.alias("z_source"), unit.alias("unit"))
+    return F.when((x + y + z).isNotNull(), found)
 
 
 def array_report(arrays: DataFrame) -> DataFrame:
