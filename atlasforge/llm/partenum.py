@@ -10,8 +10,11 @@ each set leaves out the d with the fewest elements, and a good one remains that
 
 Equal sets are one node. Buckets of up to BUCKET_PAIRS nodes give their pairs; in a larger one each member is held against the
 most central one. All pairs are verified on the sets. A bucket that lies in one component is done, as further links inside it
-change nothing. Members of other buckets are signed again with longer signatures (the next of LEVELS), and what is left after the last
-level is verified pair by pair where sizes and the distances to the bucket's centre, which obey the triangle inequality, allow a link.
+change nothing. In the others, members near the centre are held against one another by what sets them apart from it: the
+elements that a member lacks or has more. Two members of different components must share most of these differences to be linked, so they
+share one of the rarest; this prefix filter is exact, and leaves few pairs even where very many members are almost similar. Members far from the centre
+have met it by a passage that happens to fill a signature. They sign again with longer signatures (the next of LEVELS); as 1 - similarity is a
+metric, no member nearer than FAR is linked to one beyond FAR and the threshold's distance. After the last level all go through their differences.
 
 Defined results: a document with fewer words than a shingle has one of all its words; null texts and texts without words have an empty
 set and are linked with nothing, not even with each other; rows that share a doc_id are judged by their own text; a row without
@@ -37,7 +40,8 @@ from .common import BROADCAST_ROWS, U64, Words, materialize, mix, release, repea
 SHINGLE = 4
 PERCENT = 85  # least similarity
 BUCKET_PAIRS = 8  # buckets up to this size give all their pairs
-LEVELS = ((1, 3), (2, 6), (3, 8))  # (edits, parts of a first-level partition)
+LEVELS = ((1, 3), (2, 6))  # differences that a first-level partition may hold, and its parts
+FAR = 0.3  # distance from a bucket's centre beyond which members sign again
 SPARE = 20  # one in so many first-level partitions may be left out
 _GAMMA = U64(0x9E3779B97F4A7C15)
 _WORD = np.ones(256, dtype=bool)
@@ -143,16 +147,22 @@ def _signature_batches(width: int, percent: int, edits: int, n_parts: int):
 # ---------------------------------------------------------------- verification
 
 
+def _sides(batch: pa.RecordBatch, width: int) -> list[list[np.ndarray]]:
+    """The sets of the texts in columns 2 and 3. A centre's text is on many rows, and is read once."""
+    sides = []
+    for c in (2, 3):
+        column = batch.column(c).dictionary_encode()
+        sets = [s for _, found in shingle_sets(column.dictionary, width) for s in found]
+        sides.append([sets[i] for i in column.indices.to_pylist()])
+    return sides
+
+
 def _verify_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 128):
                 batch = whole.slice(k, 128)
-                sides = []
-                for c in (2, 3):
-                    column = batch.column(c).dictionary_encode()  # a centre's text is on many rows
-                    sets = [s for _, found in shingle_sets(column.dictionary, width) for s in found]
-                    sides.append([sets[i] for i in column.indices.to_pylist()])
+                sides = _sides(batch, width)
                 both = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sides, strict=True)]
                 either = [len(a) + len(b) - n for a, b, n in zip(*sides, both, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "common", "either"])
@@ -160,12 +170,15 @@ def _verify_batches(width: int):
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """Sizes of the intersection (common) and the union (either) of the sets of the pairs (a, b); texts has (node, text)."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify_batches(width), "a long, b long, common long, either long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """Sizes of the intersection (common) and the union (either) of the sets of the pairs (a, b); texts has (node, text)."""
+    return _with_texts(pairs, texts).mapInArrow(_verify_batches(width), "a long, b long, common long, either long")
 
 
 # ---------------------------------------------------------------- nodes and classes
@@ -221,52 +234,115 @@ def _candidates(buckets: DataFrame, bucket_pairs: int, percent: int) -> tuple[Da
     return pairs.union(stars).distinct(), large
 
 
-def _rest(large: DataFrame, classes: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket that sizes and distances to the centre leave possible. 1 - similarity is a metric."""
-    far = checked.select("a", "b", (1 - F.col("common") / F.col("either")).alias("d"))
-    named = large.withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub")}).join(far, ["a", "b"], "left").withColumn("d", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("d")))
-    named = named.join(classes.select(F.col("doc_id").alias("node"), F.col("class_id").alias("class")), "node", "left")
-    named = materialize(named.select("key", "node", "n_shingles", "d", F.coalesce("class", "node").alias("class")), "rest")
-    p, q = named.alias("p"), named.alias("q")
-    near = F.coalesce(F.abs(F.col("p.d") - F.col("q.d")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    sizes = F.least("p.n_shingles", "q.n_shingles") * 100 >= F.greatest("p.n_shingles", "q.n_shingles") * percent
-    both = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.class") != F.col("q.class")) & sizes & near)
-    return both.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+def _difference_batches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 128):
+                batch = whole.slice(k, 128)
+                sides = _sides(batch, width)
+                diff = [np.setxor1d(h, x, assume_unique=True) for h, x in zip(*sides, strict=True)]
+                times = np.array([len(d) for d in diff])
+                at = pa.array(np.repeat(np.arange(len(diff)), times))
+                sizes = [np.repeat([len(s) for s in side], times) for side in sides]
+                columns = [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(x, pa.int64()) for x in (*sizes, np.repeat(times, times))], pa.array(np.concatenate(diff).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["hub", "node", "hub_size", "size", "n", "element"])
+
+    return run
 
 
-def links(nodes: Nodes, percent: int = PERCENT, levels: tuple[tuple[int, int], ...] = LEVELS, bucket_pairs: int = BUCKET_PAIRS) -> tuple[DataFrame, DataFrame]:
+def difference_pairs(stars: DataFrame, texts: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes (hub, node of stars) of one hub and different components that may be linked; every link is among them.
+
+    With D the difference of a node from its hub, |x - y| counts |D(x)| + |D(y)| less twice what they share, and a link allows k(x, y) =
+    t - 2 * ceil(p * t / (100 + p)) differences, t being both sizes and p the percentage. So a link needs max((|D(x)| + |D(y)| - k) / 2, |D(x)| - k, |D(y)| - k)
+    shared elements, and the first of them, in the order of rarity, lies so far from the ends of both lists. One of the two, the probe, is
+    not in the hub's component; then |D(x)| > k(x, hub), which bounds the others' lists to about their rarer half.
+    """
+    pairs = stars.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    both = _with_texts(pairs, texts)
+    elements = both.mapInArrow(_difference_batches(width), "hub long, node long, hub_size long, size long, n long, element long")
+    # what no other member has comes first in the order of rarity, and only takes places
+    shared = elements.withColumn("df", F.count("*").over(Window.partitionBy("hub", "element"))).where("df > 1")
+    lists = shared.groupBy("hub", "node", "hub_size", "size", "n").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("e"))
+    own = classes.select(F.col("doc_id").alias("node"), F.col("class_id").alias("class"))
+    hubs = classes.select(F.col("doc_id").alias("hub"), F.col("class_id").alias("hub_class"))
+    lists = lists.join(own, "node", "left").join(hubs, "hub", "left").withColumns({"class": F.coalesce("class", "node"), "probe": F.coalesce("class", "node") != F.coalesce("hub_class", "hub"), "alone": F.col("n") - F.size("e")})
+    more = F.col("size") - F.col("hub_size")
+    least = F.greatest(F.lit(1), F.ceil((F.col("n") + F.when(more >= 0, 2 - more).otherwise(1)) / 2))  # shared with any probe
+    most = F.floor(F.col("size") * (100 - percent) / percent) + 1  # k, whatever the partner, and one
+    ends = lists.withColumns({"mine": F.least("n", most), "theirs": F.least(F.col("n") - least + 1, most)})
+    kept = F.slice("e", 1, F.greatest(F.greatest(F.when(F.col("probe"), F.col("mine")).otherwise(0), F.col("theirs")) - F.col("alone"), F.lit(0)).cast("int"))
+    prefix = ends.select("hub", "node", "size", "n", "class", "probe", "mine", "theirs", "alone", F.posexplode(kept).alias("place", "x")).withColumns({"element": F.col("x.element"), "place": F.col("alone") + F.col("place") + 1}).drop("x", "alone")
+    prefix = materialize(prefix, "prefix")
+    p, q = prefix.where("probe and place <= mine").alias("p"), prefix.where("place <= theirs").alias("q")
+    t = F.col("p.size") + F.col("q.size")
+    k = t - 2 * F.floor((percent * t + 99 + percent) / (100 + percent))
+    needed = F.greatest(F.ceil((F.col("p.n") + F.col("q.n") - k) / 2), F.col("p.n") - k, F.col("q.n") - k, F.lit(1))
+    sizes = F.least("p.size", "q.size") * 100 >= F.greatest("p.size", "q.size") * percent
+    fits = (F.col("p.hub") == F.col("q.hub")) & (F.col("p.element") == F.col("q.element")) & (F.col("p.class") != F.col("q.class")) & sizes
+    fits = fits & (F.col("p.place") <= F.col("p.n") - needed + 1) & (F.col("q.place") <= F.col("q.n") - needed + 1)
+    return p.join(q, fits).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+
+
+def links(nodes: Nodes, percent: int = PERCENT, levels: tuple[tuple[int, int], ...] = LEVELS, bucket_pairs: int = BUCKET_PAIRS, far: float = FAR) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b, common, either) that connect all nodes that links connect, and the components (doc_id: the node, class_id) of nodes that have links."""
-    sizes, todo = nodes.reps.select("node", "n_shingles"), nodes.reps
+    similar = F.col("common") * 100 >= F.col("either") * percent
     checked: list[DataFrame] = []
-    classes = large = None
+    classes, todo = None, nodes.reps
 
     def hold(pairs: DataFrame) -> DataFrame:
-        for done in checked:  # no pair twice
+        """The components after these pairs; no pair is verified twice."""
+        for done in checked:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        named = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "named")
-        texts = materialize(nodes.texts_of(semi_join_ids(nodes.reps, named, "node")), "texts")
+        texts = materialize(nodes.texts_of(_of(nodes, pairs)), "texts")
         checked.append(materialize(verify(pairs, texts, nodes.width), "checked"))
         release(texts)
-        return components(reduce(DataFrame.union, checked).where(F.col("common") * 100 >= F.col("either") * percent))
+        if classes is not None and not checked[-1].where(similar).limit(1).count():
+            return classes
+        return components(reduce(DataFrame.union, checked).where(similar))
 
-    for edits, n_parts in levels:
+    for level, (edits, n_parts) in enumerate(levels):
         signed = nodes.texts_of(todo).mapInArrow(_signature_batches(nodes.width, percent, edits, n_parts), "key long, node long")
-        pairs, large = _candidates(_buckets(signed, sizes), bucket_pairs, percent)
-        if classes is not None:  # what is in one component needs no further link
-            own = classes.select(F.col("doc_id").alias("a"), F.col("class_id").alias("class_a"))
-            others = classes.select(F.col("doc_id").alias("b"), F.col("class_id").alias("class_b"))
-            pairs = pairs.join(own, "a", "left").join(others, "b", "left").where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
-        classes = hold(pairs)
-        of = large.join(classes.select(F.col("doc_id").alias("node"), F.col("class_id").alias("own")), "node", "left").join(classes.select(F.col("doc_id").alias("hub"), F.col("class_id").alias("hubs")), "hub", "left")
-        apart = of.where(F.coalesce("own", "node") != F.coalesce("hubs", "hub")).select("key").distinct()
-        large = materialize(large.join(apart, "key", "left_semi"), "apart")
-        todo = materialize(nodes.reps.join(large.select("node").distinct(), "node", "left_semi"), "todo")
+        pairs, large = _candidates(_buckets(signed, nodes.reps.select("node", "n_shingles")), bucket_pairs, percent)
+        classes = hold(pairs if classes is None else _apart(pairs, classes))
+        # buckets whose centre's component does not hold all their members, and the members' distances from it
+        of = materialize(_apart(large.select("key", F.col("hub").alias("a"), F.col("node").alias("b")), classes), "of")
+        stars = large.join(of.select("key").distinct(), "key", "left_semi").where("node <> hub").select("hub", "node").distinct()
+        d = reduce(DataFrame.union, checked).select(F.col("a"), F.col("b"), (1 - F.col("common") / F.col("either")).alias("d"))
+        stars = stars.withColumns({"a": F.least("hub", "node"), "b": F.greatest("hub", "node")}).join(d, ["a", "b"], "left").select("hub", "node", "d")
+        stars = materialize(stars, "stars")
+        if not stars.limit(1).count():
+            break
+        last = level == len(levels) - 1
+        near = stars if last else stars.where(F.coalesce(F.col("d") <= far + 1 - percent / 100 + 1e-9, F.lit(True)))
+        near = near.select("hub", "node")
+        texts = materialize(nodes.texts_of(_of(nodes, near.select(F.col("hub").alias("a"), F.col("node").alias("b")))), "texts")
+        found = materialize(difference_pairs(near, texts, classes, nodes.width, percent), "candidates")
+        release(texts)
+        classes = hold(found)
+        if last:
+            break
+        beyond = stars.where(F.coalesce(F.col("d") > far - 1e-9, F.lit(True)))
+        beyond = materialize(beyond.select("hub", "node"), "beyond")
+        todo = nodes.reps.join(beyond.select("node").union(beyond.select(F.col("hub").alias("node"))).distinct(), "node", "left_semi")
+        todo = materialize(todo, "todo")
         if not todo.limit(1).count():
             break
-    else:
-        classes = hold(_rest(large, classes, reduce(DataFrame.union, checked), percent))
-    return reduce(DataFrame.union, checked).where(F.col("common") * 100 >= F.col("either") * percent), classes
+    return reduce(DataFrame.union, checked).where(similar), classes
+
+
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes are in different components."""
+    own = classes.select(F.col("doc_id").alias("a"), F.col("class_id").alias("class_a"))
+    others = classes.select(F.col("doc_id").alias("b"), F.col("class_id").alias("class_b"))
+    return pairs.join(own, "a", "left").join(others, "b", "left").where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select(*pairs.columns)
+
+
+def _of(nodes: Nodes, pairs: DataFrame) -> DataFrame:
+    """The nodes that pairs (a, b) name."""
+    named = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "named")
+    return semi_join_ids(nodes.reps, named, "node")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, levels: tuple[tuple[int, int], ...] = LEVELS, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
