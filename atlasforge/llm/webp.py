@@ -5,12 +5,15 @@ distance map, the colour cache, and inverts the predictor, cross-colour, subtrac
 transforms, in any allowed order.
 
 The encoder stores four payload bytes to a pixel, as alpha, red, green and blue, WIDTH pixels to a row (wider where a payload
-needs more than MAX_SIDE rows). Images of at most 256 colours, and half as many as pixels, get a palette, up to eight indexes to a pixel. Of the others three eighths,
-by the payload's checksum, take transforms: predictor, cross-colour with subtract-green, or predictor with cross-colour. Text has no gradients
-for which they would pay; they are there so that every corpus goes through every inverse. All images have
+needs more than MAX_SIDE rows). Images of at most 256 colours, and half as many as pixels, get a palette, up to eight indexes to a pixel. The others get
+the transforms that make them smallest by the entropy of their channels: none, predictor, cross-colour (with subtract-green), or predictor and then
+cross-colour. All images have
 canonical prefix codes made for their own counts, and a colour cache and back-references to the latest equal run of three
 pixels or more, where these stand for an eighth of the pixels. Payloads of more than a whole image (a gigabyte) are split into several files.
 
+Files of a batch are decoded side by side: each step reads the next pixel of LANES images at once, and an image that ends makes room for the
+next. Images much longer than the others' mean, and those with meta codes, are read alone.
+
 Defined results: a null text is empty; a payload is padded with bytes 255 to a positive multiple of 576; texts with equal
 bytes have equal media and features; nothing is dropped, however long the text. Rows keep their doc_id, null or repeated.
 Columns besides the id and text columns are not read.
@@ -89,13 +92,17 @@ class PrefixCode:
 
     @cached_property
     def table(self) -> list[int]:
+        return self.array.tolist()
+
+    @cached_property
+    def array(self) -> np.ndarray:
         """32 * symbol + length for each value of the next `longest` bits."""
         if self.single is not None:
-            return [self.single << 5]
+            return np.array([self.single << 5])
         by = self.symbols[np.argsort(self.lengths[self.symbols], kind="stable")]
         sizes = self.lengths[by]
         # canonical codes divide the values, most significant bit first, into ranges
-        return np.repeat(by << 5 | sizes, 1 << (self.longest - sizes))[REVERSED[self.longest]].tolist()
+        return np.repeat(by << 5 | sizes, 1 << (self.longest - sizes))[REVERSED[self.longest]]
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
@@ -191,20 +198,34 @@ def _cells(n: int, block_bits: int) -> int:
     return (n + (1 << block_bits) - 1) >> block_bits
 
 
+class Coded:
+    """What comes before an image's pixels: the colour cache's bits, the meta codes' image, and the groups of prefix codes."""
+
+    def __init__(self, bits: Bits, width: int, height: int, top: bool):
+        self.cache_bits = bits.read(4) if bits.read(1) else 0
+        if self.cache_bits > 11:
+            raise ValueError("colour cache too large")
+        self.meta, groups, self.meta_bits = None, 1, 0
+        if top and bits.read(1):
+            self.meta_bits = bits.read(3) + 2
+            self.meta = (_image(bits, _cells(width, self.meta_bits), _cells(height, self.meta_bits), False) >> 8) & 0xFFFF
+            groups = int(self.meta.max()) + 1
+        cache_size = 1 << self.cache_bits if self.cache_bits else 0
+        self.codes = [_read_codes(bits, (256 + 24 + cache_size, 256, 256, 256, 40)) for _ in range(groups)]
+        # one group, whose literals fit into one 64-bit window of the stream
+        self.plain = groups == 1 and sum(c.longest for c in self.codes[0][:4]) <= 56
+
+
 def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     """Entropy-coded pixels as unsigned ARGB numbers."""
-    cache_bits = bits.read(4) if bits.read(1) else 0
-    if cache_bits > 11:
-        raise ValueError("colour cache too large")
-    meta, groups, meta_bits = None, 1, 0
-    if top and bits.read(1):
-        meta_bits = bits.read(3) + 2
-        meta = (_image(bits, _cells(width, meta_bits), _cells(height, meta_bits), False) >> 8) & 0xFFFF
-        groups = int(meta.max()) + 1
+    return _pixels_of(bits, Coded(bits, width, height, top), width, height)
+
+
+def _pixels_of(bits: Bits, coded: Coded, width: int, height: int) -> np.ndarray:
+    cache_bits, meta, meta_bits, codes = coded.cache_bits, coded.meta, coded.meta_bits, coded.codes
     cache_size = 1 << cache_bits if cache_bits else 0
-    codes = [_read_codes(bits, (256 + 24 + cache_size, 256, 256, 256, 40)) for _ in range(groups)]
     total = width * height
-    if groups == 1 and sum(c.longest for c in codes[0][:4]) <= 56:
+    if coded.plain:
         return _one_group(bits, codes[0], width, total, cache_bits)
     out = [0] * total
     cache = [0] * cache_size
@@ -298,6 +319,194 @@ def _one_group(bits: Bits, codes: list[PrefixCode], width: int, total: int, cach
     return np.array(out, dtype=np.uint32)
 
 
+# ---------------------------------------------------------------- many images side by side
+
+LANES = 512
+_NEAR = np.array(DISTANCE_MAP)
+_HASH = np.uint64(0x1E35A7BD)
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+class Stream:
+    """A lossless stream read up to its pixels: bits, coded, steps (transforms), width and height of the coded image."""
+
+    def __init__(self, data: bytes):
+        self.bits = bits = Bits(data)
+        if bits.read(8) != 0x2F:
+            raise ValueError("wrong signature")
+        width, self.height = bits.read(14) + 1, bits.read(14) + 1
+        self.has_alpha = bits.read(1)
+        if bits.read(3):
+            raise ValueError("unknown version")
+        self.steps: list[tuple] = []
+        self.full = width
+        while bits.read(1):
+            kind = bits.read(2)
+            if kind in {s[0] for s in self.steps}:
+                raise ValueError("a transform occurs twice")
+            if kind in (PREDICTOR, CROSS_COLOUR):
+                block = bits.read(3) + 2
+                across = _cells(width, block)
+                self.steps.append((kind, width, _channels(_image(bits, across, _cells(self.height, block), False), across), block))
+            elif kind == SUBTRACT_GREEN:
+                self.steps.append((kind, width))
+            else:
+                size = bits.read(8) + 1
+                palette = np.cumsum(_channels(_image(bits, size, 1, False), size)[0].astype(np.int64), axis=0) & 255
+                pack = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
+                self.steps.append((kind, width, palette.astype(np.uint8), pack))
+                width = _cells(width, pack)
+        self.width = width
+        self.coded = Coded(bits, width, self.height, True)
+        self.total = width * self.height
+
+    def pixels(self) -> np.ndarray:
+        return _pixels_of(self.bits, self.coded, self.width, self.height)
+
+    def finished(self, px: np.ndarray) -> np.ndarray:
+        """The image of the coded pixels, after the inverse transforms: uint8 (height, width, ARGB)."""
+        img = _channels(px, self.width)
+        for kind, w, *x in reversed(self.steps):
+            if kind == PREDICTOR:
+                img = _unpredict(img, x[0][..., 2] & 15, x[1])
+            elif kind == CROSS_COLOUR:
+                img = _uncross(img, *x)
+            elif kind == SUBTRACT_GREEN:
+                img = img.copy()
+                img[..., 1] += img[..., 2]
+                img[..., 3] += img[..., 2]
+            else:
+                img = _unindex(img, x[0], w, x[1])
+        assert img.shape == (self.height, self.full, 4)
+        if not self.has_alpha:
+            img[..., 0] = 255
+        return img
+
+
+def _extra(w: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances of prefix symbols whose extra bits begin a window, and how many bits these are."""
+    extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+    more = (w & ((np.uint64(1) << extra.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + more + 1), extra
+
+
+def side_by_side(streams: list[Stream], lanes: int = LANES) -> list[np.ndarray]:
+    """The coded pixels of plain streams, each step one pixel of up to `lanes` of them."""
+    n = len(streams)
+    order = sorted(range(n), key=lambda i: -streams[i].total)
+    raw = np.frombuffer(b"".join(s.bits.data + bytes(16) for s in streams) + bytes(16), dtype=np.uint8)
+    eight = np.ndarray((len(raw) - 8,), "<u8", buffer=raw, strides=(1,))
+    begin = np.cumsum([0] + [len(s.bits.data) + 16 for s in streams])[:-1]
+    base = np.cumsum([0] + [s.total for s in streams])
+    out = np.zeros(int(base[-1]), dtype=np.uint64)
+    # per image: position and end in bits, place and end of its pixels, and where its tables and cache lie
+    tables: list[np.ndarray] = []
+    known: dict[int, int] = {}
+    filled = 0
+    place = np.zeros((n, 5), dtype=np.int64)
+    mask = np.zeros((n, 5), dtype=np.uint64)
+    for i, s in enumerate(streams):
+        for k, c in enumerate(s.coded.codes[0]):
+            at = known.get(id(c))
+            if at is None:
+                at = known[id(c)] = filled
+                tables.append(c.array)
+                filled += len(c.array)
+            place[i, k], mask[i, k] = at, (1 << c.longest) - 1
+    table = np.concatenate(tables).astype(np.int64) if tables else np.zeros(1, np.int64)
+    bits = np.array([s.coded.cache_bits for s in streams])
+    room = np.cumsum([0] + [1 << b for b in bits.tolist()])
+    cache = np.zeros(int(room[-1]) + 1, dtype=np.uint64)
+    shift = (32 - bits).astype(np.uint64)
+    position = begin * 8 + np.array([s.bits.at for s in streams])
+    end = begin * 8 + np.array([s.bits.end for s in streams])
+    widths = np.array([s.width for s in streams])
+
+    who = np.array(order[:lanes])
+    waiting = order[lanes:][::-1]
+    left, away = np.zeros(len(who), dtype=np.int64), np.zeros(len(who), dtype=np.int64)
+    at, pos, stop = base[who].copy(), position[who].copy(), base[who + 1]
+    some_copy, some_cache = False, bool(bits.any())
+    top, limit = int(len(eight) - 1), np.uint64(7)
+    g0, g1, g2, g3, g4 = (place[who, k] for k in range(5))
+    m0, m1, m2, m3, m4 = (mask[who, k] for k in range(5))
+    c0, sh = room[who], shift[who]
+    until = int((stop - at).min()) if len(who) else 0
+    while len(who):
+        for _ in range(until):
+            w = eight[np.minimum(pos >> 3, top)] >> (pos.astype(np.uint64) & limit)
+            g = table[g0 + (w & m0).astype(np.int64)]
+            n0, symbol = g & 31, g >> 5
+            w1 = w >> n0.astype(np.uint64)
+            r = table[g1 + (w1 & m1).astype(np.int64)]
+            n1 = r & 31
+            w2 = w1 >> n1.astype(np.uint64)
+            b = table[g2 + (w2 & m2).astype(np.int64)]
+            n2 = b & 31
+            w3 = w2 >> n2.astype(np.uint64)
+            a = table[g3 + (w3 & m3).astype(np.int64)]
+            px = ((a >> 5) << 24 | (r >> 5) << 16 | symbol << 8 | b >> 5).astype(np.uint64)
+            step = n0 + n1 + n2 + (a & 31)
+            if some_copy or int(symbol.max()) > 255:
+                odd = np.flatnonzero((symbol > 255) | (left > 0))
+                going = left[odd] > 0
+                symbols = symbol[odd]
+                step[odd] = np.where(going, 0, n0[odd])
+                hit = odd[~going & (symbols >= 280)]
+                px[hit] = cache[c0[hit] + symbol[hit] - 280]
+                new = odd[~going & (symbols < 280)]
+                if len(new):
+                    length, used = _extra(w1[new], symbol[new] - 256)
+                    there = pos[new] + n0[new] + used
+                    v = eight[np.minimum(there >> 3, top)] >> (there.astype(np.uint64) & limit)
+                    d = table[g4[new] + (v & m4[new]).astype(np.int64)]
+                    v >>= (d & 31).astype(np.uint64)
+                    far, more = _extra(v, d >> 5)
+                    step[new] = n0[new] + used + (d & 31) + more
+                    near = _NEAR[np.minimum(far, 120) - 1]
+                    far = np.where(far > 120, far - 120, np.maximum(1, near[:, 0] + near[:, 1] * widths[who[new]]))
+                    if (far > at[new] - base[who[new]]).any() or (at[new] + length > stop[new]).any():
+                        raise ValueError("back-reference out of the image")
+                    left[new], away[new] = length, far
+                copied = odd[left[odd] > 0]
+                px[copied] = out[at[copied] - away[copied]]
+                left[copied] -= 1
+                some_copy = bool(left.any())
+            out[at] = px
+            if some_cache:
+                cache[c0 + (((px * _HASH) & _LOW) >> sh).astype(np.int64)] = px
+            pos += step
+            at += 1
+        ended = np.flatnonzero(at == stop)
+        if (pos[ended] > end[who[ended]]).any():
+            raise ValueError("the stream ends early")
+        fresh = [waiting.pop() for _ in range(min(len(ended), len(waiting)))]
+        keep = np.ones(len(who), dtype=bool)
+        if fresh:
+            lane = ended[: len(fresh)]
+            who[lane] = fresh
+            at[lane], pos[lane] = base[fresh], position[fresh]
+        keep[ended[len(fresh) :]] = False
+        who, at, pos, left, away = (x[keep] for x in (who, at, pos, left, away))
+        stop, c0, sh = base[who + 1], room[who], shift[who]
+        g0, g1, g2, g3, g4 = (place[who, k] for k in range(5))
+        m0, m1, m2, m3, m4 = (mask[who, k] for k in range(5))
+        until = int((stop - at).min()) if len(who) else 0
+    return [out[base[i] : base[i + 1]].astype(np.uint32) for i in range(n)]
+
+
+def decode_many(files: list[bytes], lanes: int = LANES) -> list[np.ndarray]:
+    """Pixels of lossless WebP files, as decode() gives them."""
+    streams = [Stream(_lossless(f)) for f in files]
+    found: list[np.ndarray | None] = [None] * len(files)
+    mean = sum(s.total for s in streams) / lanes
+    plain = [i for i, s in enumerate(streams) if s.coded.plain and s.total <= 2 * mean]
+    if len(plain) >= lanes // 8:  # a step costs about as much as a few pixels that are read alone
+        for i, px in zip(plain, side_by_side([streams[i] for i in plain], lanes), strict=True):
+            found[i] = px
+    return [s.finished(s.pixels() if px is None else px) for s, px in zip(streams, found, strict=True)]
+
+
 # ---------------------------------------------------------------- inverse transforms, on uint8 (height, width, ARGB)
 
 
@@ -408,62 +617,27 @@ def _unindex(img: np.ndarray, palette: np.ndarray, width: int, width_bits: int)
     return table[index]
 
 
-def decode(media: bytes) -> np.ndarray:
-    """Pixels of a lossless WebP file: uint8 (height, width, 4) in the order A, R, G, B."""
+def _lossless(media: bytes) -> bytes:
+    """The lossless stream in a WebP file."""
     if media[:4] != b"RIFF" or media[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at, end = 12, min(len(media), 8 + struct.unpack_from("<I", media, 4)[0])
     while at + 8 <= end:
         kind, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if kind == b"VP8L":
-            return _decode_stream(media[at + 8 : at + 8 + size])
+            return media[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
     raise ValueError("no lossless image in the file")
 
 
+def decode(media: bytes) -> np.ndarray:
+    """Pixels of a lossless WebP file: uint8 (height, width, 4) in the order A, R, G, B."""
+    return _decode_stream(_lossless(media))
+
+
 def _decode_stream(data: bytes) -> np.ndarray:
-    bits = Bits(data)
-    if bits.read(8) != 0x2F:
-        raise ValueError("wrong signature")
-    width, height = bits.read(14) + 1, bits.read(14) + 1
-    has_alpha = bits.read(1)
-    if bits.read(3):
-        raise ValueError("unknown version")
-    steps: list[tuple] = []
-    full = width
-    while bits.read(1):
-        kind = bits.read(2)
-        if kind in {s[0] for s in steps}:
-            raise ValueError("a transform occurs twice")
-        if kind in (PREDICTOR, CROSS_COLOUR):
-            block = bits.read(3) + 2
-            across = _cells(width, block)
-            data_px = _channels(_image(bits, across, _cells(height, block), False), across)
-            steps.append((kind, width, data_px, block))
-        elif kind == SUBTRACT_GREEN:
-            steps.append((kind, width))
-        else:
-            size = bits.read(8) + 1
-            palette = np.cumsum(_channels(_image(bits, size, 1, False), size)[0].astype(np.int64), axis=0) & 255
-            pack = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
-            steps.append((kind, width, palette.astype(np.uint8), pack))
-            width = _cells(width, pack)
-    img = _channels(_image(bits, width, height, True), width)
-    for kind, w, *x in reversed(steps):
-        if kind == PREDICTOR:
-            img = _unpredict(img, x[0][..., 2] & 15, x[1])
-        elif kind == CROSS_COLOUR:
-            img = _uncross(img, *x)
-        elif kind == SUBTRACT_GREEN:
-            img = img.copy()
-            img[..., 1] += img[..., 2]
-            img[..., 3] += img[..., 2]
-        else:
-            img = _unindex(img, x[0], w, x[1])
-    assert img.shape == (height, full, 4)
-    if not has_alpha:
-        img[..., 0] = 255
-    return img
+    stream = Stream(data)
+    return stream.finished(stream.pixels())
 
 
 # ---------------------------------------------------------------- encoder
@@ -741,8 +915,8 @@ def _by_block(x: np.ndarray, block_bits: int) -> np.ndarray:
     return np.add.reduceat(np.add.reduceat(x, np.arange(0, h, 1 << block_bits), axis=0), np.arange(0, w, 1 << block_bits), axis=1)
 
 
-def _predict_image(out: Fields, img: np.ndarray) -> np.ndarray:
-    """Write the predictor transform with each block's best of MODES; the residuals."""
+def _predicted(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each block's best of MODES, and the residuals."""
     h, w, _ = img.shape
     rest = np.empty((len(MODES), h, w, 4), dtype=np.uint8)
     for k, mode in enumerate(MODES):
@@ -752,30 +926,66 @@ def _predict_image(out: Fields, img: np.ndarray) -> np.ndarray:
     rest[:, 1:, 0] = img[1:, 0] - img[:-1, 0]
     cost = np.abs(rest.view(np.int8).astype(np.int16)).sum(axis=3, dtype=np.int32)
     best = np.stack([_by_block(c, BLOCK_BITS) for c in cost]).argmin(axis=0)
+    each = best[np.arange(h)[:, None] >> BLOCK_BITS, np.arange(w)[None, :] >> BLOCK_BITS]
+    return best, np.take_along_axis(rest, each[None, :, :, None], axis=0)[0]
+
+
+def _put_predictor(out: Fields, best: np.ndarray) -> None:
     out.put(1 | PREDICTOR << 1 | (BLOCK_BITS - 2) << 3, 6)
     _put_image(out, (np.array(MODES, dtype=np.uint32)[best] << np.uint32(8) | np.uint32(0xFF000000)).reshape(-1), best.shape[1], False)
-    each = best[np.arange(h)[:, None] >> BLOCK_BITS, np.arange(w)[None, :] >> BLOCK_BITS]
-    return np.take_along_axis(rest, each[None, :, :, None], axis=0)[0]
 
 
-def _cross_image(out: Fields, img: np.ndarray) -> np.ndarray:
-    """Write the cross-colour transform with each block's least-squares multipliers; what is left of red and blue."""
+def _crossed(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each block's least-squares multipliers, and what is left of red and blue."""
     h, w, _ = img.shape
     red, green, blue = (img[..., k].view(np.int8).astype(np.int64) for k in (1, 2, 3))
     power = np.maximum(_by_block(green * green, BLOCK_BITS), 1)
     to_red = np.clip(32 * _by_block(red * green, BLOCK_BITS) // power, -128, 127)
     to_blue = np.clip(16 * _by_block(blue * green, BLOCK_BITS) // power, -128, 127)
     from_red = np.clip(16 * _by_block(blue * red, BLOCK_BITS) // np.maximum(_by_block(red * red, BLOCK_BITS), 1), -128, 127)
-    out.put(1 | CROSS_COLOUR << 1 | (BLOCK_BITS - 2) << 3, 6)
     data = np.full((*to_red.shape, 4), 255, dtype=np.uint8)
     for k, m in ((1, from_red), (2, to_blue), (3, to_red)):
         data[..., k] = (m & 255).astype(np.uint8)
-    _put_image(out, _packed(data).reshape(-1), to_red.shape[1], False)
     at = (np.arange(h)[:, None] >> BLOCK_BITS, np.arange(w)[None, :] >> BLOCK_BITS)
     left = img.copy()
     left[..., 1] -= (((to_red[at] * green) >> 5) & 255).astype(np.uint8)
     left[..., 3] -= ((((to_blue[at] * green) >> 5) + ((from_red[at] * red) >> 5)) & 255).astype(np.uint8)
-    return left
+    return data, left
+
+
+def _put_cross(out: Fields, data: np.ndarray) -> None:
+    out.put(1 | CROSS_COLOUR << 1 | (BLOCK_BITS - 2) << 3, 6)
+    _put_image(out, _packed(data).reshape(-1), data.shape[1], False)
+
+
+def _without_green(img: np.ndarray) -> np.ndarray:
+    img = img.copy()
+    img[..., 1] -= img[..., 2]
+    img[..., 3] -= img[..., 2]
+    return img
+
+
+def _bits_of(img: np.ndarray) -> float:
+    """Bits that the channels would take in codes made for their own counts, and about the codes themselves."""
+    bits = 0.0
+    for k in range(4):
+        c = np.bincount(img[..., k].reshape(-1), minlength=256)
+        c = c[c > 0]
+        bits += float(c.sum() * np.log2(c.sum()) - (c * np.log2(c)).sum()) + 5 * len(c)
+    return bits
+
+
+def cheapest(img: np.ndarray) -> int:
+    """The style with the fewest bits: 0 none, 1 predictor, 2 cross-colour and subtract-green, 3 predictor and cross-colour."""
+    best, residual = _predicted(img)
+    data, left = _crossed(img)
+    costs = [_bits_of(img), _bits_of(residual) + 4 * best.size, _bits_of(_without_green(left)) + 16 * data[..., 0].size]
+    style = int(np.argmin(costs))
+    if costs[1] < costs[0]:
+        data, left = _crossed(residual)
+        if _bits_of(left) + 4 * best.size + 16 * data[..., 0].size < costs[style]:
+            return 3
+    return style
 
 
 def _palette_image(out: Fields, px: np.ndarray, colours: np.ndarray, width: int) -> tuple[np.ndarray, int]:
@@ -796,12 +1006,10 @@ def _palette_image(out: Fields, px: np.ndarray, colours: np.ndarray, width: int)
 
 
 def encode(payload: np.ndarray, style: int | None = None) -> bytes:
-    """One image of a payload whose length is a multiple of PAD. style: 0 to 3, by the checksum where it is not given."""
+    """One image of a payload whose length is a multiple of PAD. style: 0 to 3, the cheapest() where it is not given."""
     n = len(payload) // 4
     width = WIDTH * max(1, -(-n // (WIDTH * MAX_SIDE)))
     height = -(-n // width)
-    if style is None:
-        style = (0, 0, 0, 0, 0, 1, 2, 3)[zlib.crc32(payload.tobytes()) & 7]
     if n < width * height:
         payload = np.concatenate([payload, np.zeros(4 * (width * height - n), np.uint8)])
     img = payload.reshape(height, width, 4)
@@ -812,17 +1020,18 @@ def encode(payload: np.ndarray, style: int | None = None) -> bytes:
     colours = np.unique(px) if np.count_nonzero(some[1:] != some[:-1]) < 256 else px
     if len(colours) <= 256 and 2 * len(colours) <= len(px):
         px, width = _palette_image(out, px, colours, width)
-    elif style:
+    else:
+        style = cheapest(img) if style is None else style
         if style & 1:
-            img = _predict_image(out, img)
+            best, img = _predicted(img)
+            _put_predictor(out, best)
         if style & 2:
-            img = _cross_image(out, img)
+            data, img = _crossed(img)
+            _put_cross(out, data)
         if style == 2:
             out.put(1 | SUBTRACT_GREEN << 1, 3)
-            img = img.copy()
-            img[..., 1] -= img[..., 2]
-            img[..., 3] -= img[..., 2]
-        px = _packed(img).reshape(-1)
+            img = _without_green(img)
+        px = _packed(img).reshape(-1) if style else px
     out.put(0, 1)
     _put_image(out, px, width, True)
     stream = out.stream()
@@ -850,27 +1059,6 @@ def padded(n_bytes: int) -> int:
 # ---------------------------------------------------------------- columns
 
 
-class Remembered:
-    """Results of equal inputs in one worker, up to a number of bytes."""
-
-    def __init__(self, most: int = 16 << 20):
-        self.most, self.used, self.known = most, 0, {}
-
-    def get(self, key: bytes, make):
-        found = self.known.get(key)
-        if found is None:
-            found = make()
-            if self.used > self.most:
-                self.known, self.used = {}, 0
-            if len(key) <= self.most >> 6:
-                self.known[key] = found
-                self.used += 4 * len(key)
-        return found
-
-
-_files, _pixels = Remembered(), Remembered()
-
-
 def _store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
@@ -881,7 +1069,7 @@ def _store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 sizes.append(len(raw))
                 payload = np.full(padded(len(raw)), 255, dtype=np.uint8)
                 payload[: len(raw)] = np.frombuffer(raw, dtype=np.uint8)
-                media.append(_files.get(raw, lambda p=payload: encode_payload(p)))
+                media.append(encode_payload(payload))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "media"])
 
 
@@ -901,6 +1089,19 @@ def _described(x: np.ndarray) -> dict:
     return {"height": x.shape[0], "width": x.shape[1], "pixels": x.tobytes()}
 
 
+def _parts(batch: pa.RecordBatch, at: int, most_rows: int = 4 * LANES, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a bounded number of rows and, but for a single row, of bytes in its column of files."""
+    sizes = [sum(map(len, f or [])) for f in batch.column(at).to_pylist()]
+    k = 0
+    while k < len(sizes):
+        n, held = 1, sizes[k]
+        while k + n < len(sizes) and n < most_rows and held + sizes[k + n] <= most_bytes:
+            held += sizes[k + n]
+            n += 1
+        yield batch.slice(k, n)
+        k += n
+
+
 def decode_images(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns named in keep, media, and `images`: height, width and pixels (bytes A, R, G, B by row) of each lossless WebP file.
 
@@ -914,11 +1115,10 @@ def decode_images(df: DataFrame, media_col: str = "media", keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = len(keep)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                found = []
-                for files in part.column(at):
-                    found.append([_pixels.get(f, lambda f=f: _described(decode(f))) for f in files.as_py() or []])
+            for part in _parts(batch, at):
+                files = [f or [] for f in part.column(at).to_pylist()]
+                images = iter(decode_many([x for f in files for x in f]))
+                found = [[_described(next(images)) for _ in f] for f in files]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(struct_type))], names=[*part.schema.names, "images"])
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)

@@ -312,3 +312,55 @@ def test_fast_and_slow_paths_agree(monkeypatch):
     for m, f in zip(media, fast, strict=True):
         assert np.array_equal(W.decode(m), f)
     W._lengths_code.cache_clear()
+
+
+@pytest.mark.parametrize("lanes", [1, 3, 64])
+def test_files_read_side_by_side(lanes):
+    """Images of all kinds and sizes, more than there are lanes, give what they give alone."""
+    files, rng = [], np.random.default_rng(3)
+    for steps in STEPS:
+        for options in ({}, {"cache_bits": 4}, {"meta_bits": 2}, {"cache_bits": 7, "repeats": True}):
+            r = random.Random(f"{steps}{sorted(options)}")
+            w, h = r.randint(1, 23), r.randint(1, 17)
+            try:
+                files.append(encode(picture(r, w, h, r.choice([1, 2, 4, 15])), w, h, r, steps, **options))
+            except (OverflowError, ValueError):
+                continue
+    words = [b"alpha ", b"beta, ", b"gamma\n", b"the same again and again. ", bytes(range(256))]
+    for n in (1, 2, 40, 300, 3000):
+        for style in range(4):
+            raw = b"".join(words[int(k)] for k in rng.integers(0, 5, n))
+            payload = np.full(W.padded(len(raw)), 255, np.uint8)
+            payload[: len(raw)] = np.frombuffer(raw, np.uint8)
+            files.append(W.encode(payload, style))
+    alone = [W.decode(f) for f in files]
+    streams = [W.Stream(W._lossless(f)) for f in files]
+    plain = [i for i, s in enumerate(streams) if s.coded.plain]
+    assert len(plain) > 30
+    for i, px in zip(plain, W.side_by_side([streams[i] for i in plain], lanes), strict=True):
+        assert np.array_equal(streams[i].finished(px), alone[i]), i
+    assert all(np.array_equal(a, b) for a, b in zip(W.decode_many(files, lanes), alone, strict=True))
+    cut = files[plain[-1]]
+    cut = cut[:16] + struct.pack("<I", len(cut) // 2) + cut[20 : 20 + len(cut) // 2]
+    with pytest.raises(ValueError):
+        W.decode(cut)
+    with pytest.raises(ValueError):
+        W.side_by_side([W.Stream(W._lossless(cut))], lanes)
+    assert W.decode_many([]) == []
+
+
+def test_transforms_are_chosen_by_their_cost():
+    """A picture with gradients takes the predictor, correlated channels cross-colour, and text neither; whatever the payload's bytes sum to."""
+    rng = np.random.default_rng(0)
+    y, x = np.mgrid[0:64, 0 : W.WIDTH]
+    smooth = np.stack([(x * 2 + y * 3) & 255, (x + y * 2) & 255, (x * 3 + y) & 255, (x + y) & 255], axis=2) + rng.integers(0, 2, (64, W.WIDTH, 4))
+    noise = rng.integers(0, 256, (64, W.WIDTH, 1))
+    linked = np.concatenate([np.full_like(noise, 255), noise, noise, noise], axis=2)
+    words = "plain words in many orders as texts have them with commas, stops. and the odd longer expression".split()
+    text = np.frombuffer(" ".join(rng.choice(words, 20_000)).encode()[: 64 * W.WIDTH * 4], np.uint8).reshape(64, W.WIDTH, 4)
+    for img, styles in ((smooth, {1, 3}), (linked, {2, 3}), (text, {0})):
+        img = (img & 255).astype(np.uint8)
+        assert W.cheapest(img) in styles
+        sizes = [len(W.encode(img.reshape(-1), s)) for s in range(4)]
+        assert len(W.encode(img.reshape(-1))) <= 1.1 * min(sizes)
+        assert all(np.array_equal(W.decode(W.encode(img.reshape(-1), s)), img) for s in range(4))
