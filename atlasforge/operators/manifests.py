@@ -149,6 +149,31 @@ def validation_warnings(files: DataFrame, previews: DataFrame, entries: DataFram
     return out.unionByName(found.select("entry_id", F.lit(2).alias("section"), "pos", F.lit(0).alias("rank"), worded.alias("warning")))
 
 
+def normalised_assets(rows: DataFrame, source: str = "empiar") -> DataFrame:
+    """Inventory rows as assets: dimensions, the chosen physical scale with where it comes from, and the header's scale.
+
+    rows: entry_id, relative_path, format, size_bytes, sha256, mrc_nx, mrc_ny, mrc_nz, tiff_width, tiff_height, tiff_slices, the scales tiff_scale, mrc_scale and, by source,
+    asset_scale, citation_scale, curated_scale (empiar) or trakem2 (figshare: trakem2_calibration()); a scale is struct(x, y, z) or null. A size of 0 is unknown.
+    """
+    known = lambda *c: F.coalesce(*[F.nullif(F.col(x), F.lit(0)) for x in c])
+    ranked = {"empiar": ("asset_scale", "citation_scale", "curated_scale", "tiff_scale"), "figshare": ("tiff_scale", "trakem2")}
+    if source not in ranked:
+        raise ValueError(f"unknown source {source!r}")
+    names = {"asset_scale": F.lit("asset_api_details"), "citation_scale": F.lit("citation_details"), "curated_scale": F.lit("curated_public_data_assets_resolution"), "tiff_scale": F.lit("tiff_imagej_metadata")}
+    if source == "figshare":
+        names["trakem2"] = F.coalesce(F.nullif(F.col("trakem2.z_source"), F.lit("")), F.lit("trakem2_calibration"))
+    whole = lambda c: (F.col(f"{c}.x") + F.col(f"{c}.y") + F.col(f"{c}.z")).isNotNull()
+    axis = lambda a: F.coalesce(*[F.when(whole(c), F.col(f"{c}.{a}")) for c in ranked[source]]).alias(a)
+    chosen = F.coalesce(*[F.when(whole(c), names[c]) for c in ranked[source]], F.lit(""))
+    header = F.col("mrc_scale")
+    return rows.select(
+        "entry_id", "relative_path", "format", "size_bytes", F.coalesce("sha256", F.lit("")).alias("sha256"),
+        F.struct(known("mrc_nx", "tiff_width").alias("x"), known("mrc_ny", "tiff_height").alias("y"), known("mrc_nz", "tiff_slices").alias("z")).alias("dimensions"),
+        F.struct(axis("x"), axis("y"), axis("z"), chosen.alias("source")).alias("physical_voxel_size_nm"),
+        F.struct(header["x"].alias("x"), header["y"].alias("y"), header["z"].alias("z"), F.when(header["x"].isNotNull(), "mrc_header").otherwise("").alias("source")).alias("header_voxel_size_nm"),
+    )
+
+
 def validation_totals(files: DataFrame, previews: DataFrame, entries: DataFrame) -> DataFrame:
     """file_count, formats (sorted), total_bytes, total_gib (3 decimals) and preview_count of each entry."""
     f = files.groupBy("entry_id").agg(F.count("*").alias("file_count"), F.array_sort(F.collect_set("format")).alias("formats"), F.sum("size_bytes").alias("total_bytes"))

@@ -374,7 +374,16 @@ def queue_status(assets: DataFrame) -> DataFrame:
     return rows.withColumn("queue_status", status)
 
 
-def packaged(rows: DataFrame, position: str) -> DataFrame:
-    """Of entries with one slug the last stays; those without derivatives drop out."""
-    rank = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc(position)))
-    return rows.withColumn("_r", rank).where("_r = 1 and n_derivatives > 0").drop("_r")
+def packaged(rows: DataFrame, position: str, findings: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """Of entries with one slug the last by position stays (positions are to tell them apart); those without derivatives drop out.
+
+    findings (dataset_slug, finding_id, severity) and labels (slug, label_path) are attached, if they are given, as sorted lists.
+    """
+    last = rows.groupBy("slug").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "slug"]), position).alias("r")).select("slug", "r.*").select(*rows.columns).where("n_derivatives > 0")
+    if findings is not None:
+        per = findings.groupBy(F.col("dataset_slug").alias("slug")).agg(F.array_sort(F.collect_list(F.struct("finding_id", "severity"))).alias("findings"))
+        last = last.join(per, "slug", "left").withColumn("findings", F.coalesce("findings", F.array().cast("array<struct<finding_id:string,severity:string>>")))
+    if labels is not None:
+        per = labels.groupBy("slug").agg(F.array_sort(F.collect_set("label_path")).alias("labels"))
+        last = last.join(per, "slug", "left").withColumn("labels", F.coalesce("labels", F.array().cast(NO_TEXT)))
+    return last

@@ -35,6 +35,46 @@ def import_public(sources: DataFrame, derivatives: DataFrame) -> DataFrame:
     return sources.select("relative_path", "sha256", "format", F.lit("source").alias("kind")).unionByName(first)
 
 
+#: Readiness of a source that may be converted.
+CONVERTIBLE = ("validated", "ready_for_conversion_trial", "ready_with_review_notes")
+
+
+def public_registry(sources: DataFrame, derivatives: DataFrame) -> DataFrame:
+    """Source assets and their derivatives as registry rows with status, permissions, gaps and readiness; of derivatives with one output path the first stays.
+
+    sources: dataset_slug, relative_path, asset_group (ready, blocked, sidecar), readiness, conversion_target, sha256, size_bytes, format, x, y, z, blockers, review_notes.
+    derivatives: dataset_slug, pos, source_relative_path, output_path (below the root), byte_size, validation, checksum, shape (z, y, x). A derivative without a checksum of its
+    files, or that has not passed validation, is blocked; one that is clear may be viewed, and no source may.
+    """
+    converted = derivatives.select("dataset_slug", F.col("source_relative_path").alias("relative_path")).distinct().withColumn("converted", F.lit(True))
+    s = sources.join(converted, ["dataset_slug", "relative_path"], "left")
+    none = F.array().cast("array<string>")
+    state = F.coalesce(F.nullif("readiness", F.lit("")), F.when(F.col("asset_group") == "sidecar", "not_applicable").otherwise("unknown"))
+    can_convert = state.isin(*CONVERTIBLE)
+    listed = lambda c: F.coalesce(c, none)
+    gap = lambda c, severity: F.transform(listed(c), lambda g: F.struct(g.alias("gap_code"), F.lit(severity).alias("severity")))
+    sized = F.col("x").isNotNull() | F.col("y").isNotNull() | F.col("z").isNotNull()
+    blocked = F.when(state.isin("blocked", "needs_review"), F.array(F.lit("blocked_review"))).otherwise(none)
+    source = s.select(
+        F.lit("source").alias("kind"), F.concat("dataset_slug", F.lit("/data/"), "relative_path").alias("relative_path"), F.lit("file").alias("path_type"), F.when(F.coalesce("conversion_target", F.lit(False)), "raw_volume_candidate").otherwise("metadata_sidecar").alias("role"),
+        "size_bytes", F.nullif("sha256", F.lit("")).alias("digest"), F.when(can_convert, "validated").otherwise(state).alias("asset_status"), F.lit("checksummed").alias("fixity_status"), F.when(can_convert, "validated").otherwise(state).alias("triage_status"),
+        blocked.alias("blocked_states"), F.concat(F.array(F.lit("public_data_manifest")), F.when(F.col("converted"), F.array(F.lit("streamable_derivative_available"))).otherwise(none)).alias("review_notes"),
+        can_convert.alias("can_convert"), F.lit(False).alias("can_view"), F.when(sized, "readable").otherwise("not_extracted").alias("metadata_status"), F.coalesce("format", F.lit("")).alias("format"), F.concat(gap("blockers", "blocker"), gap("review_notes", "review")).alias("gaps"),
+        F.col("asset_group").isin("ready", "blocked").alias("is_candidate"),
+    )
+    first = derivatives.groupBy("output_path").agg(F.min_by(F.struct("byte_size", "validation", "checksum", "shape"), F.struct("pos", "dataset_slug", "source_relative_path")).alias("d")).select("output_path", "d.*")
+    whole = F.coalesce("checksum", F.lit("")) != ""
+    wrong = F.array_compact(F.array(F.when(F.coalesce("validation", F.lit("")) != "passed", "blocked_validation"), F.when(~whole, "missing_composite_checksum")))
+    clear = F.size(wrong) == 0
+    made = first.select(
+        F.lit("derivative").alias("kind"), F.col("output_path").alias("relative_path"), F.lit("directory_volume").alias("path_type"), F.lit("raw_volume_candidate").alias("role"), F.col("byte_size").alias("size_bytes"), F.nullif("checksum", F.lit("")).alias("digest"),
+        F.when(clear, "project_ready").otherwise("derived_review").alias("asset_status"), F.when(whole, "composite_checksummed").otherwise("component_checksums_pending").alias("fixity_status"), F.lit("converted").alias("triage_status"), wrong.alias("blocked_states"),
+        F.array(F.lit("public_data_derivative_manifest")).alias("review_notes"), F.lit(False).alias("can_convert"), clear.alias("can_view"), F.when(F.coalesce(F.size("shape"), F.lit(0)) == 3, "readable").otherwise("not_extracted").alias("metadata_status"), F.lit("Zarr").alias("format"),
+        F.array().cast("array<struct<gap_code:string,severity:string>>").alias("gaps"), F.lit(True).alias("is_candidate"),
+    )
+    return source.unionByName(made).withColumns({"review_required": F.size("blocked_states") > 0, "publication_status": F.lit("published"), "rights_status": F.lit("public")})
+
+
 def under_review() -> Column:
     """Whether a review is required or gaps are left."""
     return F.coalesce("review_required", F.lit(False)) | (F.size("gaps") > 0)

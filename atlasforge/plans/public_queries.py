@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import manifests as M
 from ..operators import public_data as P
+from ..operators import registry as R
 from ..operators import runs
 from ..operators.runs import Stage
 from ..scratch import scratch_path
@@ -109,8 +111,45 @@ def latest_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = B.table(spark, sf_dir, "documents").select(F.concat("source", F.lit("-"), "lang").alias("slug"), "doc_id", (F.col("n_chars") % 3).alias("n_derivatives"))
-    return P.packaged(d, "doc_id")
+    """Documents as data list entries of custom, private and public origin under few slugs, with the labels table's findings and the inventory's label stores."""
+    t = B.table(spark, sf_dir, "documents")
+    slug, k = F.concat("source", F.lit("-"), "lang"), F.col("doc_id")
+    d = t.select(slug.alias("slug"), "doc_id", (F.col("n_chars") % 3).alias("n_derivatives"), F.element_at(F.array(*[F.lit(x) for x in ("custom", "private", "public")]), (k % 3 + 1).cast("int")).alias("origin"))
+    found = B.table(spark, sf_dir, "labels").join(t.select("doc_id", slug.alias("dataset_slug")), "doc_id").where("quality = 0").select("dataset_slug", F.concat(F.lit("f"), k.cast("string")).alias("finding_id"), F.when(F.col("toxic") == 1, "blocker").otherwise("review").alias("severity"))
+    out = P.packaged(d, "doc_id", found, t.where("doc_id % 4 = 0").select(slug.alias("slug"), F.concat(F.lit("l/"), (k % 8).cast("string")).alias("label_path")))
+    return out.select("slug", "doc_id", "n_derivatives", "origin", F.size("findings").alias("n_findings"), F.array_join(F.transform("findings", lambda f: F.concat(f["finding_id"], F.lit(":"), f["severity"])), ",").alias("findings"), F.array_join("labels", ",").alias("labels"))
+
+
+def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assets as public sources, and derivatives of some of them, a few of which share an output."""
+    k = F.col("doc_id")
+    a = assets(spark, sf_dir)
+    group = F.when(F.col("readiness") == "not_a_volume", "sidecar").when(F.col("readiness") == "blocked", "blocked").otherwise("ready")
+    sources = a.select(
+        F.lit("set").alias("dataset_slug"), F.concat("relative_path", k.cast("string")).alias("relative_path"), group.alias("asset_group"), F.when(k % 10 != 0, F.col("readiness")).alias("readiness"), (F.col("state") != "not_applicable").alias("conversion_target"), F.when(k % 6 != 0, F.col("sha256")).otherwise("").alias("sha256"),
+        "size_bytes", "format", "x", F.when(k % 8 != 5, F.col("y")).alias("y"), "z", F.col("conversion_blockers").alias("blockers"), "review_notes",
+    )
+    made = a.where("doc_id % 3 = 0").select(
+        F.lit("set").alias("dataset_slug"), k.alias("pos"), F.concat("relative_path", k.cast("string")).alias("source_relative_path"), F.concat(F.lit("out/"), F.floor(k / 6).cast("string")).alias("output_path"), (F.col("size_bytes") * 2).alias("byte_size"),
+        F.when(k % 4 != 0, "passed").otherwise("failed").alias("validation"), F.when(k % 5 != 0, F.col("sha256")).alias("checksum"), F.when(k % 7 != 0, F.array(F.lit(1), F.lit(2), F.lit(3))).alias("shape"),
+    )
+    out = R.public_registry(sources, made)
+    return _lists(out.withColumn("gaps", F.transform("gaps", lambda g: F.concat(g["gap_code"], F.lit("="), g["severity"]))), "gaps", "blocked_states", "review_notes")
+
+
+def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as inventory rows with some of the scales known, by the rules of both sources."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    scale = lambda m, at, v: F.when(k % m == at, F.struct(F.lit(v).alias("x"), F.lit(v).alias("y"), F.lit(2 * v).alias("z")))
+    rows = B.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("entry_id"), F.concat("source", F.lit("/"), k.cast("string")).alias("relative_path"), F.lit("MRC").alias("format"), n.alias("size_bytes"), F.when(k % 2 == 0, "s").alias("sha256"), (n % 3).alias("mrc_nx"), (n % 4).alias("mrc_ny"), F.lit(None).cast("bigint").alias("mrc_nz"),
+        F.lit(7).cast("bigint").alias("tiff_width"), F.when(k % 3 != 0, n).alias("tiff_height"), F.lit(9).cast("bigint").alias("tiff_slices"), scale(7, 0, 1.0).alias("asset_scale"), scale(5, 0, 2.0).alias("citation_scale"), scale(3, 0, 3.0).alias("curated_scale"),
+        F.when(k % 2 == 0, F.struct(F.lit(4.0).alias("x"), F.lit(4.0).alias("y"), F.when(k % 4 == 0, 8.0).alias("z"))).alias("tiff_scale"), scale(11, 0, 6.0).alias("mrc_scale"),
+        F.when(k % 3 == 1, F.struct(F.lit(5.0).alias("x"), F.lit(5.0).alias("y"), F.lit(10.0).alias("z"), F.when(k % 2 == 0, "trakem2_calibration_times_layer_thickness").otherwise("").alias("z_source"))).alias("trakem2"),
+    )
+    both = [M.normalised_assets(rows, x).withColumn("api", F.lit(x)) for x in ("empiar", "figshare")]
+    p, h, d = (lambda c, n=n: F.col(f"{n}.{c}") for n in ("physical_voxel_size_nm", "header_voxel_size_nm", "dimensions"))
+    return both[0].unionByName(both[1]).select("api", "relative_path", "sha256", d("x").alias("nx"), d("y").alias("ny"), d("z").alias("nz"), p("x").alias("x"), p("z").alias("z"), p("source").alias("scale_source"), h("z").alias("header_z"), h("source").alias("header_source"))
 
 
 def scaffolded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +182,8 @@ QUERIES = {
     "label_upsert": latest_labels,
     "packaged_slugs": packaged,
     "public_data_run": public_data_run,
+    "public_registry": registered,
+    "normalised_manifest": normalised,
     "scaffold": scaffolded,
 }
 
@@ -183,7 +224,24 @@ SELECT api_name, CASE WHEN n > 1 THEN api_name || ': API reports 2 images for an
 SELECT source || '/plane_' || min(i) || '-' || max(i) || '_x.tiff-series' AS source_path, count(*) AS planes, count(*) AS bytes, source || '/plane_' || min(i) || '_x.tif' AS first_asset, source || '/plane_' || max(i) || '_x.tif' AS last_asset FROM p GROUP BY source HAVING count(*) >= 2""",
     "repository_identity": """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'EMPIAR' WHEN 1 THEN 'Zenodo' ELSE lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) END AS repository, CASE WHEN page_id % 3 < 2 THEN CAST(page_id AS VARCHAR) END AS accession FROM pages""",
     "label_upsert": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 9 ELSE quality END AS quality, toxic FROM labels",
-    "packaged_slugs": "SELECT source || '-' || lang AS slug, doc_id, n_chars % 3 AS n_derivatives FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) = 1 AND n_chars % 3 > 0",
+    "packaged_slugs": """WITH d AS (SELECT source || '-' || lang AS slug, doc_id, n_chars % 3 AS n_derivatives, (['custom', 'private', 'public'])[CAST(doc_id % 3 AS INT) + 1] AS origin FROM documents),
+f AS (SELECT slug, count(*) AS n, string_agg('f' || doc_id || CASE WHEN toxic = 1 THEN ':blocker' ELSE ':review' END, ',' ORDER BY 'f' || doc_id) AS t FROM labels JOIN d USING (doc_id) WHERE quality = 0 GROUP BY slug),
+l AS (SELECT slug, array_to_string(list_sort(list(DISTINCT 'l/' || (doc_id % 8))), ',') AS t FROM d WHERE doc_id % 4 = 0 GROUP BY slug),
+q AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY slug ORDER BY doc_id DESC) = 1)
+SELECT q.*, CAST(coalesce(f.n, 0) AS INT) AS n_findings, coalesce(f.t, '') AS findings, coalesce(l.t, '') AS labels FROM q LEFT JOIN f USING (slug) LEFT JOIN l USING (slug) WHERE n_derivatives > 0""",
+    "public_registry": ASSETS_SQL + """, src AS (SELECT a.*, d.text, 'set/data/' || relative_path || doc_id AS p, CASE WHEN doc_id % 10 = 0 THEN CASE WHEN readiness = 'not_a_volume' THEN 'not_applicable' ELSE 'unknown' END ELSE readiness END AS st FROM assets a JOIN documents d USING (doc_id)),
+o AS (SELECT 'out/' || (doc_id // 6) AS p, size_bytes * 2 AS b, doc_id % 4 <> 0 AS ok, CASE WHEN doc_id % 5 <> 0 THEN sha256(text) END AS sum, doc_id % 7 <> 0 AS shaped FROM src WHERE doc_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY doc_id // 6 ORDER BY doc_id) = 1)
+SELECT 'source' AS kind, p AS relative_path, 'file' AS path_type, CASE WHEN format <> 'CSV' THEN 'raw_volume_candidate' ELSE 'metadata_sidecar' END AS role, size_bytes, CASE WHEN doc_id % 6 <> 0 THEN sha256(text) END AS digest,
+  CASE WHEN starts_with(st, 'ready_') THEN 'validated' ELSE st END AS asset_status, 'checksummed' AS fixity_status, CASE WHEN starts_with(st, 'ready_') THEN 'validated' ELSE st END AS triage_status, CASE WHEN st = 'blocked' THEN 'blocked_review' ELSE '' END AS blocked_states,
+  'public_data_manifest' || CASE WHEN doc_id % 3 = 0 THEN ',streamable_derivative_available' ELSE '' END AS review_notes, starts_with(st, 'ready_') AS can_convert, false AS can_view, CASE WHEN has_x OR has_z THEN 'readable' ELSE 'not_extracted' END AS metadata_status, format,
+  array_to_string(list_concat(list_transform(cb, lambda x: x || '=blocker'), list_transform(notes, lambda x: x || '=review')), ',') AS gaps, format <> 'CSV' AS is_candidate, st = 'blocked' AS review_required, 'published' AS publication_status, 'public' AS rights_status FROM src
+UNION ALL SELECT 'derivative', p, 'directory_volume', 'raw_volume_candidate', b, sum, CASE WHEN ok AND sum IS NOT NULL THEN 'project_ready' ELSE 'derived_review' END, CASE WHEN sum IS NOT NULL THEN 'composite_checksummed' ELSE 'component_checksums_pending' END, 'converted',
+  concat_ws(',', CASE WHEN NOT ok THEN 'blocked_validation' END, CASE WHEN sum IS NULL THEN 'missing_composite_checksum' END), 'public_data_derivative_manifest', false, ok AND sum IS NOT NULL, CASE WHEN shaped THEN 'readable' ELSE 'not_extracted' END, 'Zarr', '', true, NOT (ok AND sum IS NOT NULL), 'published', 'public' FROM o""",
+    "normalised_manifest": """WITH r AS (SELECT *, source || '/' || doc_id AS p, doc_id % 4 = 0 AS tiff FROM documents),
+c AS (SELECT 'empiar' AS api, *, CASE WHEN doc_id % 7 = 0 THEN 1.0 WHEN doc_id % 5 = 0 THEN 2.0 WHEN doc_id % 3 = 0 THEN 3.0 WHEN tiff THEN 4.0 END::DOUBLE AS x, CASE WHEN doc_id % 7 = 0 THEN 'asset_api_details' WHEN doc_id % 5 = 0 THEN 'citation_details' WHEN doc_id % 3 = 0 THEN 'curated_public_data_assets_resolution' WHEN tiff THEN 'tiff_imagej_metadata' ELSE '' END AS src FROM r
+  UNION ALL SELECT 'figshare', *, CASE WHEN tiff THEN 4.0 WHEN doc_id % 3 = 1 THEN 5.0 END, CASE WHEN tiff THEN 'tiff_imagej_metadata' WHEN doc_id % 3 = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'trakem2_calibration_times_layer_thickness' ELSE 'trakem2_calibration' END ELSE '' END FROM r)
+SELECT api, p AS relative_path, CASE WHEN doc_id % 2 = 0 THEN 's' ELSE '' END AS sha256, CASE WHEN n_chars % 3 = 0 THEN 7 ELSE n_chars % 3 END AS nx, CASE WHEN n_chars % 4 <> 0 THEN n_chars % 4 WHEN doc_id % 3 <> 0 THEN nullif(n_chars, 0) END AS ny, 9 AS nz, x, 2 * x AS z, src AS scale_source,
+CASE WHEN doc_id % 11 = 0 THEN 12.0::DOUBLE END AS header_z, CASE WHEN doc_id % 11 = 0 THEN 'mrc_header' ELSE '' END AS header_source FROM c""",
     # the required fields in order, from the list of the record's definition
     "scaffold": """WITH r AS (
   SELECT CASE WHEN p_size % 7 = 0 THEN '0' ELSE CAST(p_partkey AS VARCHAR) END AS dataset_id, CASE WHEN p_size % 2 = 0 THEN 'p' END AS paper_title, p_size % 3 * 1000 AS year, CASE WHEN p_size % 6 <> 0 THEN 'paper' ELSE '' END AS source_type,
