@@ -32,8 +32,8 @@ def test_warnings_and_readiness(spark):
     assert got["a"] == ("validated", "ready_with_review_notes", [])
     assert got["b"][:2] == ("needs_review", "blocked") and got["c"] == ("not_applicable", "not_a_volume", [])
     assert got["d"][2] == ["missing_physical_voxel_size", "trakem2_z_spacing_suspicious:20nm"]
-    found = public_data.findings(df, spark.createDataFrame([("d", "missing_physical_voxel_size")], "relative_path string, code string"))
-    assert sorted((r.relative_path, r.code) for r in found.collect()) == [("a", "mrc_header_physical_scale_likely_default"), ("b", "mrc_header_physical_scale_likely_default"), ("d", "trakem2_z_spacing_suspicious")]
+    found = public_data.asset_findings(df.withColumns({"dataset_source": F.lit("s"), "entry_id": F.lit("1"), "dataset_slug": F.lit("d")}))
+    assert sorted((r.asset_relative_path, r.code) for r in found.collect()) == [("a", "mrc_header_physical_scale_likely_default"), ("b", "mrc_header_physical_scale_likely_default"), ("d", "missing_physical_voxel_size"), ("d", "trakem2_z_spacing_suspicious")]
 
 
 def test_repository_identity(spark):
