@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next stage's
 docs. All but the last return the columns of documents; the mix stage fixes the order in which its files hold the rows,
 and the token stage encodes them in that order.
+
+Defined results: a null text is empty, in every stage; texts of any length are read whole. Without labels of both classes nothing is rejected.
+Of texts with equal word shingles one row stays, the one with the least doc_id (of equal ids, the first by a hash of the row); rows without a doc_id
+all stay in that stage. Rows that share a doc_id are judged by their own text in every stage, and each is a row of the token files. A null source is a
+source of its own. Empty tables give empty results. Other columns, whatever their names, go through to the mix stage unchanged.
 """
 
 from __future__ import annotations
