@@ -68,3 +68,29 @@ def test_stages_keep_the_columns_and_clean_rows(spark, tmp_path):
         kept[name] = sorted(r.doc_id for r in out.collect())
     assert kept["quality"] == kept["mix"] == list(range(11))  # no labels: nothing is rejected
     assert kept["near_dedup"] == [0, 2, 3, 4, 5, 7, 8, 9] and kept["decontamination"] == [0, 1, 2, 3, 4, 7, 8, 9, 10]
+
+
+def test_repeated_and_missing_ids_through_all_stages(spark, tmp_path):
+    """Rows that share an id, or have none, odd texts, and columns with clashing names: each kept row is encoded once, in one order."""
+    d = tmp_path / "ids"
+    extra = [("one more text with words of its own", 3), ("another one of the same number", 3), ("a row without a number", None), ("a second row without a number", None), ("one", None), ("rows that are wholly equal stay once", 20), ("rows that are wholly equal stay once", 20)]
+    rows = [(i, t, "en", "s", 1, "x", "y", "z", 0.5) for i, t in enumerate(ODD)] + [(i, t, "en", None, 1, "x", "y", "z", 0.5) for t, i in extra]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string, key string, digest string, mix_position double"
+    spark.createDataFrame(rows, schema).write.parquet(str(d / "documents.parquet"))
+    spark.createDataFrame([(1, "a second row without"), (2, None)], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(d)).collect()
+    # of equal texts the least id stays, but rows without an id stay; the benchmark's passage takes one of them
+    kept = [(0, ""), (2, " \n "), (3, "one"), (4, ODD[4]), (5, ODD[5]), (7, ODD[7]), (8, ODD[8]), (9, "..."), (3, extra[0][0]), (3, extra[1][0]), (None, extra[2][0]), (None, "one"), (20, extra[5][0])]
+    tok = token_store.tokenizer(queries.tokenizer_file())
+    ids = [(i, [*tok.encode(t, add_special_tokens=False).ids, 2]) for i, t in kept]
+    want = sorted(((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids), key=repr)
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=repr) == want
+    start = 0
+    for r in sorted(got, key=lambda r: (r.start, r.n_tokens)):
+        assert r.start == start
+        start += r.n_tokens
+    none = tmp_path / "none"
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(str(d / f"{name}.parquet")).limit(0).write.parquet(str(none / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(none)).count() == 0
