@@ -10,7 +10,8 @@ each set leaves out the d with the fewest elements, and a good one remains that
 
 Equal sets are one node. Buckets of up to BUCKET_PAIRS nodes give their pairs; in a larger one each member is held against the
 most central one. All pairs are verified on the sets. A bucket that lies in one component is done, as further links inside it
-change nothing. In the others, members near the centre are held against one another by what sets them apart from it: the
+change nothing. The others take the most central node that any member has met for a common centre, so that a group which meets in very many buckets
+has few. Members near the centre are held against one another by what sets them apart from it: the
 elements that a member lacks or has more. Two members of different components must share most of these differences to be linked, so they
 share one of the rarest; this prefix filter is exact, and leaves few pairs even where very many members are almost similar. Members far from the centre
 have met it by a passage that happens to fill a signature. They sign again with longer signatures (the next of LEVELS); as 1 - similarity is a
@@ -221,19 +222,32 @@ def _buckets(signed: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _candidates(buckets: DataFrame, bucket_pairs: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of small buckets and of larger ones' centres with their members; and the larger ones: key, node, n_shingles, hub."""
+    """Pairs (a, b) of small buckets and of larger ones' centres with their members; and the larger ones: key, node, hub, hub_met."""
     small = buckets.where(F.col("n") <= bucket_pairs).select("key", "node", "n_shingles")
     other = small.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))
     fits = (F.col("node") < F.col("b")) & (F.least("n_shingles", "n_b") * 100 >= F.greatest("n_shingles", "n_b") * percent)
     pairs = small.join(other, "key").where(fits).select(F.col("node").alias("a"), "b")
     large = materialize(buckets.where(F.col("n") > bucket_pairs).join(buckets.groupBy("node").agg(F.sum("n").alias("met")), "node"), "large")
-    hubs = large.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("back"))).alias("h")).select("key", (-F.col("h.back")).alias("hub"))
+    hubs = large.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("back"))).alias("h")).select("key", (-F.col("h.back")).alias("hub"), F.col("h.met").alias("hub_met"))
     # both sides come from files, so a bucket with very many members can be split in the join
-    large = materialize(large.join(materialize(hubs, "hubs"), "key").select("key", "node", "n_shingles", "hub"), "stars")
+    large = materialize(large.join(materialize(hubs, "hubs"), "key").select("key", "node", "hub", "hub_met"), "stars")
     stars = large.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     return pairs.union(stars).distinct(), large
 
 
+def _recentred(large: DataFrame) -> DataFrame:
+    """key, node, hub, hub_met with the most central of the hubs that a bucket's members have in any bucket."""
+    best = materialize(large.groupBy("node").agg(F.max(F.struct("hub_met", (-F.col("hub")).alias("back"))).alias("c")), "centres")
+    per = materialize(large.select("key", "node").join(best, "node").groupBy("key").agg(F.max("c").alias("c")), "centres")
+    return materialize(large.select("key", "node").join(per, "key").select("key", "node", (-F.col("c.back")).alias("hub"), F.col("c.hub_met").alias("hub_met")), "stars")
+
+
+def _open(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """The buckets in which a member is not in the centre's component."""
+    apart = _apart(large.select("key", F.col("hub").alias("a"), F.col("node").alias("b")), classes).select("key").distinct()
+    return materialize(large.join(apart, "key", "left_semi"), "open")
+
+
 def _difference_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -306,12 +320,15 @@ def links(nodes: Nodes, percent: int = PERCENT, levels: tuple[tuple[int, int], .
         signed = nodes.texts_of(todo).mapInArrow(_signature_batches(nodes.width, percent, edits, n_parts), "key long, node long")
         pairs, large = _candidates(_buckets(signed, nodes.reps.select("node", "n_shingles")), bucket_pairs, percent)
         classes = hold(pairs if classes is None else _apart(pairs, classes))
-        # buckets whose centre's component does not hold all their members, and the members' distances from it
-        of = materialize(_apart(large.select("key", F.col("hub").alias("a"), F.col("node").alias("b")), classes), "of")
-        stars = large.join(of.select("key").distinct(), "key", "left_semi").where("node <> hub").select("hub", "node").distinct()
-        d = reduce(DataFrame.union, checked).select(F.col("a"), F.col("b"), (1 - F.col("common") / F.col("either")).alias("d"))
-        stars = stars.withColumns({"a": F.least("hub", "node"), "b": F.greatest("hub", "node")}).join(d, ["a", "b"], "left").select("hub", "node", "d")
-        stars = materialize(stars, "stars")
+        large = _open(large, classes)
+        if not large.limit(1).count():
+            break
+        large = _recentred(_recentred(large))
+        ends = [F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")]
+        classes = hold(large.where("node <> hub").select(*ends).distinct())
+        stars = _open(large, classes).where("node <> hub").select("hub", "node").distinct()
+        d = reduce(DataFrame.union, checked).select("a", "b", (1 - F.col("common") / F.col("either")).alias("d"))
+        stars = materialize(stars.select("hub", "node", *ends).join(d, ["a", "b"], "left").select("hub", "node", "d"), "distances")
         if not stars.limit(1).count():
             break
         last = level == len(levels) - 1
