@@ -3,7 +3,8 @@
 All conversations start in one class, the root. In each round every class that has members is split by its members' next
 turn; the parts are its children. A part with one member is retired: what is left of it is a chain of nodes with one child
 each, emitted from its turns without any further round. Conversations that are equal as a whole are one member with a weight, so
-copies cost no rounds: there are as many as the longest prefix that two different conversations share. At last the classes are
+copies cost no rounds. After every BLOCK rounds each class runs on, in one step, to the end of what all its members share, so a long common
+prefix is a chain too, and rounds are bounded by BLOCK times the branchings on a path, not by the turns. At last the classes are
 folded back from the deepest round to the root, which sums leaves and saved units.
 
 Turns are told apart by the first 16 bytes of the SHA-256 of their role and text, so texts are read once and never shuffled.
@@ -143,33 +144,55 @@ def _chain_sums(chains: DataFrame) -> DataFrame:
     return chains.withColumn("inner", inner).join(later, ["conv_id", "piece"]).withColumn("below", F.col("inner") + F.col("later")).drop("piece", "inner", "later")
 
 
-def _refined(sequences: DataFrame, distinct: DataFrame) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
-    """Rounds of splitting: per depth the classes with several members, the retired members, and the members that end in a class."""
+def _run_on(sequences: DataFrame, going: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes taken on to the end of what all their members share: the members with their new `done` and next turns, and the nodes on the way (conv_id, pos, n_convs, n_chars)."""
+    going = materialize(going.drop("next"), "going")
+    sizes = going.groupBy("cls").agg(F.count("*").alias("m"), F.sum("weight").alias("n_convs"), F.min("done").alias("done"))
+    rows = sequences.join(going.select("conv_id", "cls", "done"), "conv_id").where("pos > done")
+    places = rows.groupBy("cls", "pos").agg(F.count("*").alias("k"), F.min("key").alias("a"), F.max("key").alias("b"), F.min("n_chars").alias("n_chars"))
+    places = materialize(places.join(sizes, "cls"), "places")
+    # different members part at some place; a member that is alone stays where it is
+    parts = places.groupBy("cls", "m", "done").agg(F.min(F.when((F.col("k") < F.col("m")) | (F.col("a") != F.col("b")), F.col("pos"))).alias("stop"))
+    upto = materialize(parts.select("cls", F.when(F.col("m") > 1, F.col("stop") - 1).otherwise(F.col("done")).alias("upto")), "upto")
+    chain = places.join(upto, "cls").where("pos <= upto").select(F.col("cls").alias("conv_id"), "pos", "n_convs", "n_chars")
+    moved = materialize(going.drop("done").join(upto.withColumnRenamed("upto", "done"), "cls"), "moved")
+    ahead = sequences.join(moved.select("conv_id", "done"), "conv_id").where(F.col("pos") <= F.col("done") + BLOCK).where("pos > done")
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("pos", "key", "n_chars"))), lambda t: F.struct(t["key"].alias("key"), t["n_chars"].alias("n_chars")))
+    fetched = moved.join(ahead.groupBy("conv_id").agg(turns.alias("next")), "conv_id", "left")
+    return materialize(fetched.select("conv_id", "weight", "len", "cls", "done", "next"), "fetched"), materialize(chain, "run")
+
+
+def _refined(sequences: DataFrame, distinct: DataFrame) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame], dict[int, DataFrame]]:
+    """Rounds of splitting: per round the classes with several members, the retired members, the members that end in a class, and the chains that follow a round's classes."""
     top = distinct.agg(F.min("conv_id").alias("conv_id"), F.sum("weight").alias("n_convs")).where("conv_id is not null")
-    shared = [materialize(top.select("conv_id", F.lit(None).cast("long").alias("parent"), "n_convs", F.lit(0).cast("long").alias("n_chars")), "root")]
+    zero = F.lit(0).cast("long")
+    shared = [materialize(top.select("conv_id", F.lit(None).cast("long").alias("parent"), "n_convs", zero.alias("n_chars"), zero.alias("depth")), "root")]
     root = shared[0].first()
-    active = distinct.withColumn("cls", F.lit(root["conv_id"] if root else None).cast("long"))
+    active = distinct.withColumns({"cls": F.lit(root["conv_id"] if root else None).cast("long"), "done": zero})
     retired: list[DataFrame] = []
     ended: list[DataFrame] = []
-    depth = 0
+    chains: dict[int, DataFrame] = {}
+    place = [F.col("conv_id").alias("member"), F.col("cls").alias("conv_id"), F.col("done").alias("depth")]
     while True:
-        ended.append(active.where(F.col("len") == depth).select(F.col("conv_id").alias("member"), F.col("cls").alias("conv_id"), F.lit(depth).cast("long").alias("depth")))
-        going = active.where(F.col("len") > depth)
-        if depth and depth % BLOCK == 0:
-            more = sequences.where((F.col("pos") > depth) & (F.col("pos") <= depth + BLOCK)).join(going.select("conv_id"), "conv_id", "left_semi")
-            going = materialize(going.drop("next").join(more.groupBy("conv_id").agg(_next_turns(sequences, depth).alias("next")), "conv_id"), "fetched")
-        depth += 1
-        going = going.select("conv_id", "weight", "len", "cls", F.get("next", F.lit(0))["key"].alias("key"), F.get("next", F.lit(0))["n_chars"].alias("n_chars"), F.expr(f"slice(next, 2, {BLOCK})").alias("next"))
-        parts = going.groupBy("cls", "key").agg(F.min("conv_id").alias("part"), F.count("*").alias("k"), F.sum("weight").alias("n_convs"), F.min("n_chars").alias("n_chars"))
+        ended.append(active.where("len = done").select(*place))
+        going = active.where("len > done")
+        level = len(shared) - 1
+        if level and level % BLOCK == 0:
+            going, chains[level] = _run_on(sequences, going)
+            ended.append(going.where("len = done").select(*place))
+            going = going.where("len > done")
+        first = F.get("next", F.lit(0))
+        going = going.select("conv_id", "weight", "len", "cls", (F.col("done") + 1).alias("done"), first["key"].alias("key"), first["n_chars"].alias("n_chars"), F.expr(f"slice(next, 2, {BLOCK})").alias("next"))
+        parts = going.groupBy("cls", "key").agg(F.min("conv_id").alias("part"), F.count("*").alias("k"), F.sum("weight").alias("n_convs"), F.min("n_chars").alias("n_chars"), F.min("done").alias("depth"))
         parts = materialize(parts, "parts")
-        node = [F.col("part").alias("conv_id"), F.col("cls").alias("parent"), "n_convs", "n_chars"]
+        node = [F.col("part").alias("conv_id"), F.col("cls").alias("parent"), "n_convs", "n_chars", "depth"]
         retired.append(parts.where("k = 1").select(*node))
         shared.append(parts.where("k > 1").select(*node))
         if not shared[-1].limit(1).count():
-            return shared[:-1], retired, ended
+            return shared[:-1], retired, ended, chains
         # both sides come from files, so a class with very many members can be split in the join
         stay = parts.where("k > 1").select("cls", "key", "part")
-        active = materialize(going.join(stay, ["cls", "key"]).select("conv_id", "weight", "len", F.col("part").alias("cls"), "next"), "active")
+        active = materialize(going.join(stay, ["cls", "key"]).select("conv_id", "weight", "len", F.col("part").alias("cls"), "done", "next"), "active")
 
 
 def nodes(sequences: DataFrame, ids: DataFrame) -> DataFrame:
@@ -178,42 +201,48 @@ def nodes(sequences: DataFrame, ids: DataFrame) -> DataFrame:
     One row per node: conv_id (least member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens and ends_sha256.
     """
     distinct, ends = members(sequences, ids)
-    shared, retired, ended = _refined(sequences, distinct)
+    shared, retired, ended, runs = _refined(sequences, distinct)
 
     # retired members: all that is left of them, from their own first node on
-    tops = reduce(DataFrame.union, [r.select("conv_id", "parent", F.lit(i + 1).cast("long").alias("top"), F.col("n_convs").alias("weight")) for i, r in enumerate(retired)])
+    tops = reduce(DataFrame.union, [r.select("conv_id", "parent", F.lit(i + 1).alias("round"), F.col("depth").alias("top"), F.col("n_convs").alias("weight")) for i, r in enumerate(retired)])
     tops = materialize(tops.join(distinct.select("conv_id", "len"), "conv_id"), "tops")
     rows = sequences.select("conv_id", "pos", "n_chars").join(tops, "conv_id").where("pos >= top")
     single = rows.where("weight = 1").withColumn("below", F.lit(0).cast("long"))
     chains = materialize(single.unionByName(_chain_sums(rows.where("weight > 1"))), "chains")
     saved = ((F.col("weight") - 1) * F.col("below")).alias("saved_tokens")
-    one = F.lit(1).cast("long")
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     tails = chains.select("conv_id", F.col("pos").alias("depth"), F.when(F.col("pos") == F.col("top"), F.col("parent")).otherwise(F.col("conv_id")).alias("parent_conv_id"), F.col("weight").alias("n_convs"), (F.col("pos") < F.col("len")).cast("long").alias("n_children"), one.alias("n_leaves"), saved)
 
     # fold back: each class gets the sums of its parts, from the deepest round up
-    chain_tops = chains.where("pos = top").select("parent", F.col("top").alias("depth"), one.alias("n_leaves"), saved)
+    chain_tops = chains.where("pos = top").select("parent", "round", one.alias("n_leaves"), saved)
     folded: list[DataFrame] = []
-    for depth in range(len(shared) - 1, -1, -1):
-        kids = chain_tops.where(F.col("depth") == depth + 1).drop("depth")
+    between: list[DataFrame] = []
+    for level in range(len(shared) - 1, -1, -1):
+        kids = chain_tops.where(F.col("round") == level + 1).drop("round")
         if folded:
             kids = kids.unionByName(folded[-1].select(F.col("parent_conv_id").alias("parent"), "n_leaves", "saved_tokens"))
-        sums = kids.groupBy(F.col("parent").alias("conv_id")).agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
+        sums = kids.groupBy(F.col("parent").alias("conv_id")).agg(F.count("*").alias("kids"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
+        classes = shared[level].withColumn("run", zero)
+        if level in runs:  # what follows the class before it is split
+            sums = materialize(sums, "sums")
+            run = materialize(_chain_sums(runs[level]), "run-sums")
+            whole = run.groupBy("conv_id").agg(F.max("pos").alias("last"), F.max((F.col("n_convs") - 1) * F.col("below")).alias("run"))
+            way = run.join(whole.drop("run"), "conv_id").join(sums, "conv_id")
+            way = way.select("conv_id", F.col("pos").alias("depth"), F.col("conv_id").alias("parent_conv_id"), "n_convs", F.when(F.col("pos") == F.col("last"), F.col("kids")).otherwise(one).alias("n_children"), F.col("leaves").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("below") + F.col("saved")).alias("saved_tokens"))
+            between.append(materialize(way, "way"))
+            classes = shared[level].join(whole.select("conv_id", "run"), "conv_id", "left")
+            sums = sums.join(whole.select("conv_id", F.lit(True).alias("ran")), "conv_id", "left").withColumn("kids", F.when(F.col("ran"), one).otherwise(F.col("kids"))).drop("ran")
         own = (F.col("n_convs") - 1) * F.col("n_chars")
-        level = shared[depth].join(sums, "conv_id", "left").select(
-            "conv_id",
-            F.lit(depth).cast("long").alias("depth"),
-            F.col("parent").alias("parent_conv_id"),
-            "n_convs",
-            F.coalesce("n_children", F.lit(0).cast("long")).alias("n_children"),
+        folded.append(materialize(classes.join(sums, "conv_id", "left").select(
+            "conv_id", "depth", F.col("parent").alias("parent_conv_id"), "n_convs", F.coalesce("kids", zero).alias("n_children"),
             F.coalesce("leaves", one).alias("n_leaves"),  # only a root without turns has no parts
-            (own + F.coalesce("saved", F.lit(0).cast("long"))).alias("saved_tokens"),
-        )
-        folded.append(materialize(level, "folded"))
+            (own + F.coalesce("run", zero) + F.coalesce("saved", zero)).alias("saved_tokens"),
+        ), "folded"))
 
     # the conversations that end in a node: a chain's in its last one, others where they left their class
     last = tops.select(F.col("conv_id").alias("member"), "conv_id", F.col("len").alias("depth"))
     at = reduce(DataFrame.union, [last, *ended]).join(ends.withColumnRenamed("conv_id", "member"), "member").select("conv_id", "depth", "ends_sha256")
-    every = reduce(DataFrame.unionByName, [tails, *folded])
+    every = reduce(DataFrame.unionByName, [tails, *folded, *between])
     return every.join(at, ["conv_id", "depth"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(NO_IDS)))
 
 

@@ -96,6 +96,27 @@ def test_trie_of_copies_and_long_chains(spark, monkeypatch):
     assert found(prefix_trie.trie(df)) == brute_trie(seqs)
 
 
+def test_long_shared_prefixes_are_runs_and_not_rounds(spark, monkeypatch):
+    """Members that share hundreds of turns: some end within, some part late, some twice."""
+    monkeypatch.setattr(prefix_trie, "BLOCK", 2)
+    monkeypatch.setattr(prefix_trie, "PIECE", 16)
+    rounds = []
+    refined = prefix_trie._refined
+
+    def counted(*args):
+        out = refined(*args)
+        rounds.append(len(out[1]))
+        return out
+
+    monkeypatch.setattr(prefix_trie, "_refined", counted)
+    base = [f"turn {t} {'x' * (t % 7)}" for t in range(300)]
+    said = {1: base, 2: [*base[:290], "late"], 3: base[:250], 4: [*base[:290], "late", "later"], 5: [*base[:120], "early", *base[:60]], 6: [*base[:120], "early", *base[:59]], 7: base, 8: ["own"], 9: base[:2], 10: [*base[:250], "z"]}
+    rows = [(c, t, "user", text) for c, texts in said.items() for t, text in enumerate(texts)]
+    got = found(prefix_trie.trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert got == brute_trie({c: [(t, len(t)) for t in texts] for c, texts in said.items()})
+    assert rounds[0] <= 16
+
+
 def test_trie_of_nothing_and_of_one(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert prefix_trie.shared_head_trie(empty).count() == 0
