@@ -323,7 +323,7 @@ def links(nodes: Nodes, percent: int = PERCENT, levels: tuple[tuple[int, int], .
         large = _open(large, classes)
         if not large.limit(1).count():
             break
-        large = _recentred(_recentred(large))
+        large = _recentred(large)
         ends = [F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")]
         classes = hold(large.where("node <> hub").select(*ends).distinct())
         stars = _open(large, classes).where("node <> hub").select("hub", "node").distinct()
