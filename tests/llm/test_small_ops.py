@@ -581,8 +581,8 @@ def test_media_round_trip(spark):
             assert np.array_equal(webp.decode(webp.encode(payload, style)).reshape(-1), payload)
 
 
-def test_driver_texts_use_the_whole_format(spark, monkeypatch):
-    """Predictor, cross-colour, green, palette, back-references, cache and codes of several lengths all occur in stored texts."""
+def test_stored_payloads_use_the_whole_format(spark, monkeypatch):
+    """Palette, back-references, cache and codes of several lengths occur in stored texts; predictor and cross-colour in payloads for which they pay."""
     used = set()
 
     def watch(name, feature, when=lambda *a: True):
@@ -602,7 +602,16 @@ def test_driver_texts_use_the_whole_format(spark, monkeypatch):
         files = webp.encode_payload(payload)
         stored += sum(map(len, files))
         assert webp.decode_payload([webp.decode(x) for x in files], len(raw)).tobytes() == payload.tobytes()
-    assert used == {"predictor", "cross-colour", "palette", "back-reference", "cache", "lengths"} and stored > 0
+    assert {"palette", "back-reference", "cache", "lengths"} <= used and stored > 0
+    rng = np.random.default_rng(0)
+    y, x = np.mgrid[0:72, 0 : webp.WIDTH]
+    smooth = np.stack([x * y // 40 + rng.integers(0, 3, x.shape), x + y, 255 - x + y // 2, x // 2 + 3 * y], axis=2)
+    noise = rng.integers(0, 256, (72, webp.WIDTH))
+    linked = np.stack([np.full_like(noise, 255), noise + rng.integers(0, 2, noise.shape), noise, noise + 5], axis=2)
+    for img in (smooth, linked):
+        payload = (img & 255).astype(np.uint8).reshape(-1)
+        assert webp.decode_payload([webp.decode(f) for f in webp.encode_payload(payload)], len(payload)).tobytes() == payload.tobytes()
+    assert used == {"predictor", "cross-colour", "palette", "back-reference", "cache", "lengths"}
 
 
 def test_long_payloads_get_wide_images_and_several_files(monkeypatch):
