@@ -81,13 +81,16 @@ def workset(header: DataFrame, assets: DataFrame, schema: str, most: int = 10_00
 def curated_lookup(entries: DataFrame, curated: DataFrame, key: str, position: str) -> DataFrame:
     """For each entry (letters and digits, as EMPIAR-10094) the first curated row whose joined upper-case text has it, with or without a hyphen, as a part of the text.
 
-    Every ending of a row's letters and beginning of the digits after them is a key, so the join is on equality.
+    Of a row's letters and the digits after them, those endings and beginnings are keys that are as long as some entry's, so the join is on
+    equality. Keys are many times the rows, which no estimate knows: neither they nor the rows found for them are ever broadcast.
     """
+    entry = F.replace(F.upper(key), F.lit("-"), F.lit(""))
+    parts = lambda t: (F.regexp_extract(t, "^[A-Z]+", 0), F.regexp_extract(t, "[0-9]+$", 0))
+    letters, digits = parts(entry)
+    shapes = entries.where(entry.rlike("^[A-Z]+[0-9]+$")).select(F.length(letters).alias("_letters"), F.length(digits).alias("_digits")).distinct()  # a row for each pair of lengths
     text = F.upper(F.concat_ws(" ", *[c for c in curated.columns if c != position]))
-    ends = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.right(t, i))
-    begins = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.left(t, i))
-    pairs = F.transform(F.regexp_extract_all(text, F.lit("[A-Z]+-?[0-9]+"), 0), lambda t: F.struct(F.regexp_extract(t, "^[A-Z]+", 0).alias("w"), F.regexp_extract(t, "[0-9]+$", 0).alias("n")))
-    keys = F.flatten(F.transform(pairs, lambda p: F.flatten(F.transform(ends(p["w"]), lambda w: F.transform(begins(p["n"]), lambda n: F.concat(w, n))))))
-    named = curated.withColumn("entry", F.explode(F.array_distinct(keys)))
+    letters, digits = parts(F.col("_found"))
+    found = curated.withColumn("_found", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Z]+-?[0-9]+"), 0)))).withColumns({"_w": letters, "_n": digits})
+    named = found.join(F.broadcast(shapes), (F.col("_letters") <= F.length("_w")) & (F.col("_digits") <= F.length("_n"))).withColumn("entry", F.concat(F.expr("right(_w, _letters)"), F.expr("left(_n, _digits)")))
     first = named.groupBy("entry").agg(F.min_by(F.struct(*curated.columns), position).alias("curated"))
-    return entries.withColumn("entry", F.replace(F.upper(key), F.lit("-"), F.lit(""))).join(first, "entry", "left").drop("entry")
+    return entries.withColumn("entry", entry).join(first.hint("merge"), "entry", "left").drop("entry")

@@ -192,3 +192,22 @@ def test_tiff_planes_become_a_published_chunk_store(spark, tmp_path):
     assert np.array_equal(back, cube)
     with pytest.raises(Exception, match="truncated|outside|early"):
         V.tiff_planes(spark.createDataFrame([("c.tif", bytearray(tiff_file(cube)[:-40]))], "relative_path string, content binary")).collect()
+
+
+def test_curated_lookup_broadcasts_no_keys(spark):
+    """Keys are many times the rows: only the pairs of lengths are broadcast, and rows are found by any ending and beginning, as by contains()."""
+    from atlasforge.sources import readers
+
+    texts = ["see abc-123 and xabc45", "ABC1234; Q-7", "zabc-12", "bc12 abc", "abc - 12", "", None, "A1B22C333"]
+    ids = ["ABC-12", "abc123", "BC-1", "Q7", "q-77", "ABC", "12", "", None, "C-33", "B2", "A-9"]
+    curated = spark.createDataFrame([(len(texts) - i, t) for i, t in enumerate(texts)], "pos int, text string")
+    entries = spark.createDataFrame([(i, e) for i, e in enumerate(ids)], "n int, entry_id string")
+    got = readers.curated_lookup(entries, curated, "entry_id", "pos")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("BroadcastExchange") == 1
+    for r in got.collect():
+        name = (r.entry_id or "").upper().replace("-", "")
+        whole = name.isalnum() and name[0].isalpha() and name[-1].isdigit()
+        cut = len(name.rstrip("0123456789"))
+        wanted = [(len(texts) - i, t) for i, t in enumerate(texts) if whole and t and (name in t.upper() or f"{name[:cut]}-{name[cut:]}" in t.upper())]
+        assert (tuple(r.curated) if r.curated else None) == (min(wanted) if wanted else None), r.entry_id
