@@ -148,3 +148,24 @@ def test_headers_that_are_partly_readable():
     assert volumes.header("a.mrc", bytes(odd))[1:6] == ("partial", "MRC", None, None, None)
     struct.pack_into("<f", odd, 44, 0.0)
     assert volumes.header("a.mrc", bytes(odd))[7:] == (None, None, None)
+
+
+def test_chunks_are_packed_as_a_stream(spark):
+    """Voxels arrive in order in batches of a few rows; no group of them is gathered, and chunks cut by batches are whole."""
+    rows = [(r, p, float(r * 4 + p) if (r, p) != (5, 2) else None) for r in range(0, 23) for p in range(4) if r not in (8, 9)]
+    vox = spark.createDataFrame(rows[::-1], "row long, position int, value double")
+    chunks = V.to_chunks(vox, 2, 4)
+    assert "collect_list" not in chunks._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {c.cz: c for c in chunks.collect()}
+        with pytest.raises(Exception, match="whole type"):
+            V.to_chunks(vox.withColumn("value", F.col("value").cast("int")), 2, 4, "<u2").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(got) == [0, 1, 2, 3, *range(5, 12)]
+    for cz, c in got.items():
+        want = np.array([np.nan if v is None else v for r, p, v in rows if r // 2 == cz], "<f4")
+        assert np.array_equal(np.frombuffer(c.raw, "<f4"), want, equal_nan=True)
+        assert (c.cy, c.cx, c.z0, c.y0, c.x0, c.z1, c.y1, c.x1) == (0, 0, 2 * cz, 0, 0, 2 * cz + len(want) // 4, 1, 4)
