@@ -217,29 +217,28 @@ COMPARABILITY = {
 def compare(records: DataFrame) -> DataFrame:
     """Comparability of the records of each group_id, 2 to 8 records a group, in one aggregation.
 
-    Traits of one value count as shared where all records have it; of comparators, all that are known.
+    Traits of one value count as shared where the least known value is the greatest; counts of distinct values would copy each record, with its lists, once a trait.
     """
     g = records.withColumn("comparator_class", F.nullif("comparator_class", F.lit(""))).groupBy("group_id")
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     fields = {"organelles": "organelles", "organelle_pairs": "organelle_pairs", "metric_families": "metric_families"}
     out = g.agg(
-        F.count_distinct("cell_type").alias("n_cell"), F.count_distinct("species").alias("n_species"), F.count_distinct("modality_family").alias("n_family"),
-        F.count_distinct("comparator_class").alias("n_comparator"), F.count("comparator_class").alias("with_comparator"), F.min("metadata_completeness_score").alias("least"),
+        F.min("metadata_completeness_score").alias("least"),
         *[F.collect_list(c).alias(f"all_{c}") for c in fields.values()],
         joined("modality").alias("modalities"), joined("sample_size_bucket").alias("sample_size_buckets"), joined("public_data_status").alias("public_data_statuses"), joined("whole_cell_boundary_confirmed").alias("boundary_confirmation"),
-        *[F.when(F.count_distinct(c) == 1, F.min(c)).alias(f"shared_{c}") for c in ("cell_type", "species", "comparator_class", "modality_family")],
+        *[F.when(F.min(c) == F.max(c), F.min(c)).alias(f"shared_{c}") for c in ("cell_type", "species", "comparator_class", "modality_family")],
     )
     for c in fields.values():
         shared = F.aggregate(F.slice(f"all_{c}", 2, F.greatest(F.size(f"all_{c}"), F.lit(1))), F.get(F.col(f"all_{c}"), F.lit(0)), lambda acc, x: F.array_intersect(acc, x))
         out = out.withColumn(f"shared_{c}", F.array_sort(F.array_distinct(shared)))
-    # comparators count as shared when all that are known are the same
+    one = lambda c: F.col(f"shared_{c}").isNotNull()
     points = (
-        F.when(F.col("n_cell") == 1, 25).otherwise(0)
-        + F.when(F.col("n_species") == 1, 10).otherwise(0)
+        F.when(one("cell_type"), 25).otherwise(0)
+        + F.when(one("species"), 10).otherwise(0)
         + F.least(F.lit(20), 5 * F.size("shared_organelle_pairs"))
         + F.least(F.lit(15), 3 * F.size("shared_metric_families"))
-        + F.when(F.col("n_family") == 1, 10).otherwise(0)
-        + F.when((F.col("with_comparator") > 0) & (F.col("n_comparator") == 1), 10).otherwise(0)
+        + F.when(one("modality_family"), 10).otherwise(0)
+        + F.when(one("comparator_class"), 10).otherwise(0)
         + F.when(F.col("least") >= 0.8, 10).otherwise(0)
     )
     out = out.withColumn("comparability_score", F.least(F.lit(100), points))

@@ -137,3 +137,16 @@ def test_ranks_are_exact_for_ties_groups_and_single_values(spark):
 def test_repeated_studies(spark):
     df = frame(spark, record(1, source_study_id="A et al."), record(2, source_study_id="A et al."), record(3, source_study_id=" "), record(4)).withColumn("group_id", F.lit(1))
     assert [(r.study, r.n) for r in C.repeated_studies(df).collect()] == [("A et al.", 2)]
+
+
+def test_compare_copies_no_records(spark):
+    """One aggregation: records are not repeated once a trait that is counted; unknown values of a trait count neither for nor against it."""
+    df = frame(
+        spark, record(1, cell_type="a", species=None, modality_family="EM", comparator_class="", organelles=["x", "y"]), record(2, cell_type="a", species=None, modality_family="LM", comparator_class="t", organelles=["y"]),
+        record(3, cell_type="a", species=None, modality_family=None, comparator_class=None, organelles=["z", "y"]),
+    ).selectExpr("*", "1 as group_id")
+    got = C.compare(df)
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    r = got.first()
+    assert (r.shared_cell_types, r.shared_species, r.shared_modality_families, r.shared_comparator_classes, r.shared_organelles) == ("a", "", "", "t", "y")
+    assert r.comparability_score == 25 + 10
