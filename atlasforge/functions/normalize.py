@@ -140,7 +140,11 @@ def split_terms(*values: Column) -> Column:
 
 def pairs(terms: Column) -> Column:
     """X11: all 2-combinations of the sorted distinct terms, joined by ':'."""
-    a = F.array_sort(F.array_distinct(terms))
+    return pairs_in_order(F.array_sort(F.array_distinct(terms)))
+
+
+def pairs_in_order(a: Column) -> Column:
+    """X11 on terms that are sorted and distinct already."""
     return F.flatten(F.transform(a, lambda x, i: F.transform(F.slice(a, i + 2, F.greatest(F.size(a), F.lit(1))), lambda y: F.concat(x, F.lit(":"), y))))
 
 

@@ -150,3 +150,15 @@ def test_compare_copies_no_records(spark):
     r = got.first()
     assert (r.shared_cell_types, r.shared_species, r.shared_modality_families, r.shared_comparator_classes, r.shared_organelles) == ("a", "", "", "t", "y")
     assert r.comparability_score == 25 + 10
+
+
+def test_catalog_load_makes_each_set_once(spark):
+    """The load moves line items as they are and packs no sets before the shuffle, sorts no terms that are sorted, and gives a row for each order."""
+    from atlasforge.sources import bindings
+
+    rows = bindings.catalog_rows(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("partial_collect_set") :]
+    assert "REPARTITION_BY_COL" in below and below.index("Exchange hashpartitioning(k") < below.index("lineitem.parquet")
+    assert "lambdafunction(CASE" not in plan and "array_sort" not in plan
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
