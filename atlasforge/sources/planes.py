@@ -4,7 +4,8 @@
     spark.read.format("volume_planes").option("path", "s3://bucket/volumes").option("slab", 32).load()
 
 A partition reads the byte ranges of its own planes and nothing else, whatever the size of the file; the plan needs a header, and of a TIFF
-the places of its directories. Filters on `plane` leave out whole slabs. The path is a folder in a store that all executors reach (a
+the places of its directories. Where slabs or files are very many, PARTITIONS tasks share them: neighbours are read by one task, and a file smaller
+than a task's share is not divided, so that only its task reads its header. Filters on `plane` leave out whole slabs. The path is a folder in a store that all executors reach (a
 local path or a URI); .mrc, .rec, .map, .tif and .tiff files below it are read in order of their names, others are not looked at.
 
 Values are unsigned and little-endian: signed MRC values are moved by half their range, white-is-zero TIFF values inverted, big-endian values
@@ -53,6 +54,31 @@ class Slab(InputPartition):
     photometric: int = 1
 
 
+@dataclass
+class Slabs(InputPartition):
+    """Neighbouring slabs, in order; one without a kind is a whole file whose header is still to be read."""
+
+    slabs: tuple[Slab, ...]
+
+
+PARTITIONS = 512  # most partitions of a read, and most headers that its plan reads, nearly
+FILE_COST = 1 << 16  # bytes that opening a file counts for when tasks are dealt
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 1000
+
+
+def dealt(slabs: list[Slab], costs: list[float]) -> list[Slabs]:
+    """A partition for each slab; beyond PARTITIONS, runs of neighbours of about equal cost."""
+    share = sum(costs) / PARTITIONS if len(slabs) > PARTITIONS else 0
+    out, run, size = [], [], 0.0
+    for slab, cost in zip(slabs, costs, strict=True):
+        run.append(slab)
+        size += cost
+        if size >= share:
+            out.append(Slabs(tuple(run)))
+            run, size = [], 0.0
+    return [*out, Slabs(tuple(run))] if run else out
+
+
 def unsigned(values: np.ndarray, white_is_zero: bool = False) -> tuple[np.ndarray, str]:
     """Little-endian unsigned values, and what was done: identity, integer_offset or unsigned_inversion. Floats stay as they are."""
     values = values.astype(values.dtype.newbyteorder("<"), copy=False)
@@ -168,37 +194,59 @@ class PlaneReader(DataSourceReader):
             read = lambda at, n: f.read_at(min(n, max(0, size - at)), min(at, size))
             return (mrc_slab if name.lower().endswith(MRC_NAMES) else tiff_slab)(name, read, size)
 
-    def partitions(self) -> list[Slab]:
+    def partitions(self) -> list[Slabs]:
         from concurrent.futures import ThreadPoolExecutor
 
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(self.path)
         found = store.get_file_info(fs.FileSelector(root, recursive=True))
-        names = sorted(i.path[len(root.rstrip("/")) + 1 :] for i in found if i.is_file and i.path.lower().endswith(MRC_NAMES + TIFF_NAMES))
+        sizes = dict(sorted((i.path[len(root.rstrip("/")) + 1 :], i.size) for i in found if i.is_file and i.path.lower().endswith(MRC_NAMES + TIFF_NAMES)))
+        share = sum(sizes.values()) / PARTITIONS if len(sizes) > PARTITIONS else -1
+        divided = [n for n, size in sizes.items() if size > share]  # fewer than PARTITIONS, or all of few files
         with ThreadPoolExecutor(16) as pool:
-            whole = list(pool.map(self._headers, names))
-        out = []
-        for w in whole:
+            headers = dict(zip(divided, pool.map(self._headers, divided), strict=True))
+        out, costs = [], []
+        for name, size in sizes.items():
+            if name not in headers:
+                out.append(Slab(name, 0, 0, size))
+                costs.append(size + FILE_COST)
+                continue
+            w = headers[name]
             for z in range(0, w.last, self.slab):
                 last = min(z + self.slab, w.last)
                 if z < self.high and last > self.low:
                     out.append(Slab(**(w.__dict__ | {"first": z, "last": last, "places": w.places[z:last]})))
-        return out
+                    costs.append(size * (last - z) / w.last + FILE_COST)
+        return dealt(out, costs)
 
-    def read(self, partition: Slab | None) -> Iterator[pa.RecordBatch]:
-        if not isinstance(partition, Slab):  # what Spark gives where there are no partitions
-            return
-        s = partition
+    def _planes(self, slab: Slab) -> Iterator[tuple]:
+        s = slab if slab.kind else self._headers(slab.name)
         one = mrc_plane if s.name.lower().endswith(MRC_NAMES) else tiff_plane
         with self._file(s.name) as f:
             read = lambda at, n: f.read_at(min(n, max(0, s.size - at)), min(at, s.size))
             for z in range(max(s.first, self.low), min(s.last, self.high)):
                 values, done = one(s, read, z)
                 kind = values.dtype.str if values.itemsize > 1 else "|" + values.dtype.str[1:]
-                row = (s.name, z, *values.shape, kind, done, np.ascontiguousarray(values).tobytes())
-                types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[c.split()[0] for c in PLANES.split(", ")])
+                yield (s.name, z, *values.shape, kind, done, np.ascontiguousarray(values).tobytes())
+
+    def read(self, partition: Slabs | None) -> Iterator[pa.RecordBatch]:
+        """Batches of about BATCH_BYTES, or of one plane that has more."""
+        if not isinstance(partition, Slabs):  # what Spark gives where there are no partitions
+            return
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+        names = [c.split()[0] for c in PLANES.split(", ")]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        rows, size = [], 0
+        for slab in partition.slabs:
+            for row in self._planes(slab):
+                if rows and (size + len(row[-1]) > BATCH_BYTES or len(rows) >= BATCH_ROWS):
+                    yield batch(rows)
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[-1])
+        if rows:
+            yield batch(rows)
 
 
 class VolumePlanes(DataSource):

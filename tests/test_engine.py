@@ -402,3 +402,25 @@ def test_ranks_of_large_groups_come_from_a_bracket(spark):
         n = len(v)
         r = got[f["g"].iloc[0]]
         assert (r.low, r.mid, r.top) == (v[int((n - 1) * 0.01)], v[-(-n // 2) - 1], v[-1])
+
+
+def test_many_small_volumes_share_partitions(spark, tmp_path, monkeypatch):
+    """Beyond PARTITIONS, neighbouring slabs are read by one task, and the headers of small files by their tasks alone; the planes are the same."""
+    cube = np.arange(6 * 4 * 3, dtype="u2").reshape(6, 4, 3)
+    for i in range(planes.PARTITIONS + 60):
+        put(str(tmp_path), f"{i % 3}/{i}" + (".mrc", ".tif")[i % 2], (planes.mrc_bytes, planes.tiff_bytes)[i % 2](cube + np.uint16(i)))
+    big = np.arange(400 * 64 * 64, dtype="u2").reshape(400, 64, 64)
+    put(str(tmp_path), "big.mrc", planes.mrc_bytes(big))
+    df = planes.planes(spark, str(tmp_path), 2)
+    assert df.rdd.getNumPartitions() <= planes.PARTITIONS + 1
+    got = df.where("relative_path <> 'big.mrc'").collect()
+    assert len(got) == (planes.PARTITIONS + 60) * 6
+    for r in got:
+        i = int(r.relative_path.split("/")[1].split(".")[0])
+        assert bytes(r.raw) == (cube + np.uint16(i))[r.plane].tobytes()
+    assert df.where("relative_path = 'big.mrc'").count() == 400 and df.where("plane = 5").count() == planes.PARTITIONS + 61
+    reader, asked = planes.PlaneReader(str(tmp_path), 2), []
+    monkeypatch.setattr(reader, "_headers", lambda name, old=reader._headers: asked.append(name) or old(name))
+    parts = reader.partitions()
+    assert asked == ["big.mrc"] and len({s.name for p in parts for s in p.slabs}) == planes.PARTITIONS + 61
+    assert len([s for p in parts for s in p.slabs if s.name == "big.mrc"]) == 200
