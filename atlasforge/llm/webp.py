@@ -11,6 +11,9 @@ cross-colour. All images have
 canonical prefix codes made for their own counts, and a colour cache and back-references to the latest equal run of three
 pixels or more, where these stand for an eighth of the pixels. Payloads of more than a whole image (a gigabyte) are split into several files.
 
+Images are encoded together, as one tall image whose rows have owners: each step of numpy works on all images of up to BATCH_PIXELS pixels in all.
+A file depends on its payload alone. Only the lengths of a code's symbols are worked out one code at a time.
+
 Files of a batch are decoded side by side: each step reads the next pixel of LANES images at once, and an image that ends makes room for the
 next. Images much longer than the others' mean, and those with meta codes, are read alone.
 
@@ -640,48 +643,45 @@ def _decode_stream(data: bytes) -> np.ndarray:
     return stream.finished(stream.pixels())
 
 
-# ---------------------------------------------------------------- encoder
+# ---------------------------------------------------------------- encoder: many images at a time
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after another."""
+    ends = np.cumsum(length)
+    return np.arange(int(length.sum())) + np.repeat(start - ends + length, length)
 
 
 class Fields:
-    """Bit fields of up to 60 bits in order, low bits first: single ones and whole arrays."""
-
-    def __init__(self):
-        self.values: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.value: list[int] = []
-        self.size: list[int] = []
-
-    def put(self, value: int, n: int) -> None:
-        self.value.append(value)
-        self.size.append(n)
-
-    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.close()
-        self.values.append(values)
-        self.sizes.append(sizes)
-
-    def put_fields(self, other: Fields) -> None:
-        self.close()
-        self.values += other.values
-        self.sizes += other.sizes
-
-    def close(self) -> None:
-        if self.value:
-            self.values.append(np.array(self.value, dtype=np.uint64))
-            self.sizes.append(np.array(self.size, dtype=np.int64))
-            self.value, self.size = [], []
-
-    def stream(self) -> bytes:
-        self.close()
-        value, size = np.concatenate(self.values), np.concatenate(self.sizes)
-        out = []
-        for k in range(0, len(value), 1 << 18):  # a part ends within a byte, so bits are kept until all are packed
-            v, n = value[k : k + (1 << 18)], size[k : k + (1 << 18)]
-            start = np.cumsum(n) - n
-            place = np.arange(int(n.sum())) - np.repeat(start, n)
-            out.append(((np.repeat(v, n) >> place.astype(np.uint64)) & np.uint64(1)).astype(np.uint8))
-        return np.packbits(np.concatenate(out), bitorder="little").tobytes()
+    """Bit fields of up to 60 bits of n streams, low bits first; each stream's in the order in which they are put."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def put(self, who: np.ndarray, value: np.ndarray | int, size: np.ndarray | int) -> None:
+        """One field for each of the streams named in `who`, which may name a stream more than once."""
+        self.parts.append((who, np.broadcast_to(np.asarray(value).astype(np.uint64), who.shape), np.broadcast_to(np.asarray(size, dtype=np.int64), who.shape)))
+
+    def in_order(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        who, value, size = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        by = np.argsort(who.astype(np.uint16) if self.n < 1 << 16 else who, kind="stable")
+        return who[by], value[by], size[by]
+
+    def streams(self) -> list[bytes]:
+        who, value, size = self.in_order()
+        total = np.bincount(who, weights=size, minlength=self.n).astype(np.int64)
+        words = (total + 63) >> 6
+        base = np.cumsum(words) - words
+        start = np.cumsum(size) - size + (64 * base - np.cumsum(total) + total)[who]
+        word, shift = start >> 6, (start & 63).astype(np.uint64)
+        edges = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        out = np.zeros(int(words.sum()) + 1, dtype="<u8")
+        out[word[edges]] = np.bitwise_or.reduceat(value << shift, edges)
+        over = np.flatnonzero((start & 63) + size > 64)  # the last field of a word may go on in the next
+        out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
+        raw = out.tobytes()
+        return [raw[8 * b : 8 * b + (n + 7) // 8] for b, n in zip(base.tolist(), total.tolist(), strict=True)]
 
 
 def code_lengths(counts: list[int], limit: int) -> list[int]:
@@ -722,61 +722,95 @@ def code_lengths(counts: list[int], limit: int) -> list[int]:
         least = 2 * least + 1  # raise the rarest counts until the tree is flat enough
 
 
-def canonical(lengths: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, int]:
-    """The codes of symbols with these lengths, low bit first, and the greatest length."""
-    longest = int(lengths.max())
-    by = np.lexsort((symbols, lengths))
-    room = 1 << (longest - lengths[by])
+#: The code for code lengths: 4 bits for the kinds that are common, 5 for six rare ones.
+_LENGTHS_SIZE = np.array([5 if k in (1, 2, 13, 14, 15, 16) else 4 for k in range(19)])
+
+
+def canonical(row: np.ndarray, symbol: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The codes, low bit first, of complete codes' symbols (ordered by row and symbol) with lengths up to 15."""
+    by = np.argsort(row * 16 + lengths, kind="stable")
+    room = 1 << (15 - lengths[by])  # those of a row fill 1 << 15
     code = np.empty(len(by), dtype=np.uint64)
-    code[by] = REVERSED[longest][np.cumsum(room) - room]
-    return code, longest
+    code[by] = REVERSED[15][(np.cumsum(room) - room) & 32767]
+    return code
 
 
-#: The code for code lengths: 4 bits for the kinds that are common, 5 for six rare ones.
-_LENGTHS_SIZE = np.array([5 if k in (1, 2, 13, 14, 15, 16) else 4 for k in range(19)])
-_LENGTHS_CODE = canonical(_LENGTHS_SIZE, np.arange(19))[0]
+_LENGTHS_CODE = canonical(np.zeros(19, np.int64), np.arange(19), _LENGTHS_SIZE)
 _LENGTHS_HEAD = sum(int(_LENGTHS_SIZE[k]) << 3 * i for i, k in enumerate(CODE_ORDER))
 
 
-def _put_code(out: Fields, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Write the code for an alphabet's counts; each symbol's code and its length."""
-    symbols = np.flatnonzero(counts)
-    code, size = np.zeros(len(counts), dtype=np.uint64), np.zeros(len(counts), dtype=np.int64)
-    if len(symbols) < 2 and (not len(symbols) or symbols[0] < 256):
-        one = int(symbols[0]) if len(symbols) else 0
-        out.put(1 | (1 << 2 | one << 3 if one > 1 else one << 3), 11 if one > 1 else 4)
-        return code, size
-    if len(symbols) == 2 and symbols[1] < 256:
-        out.put(1 | 1 << 1 | 1 << 2 | int(symbols[0]) << 3 | int(symbols[1]) << 11, 19)
-        code[symbols[1]], size[symbols] = 1, 1
-        return code, size
-    size[symbols] = code_lengths(counts[symbols].tolist(), 15)
-    code[symbols] = canonical(size[symbols], symbols)[0]
-    # lengths as runs: 16 repeats a length, 17 and 18 skip symbols without a code
-    edges = np.flatnonzero(np.append(True, size[1:] != size[:-1]))
-    value, run = size[edges], np.diff(np.append(edges, len(size)))
-    none = value == 0
-    left = run - ~none  # a length is written once before it is repeated
-    most = np.where(none, 138, 6)
-    full, tail = left // most, left % most
-    part = tail >= 3
-    few = none & (tail < 11)
-    # of each run in order: the length itself, full repeats, a repeat of the rest, single lengths
-    times = np.stack([~none, full, part, np.where(part, 0, tail)], axis=1).reshape(-1)
-    nothing = np.zeros_like(value)
-    columns = (
-        (value, np.where(none, 18, 16), np.where(few, 17, np.where(none, 18, 16)), value),
-        (nothing, np.where(none, 127, 3), tail - np.where(none & ~few, 11, 3), nothing),
-        (nothing, np.where(none, 7, 2), np.where(few, 3, np.where(none, 7, 2)), nothing),
-    )
-    steps, extra, wide = (np.repeat(np.stack(c, axis=1).reshape(-1), times) for c in columns)
-    # lengths are written with one fixed code, which the reader keeps
-    out.put((19 - 4) << 1, 5)
-    out.put(_LENGTHS_HEAD, 3 * 19)
-    out.put(0, 1)
-    n = _LENGTHS_SIZE[steps]
-    out.put_all(_LENGTHS_CODE[steps] | extra.astype(np.uint64) << n.astype(np.uint64), n + wide)
-    return code, size
+class Codes:
+    """Prefix codes for the rows of counts, whose first `alphabet` symbols may occur: 16 * code + length by row and symbol, and descriptions."""
+
+    def __init__(self, counts: np.ndarray, alphabet: np.ndarray):
+        n, self.across = counts.shape
+        row, symbol = np.nonzero(counts)
+        many = np.bincount(row, minlength=n)
+        first = np.cumsum(many) - many
+        last = np.zeros(n, dtype=np.int64)
+        last[many > 0] = symbol[(first + many - 1)[many > 0]]
+        size = np.zeros((n, self.across), dtype=np.int64)
+        code = np.zeros((n, self.across), dtype=np.uint64)
+        fields = Fields(n)
+        one, two = (many < 2) & (last < 256), (many == 2) & (last < 256)
+        rich = ~one & ~two
+        s = last[one]
+        fields.put(np.flatnonzero(one), np.where(s > 1, 5, 1) | s << 3, np.where(s > 1, 11, 4))
+        k = np.flatnonzero(two)
+        fields.put(k, 7 | symbol[first[k]] << 3 | last[k] << 11, 19)
+        code[k, last[k]] = 1
+        size[k, last[k]] = size[k, symbol[first[k]]] = 1
+        k = np.flatnonzero(rich)
+        here = rich[row]
+        row, symbol = row[here], symbol[here]
+        some, lengths, at = counts[row, symbol].tolist(), [], 0
+        for m in many[k].tolist():
+            lengths += code_lengths(some[at : at + m], 15)
+            at += m
+        size[row, symbol] = lengths
+        code[row, symbol] = canonical(row, symbol, np.array(lengths, dtype=np.int64))
+        # lengths are written with one fixed code, which the reader keeps
+        fields.put(k, (19 - 4) << 1, 5)
+        fields.put(k, _LENGTHS_HEAD, 3 * 19)
+        fields.put(k, 0, 1)
+        self._put_lengths(fields, size.reshape(-1)[_ranges(k * self.across, alphabet[k])], np.repeat(k, alphabet[k]))
+        self.pairs = (code << np.uint64(4) | size.astype(np.uint64)).reshape(-1)
+        who, self.value, self.size = fields.in_order()
+        self.many = np.bincount(who, minlength=n)
+        self.first = np.cumsum(self.many) - self.many
+
+    @staticmethod
+    def _put_lengths(fields: Fields, size: np.ndarray, row: np.ndarray) -> None:
+        """Lengths as runs: 16 repeats a length, 17 and 18 skip symbols without a code."""
+        edges = np.flatnonzero(np.append(True, (size[1:] != size[:-1]) | (row[1:] != row[:-1]))[: len(size)])
+        value, run = size[edges], np.diff(np.append(edges, len(size)))
+        none = value == 0
+        left = run - ~none  # a length is written once before it is repeated
+        most = np.where(none, 138, 6)
+        full, tail = left // most, left % most
+        part = tail >= 3
+        few = none & (tail < 11)
+        # of each run in order: the length itself, full repeats, a repeat of the rest, single lengths
+        times = np.stack([~none, full, part, np.where(part, 0, tail)], axis=1)
+        nothing = np.zeros_like(value)
+        columns = (
+            (value, np.where(none, 18, 16), np.where(few, 17, np.where(none, 18, 16)), value),
+            (nothing, np.where(none, 127, 3), tail - np.where(none & ~few, 11, 3), nothing),
+            (nothing, np.where(none, 7, 2), np.where(few, 3, np.where(none, 7, 2)), nothing),
+        )
+        steps, extra, wide = (np.repeat(np.stack(c, axis=1).reshape(-1), times.reshape(-1)) for c in columns)
+        n = _LENGTHS_SIZE[steps]
+        fields.put(np.repeat(row[edges], times.sum(axis=1)), _LENGTHS_CODE[steps] | extra.astype(np.uint64) << n.astype(np.uint64), n + wide)
+
+    def describe(self, out: Fields, who: np.ndarray, rows: np.ndarray) -> None:
+        """Write the description of one row to each stream."""
+        at = _ranges(self.first[rows], self.many[rows])
+        out.put(np.repeat(who, self.many[rows]), self.value[at], self.size[at])
+
+    def of(self, rows: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols' codes in these rows, and their lengths."""
+        pairs = self.pairs[rows * self.across + symbols]
+        return pairs >> np.uint64(4), (pairs & np.uint64(15)).astype(np.int64)
 
 
 def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -796,22 +830,24 @@ def _near_codes(width: int) -> dict[int, int]:
     return out
 
 
-def copies(px: np.ndarray) -> list[tuple[int, int, int]]:
-    """Back-references (at, length, distance) in order and apart: runs equal to those at the latest place with the same three pixels."""
-    n = len(px)
-    if n < 6:
-        return []
+def copies(px: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Back-references (at, length, distance) in order and apart: runs equal to those at the image's latest place with the same three pixels."""
+    nothing = (np.zeros(0, dtype=np.int64),) * 3
+    if len(px) < 6:
+        return nothing
     key = (px[:-2].astype(np.uint64) | px[1:-1].astype(np.uint64) << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) ^ px[2:].astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
     order = np.argsort(key, kind="stable")
-    twin = key[order[1:]] == key[order[:-1]]
-    if 24 * np.count_nonzero(twin) < n:  # each makes three equal pixels at most
-        return []
+    order = order[owner[order] == owner[order + 2]]
+    twin = (key[order[1:]] == key[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
     here, there = order[1:][twin], order[:-1][twin]
-    same = (px[here] == px[there]) & (px[here + 1] == px[there + 1]) & (px[here + 2] == px[there + 2]) & (here - there <= (1 << 20) - 120)
-    away = np.zeros(n - 2, dtype=np.int64)
+    enough = (24 * np.bincount(owner[here], minlength=len(sizes)) >= sizes) & (sizes >= 6)  # each makes three equal pixels at most
+    same = enough[owner[here]] & (px[here] == px[there]) & (px[here + 1] == px[there + 1]) & (px[here + 2] == px[there + 2]) & (here - there <= (1 << 20) - 120)
+    if not same.any():
+        return nothing
+    away = np.zeros(len(px) - 2, dtype=np.int64)  # 0 in the last two places of an image, so no run leaves it
     away[here[same]] = (here - there)[same]
     edges = np.flatnonzero(np.append(True, away[1:] != away[:-1]))
-    size = np.diff(np.append(edges, n - 2))
+    size = np.diff(np.append(edges, len(away)))
     out, free = [], 0
     found = away[edges] > 0
     for at, length, d in zip(edges[found].tolist(), (size[found] + 2).tolist(), away[edges[found]].tolist(), strict=True):
@@ -822,77 +858,83 @@ def copies(px: np.ndarray) -> list[tuple[int, int, int]]:
             out.append((at, now, d))
             at += now
             free = at
-    return out
+    return tuple(np.array(out, dtype=np.int64).T)
 
 
-def _put_image(out: Fields, px: np.ndarray, width: int, top: bool) -> None:
-    """Entropy-coded pixels; a top image has a colour cache and back-references."""
-    n = len(px)
-    single = np.ones(n, dtype=bool)
-    refs = copies(px) if top else []
-    refs = refs if 8 * sum(length for _, length, _ in refs) >= n else []  # too few do not pay for a distance code
-    for at, length, _ in refs:
-        single[at : at + length] = False
-    cached, cache_bits = np.zeros(n, dtype=bool), 0
-    if top and n > 64:
+def _put_images(out: Fields, who: np.ndarray, px: np.ndarray, sizes: np.ndarray, widths: np.ndarray | None = None) -> None:
+    """Entropy-coded pixels of images that follow each other in px, to the streams `who`; with widths top images, which have a colour cache and back-references."""
+    m, n, top = len(sizes), len(px), widths is not None
+    owner = np.repeat(np.arange(m), sizes)
+    single, cached, cache = np.ones(n, dtype=bool), np.zeros(n, dtype=bool), np.zeros(m, dtype=bool)
+    start = hits = slot = np.zeros(0, dtype=np.int64)
+    if top:
+        start, length, away = copies(px, owner, sizes)
+        keep = (8 * np.bincount(owner[start], weights=length, minlength=m) >= sizes)[owner[start]]  # too few do not pay for a distance code
+        start, length, away = start[keep], length[keep], away[keep]
+        single[_ranges(start, length)] = False
         slot = ((px * np.uint32(0x1E35A7BD)) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
-        by = np.argsort(slot, kind="stable")
-        again = (slot[by[1:]] == slot[by[:-1]]) & (px[by[1:]] == px[by[:-1]])
+        key = owner << CACHE_BITS | slot
+        by = np.argsort(key.astype(np.uint16) if m << CACHE_BITS <= 1 << 16 else key, kind="stable")
+        again = (key[by[1:]] == key[by[:-1]]) & (px[by[1:]] == px[by[:-1]])
         hits = by[1:][again]
         hits = hits[single[hits]]
-        if 8 * len(hits) >= n:  # few hits do not pay for a larger green code
-            cached[hits], cache_bits = True, CACHE_BITS
-    out.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
+        cache = (sizes > 64) & (8 * np.bincount(owner[hits], minlength=m) >= sizes)  # few hits do not pay for a larger green code
+        hits = hits[cache[owner[hits]]]
+        cached[hits] = True
+    out.put(who, np.where(cache, 1 | CACHE_BITS << 1, 0), np.where(cache, 5, 1))
     if top:
-        out.put(0, 1)  # one group of codes
+        out.put(who, 0, 1)  # one group of codes
     plain = np.flatnonzero(single & ~cached)
-    g, r, b, a = ((px[plain] >> np.uint32(k)) & np.uint32(255) for k in (8, 16, 0, 24))
-    green = np.bincount(g, minlength=280 + (1 << cache_bits if cache_bits else 0))
-    if cache_bits:
-        green += np.bincount(280 + slot[cached], minlength=len(green))
-    far = np.zeros(40, dtype=np.int64)
-    if refs:
-        start, length, away = (np.array(x, dtype=np.int64) for x in zip(*refs, strict=True))
-        near = _near_codes(width)
+    whose = owner[plain]
+    channels = [((px[plain] >> np.uint32(k)) & np.uint32(255)).astype(np.int64) for k in (8, 16, 0, 24)]
+    across = 280 + (1 << CACHE_BITS)
+    counts = np.zeros((6, m, across), dtype=np.int64)  # green, red and blue and alpha together, each of them, distances
+
+    def count(kind: int, images: np.ndarray, symbols: np.ndarray) -> None:
+        counts[kind] += np.bincount(images * across + symbols, minlength=m * across).reshape(m, across)
+
+    for kind, x in zip((0, 2, 3, 4), channels, strict=True):
+        count(kind, whose, x)
+    if len(hits):
+        hits = np.sort(hits)
+        count(0, owner[hits], 280 + slot[hits])
+    if len(start):
         long = _prefix(length)
-        dist = _prefix(np.array([near.get(d, d + 120) for d in away.tolist()]))
-        green += np.bincount(256 + long[0], minlength=len(green))
-        far += np.bincount(dist[0], minlength=40)
-    counts = [green, *(np.bincount(x, minlength=256) for x in (r, b, a)), far]
-    # channels of more than two values share a code for all their counts, which is made and described once
-    rich = [k for k in (1, 2, 3) if np.count_nonzero(counts[k]) > 2]
-    if len(rich) > 1:
-        together = sum(counts[k] for k in rich)
-        part = Fields()
-        made = _put_code(part, together)
-        part.close()
-    codes = []
-    for k, c in enumerate(counts):
-        if k in rich and len(rich) > 1:
-            out.put_fields(part)
-            codes.append(made)
-        else:
-            codes.append(_put_code(out, c))
+        near = [_near_codes(w).get(d, d + 120) for w, d in zip(widths[owner[start]].tolist(), away.tolist(), strict=True)]
+        dist = _prefix(np.array(near))
+        count(0, owner[start], 256 + long[0])
+        count(5, owner[start], dist[0])
+    # channels of more than two values share a code for all their counts, which is made once
+    rich = np.count_nonzero(counts[2:5], axis=2) > 2
+    rich &= rich.sum(axis=0) > 1
+    counts[1] = (counts[2:5] * rich[..., None]).sum(axis=0)
+    each = np.arange(m)
+    rows = np.stack([each, *(np.where(r, m + each, (k + 2) * m + each) for k, r in enumerate(rich)), 5 * m + each])
+    used, rows = np.unique(rows, return_inverse=True)
+    rows = rows.reshape(5, m)
+    alphabet = np.array([280, 256, 256, 256, 256, 40])[used // m]
+    alphabet[(used < m) & cache[used % m]] = across
+    codes = Codes(counts.reshape(-1, across)[used], alphabet)
+    for k in range(5):
+        codes.describe(out, who, rows[k])
     value, size = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
 
-    def append(at: np.ndarray, v: np.ndarray, bits: np.ndarray) -> None:
-        value[at] |= v.astype(np.uint64) << size[at].astype(np.uint64)
-        size[at] += bits
-
-    for (code, bits), symbol in zip(codes[:4], (g, r, b, a), strict=True):
-        append(plain, code[symbol], bits[symbol])
-    if cache_bits:
-        hit = np.flatnonzero(cached)
-        append(hit, codes[0][0][280 + slot[hit]], codes[0][1][280 + slot[hit]])
-    if refs:
-        append(start, codes[0][0][256 + long[0]], codes[0][1][256 + long[0]])
-        append(start, long[2], long[1])
-        append(start, codes[4][0][dist[0]], codes[4][1][dist[0]])
-        append(start, dist[2], dist[1])
-        token = single
-        token[start] = True
-        value, size = value[token], size[token]
-    out.put_all(value, size)
+    def join(at: np.ndarray, fields: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        v, bits = fields[0]
+        for more, wide in fields[1:]:
+            v = v | more << bits.astype(np.uint64)
+            bits = bits + wide
+        value[at], size[at] = v, bits
+
+    join(plain, [codes.of(r[whose], x) for r, x in zip(rows, channels, strict=False)])
+    if len(hits):
+        join(hits, [codes.of(rows[0][owner[hits]], 280 + slot[hits])])
+    if len(start):
+        i = owner[start]
+        join(start, [codes.of(rows[0][i], 256 + long[0]), (long[2].astype(np.uint64), long[1]), codes.of(rows[4][i], dist[0]), (dist[2].astype(np.uint64), dist[1])])
+        single[start] = True
+        value, size, owner = value[single], size[single], owner[single]
+    out.put(who[owner], value, size)
 
 
 def _predictions(img: np.ndarray, mode: int) -> np.ndarray:
@@ -930,9 +972,16 @@ def _predicted(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, np.take_along_axis(rest, each[None, :, :, None], axis=0)[0]
 
 
-def _put_predictor(out: Fields, best: np.ndarray) -> None:
-    out.put(1 | PREDICTOR << 1 | (BLOCK_BITS - 2) << 3, 6)
-    _put_image(out, (np.array(MODES, dtype=np.uint32)[best] << np.uint32(8) | np.uint32(0xFF000000)).reshape(-1), best.shape[1], False)
+def _modes_image(best: np.ndarray) -> np.ndarray:
+    img = np.zeros((*best.shape, 4), dtype=np.uint8)
+    img[..., 0], img[..., 2] = 255, np.array(MODES)[best]
+    return img
+
+
+def _put_blocks(out: Fields, who: np.ndarray, kind: int, images: list[np.ndarray]) -> None:
+    """A predictor's or cross-colour's images, one a stream."""
+    out.put(who, 1 | kind << 1 | (BLOCK_BITS - 2) << 3, 6)
+    _put_images(out, who, np.concatenate([_packed(x).reshape(-1) for x in images]), np.array([x.shape[0] * x.shape[1] for x in images]))
 
 
 def _crossed(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -953,11 +1002,6 @@ def _crossed(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data, left
 
 
-def _put_cross(out: Fields, data: np.ndarray) -> None:
-    out.put(1 | CROSS_COLOUR << 1 | (BLOCK_BITS - 2) << 3, 6)
-    _put_image(out, _packed(data).reshape(-1), data.shape[1], False)
-
-
 def _without_green(img: np.ndarray) -> np.ndarray:
     img = img.copy()
     img[..., 1] -= img[..., 2]
@@ -965,14 +1009,25 @@ def _without_green(img: np.ndarray) -> np.ndarray:
     return img
 
 
-def _bits_of(img: np.ndarray) -> float:
-    """Bits that the channels would take in codes made for their own counts, and about the codes themselves."""
-    bits = 0.0
-    for k in range(4):
-        c = np.bincount(img[..., k].reshape(-1), minlength=256)
-        c = c[c > 0]
-        bits += float(c.sum() * np.log2(c.sum()) - (c * np.log2(c)).sum()) + 5 * len(c)
-    return bits
+def _bits_of(img: np.ndarray, owner: np.ndarray | None = None, m: int = 1) -> np.ndarray:
+    """Bits that the channels of m images would take in codes made for their own counts, and about the codes themselves. owner: each row's image."""
+    key = img.astype(np.int64) + (np.arange(4) << 8)
+    if owner is not None:
+        key += (owner << 10)[:, None, None]
+    c = np.bincount(key.reshape(-1), minlength=m << 10).reshape(4 * m, 256)
+    total = c.sum(axis=1)
+    bits = total * np.log2(np.maximum(total, 1)) - (c * np.log2(np.maximum(c, 1))).sum(axis=1) + 5 * np.count_nonzero(c, axis=1)
+    return bits.reshape(m, 4).sum(axis=1)
+
+
+def _stay_plain(img: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
+    """Whether neither differences from the pixel above, nor from the one on the left, nor from the green channel save a bit; by image."""
+    bits, rows = _bits_of(img, owner, m), np.bincount(owner, minlength=m)
+    inner = owner[1:] == owner[:-1]
+    down = _bits_of((img[1:] - img[:-1])[inner], owner[1:][inner], m)
+    right = _bits_of(img[:, 1:] - img[:, :-1], owner, m)
+    w = img.shape[1]
+    return (down * rows >= bits * (rows - 1)) & (right * w >= bits * (w - 1)) & (_bits_of(_without_green(img), owner, m) >= bits)
 
 
 def cheapest(img: np.ndarray) -> int:
@@ -981,29 +1036,35 @@ def cheapest(img: np.ndarray) -> int:
     Plain differences from the pixel above, the one on the left and the green channel stand for the transforms first: where none of them
     saves a bit, as in texts, none is worked out.
     """
-    bits = _bits_of(img)
-    steps = [d for d in (img[1:] - img[:-1], img[:, 1:] - img[:, :-1]) if d.size]
-    if all(_bits_of(d) * img.size >= bits * d.size for d in steps) and _bits_of(_without_green(img)) >= bits:
-        return 0
+    return 0 if _stay_plain(img, np.zeros(len(img), dtype=np.int64), 1)[0] else _best_style(img)
+
+
+def _best_style(img: np.ndarray) -> int:
     best, residual = _predicted(img)
     data, left = _crossed(img)
-    costs = [bits, _bits_of(residual) + 4 * best.size, _bits_of(_without_green(left)) + 16 * data[..., 0].size]
+    costs = [_bits_of(img)[0], _bits_of(residual)[0] + 4 * best.size, _bits_of(_without_green(left))[0] + 16 * data[..., 0].size]
     style = int(np.argmin(costs))
     if costs[1] < costs[0]:
         data, left = _crossed(residual)
-        if _bits_of(left) + 4 * best.size + 16 * data[..., 0].size < costs[style]:
+        if _bits_of(left)[0] + 4 * best.size + 16 * data[..., 0].size < costs[style]:
             return 3
     return style
 
 
-def _palette_image(out: Fields, px: np.ndarray, colours: np.ndarray, width: int) -> tuple[np.ndarray, int]:
-    """Write the palette; packed indexes in green, and their width."""
+def _put_palettes(out: Fields, who: np.ndarray, colours: np.ndarray, many: np.ndarray) -> None:
+    """Palettes of `many` colours each, one after another, to the streams `who`."""
     palette = _channels(colours, len(colours))[0]
     step = np.diff(palette, axis=0, prepend=np.zeros((1, 4), np.uint8))
-    out.put(1 | INDEXING << 1 | (len(colours) - 1) << 3, 11)
-    _put_image(out, _packed(step[None]).reshape(-1), len(colours), False)
-    index = np.searchsorted(colours, px).reshape(-1, width)
-    pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+    first = np.cumsum(many) - many
+    step[first] = palette[first]
+    out.put(who, 1 | INDEXING << 1 | (many - 1) << 3, 11)
+    _put_images(out, who, _packed(step[None]).reshape(-1), many)
+
+
+def _indexes(index: np.ndarray, width: int, many: int) -> tuple[np.ndarray, int]:
+    """Pixels of an image's indexes into a palette of `many` colours, packed in green, and their width."""
+    index = index.reshape(-1, width)
+    pack = 3 if many <= 2 else 2 if many <= 4 else 1 if many <= 16 else 0
     if pack:
         per, bits = 1 << pack, 8 >> pack
         across = _cells(width, pack)
@@ -1013,46 +1074,99 @@ def _palette_image(out: Fields, px: np.ndarray, colours: np.ndarray, width: int)
     return (index.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000)).reshape(-1), index.shape[1]
 
 
-def encode(payload: np.ndarray, style: int | None = None) -> bytes:
-    """One image of a payload whose length is a multiple of PAD. style: 0 to 3, the cheapest() where it is not given."""
-    n = len(payload) // 4
-    width = WIDTH * max(1, -(-n // (WIDTH * MAX_SIDE)))
-    height = -(-n // width)
-    if n < width * height:
-        payload = np.concatenate([payload, np.zeros(4 * (width * height - n), np.uint8)])
-    img = payload.reshape(height, width, 4)
-    px = _packed(img).reshape(-1)
-    out = Fields()
-    out.put(0x2F | (width - 1) << 8 | (height - 1) << 22 | 1 << 36, 40)  # with alpha, version 0
-    some = np.sort(px[:1024])
-    colours = np.unique(px) if np.count_nonzero(some[1:] != some[:-1]) < 256 else px
-    if len(colours) <= 256 and 2 * len(colours) <= len(px):
-        px, width = _palette_image(out, px, colours, width)
+def _encode_batch(payloads: list[np.ndarray], heights: list[int], width: int, style: int | None) -> list[bytes]:
+    """Images of one width, worked on as one tall image whose rows have owners."""
+    m, rows = len(payloads), np.array(heights)
+    img = np.zeros((int(rows.sum()), width, 4), dtype=np.uint8)
+    flat, at = img.reshape(-1), 0
+    for p, h in zip(payloads, heights, strict=True):
+        flat[at : at + len(p)] = p
+        at += 4 * width * h
+    px, sizes, end = _packed(img).reshape(-1), rows * width, np.cumsum(rows)
+    out, each, row_owner = Fields(m), np.arange(m), np.repeat(np.arange(m), rows)
+    out.put(each, 0x2F | (width - 1) << 8 | (rows - 1) << 22 | 1 << 36, 40)  # with alpha, version 0
+    key = np.repeat(np.arange(m, dtype=np.uint64) << np.uint64(32), sizes) | px
+    seen = np.sort(key)
+    seen = seen[np.append(True, seen[1:] != seen[:-1])]
+    many = np.bincount((seen >> np.uint64(32)).astype(np.int64), minlength=m)
+    few = (many <= 256) & (2 * many <= sizes)
+    coded, widths = np.split(px, np.cumsum(sizes)[:-1]), np.full(m, width)
+    some = np.flatnonzero(few)
+    if len(some):
+        mine = seen[few[(seen >> np.uint64(32)).astype(np.int64)]]
+        _put_palettes(out, some, (mine & _LOW).astype(np.uint32), many[some])
+        first = np.cumsum(many[some]) - many[some]
+        index = np.searchsorted(mine, key[np.repeat(few, sizes)]) - np.repeat(first, sizes[some])
+        for i, x in zip(some.tolist(), np.split(index, np.cumsum(sizes[some])[:-1]), strict=True):
+            coded[i], widths[i] = _indexes(x, width, int(many[i]))
+    one = {i: img[end[i] - rows[i] : end[i]] for i in np.flatnonzero(~few).tolist()}
+    if style is None:
+        wide = np.flatnonzero(~few)
+        plain = _stay_plain(img[~few[row_owner]], np.repeat(np.arange(len(wide)), rows[wide]), len(wide)) if len(wide) else few
+        styles = {i: _best_style(one[i]) for i in wide[~plain].tolist()} if len(wide) else {}
     else:
-        style = cheapest(img) if style is None else style
-        if style & 1:
-            best, img = _predicted(img)
-            _put_predictor(out, best)
-        if style & 2:
-            data, img = _crossed(img)
-            _put_cross(out, data)
-        if style == 2:
-            out.put(1 | SUBTRACT_GREEN << 1, 3)
-            img = _without_green(img)
-        px = _packed(img).reshape(-1) if style else px
-    out.put(0, 1)
-    _put_image(out, px, width, True)
-    stream = out.stream()
-    chunk = b"VP8L" + struct.pack("<I", len(stream)) + stream + b"\0" * (len(stream) & 1)
-    return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
+        styles = dict.fromkeys(one, style)
+    for kind, chosen in ((PREDICTOR, [i for i, s in styles.items() if s & 1]), (CROSS_COLOUR, [i for i, s in styles.items() if s & 2])):
+        blocks = []
+        for i in chosen:
+            b, one[i] = _predicted(one[i]) if kind == PREDICTOR else _crossed(one[i])
+            blocks.append(_modes_image(b) if kind == PREDICTOR else b)
+        if chosen:
+            _put_blocks(out, np.array(chosen), kind, blocks)
+    for i, s in styles.items():
+        if s == 2:
+            out.put(np.array([i]), 1 | SUBTRACT_GREEN << 1, 3)
+            one[i] = _without_green(one[i])
+        coded[i] = _packed(one[i]).reshape(-1)
+    out.put(each, 0, 1)
+    _put_images(out, each, np.concatenate(coded), np.array([len(x) for x in coded]), widths)
+    files = []
+    for stream in out.streams():
+        chunk = b"VP8L" + struct.pack("<I", len(stream)) + stream + b"\0" * (len(stream) & 1)
+        files.append(b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk)
+    return files
+
+
+BATCH_PIXELS, BATCH_IMAGES = 1 << 17, 512
+
+
+def encode_many(payloads: list[np.ndarray], style: int | None = None) -> list[bytes]:
+    """One image of each payload, whose length is a multiple of PAD. style: 0 to 3, the cheapest() where it is not given.
+
+    A file depends on its payload alone; images that are worked on together have at most BATCH_PIXELS, or there is but one.
+    """
+    files: list[bytes] = []
+    batch, heights, held, across = [], [], 0, WIDTH
+    for p in payloads:
+        n = len(p) // 4
+        width = WIDTH * max(1, -(-n // (WIDTH * MAX_SIDE)))
+        if batch and (width != across or held + n > BATCH_PIXELS or len(batch) == BATCH_IMAGES):
+            files += _encode_batch(batch, heights, across, style)
+            batch, heights, held = [], [], 0
+        batch.append(p)
+        heights.append(-(-n // width))
+        held += n
+        across = width
+    return files + _encode_batch(batch, heights, across, style) if batch else files
+
+
+def encode(payload: np.ndarray, style: int | None = None) -> bytes:
+    """The image of one payload."""
+    return encode_many([payload], style)[0]
 
 
 MOST_BYTES = 4 * (MAX_SIDE // WIDTH) * WIDTH * MAX_SIDE
 
 
+def encode_payloads(payloads: list[np.ndarray]) -> list[list[bytes]]:
+    """Each payload's files: one of up to MOST_BYTES bytes, and more where it is longer."""
+    parts = [[p[k : k + MOST_BYTES] for k in range(0, len(p), MOST_BYTES)] for p in payloads]
+    files = iter(encode_many([x for p in parts for x in p]))
+    return [[next(files) for _ in p] for p in parts]
+
+
 def encode_payload(payload: np.ndarray) -> list[bytes]:
-    """The payload's files: one of up to MOST_BYTES bytes, and more where it is longer."""
-    return [encode(payload[k : k + MOST_BYTES]) for k in range(0, len(payload), MOST_BYTES)]
+    return encode_payloads([payload])[0]
 
 
 def decode_payload(images: list[np.ndarray], n_bytes: int) -> np.ndarray:
@@ -1067,18 +1181,32 @@ def padded(n_bytes: int) -> int:
 # ---------------------------------------------------------------- columns
 
 
+def _padded_texts(texts: pa.Array) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """UTF-8 lengths and payloads, up to about 4 BATCH_PIXELS bytes at a time."""
+    sizes: list[int] = []
+    payloads: list[np.ndarray] = []
+    held = 0
+    for t in texts:
+        raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
+        payload = np.full(padded(len(raw)), 255, dtype=np.uint8)
+        payload[: len(raw)] = np.frombuffer(raw, dtype=np.uint8)
+        if payloads and held + len(payload) > 4 * BATCH_PIXELS:
+            yield sizes, payloads
+            sizes, payloads, held = [], [], 0
+        sizes.append(len(raw))
+        payloads.append(payload)
+        held += len(payload)
+    if payloads:
+        yield sizes, payloads
+
+
 def _store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            media, sizes = [], []
-            for t in part.column(1):
-                raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                sizes.append(len(raw))
-                payload = np.full(padded(len(raw)), 255, dtype=np.uint8)
-                payload[: len(raw)] = np.frombuffer(raw, dtype=np.uint8)
-                media.append(encode_payload(payload))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "media"])
+        at = 0
+        for sizes, payloads in _padded_texts(batch.column(1)):
+            ids = batch.column(0).slice(at, len(sizes))
+            at += len(sizes)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(encode_payloads(payloads), pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "media"])
 
 
 STORED = "doc_id long, n_bytes long, media array<binary>"

@@ -364,3 +364,34 @@ def test_transforms_are_chosen_by_their_cost():
         sizes = [len(W.encode(img.reshape(-1), s)) for s in range(4)]
         assert len(W.encode(img.reshape(-1))) <= 1.1 * min(sizes)
         assert all(np.array_equal(W.decode(W.encode(img.reshape(-1), s)), img) for s in range(4))
+
+
+def test_images_encoded_together(monkeypatch):
+    """A batch's files are those that each payload gives alone, in any order and company; codes are made in a few steps a batch, not for each image."""
+    rng = np.random.default_rng(7)
+    words = [b"alpha ", b"beta, ", b"gamma\n", b"the same again and again. ", bytes(range(256))]
+    payloads = []
+    for n in (1, 2, 40, 300):
+        for kinds in (1, 2, 4, 16, 60, 256):
+            payloads.append(rng.integers(0, kinds, W.PAD * (1 + n // 40), dtype=np.uint8))
+        for _ in range(20):
+            raw = b"".join(words[int(k)] for k in rng.integers(0, 5, n))
+            payload = np.full(W.padded(len(raw)), 255, np.uint8)
+            payload[: len(raw)] = np.frombuffer(raw, np.uint8)
+            payloads.append(payload)
+    y, x = np.mgrid[0:64, 0 : W.WIDTH]
+    smooth = np.stack([x * 2 + y * 3, x + y * 2, x * 3 + y, x + y], axis=2)
+    noise = rng.integers(0, 256, (64, W.WIDTH))
+    payloads += [(img & 255).astype(np.uint8).reshape(-1) for img in (smooth, np.stack([np.full_like(noise, 255), noise, noise, noise], axis=2))]
+    alone = [W.encode(p) for p in payloads]
+    assert all(np.array_equal(i.reshape(-1), p) for i, p in zip(W.decode_many(alone), payloads, strict=True))
+    made = []
+    init = W.Codes.__init__
+    monkeypatch.setattr(W.Codes, "__init__", lambda self, *a: (made.append(1), init(self, *a))[1])
+    assert W.encode_many(payloads) == alone
+    pixels = sum(map(len, payloads)) // 4
+    assert len(made) <= 4 * (2 + 2 * pixels // W.BATCH_PIXELS) < len(payloads)  # palettes, predictors, cross-colours and pixels
+    order = rng.permutation(len(payloads)).tolist()
+    monkeypatch.setattr(W, "BATCH_PIXELS", 5000)
+    assert W.encode_many([payloads[i] for i in order]) == [alone[i] for i in order]
+    assert W.encode_payloads([]) == [] and W.encode_many([]) == []
