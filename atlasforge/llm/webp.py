@@ -61,9 +61,9 @@ class Bits:
     def read(self, n: int) -> int:
         if self.at + n > self.end:
             raise ValueError("the stream ends early")
-        i, s = divmod(self.at, 8)
-        self.at += n
-        return (int.from_bytes(self.data[i : i + 8], "little") >> s) & ((1 << n) - 1)
+        at = self.at
+        self.at = at + n
+        return (int.from_bytes(self.data[at >> 3 : (at >> 3) + 9], "little") >> (at & 7)) & ((1 << n) - 1)
 
     def span(self, at: int, n: int) -> int:
         """Any number of bits from a place, as one number."""
@@ -81,7 +81,7 @@ class PrefixCode:
     """A canonical prefix code."""
 
     def __init__(self, lengths: np.ndarray):
-        self.lengths = lengths
+        self.lengths = lengths.astype(np.uint8)
         self.symbols = np.flatnonzero(lengths)
         n = len(self.symbols)
         self.single = int(self.symbols[0]) if n == 1 else (0 if n == 0 else None)
@@ -95,17 +95,16 @@ class PrefixCode:
 
     @cached_property
     def table(self) -> list[int]:
-        return self.array.tolist()
+        return self.entries().tolist()
 
-    @cached_property
-    def array(self) -> np.ndarray:
+    def entries(self) -> np.ndarray:
         """32 * symbol + length for each value of the next `longest` bits."""
         if self.single is not None:
-            return np.array([self.single << 5])
+            return np.array([self.single << 5], dtype=np.int32)
         by = self.symbols[np.argsort(self.lengths[self.symbols], kind="stable")]
-        sizes = self.lengths[by]
+        sizes = self.lengths[by].astype(np.int64)
         # canonical codes divide the values, most significant bit first, into ranges
-        return np.repeat(by << 5 | sizes, 1 << (self.longest - sizes))[REVERSED[self.longest]]
+        return np.repeat((by << 5 | sizes).astype(np.int32), 1 << (self.longest - sizes))[REVERSED[self.longest]]
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
@@ -118,8 +117,11 @@ class PrefixCode:
 
 
 @lru_cache(maxsize=1024)
-def _lengths_code(kinds: tuple[int, ...]) -> PrefixCode:
-    return PrefixCode(np.array(kinds))
+def _lengths_code(head: int, n: int) -> PrefixCode:
+    """The code for code lengths whose first n kinds have the lengths in head, three bits each."""
+    kinds = np.zeros(19, dtype=np.int64)
+    kinds[list(CODE_ORDER[:n])] = [head >> 3 * i & 7 for i in range(n)]
+    return PrefixCode(kinds)
 
 
 @lru_cache(maxsize=2048)
@@ -129,6 +131,23 @@ def _one_symbol(symbol: int, alphabet: int) -> PrefixCode:
     return PrefixCode(lengths)
 
 
+@lru_cache(maxsize=1 << 16)
+def _word(code: PrefixCode, w: int) -> tuple[tuple[int, ...], int, int]:
+    """The code lengths that 16 bits say for sure, how many of the bits these take, and the last length that is not 0 (or 0)."""
+    found: list[int] = []
+    at = last = 0
+    mask = (1 << code.longest) - 1
+    while True:
+        step = code.table[w >> at & mask]
+        n, size = step >> 5, step & 31
+        least, extra = ((1, 0), (3, 2), (3, 3), (11, 7))[max(0, n - 15)]
+        if at + size + extra > 16 or (n == 16 and not last):
+            return tuple(found), at, last
+        last = n if 0 < n < 16 else last
+        found += [n if n < 16 else last if n == 16 else 0] * (least + (w >> (at + size) & ((1 << extra) - 1)))
+        at += size + extra
+
+
 def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
     if bits.read(1):
         two = bits.read(1)
@@ -138,20 +157,25 @@ def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
         lengths = np.zeros(alphabet, dtype=np.int64)
         lengths[[first, bits.read(8)]] = 1
         return PrefixCode(lengths)
-    kinds = [0] * 19
-    for i in range(4 + bits.read(4)):
-        kinds[CODE_ORDER[i]] = bits.read(3)
-    code = _lengths_code(tuple(kinds))
-    left = alphabet
+    n = 4 + bits.read(4)
+    code = _lengths_code(bits.read(3 * n), n)
+    left, words = alphabet, code.single is None
     if bits.read(1):
-        left = min(alphabet, 2 + bits.read(2 + 2 * bits.read(3)))
+        left, words = min(alphabet, 2 + bits.read(2 + 2 * bits.read(3))), False
     lengths = np.zeros(alphabet, dtype=np.int64)
     table, mask, data, at, end = code.table, (1 << code.longest) - 1, bits.data, bits.at, bits.end
     found: list[int] = []
     before = 8
     while len(found) < alphabet and left > 0:
-        left -= 1
         w = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+        if words:  # some lengths at a time, but for the last ones
+            several, size, last = _word(code, w & 0xFFFF)
+            if several and len(found) + len(several) <= alphabet:
+                found += several
+                at += size
+                before = last or before
+                continue
+        left -= 1
         step = table[w & mask]
         n, size = step >> 5, step & 31
         if code.single is not None:
@@ -324,9 +348,8 @@ def _one_group(bits: Bits, codes: list[PrefixCode], width: int, total: int, cach
 
 # ---------------------------------------------------------------- many images side by side
 
-LANES = 512
+LANES = 1024
 _NEAR = np.array(DISTANCE_MAP)
-_HASH = np.uint64(0x1E35A7BD)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -389,8 +412,7 @@ class Stream:
 def _extra(w: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lengths or distances of prefix symbols whose extra bits begin a window, and how many bits these are."""
     extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
-    more = (w & ((np.uint64(1) << extra.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + more + 1), extra
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + (w & ((1 << extra) - 1)) + 1), extra
 
 
 def side_by_side(streams: list[Stream], lanes: int = LANES) -> list[np.ndarray]:
@@ -398,29 +420,27 @@ def side_by_side(streams: list[Stream], lanes: int = LANES) -> list[np.ndarray]:
     n = len(streams)
     order = sorted(range(n), key=lambda i: -streams[i].total)
     raw = np.frombuffer(b"".join(s.bits.data + bytes(16) for s in streams) + bytes(16), dtype=np.uint8)
-    eight = np.ndarray((len(raw) - 8,), "<u8", buffer=raw, strides=(1,))
+    eight = np.ndarray((len(raw) - 8,), "<i8", buffer=raw, strides=(1,))  # a sign fills bits that no literal or number reaches
     begin = np.cumsum([0] + [len(s.bits.data) + 16 for s in streams])[:-1]
     base = np.cumsum([0] + [s.total for s in streams])
-    out = np.zeros(int(base[-1]), dtype=np.uint64)
+    out = np.zeros(int(base[-1]), dtype=np.int64)
     # per image: position and end in bits, place and end of its pixels, and where its tables and cache lie
-    tables: list[np.ndarray] = []
     known: dict[int, int] = {}
+    table = np.zeros(sum(1 << c.longest for c in {id(c): c for s in streams for c in s.coded.codes[0]}.values()), dtype=np.int32)
     filled = 0
-    place = np.zeros((n, 5), dtype=np.int64)
-    mask = np.zeros((n, 5), dtype=np.uint64)
+    place, mask = np.zeros((5, n), dtype=np.int64), np.zeros((5, n), dtype=np.int64)
     for i, s in enumerate(streams):
         for k, c in enumerate(s.coded.codes[0]):
             at = known.get(id(c))
             if at is None:
                 at = known[id(c)] = filled
-                tables.append(c.array)
-                filled += len(c.array)
-            place[i, k], mask[i, k] = at, (1 << c.longest) - 1
-    table = np.concatenate(tables).astype(np.int64) if tables else np.zeros(1, np.int64)
+                filled += 1 << c.longest
+                table[at:filled] = c.entries()
+            place[k, i], mask[k, i] = at, (1 << c.longest) - 1
     bits = np.array([s.coded.cache_bits for s in streams])
     room = np.cumsum([0] + [1 << b for b in bits.tolist()])
-    cache = np.zeros(int(room[-1]) + 1, dtype=np.uint64)
-    shift = (32 - bits).astype(np.uint64)
+    cache = np.zeros(int(room[-1]) + 1, dtype=np.int64)
+    shift = 32 - bits
     position = begin * 8 + np.array([s.bits.at for s in streams])
     end = begin * 8 + np.array([s.bits.end for s in streams])
     widths = np.array([s.width for s in streams])
@@ -430,42 +450,40 @@ def side_by_side(streams: list[Stream], lanes: int = LANES) -> list[np.ndarray]:
     left, away = np.zeros(len(who), dtype=np.int64), np.zeros(len(who), dtype=np.int64)
     at, pos, stop = base[who].copy(), position[who].copy(), base[who + 1]
     some_copy, some_cache = False, bool(bits.any())
-    top, limit = int(len(eight) - 1), np.uint64(7)
-    g0, g1, g2, g3, g4 = (place[who, k] for k in range(5))
-    m0, m1, m2, m3, m4 = (mask[who, k] for k in range(5))
+    top = len(eight) - 1
+    g0, g1, g2, g3, g4 = place[:, who]
+    m0, m1, m2, m3, m4 = mask[:, who]
     c0, sh = room[who], shift[who]
     until = int((stop - at).min()) if len(who) else 0
     while len(who):
         for _ in range(until):
-            w = eight[np.minimum(pos >> 3, top)] >> (pos.astype(np.uint64) & limit)
-            g = table[g0 + (w & m0).astype(np.int64)]
-            n0, symbol = g & 31, g >> 5
-            w1 = w >> n0.astype(np.uint64)
-            r = table[g1 + (w1 & m1).astype(np.int64)]
-            n1 = r & 31
-            w2 = w1 >> n1.astype(np.uint64)
-            b = table[g2 + (w2 & m2).astype(np.int64)]
-            n2 = b & 31
-            w3 = w2 >> n2.astype(np.uint64)
-            a = table[g3 + (w3 & m3).astype(np.int64)]
-            px = ((a >> 5) << 24 | (r >> 5) << 16 | symbol << 8 | b >> 5).astype(np.uint64)
-            step = n0 + n1 + n2 + (a & 31)
-            if some_copy or int(symbol.max()) > 255:
-                odd = np.flatnonzero((symbol > 255) | (left > 0))
+            w = eight[np.minimum(pos >> 3, top)] >> (pos & 7)
+            g = table.take(g0 + (w & m0))
+            w1 = w >> (g & 31)
+            r = table.take(g1 + (w1 & m1))
+            w2 = w1 >> (r & 31)
+            b = table.take(g2 + (w2 & m2))
+            a = table.take(g3 + ((w2 >> (b & 31)) & m3))
+            px = (a >> 5).astype(np.int64) << 24 | (r >> 5 << 16 | g >> 5 << 8 | b >> 5)
+            step = (g & 31) + (r & 31) + (b & 31) + (a & 31)
+            if some_copy or int(g.max()) >= 256 << 5:
+                odd = np.flatnonzero((g >= 256 << 5) | (left > 0))
                 going = left[odd] > 0
-                symbols = symbol[odd]
-                step[odd] = np.where(going, 0, n0[odd])
-                hit = odd[~going & (symbols >= 280)]
-                px[hit] = cache[c0[hit] + symbol[hit] - 280]
-                new = odd[~going & (symbols < 280)]
+                symbol, n0 = g[odd] >> 5, g[odd] & 31
+                step[odd] = np.where(going, 0, n0)
+                hit = ~going & (symbol >= 280)
+                px[odd[hit]] = cache[c0[odd[hit]] + symbol[hit] - 280]
+                fresh = ~going & (symbol < 280)
+                new = odd[fresh]
                 if len(new):
-                    length, used = _extra(w1[new], symbol[new] - 256)
-                    there = pos[new] + n0[new] + used
-                    v = eight[np.minimum(there >> 3, top)] >> (there.astype(np.uint64) & limit)
-                    d = table[g4[new] + (v & m4[new]).astype(np.int64)]
-                    v >>= (d & 31).astype(np.uint64)
-                    far, more = _extra(v, d >> 5)
-                    step[new] = n0[new] + used + (d & 31) + more
+                    length, used = _extra(w1[new], (symbol[fresh] - 256).astype(np.int64))
+                    used += n0[fresh]
+                    there = pos[new] + used
+                    v = eight[np.minimum(there >> 3, top)] >> (there & 7)
+                    d = table[g4[new] + (v & m4[new])]
+                    v >>= d & 31
+                    far, more = _extra(v, (d >> 5).astype(np.int64))
+                    step[new] = used + (d & 31) + more
                     near = _NEAR[np.minimum(far, 120) - 1]
                     far = np.where(far > 120, far - 120, np.maximum(1, near[:, 0] + near[:, 1] * widths[who[new]]))
                     if (far > at[new] - base[who[new]]).any() or (at[new] + length > stop[new]).any():
@@ -477,7 +495,7 @@ def side_by_side(streams: list[Stream], lanes: int = LANES) -> list[np.ndarray]:
                 some_copy = bool(left.any())
             out[at] = px
             if some_cache:
-                cache[c0 + (((px * _HASH) & _LOW) >> sh).astype(np.int64)] = px
+                cache[c0 + ((px * 0x1E35A7BD & 0xFFFFFFFF) >> sh)] = px
             pos += step
             at += 1
         ended = np.flatnonzero(at == stop)
@@ -492,8 +510,8 @@ def side_by_side(streams: list[Stream], lanes: int = LANES) -> list[np.ndarray]:
         keep[ended[len(fresh) :]] = False
         who, at, pos, left, away = (x[keep] for x in (who, at, pos, left, away))
         stop, c0, sh = base[who + 1], room[who], shift[who]
-        g0, g1, g2, g3, g4 = (place[who, k] for k in range(5))
-        m0, m1, m2, m3, m4 = (mask[who, k] for k in range(5))
+        g0, g1, g2, g3, g4 = place[:, who]
+        m0, m1, m2, m3, m4 = mask[:, who]
         until = int((stop - at).min()) if len(who) else 0
     return [out[base[i] : base[i + 1]].astype(np.uint32) for i in range(n)]
 

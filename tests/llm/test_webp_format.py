@@ -395,3 +395,43 @@ def test_images_encoded_together(monkeypatch):
     monkeypatch.setattr(W, "BATCH_PIXELS", 5000)
     assert W.encode_many([payloads[i] for i in order]) == [alone[i] for i in order]
     assert W.encode_payloads([]) == [] and W.encode_many([]) == []
+
+
+def test_code_lengths_are_read_several_at_a_time(monkeypatch):
+    """Sixteen bits give all lengths that they hold for sure, repeats too; the codes are those read length by length, and cut ones raise."""
+    r = random.Random(11)
+    streams = []
+    for case in range(60):
+        counts = [0] * 280
+        for k in r.sample(range(280), r.choice([3, 20, 90, 270])):
+            counts[k] = r.choice([1, 1, 7, 1 << r.randint(0, 5)])
+        out = Out()
+        out.put(r.randrange(1 << case % 6), case % 6)
+        assert max(lengths_of(counts)) < 16
+        put_code(out, counts, case % 2 == 0)
+        end = out.n
+        fields = W.Fields(1)
+        codes = W.Codes(np.array([counts]), np.array([280]))
+        codes.describe(fields, np.array([0]), np.array([0]))
+        streams += [(out.bytes(), case % 6, end), (fields.streams()[0], 0, int(codes.size.sum()))]
+
+    def read():
+        found = []
+        for data, skip, end in streams:
+            bits = W.Bits(data)
+            bits.read(skip)
+            code = W._read_code(bits, 280)
+            assert bits.at == end
+            found.append(code.lengths.tolist())
+        return found
+
+    calls = []
+    span = W._word
+    monkeypatch.setattr(W, "_word", lambda code, w: (calls.append(1), span(code, w))[1])
+    several = read()
+    assert len(calls) < 0.75 * sum(len(x) - x.count(0) for x in several)
+    monkeypatch.setattr(W, "_word", lambda code, w: ((), 0, 0))
+    assert read() == several
+    monkeypatch.undo()
+    with pytest.raises(ValueError):
+        W._read_code(W.Bits(streams[0][0][: len(streams[0][0]) // 2]), 280)
