@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,17 +51,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     if len(total) and total[-1] > most_bytes:
         some = sizes.column("doc_id").to_numpy()[: max(1, int(np.searchsorted(total, most_bytes, side="right")))]
         chosen = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in some], "doc_id long")), "doc_id", "left_semi")
-    got = own_terms(chosen, featurize).combine_chunks()
+    got = own_terms(chosen, featurize)
     release(rows)
     got = got.sort_by("doc_id").combine_chunks()
-    y = got.column("y").to_numpy().astype(np.int64)
+    ids, y = got.column("doc_id").to_numpy().copy(), got.column("y").to_numpy().astype(np.int64)
     have = np.bincount(y, minlength=2)
     weight = np.array([totals.get(c, 0) / max(1, have[c]) for c in (0, 1)])[y] if len(y) else np.zeros(0)
     lists = got.column("terms").combine_chunks()
-    terms, number = np.unique(np.asarray(lists.flatten()).astype(np.int64).view(U64), return_inverse=True)
-    bounds = np.append(0, np.cumsum(np.asarray(lists.value_lengths()).astype(np.int64))).astype(np.int64)
     count = np.asarray(got.column("counts").combine_chunks().flatten()).astype(np.int32)
-    return Sample(got.column("doc_id").to_numpy(), y, weight, terms, bounds, number.astype(np.int32), count)
+    bounds = np.append(0, np.cumsum(np.asarray(lists.value_lengths()).astype(np.int64))).astype(np.int64)
+    flat = np.asarray(lists.flatten()).astype(np.int64).view(U64)
+    del got, lists
+    pa.default_memory_pool().release_unused()  # of what was collected nothing stays on the driver but these arrays
+    terms = np.unique(flat)
+    return Sample(ids, y, weight, terms, bounds, np.searchsorted(terms, flat).astype(np.int32), count)
 
 
 def held_out(n: int, remainder: int) -> Column:

@@ -28,6 +28,8 @@ from .terms import TermTable, count_terms, document_frequencies
 
 WORD_WEIGHT, STYLE_WEIGHT = 0.35, 1.0
 DIMS, SPARE, NEIGHBOURS, BLOCK, TIE = 48, 16, 25, 512, 1e-6
+#: Rows of a term matrix that the driver takes at a time when it makes the axes.
+PART = 1 << 14
 #: The lowest bit of a term's hash tells its group.
 STYLE = U64(1)
 
@@ -70,18 +72,25 @@ class Model:
         self.rare = float(np.log((1 + n_docs) / 2) + 1)
         self.style = (sample.terms & STYLE).astype(np.int64)
         n = len(sample.y)
-        value = weighted(n, sample.owner, sample.number, sample.count, np.zeros(n), self.idf, self.style, self.rare).astype(np.float32)
+        owner = sample.owner.astype(np.int32)
+        value = weighted(n, owner, sample.number, sample.count, np.zeros(n), self.idf, self.style, self.rare).astype(np.float32)
         # axes of the truncated SVD: a randomised range of the rows, sharpened by power iterations
         wide = min(dims + SPARE, n)
         y = np.random.default_rng(7).standard_normal((n, wide)).astype(np.float32)
         turn = np.argsort(sample.number, kind="stable")
-        by_term = (np.searchsorted(sample.number[turn], np.arange(len(sample.terms) + 1)), sample.owner.astype(np.int32)[turn], value[turn])
+        by_term = (np.searchsorted(sample.number[turn], np.arange(len(sample.terms) + 1)), owner[turn], value[turn])
+        del owner, turn
         for _ in range(4):
             y, _ = np.linalg.qr(product(sample.bounds, sample.number, value, product(*by_term, y)))
-        side = product(*by_term, y)  # terms by wide
-        power, turned = np.linalg.eigh(side.T.astype(np.float64) @ side)
+        side = product(*by_term, y)  # terms by wide, the largest array here: all that follows takes it some rows at a time
+        del by_term
+        parts = [slice(i, i + PART) for i in range(0, len(side), PART)]
+        power, turned = np.linalg.eigh(sum((x.T @ x for x in (side[p].astype(np.float64) for p in parts)), np.zeros((wide, wide))))
         top = np.argsort(-power)[: min(dims, int((power > 1e-9 * max(power.max(), 1e-30)).sum()))]
-        self.axes = np.ascontiguousarray(side @ (turned[:, top] / np.sqrt(power[top])).astype(np.float32))
+        turned = (turned[:, top] / np.sqrt(power[top])).astype(np.float32)
+        self.axes = np.empty((len(side), len(top)), dtype=np.float32)
+        for p in parts:
+            self.axes[p] = side[p] @ turned
         del side
         self.bank = unit(product(sample.bounds, sample.number, value, self.axes))
         votes = [self.votes(self.bank[i : i + BLOCK], np.arange(i, min(i + BLOCK, n))) for i in range(0, n, BLOCK)] if n > 1 else [np.full(n, 0.5)]
@@ -124,7 +133,9 @@ def product(bounds: np.ndarray, number: np.ndarray, value: np.ndarray, dense: np
         first, last = np.searchsorted(bounds, a, side="right") - 1, np.searchsorted(bounds, b, side="left")
         start = np.maximum(bounds[first:last], a)
         full = np.flatnonzero(np.minimum(bounds[first + 1 : last + 1], b) > start)
-        out[first + full] += np.add.reduceat(dense[number[a:b]] * value[a:b, None], start[full] - a, axis=0)
+        part = dense[number[a:b]]
+        part *= value[a:b, None]
+        out[first + full] += np.add.reduceat(part, start[full] - a, axis=0)
     return out
 
 

@@ -1,5 +1,6 @@
 """Toxicity and quality as whole queries against plain Python, and hashes that must not confuse words."""
 
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -79,6 +80,28 @@ def test_toxicity_like_brute_force(spark):
         assert got[i].predicted == int(got[i].score >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
 
 
+def test_quality_axes_fit_the_driver():
+    """The driver holds the terms by axes once and the axes beside it, never in double precision; the axes are those of the whole product."""
+    n, n_terms, each = 300, 100_000, 1000
+    rng = np.random.default_rng(3)
+    number = np.sort(np.array([rng.choice(n_terms, each, replace=False) for _ in range(n)]), axis=1).ravel().astype(np.int32)
+    terms = np.sort(rng.integers(0, 1 << 63, n_terms).astype(np.uint64))
+    bounds = np.arange(0, n * each + 1, each)
+    sample = calibrate.Sample(np.arange(n), np.arange(n) % 2, np.ones(n), terms, bounds, number, rng.integers(1, 4, n * each).astype(np.int32))
+    df = np.bincount(number, minlength=n_terms)
+    tracemalloc.start()
+    model = quality.Model(sample, df, n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    side = n_terms * (quality.DIMS + quality.SPARE) * 4
+    assert peak < 4 * side, f"{peak / side:.1f} times the terms by axes"
+    assert np.allclose(model.axes.T @ model.axes, np.eye(quality.DIMS), atol=1e-3)
+    value = quality.weighted(n, sample.owner, number, sample.count, np.zeros(n), model.idf, model.style, model.rare)
+    dense = np.zeros((n, n_terms), dtype=np.float32)
+    dense[sample.owner, number] = value
+    assert np.allclose(quality.unit(dense @ model.axes), model.bank, atol=1e-4)
+
+
 def test_quality_votes_like_brute_force(spark):
     table = spark.read.parquet(f"{DIR}/documents.parquet")
     model = quality.fit(table, spark.read.parquet(f"{DIR}/labels.parquet"))
